@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import tempfile
@@ -39,18 +40,22 @@ def file_system(uri: str):
 
 
 class ChunkEncoder:
-    """Whole-text encoding with a bounded memo of white-space separated chunks.
+    """Whole-text encoding with a bounded memo of chunks.
 
     Both kinds of supported tokenizer (byte-level, and word BPE that drops white space) split a
-    text with a pattern whose matches never run over a chunk's ends, so the ids of a text are
-    those of its chunks one after another. Strings of special tokens inside a text are ordinary
-    text. Ids come as little-endian unsigned integers of ``width`` bytes.
+    text with a pattern whose matches never run over a chunk's ends: a chunk ends at white space,
+    of which a last blank belongs to the next chunk, or between a letter and a mark of
+    punctuation. So the ids of a text are those of its chunks one after another. Strings of
+    special tokens inside a text are ordinary text. Ids come as little-endian unsigned integers of
+    ``width`` bytes. The memo has two generations: what the older one holds and is used again
+    moves to the younger one.
     """
 
     #: White space as Unicode's property has it: str.isspace() also takes 1C to 1F.
     SPACE = "\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-    CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-    MEMO = 300_000
+    LETTER = "A-Za-z" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0xFF)))
+    CHUNK = re.compile(f" ?[{LETTER}]+(?![^{SPACE}.,;:!?])| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+    MEMO = 400_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -61,18 +66,29 @@ class ChunkEncoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.type = np.dtype("<u2" if self.width == 2 else "<u4")
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [self.CHUNK.findall(t) if t else () for t in texts]
-        memo = self.memo
-        if len(memo) > self.MEMO:
-            memo.clear()
-        missing = [*{c for chunks in split for c in chunks if c not in memo}]
+        if len(self.memo) > self.MEMO:
+            self.memo, self.old = {}, self.memo
+        memo, old, missing = self.memo, self.old, []
+        for c in {c for chunks in split for c in chunks if c not in memo}:
+            if c in old:
+                memo[c] = old[c]
+            else:
+                missing.append(c)
         for c, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
             memo[c] = np.array(e.ids, dtype=self.type).tobytes()
         return [b"".join([memo[c] for c in chunks]) for chunks in split]
 
 
+@functools.lru_cache(maxsize=2)
+def chunk_encoder(path: str) -> ChunkEncoder:
+    """The encoder of this worker process: tasks that run in it one after another share the memo."""
+    return ChunkEncoder(path)
+
+
 def arrow_rows(batch, *names: str, at_once: int = 512):
     """Columns of an Arrow batch as Python lists, ``at_once`` rows at a time."""
     for i in range(0, batch.num_rows, at_once):

@@ -25,8 +25,14 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(spark, table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack, token_pieces
+
+    return pack(token_pieces(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_records,)}
+    return {f.__name__: f for f in (op1_token_records, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

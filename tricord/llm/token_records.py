@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import ChunkEncoder, arrow_rows, file_system, shared_dir
+from .common import arrow_rows, chunk_encoder, file_system, shared_dir
 
 HEAD, CRC, PAYLOAD = "<QI", "<I", "<?qB"
 HEAD_SIZE, PAYLOAD_HEAD_SIZE = struct.calcsize(HEAD), struct.calcsize(PAYLOAD)
@@ -65,7 +65,7 @@ def write_token_records(docs: DataFrame, out: str, tokenizer: str, end_id: int =
     def write(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encoder, fs, folder = ChunkEncoder(tokenizer), *file_system(f"{out}/shards")
+        encoder, fs, folder = chunk_encoder(tokenizer), *file_system(f"{out}/shards")
         fs.create_dir(folder, recursive=True)
         shard = TaskContext.get().partitionId()
         name, offset, start, sink = f"shard-{shard:06d}-{uuid.uuid4().hex}.rec", 0, 0, None
