@@ -25,6 +25,15 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(spark, table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import shared_dir
+    from .warc import read_warc, write_warc
+
+    out = shared_dir(spark, "warc")
+    read = read_warc(write_warc(table(spark, sf_dir, "pages"), out), out, with_payload=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack, token_pieces
 
@@ -32,7 +41,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_records, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_records, op5_warc, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
