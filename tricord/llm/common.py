@@ -5,8 +5,10 @@ from __future__ import annotations
 import functools
 import os
 import re
+import sys
 import tempfile
 import uuid
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -39,8 +41,8 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-class ChunkEncoder:
-    """Whole-text encoding with a bounded memo of chunks.
+class ChunkEncoder(dict):
+    """Whole-text encoding with a bounded memo: chunk of text -> its ids' bytes.
 
     Both kinds of supported tokenizer (byte-level, and word BPE that drops white space) split a
     text with a pattern whose matches never run over a chunk's ends: a chunk ends at white space,
@@ -55,9 +57,12 @@ class ChunkEncoder:
     SPACE = "\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
     LETTER = "A-Za-z" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0xFF)))
     CHUNK = re.compile(f" ?[{LETTER}]+(?![^{SPACE}.,;:!?])| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-    MEMO = 400_000
+    #: Byte-level vocabularies spell a byte as a character: printable ones as themselves, the others from 256 on.
+    SPELL = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in {*range(33, 127), *range(161, 173), *range(174, 256)})}
+    MEMO = 150_000
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -65,22 +70,34 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.type = np.dtype("<u2" if self.width == 2 else "<u4")
-        self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        # words of Latin letters need neither normalizing nor splitting, if the model alone gives the same ids
+        words = [" Probe", "probe", " a", "Ünïcode", " çé"]
+        ways = (lambda c: self._spelled(c), lambda c: self._spelled(c.lstrip(" ").lower()))
+        self.way = next((w for w in ways if all([t.id for t in self.tokenizer.model.tokenize(w(c))] == self._ids(c) for c in words)), None)
+
+    def _spelled(self, chunk: str) -> str:
+        return chunk.encode().decode("latin-1").translate(self.SPELL)
+
+    def _ids(self, chunk: str) -> list[int]:
+        return self.tokenizer.encode(chunk, add_special_tokens=False).ids
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self.old.get(chunk)
+        if found is None:
+            if self.way and chunk.lstrip(" ").isalpha() and max(chunk) <= "\xff":
+                ids = [t.id for t in self.tokenizer.model.tokenize(self.way(chunk))]
+            else:
+                ids = self._ids(chunk)
+            found = np.array(ids, dtype=self.type).tobytes() if sys.byteorder == "big" else array("H" if self.width == 2 else "I", ids).tobytes()
+        self[chunk] = found
+        return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [self.CHUNK.findall(t) if t else () for t in texts]
-        if len(self.memo) > self.MEMO:
-            self.memo, self.old = {}, self.memo
-        memo, old, missing = self.memo, self.old, []
-        for c in {c for chunks in split for c in chunks if c not in memo}:
-            if c in old:
-                memo[c] = old[c]
-            else:
-                missing.append(c)
-        for c, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            memo[c] = np.array(e.ids, dtype=self.type).tobytes()
-        return [b"".join([memo[c] for c in chunks]) for chunks in split]
+        if len(self) > self.MEMO:
+            self.old = dict(self)
+            self.clear()
+        return [b"".join([self[c] for c in self.CHUNK.findall(t)]) if t else b"" for t in texts]
 
 
 @functools.lru_cache(maxsize=2)

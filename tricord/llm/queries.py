@@ -25,6 +25,12 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(spark, table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op2_spaced_seed_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import shared_dir
     from .warc import read_warc, write_warc
@@ -70,7 +76,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_records, op5_warc, op8_chat_formatting, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_records, op2_spaced_seed_leaks, op5_warc, op8_chat_formatting, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
