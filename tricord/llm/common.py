@@ -5,7 +5,6 @@ from __future__ import annotations
 import functools
 import os
 import re
-import sys
 import tempfile
 import uuid
 from array import array
@@ -48,8 +47,8 @@ class ChunkEncoder(dict):
     text with a pattern whose matches never run over a chunk's ends: a chunk ends at white space,
     of which a last blank belongs to the next chunk, or between a letter and a mark of
     punctuation. So the ids of a text are those of its chunks one after another. Strings of
-    special tokens inside a text are ordinary text. Ids come as little-endian unsigned integers of
-    ``width`` bytes. The memo has two generations: what the older one holds and is used again
+    special tokens inside a text are ordinary text. Ids come as unsigned integers of ``width``
+    bytes in the machine's order (dtype ``type``). The memo has two generations: what the older one holds and is used again
     moves to the younger one.
     """
 
@@ -59,7 +58,7 @@ class ChunkEncoder(dict):
     CHUNK = re.compile(f" ?[{LETTER}]+(?![^{SPACE}.,;:!?])| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
     #: Byte-level vocabularies spell a byte as a character: printable ones as themselves, the others from 256 on.
     SPELL = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in {*range(33, 127), *range(161, 173), *range(174, 256)})}
-    MEMO = 150_000
+    MEMO = 250_000
 
     def __init__(self, path: str):
         super().__init__()
@@ -69,12 +68,13 @@ class ChunkEncoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.type = np.dtype("<u2" if self.width == 2 else "<u4")
+        self.type = np.dtype("u2" if self.width == 2 else "u4").newbyteorder("=")
         self.old: dict[str, bytes] = {}
         # words of Latin letters need neither normalizing nor splitting, if the model alone gives the same ids
         words = [" Probe", "probe", " a", "Ünïcode", " çé"]
-        ways = (lambda c: self._spelled(c), lambda c: self._spelled(c.lstrip(" ").lower()))
-        self.way = next((w for w in ways if all([t.id for t in self.tokenizer.model.tokenize(w(c))] == self._ids(c) for c in words)), None)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.lower = [t.id for t in self.tokenize(self._spelled("probe"))] == self._ids(" Probe")
+        self.bare = all([t.id for t in self.tokenize(self._spelled(c.lstrip(" ").lower() if self.lower else c))] == self._ids(c) for c in words)
 
     def _spelled(self, chunk: str) -> str:
         return chunk.encode().decode("latin-1").translate(self.SPELL)
@@ -85,11 +85,14 @@ class ChunkEncoder(dict):
     def __missing__(self, chunk: str) -> bytes:
         found = self.old.get(chunk)
         if found is None:
-            if self.way and chunk.lstrip(" ").isalpha() and max(chunk) <= "\xff":
-                ids = [t.id for t in self.tokenizer.model.tokenize(self.way(chunk))]
-            else:
+            word = chunk.lstrip(" ")
+            if not self.bare or not word.isalpha() or not (word.isascii() or max(word) <= "\xff"):
                 ids = self._ids(chunk)
-            found = np.array(ids, dtype=self.type).tobytes() if sys.byteorder == "big" else array("H" if self.width == 2 else "I", ids).tobytes()
+            elif self.lower:
+                ids = [t.id for t in self.tokenize(word.lower() if word.isascii() else self._spelled(word.lower()))]
+            else:
+                ids = [t.id for t in self.tokenize(self._spelled(chunk))]
+            found = array("H" if self.width == 2 else "I", ids).tobytes()
         self[chunk] = found
         return found
 

@@ -69,13 +69,13 @@ def write_token_records(docs: DataFrame, out: str, tokenizer: str, end_id: int =
         fs.create_dir(folder, recursive=True)
         shard = TaskContext.get().partitionId()
         name, offset, start, sink = f"shard-{shard:06d}-{uuid.uuid4().hex}.rec", 0, 0, None
-        end = np.array([end_id], dtype=encoder.type).tobytes()
+        end, kind = np.array([end_id], dtype=encoder.type).tobytes(), encoder.type.newbyteorder("<")
         try:
             for batch in batches:
                 for ids, texts in arrow_rows(batch, "id", "text"):
                     rows = []
                     for i, encoded in zip(ids, encoder.encode(texts), strict=True):
-                        record = frame(struct.pack(PAYLOAD, i is not None, i or 0, encoder.width) + encoded + end)
+                        record = frame(struct.pack(PAYLOAD, i is not None, i or 0, encoder.width) + np.frombuffer(encoded + end, dtype=encoder.type).astype(kind, copy=False).tobytes())
                         sink = sink or fs.open_output_stream(f"{folder}/{name}")
                         sink.write(record)
                         n = len(encoded) // encoder.width + 1
