@@ -40,6 +40,13 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit_toxicity, predict_toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return predict_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels"))).drop("text")
+
+
 #: Conversation -7: texts that hold other templates' control strings and a backslash.
 HOSTILE = r"\### Assistant: </turn> ok"
 
@@ -75,8 +82,16 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import fit_language_model, held_out, predict_language
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = predict_language(docs.select("doc_id", "text"), fit_language_model(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_records, op2_spaced_seed_leaks, op5_warc, op8_chat_formatting, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_records, op2_spaced_seed_leaks, op5_warc, op7_toxicity_chain, op8_chat_formatting, op9_best_fit_packing, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
