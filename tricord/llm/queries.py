@@ -32,6 +32,12 @@ def op2_spaced_seed_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_multi_index_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_components
 
@@ -105,7 +111,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_records, op2_spaced_seed_leaks, op4_ngram_jaccard_join, op5_warc, op6_main_text, op7_toxicity_chain, op8_chat_formatting, op9_best_fit_packing, op10_language_id)}
+    return {f.__name__: f for f in (op1_token_records, op2_spaced_seed_leaks, op3_multi_index_near_dedup, op4_ngram_jaccard_join, op5_warc, op6_main_text, op7_toxicity_chain, op8_chat_formatting, op9_best_fit_packing, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
