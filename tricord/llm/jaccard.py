@@ -184,49 +184,43 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int = W
     """The (a, b) of ``pairs`` (class keys) whose sets have the similarity; whole sets are compared."""
     pairs = materialize(pairs, "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(classes.select("k", "rep"), "k")
-    ids = materialize(ids.select(F.col("rep").alias("id")).distinct(), "pair-ids")
+    ids = materialize(ids.select("k", F.col("rep").alias("id")), "pair-ids")
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
 
-    def sets(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            for (texts,) in arrow_rows(batch, "text"):
-                own = [shingle_set(t, words) for t in texts]
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(h) for h in own], pa.int64()), pa.array([h.astype("<u8").tobytes() for h in own], pa.binary())], ["k", "set"])
-
     def compare(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             keep = []
-            for left, right in arrow_rows(batch, "sa", "sb"):
-                for x, y in zip(left, right, strict=True):
-                    x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(den * both >= num * (len(x) + len(y) - both))
+            for a, b, left, right in arrow_rows(batch, "a", "b", "ta", "tb"):
+                own = {t: shingle_set(t, words) for t in {*left, *right}}
+                keys = {t: set_key(h) for t, h in own.items()}
+                for i, j, s, t in zip(a, b, left, right, strict=True):
+                    both = len(np.intersect1d(own[s], own[t], assume_unique=True))
+                    # a key tells the texts of a repeated id apart
+                    keep.append(keys[s] == i and keys[t] == j and den * both >= num * (len(own[s]) + len(own[t]) - both))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi").select("text")
-    # equal ids of different texts, and rows that repeat
-    found = materialize(texts.mapInArrow(sets, "k long, set binary").dropDuplicates(["k"]), "sets")
-    both = pairs.join(found.select(F.col("k").alias("a"), F.col("set").alias("sa")), "a").join(found.select(F.col("k").alias("b"), F.col("set").alias("sb")), "b")
-    return materialize(both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long"), "links")
+    # texts travel rather than sets, which are larger and don't compress
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id").select("k", "text")
+    both = pairs.join(texts.select(F.col("k").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("k").alias("b"), F.col("text").alias("tb")), "b")
+    return materialize(both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long").distinct(), "links")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document: links where ``den * |x & y| >= num * |x | y|``."""
     rows = materialize(prefixes(docs, frequent_shingles(docs, words), words, num, den), "prefixes")
     known = rows.where("n > 0 AND doc_id IS NOT NULL")
-    classes = materialize(known.groupBy("k").agg(F.min("doc_id").alias("rep"), F.max(F.struct("n", "p", "prefix")).alias("s")).select("k", "rep", "s.n", "s.p", "s.prefix"), "classes")
-    groups = classes.groupBy("n", "p").agg(F.min("k").alias("g"), F.max("prefix").alias("prefix"))
-    groups = materialize(groups, "groups")
+    classes = materialize(known.groupBy("k").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("p").alias("p")), "classes")
+    groups = materialize(classes.groupBy("n", "p").agg(F.min(F.struct("k", "rep")).alias("s")).select(F.col("s.k").alias("g"), F.col("s.rep").alias("doc_id"), "n", "p"), "groups")
     members = materialize(classes.select("k", "n", "p").join(groups.select("n", "p", "g"), ["n", "p"]).select("g", "k"), "members")
+    # a group's prefix is that of one row
+    heads = known.select(F.col("k").alias("g"), "doc_id", "n", "prefix").join(groups.select("g", "doc_id"), ["g", "doc_id"]).dropDuplicates(["g", "doc_id"])
 
     token = Window.partitionBy("token")
-    postings = groups.select("g", "n", F.posexplode("prefix").alias("pos", "token"))
+    postings = heads.select("g", "n", F.posexplode("prefix").alias("pos", "token"))
     postings = postings.withColumn("in_list", F.count("*").over(token)).where("in_list > 1").drop("in_list")
     postings = materialize(postings, "postings")
 
