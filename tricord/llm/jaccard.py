@@ -8,7 +8,8 @@ documents hold stands last and isn't compared. Steps:
 1. equal sets are one class, its smallest document id speaking for it;
 2. classes with the same prefix and size are one group;
 3. postings (shingle, group) are joined by shingle. Within a shingle's list, ordered by size, each
-   group is first compared with the list's first one and with its predecessor, which needs a few
+   group is first compared with the list's first one, with its predecessor, and with the one that
+   has the fewest rarer shingles, which is the middle of a swarm of near copies. That needs a few
    pairs for a list of any length and connects copies of one text;
 4. then all pairs of a list whose groups aren't connected yet are compared, after the size and the
    position filter. Every such pair has one side outside the list's largest component, so a list of
@@ -37,6 +38,7 @@ from .common import arrow_rows, components, materialize
 
 WORDS, NUM, DEN = 5, 80, 100
 FREQUENT, OFTEN = 1 << 20, 16
+PARTNERS = ("first", "last", "middle")
 BLOCK = 1 << 20
 #: Rows of ids that may be broadcast to pick documents; beyond them the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -225,10 +227,12 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
     postings = materialize(postings, "postings")
 
     ordered = token.orderBy("n", "g")
-    near = postings.select("g", "n", "pos", *[f(F.col(c)).over(ordered).alias(f"{c}_{name}") for c in ("g", "n", "pos") for name, f in (("first", F.first), ("last", F.lag))])
-    star = [near.where(_may("n", "pos", f"n_{x}", f"pos_{x}", num, den)).select(F.least("g", f"g_{x}").alias("a"), F.greatest("g", f"g_{x}").alias("b")) for x in ("first", "last")]
+    at = F.struct("pos", "n", "g")
+    seen = F.struct(*[f.alias(x) for x, f in (("first", F.first(at).over(ordered)), ("last", F.lag(at).over(ordered)), ("middle", F.min(at).over(token)))])
+    near = postings.select("g", "n", "pos", seen.alias("s")).select("g", "n", "pos", *[F.col(f"s.{x}.{c}").alias(f"{c}_{x}") for x in PARTNERS for c in ("g", "n", "pos")])
+    star = [near.where(_may("n", "pos", f"n_{x}", f"pos_{x}", num, den)).select(F.least("g", f"g_{x}").alias("a"), F.greatest("g", f"g_{x}").alias("b")) for x in PARTNERS]
     own = members.select(F.least("g", "k").alias("a"), F.greatest("g", "k").alias("b"))
-    links = verify(star[0].union(star[1]).union(own).where("a <> b").distinct(), classes, docs, words, num, den)
+    links = verify(star[0].union(star[1]).union(star[2]).union(own).where("a <> b").distinct(), classes, docs, words, num, den)
     first = components(links)
 
     # what isn't connected yet: a group's component, or one of its own where its classes differ
