@@ -65,14 +65,17 @@ def commuting(path: str, motif: str, step: int, trust: DataFrame, train: DataFra
     return top_k(multiply(m, relation(train)).select(F.col("i").alias("u"), F.col("j").alias("b"), "w"), k)
 
 
-def sweep(motifs: DataFrame, base: DataFrame, train: DataFrame, k: int = TOP_K) -> DataFrame:
-    """All motifs of ``motifs`` (motif, i, j, w) and all steps in one plan: (motif, alpha_step, u, b, score, rn)."""
+def sweep(motifs: DataFrame, base: DataFrame, train: DataFrame, k: int = TOP_K, names: tuple[str, ...] = MOTIFS) -> DataFrame:
+    """All motifs of ``motifs`` (motif, i, j, w) and all steps in one plan: (motif, alpha_step, u, b, score, rn).
+
+    A motif of ``names`` without triangles has the base's similarities alone.
+    """
     r = relation(train)
     side = r.select(F.col("i").alias("k"), F.col("j").alias("b"))
     through = motifs.select("motif", F.col("i").alias("u"), F.col("j").alias("k"), "w").join(side, "k").groupBy("motif", "u", "b").agg(F.sum("w").alias("m"))
     plain = multiply(base, r).select(F.col("i").alias("u"), F.col("j").alias("b"), F.col("w").alias("base"))
-    names = motifs.select("motif").distinct()  # seven at most
-    rows = through.select("motif", "u", "b", F.lit(0).cast("long").alias("base"), "m").union(plain.crossJoin(F.broadcast(names)).select("motif", "u", "b", "base", F.lit(0).cast("long").alias("m")))
+    each = F.explode(F.array(*map(F.lit, names))).alias("motif")
+    rows = through.select("motif", "u", "b", F.lit(0).cast("long").alias("base"), "m").union(plain.select(each, "u", "b", "base", F.lit(0).cast("long").alias("m")))
     cells = rows.groupBy("motif", "u", "b").agg(F.sum("base").alias("base"), F.sum("m").alias("m"))
     every = cells.select("motif", "u", "b", "base", "m", F.explode(F.array(*map(F.lit, STEPS))).alias("alpha_step"))
     scored = every.select("motif", "alpha_step", "u", "b", ((10 - F.col("alpha_step")) * F.col("base") + F.col("alpha_step") * F.col("m")).alias("w"))
