@@ -39,7 +39,7 @@ from .common import arrow_rows, components, materialize
 WORDS, NUM, DEN = 5, 80, 100
 FREQUENT, OFTEN = 1 << 20, 16
 PARTNERS = ("first", "last", "middle")
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Rows of ids that may be broadcast to pick documents; beyond them the join shuffles.
 BROADCAST_ROWS = 1_000_000
 PRIME = np.uint64(0x9E3779B97F4A7C15 | 1)
