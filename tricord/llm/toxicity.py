@@ -32,6 +32,8 @@ from .common import arrow_rows
 FEATURES = 1 << 18
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6, 7)
+#: Rows of the sample that hold a feature, at least, for it to be looked at.
+SEEN = 4
 #: The chain: category -> its condition on the columns of labels. ``toxic`` decides.
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1", "toxic_junk": "toxic = 1 AND quality = 0"}
 DECIDES = "toxic"
@@ -54,14 +56,18 @@ class Rows:
     n: int
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights=w[self.of], minlength=self.n)
+        return sum((np.bincount(r, weights=w[f], minlength=self.n) for r, f in self._blocks()), np.zeros(self.n))
 
     def back(self, r: np.ndarray, width: int) -> np.ndarray:
-        return np.bincount(self.of, weights=r[self.row], minlength=width)
+        return sum((np.bincount(f, weights=r[own], minlength=width) for own, f in self._blocks()), np.zeros(width))
+
+    def _blocks(self, size: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """So that what is made on the way stays small."""
+        return ((self.row[i : i + size], self.of[i : i + size]) for i in range(0, len(self.of), size))
 
     def take(self, rows: np.ndarray) -> Rows:
-        new = np.full(self.n, -1)
-        new[rows] = np.arange(len(rows))
+        new = np.full(self.n, -1, dtype=np.int32)
+        new[rows] = np.arange(len(rows), dtype=np.int32)
         keep = new[self.row] >= 0
         return Rows(new[self.row[keep]], self.of[keep], len(rows))
 
@@ -85,11 +91,11 @@ def fit_linear(x: Rows, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, l1
     count = np.bincount(x.of, minlength=FEATURES)
     seen = x.back(share, FEATURES)
     pull = np.abs(x.back(share * (y - base), FEATURES)) / np.sqrt(np.maximum(seen * (1 - seen), 1e-12))
-    pull[count < 4] = 0
+    pull[count < SEEN] = 0
     chosen = np.sort(np.argsort(-pull, kind="stable")[:screened])
     chosen = chosen[pull[chosen] > 0]
-    place = np.full(FEATURES, -1)
-    place[chosen] = np.arange(len(chosen))
+    place = np.full(FEATURES, -1, dtype=np.int32)
+    place[chosen] = np.arange(len(chosen), dtype=np.int32)
     keep = place[x.of] >= 0
     x = Rows(x.row[keep], place[x.of[keep]], x.n)
     k, m = len(chosen), extra.shape[1]
@@ -141,13 +147,25 @@ class Chain:
         return sigmoid(odds)
 
 
-def fit_chain(sets: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, categories: tuple[str, ...], folds: int = 3) -> Chain:
+def rows_of(sets: list[bytes]) -> Rows:
+    """Of packed sets. Features too rare for any model are left out, so the driver holds 8 bytes for each of the others."""
+    count = np.zeros(FEATURES, dtype=np.int64)
+    for s in sets:
+        count[np.frombuffer(s, "<u4")] += 1
+    often, parts = count >= SEEN, []
+    for s in sets:
+        own = np.frombuffer(s, "<u4")
+        parts.append(own[often[own]].astype(np.int32))
+    row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(p) for p in parts])
+    return Rows(row, np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32), len(sets))
+
+
+def fit_chain(x: Rows, labels: np.ndarray, weight: np.ndarray, categories: tuple[str, ...], folds: int = 3) -> Chain:
     """Train the chain on feature sets and (rows, categories) 0/1 labels."""
-    x = Rows(np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets) if sets else np.zeros(0, dtype=np.int64), len(sets))
-    fold, extra, models = np.arange(len(sets)) % folds, np.zeros((len(sets), 0)), []
+    fold, extra, models = np.arange(x.n) % folds, np.zeros((x.n, 0)), []
     threshold = 0.5
     for k, name in enumerate(categories):
-        y, out = labels[:, k], np.zeros(len(sets))
+        y, out = labels[:, k], np.zeros(x.n)
         for f in range(folds):
             fit, rest = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
             out[rest] = _log_odds(fit_linear(x.take(fit), extra[fit], y[fit], weight[fit]), x.take(rest), extra[rest])
@@ -188,7 +206,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4000, cate
     table = np.array([r for r, _ in got], dtype=np.float64).reshape(len(got), len(names))
     # by a hash of the id: neighbours in id may be copies
     order = np.argsort([zlib.crc32(str(int(i)).encode()) for i in table[:, 0]], kind="stable") if len(got) else []
-    return fit_chain([np.frombuffer(got[i][1], "<u4").astype(np.int64) for i in order], table[order, 2:], table[order, 1], tuple(categories))
+    x = rows_of([got[i][1] for i in order])
+    del got
+    return fit_chain(x, table[order, 2:], table[order, 1], tuple(categories))
 
 
 def predict_toxicity(docs: DataFrame, chain: Chain) -> DataFrame:
