@@ -1,5 +1,6 @@
 """The training-data operators against plain versions, round trips and edge cases."""
 
+import hashlib
 import re
 import zlib
 from collections import defaultdict
@@ -246,6 +247,22 @@ def test_chat_round_trip(spark):
     assert formatted.count() == 3 and chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_chat_digest_reads_written_out_examples(spark):
+    texts = ["hi <b>", "one \\ two", "", "three </turn> four", "bye", "five"]
+    df = spark.createDataFrame([(1, k, "assistant" if k % 2 else "user", t) for k, t in enumerate(texts)] + [(2, 0, "user", "alone"), (None, 0, "assistant", "y")], "conv_id long, turn int, role string, text string")
+    formatted = chat.format_conversations(df)
+    got = {r["conv_id"]: r for r in chat.conversation_digest(formatted).collect()}
+    want = {1: "".join(texts[1::2]), 2: "", None: "y"}
+    assert {k: (r["loss_chars"], r["loss_sha256"]) for k, r in got.items()} == {k: (len(t), hashlib.sha256(t.encode()).hexdigest()) for k, t in want.items()}
+
+    def moved(turn, context, target):
+        return formatted.withColumn("examples", F.transform("examples", lambda e: F.struct((e["turn"] + turn).alias("turn"), (e["context_chars"] + context).alias("context_chars"), (e["target_chars"] + target).alias("target_chars"))))
+
+    for bad in (moved(0, 1, 0), moved(0, -1, 0), moved(0, 1, -1), moved(0, 0, 1), moved(0, 0, -1), moved(-1, 0, 0), formatted.withColumn("examples", F.slice("examples", 1, F.greatest(F.size("examples") - 1, F.lit(0))))):
+        with pytest.raises(Exception, match="example"):
+            chat.conversation_digest(bad).collect()
+
+
 # 9
 
 def test_packing_holds_every_token_once(spark, docs, odd):

@@ -6,7 +6,8 @@ every text comes back as it was. ``format_conversations`` gives a row per conver
 whole formatted text and a row's worth of spans per assistant turn: the example of a turn is the
 prefix before it (its context) and the turn's own text (the target, the only part under the loss
 mask). Spans keep the output in proportion to the input, where written-out prefixes would grow with
-the square of a conversation's length; ``expand`` writes them out for a trainer.
+the square of a conversation's length; ``expand`` writes them out for a trainer and for
+``conversation_digest``, one at a time and never through a shuffle.
 
 Rows: turns go by number, ties by role and text; repeated rows are turns of their own; a null text
 or role is an empty one; rows without a conversation id make one conversation without id; a
@@ -47,10 +48,21 @@ def format_conversations(turns: DataFrame, target_role: str = "assistant") -> Da
     return grouped.select("conv_id", F.size("p").cast("long").alias("n_turns"), F.array_join(F.col("p.piece"), "").alias("formatted"), "examples")
 
 
-def expand(formatted: DataFrame) -> DataFrame:
-    """One row per example: (conv_id, turn, prompt, target), both as they stand in the formatted text."""
-    rows = formatted.select("conv_id", "formatted", F.explode("examples").alias("e"))
-    return rows.select("conv_id", F.col("e.turn").alias("turn"), F.substring("formatted", F.lit(1), F.col("e.context_chars").cast("int")).alias("prompt"), F.substring("formatted", (F.col("e.context_chars") + 1).cast("int"), F.col("e.target_chars").cast("int")).alias("target"))
+def expand(formatted: DataFrame, *kept: str, every: bool = False) -> DataFrame:
+    """One row per example: (conv_id, kept columns, turn, prompt, target), both as they stand in the formatted text.
+
+    With ``every``, a conversation without examples has one row, its turn, prompt and target null.
+    An example whose span isn't the turn it names fails the job: the prompt must hold as many whole
+    turns as precede it and end with the head of a turn, and the target must end where its turn does.
+    """
+    rows = formatted.select("conv_id", *kept, "formatted", (F.explode_outer if every else F.explode)("examples").alias("e"))
+    begin, size = F.col("e.context_chars").cast("int"), F.col("e.target_chars").cast("int")
+    rows = rows.select("conv_id", *kept, F.col("e.turn").alias("turn"), F.substring("formatted", F.lit(1), begin).alias("prompt"), F.substring("formatted", begin + 1, size).alias("target"), F.substring("formatted", begin + size + 1, F.lit(len(CLOSE))).alias("after"))
+    before = F.substring_index("prompt", CLOSE, -1)  # what follows the last whole turn
+    whole = (F.length("prompt") - F.length(F.replace("prompt", F.lit(CLOSE), F.lit("")))) / len(CLOSE)
+    right = (whole == F.col("turn")) & before.startswith(OPEN) & before.endswith(MID) & (F.instr(before, MID) == F.length(before) - len(MID) + 1) & ~F.contains("target", F.lit("<")) & (F.col("after") == CLOSE)
+    wrong = F.raise_error(F.concat(F.lit("the span of an example isn't its turn: conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), F.lit(", turn "), F.col("turn").cast("string")))
+    return rows.select("conv_id", *kept, "turn", "prompt", F.when(F.col("turn").isNull() | right, F.col("target")).otherwise(wrong.cast("string")).alias("target"))
 
 
 def parse(formatted: Column) -> Column:
@@ -61,11 +73,21 @@ def parse(formatted: Column) -> Column:
     return F.transform(pieces, lambda p: F.struct(unescape(F.substr(head(p), F.lit(len(OPEN) + 1))).alias("role"), unescape(raw(p)).alias("text"), raw(p).alias("raw")))
 
 
-def conversation_digest(formatted: DataFrame) -> DataFrame:
-    """What the output says, read back: turns from the formatted text, loss from the examples' turns and spans."""
+def conversation_digest(formatted: DataFrame, target_role: str = "assistant") -> DataFrame:
+    """What the output says, read back: turns from the formatted text, loss from the written-out examples."""
     rows = formatted.withColumn("turns", parse(F.col("formatted")))
     spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    # an example's span must be the turn it names
-    loss = F.transform("examples", lambda e: F.when(F.length(F.get("turns", e["turn"])["raw"]) == e["target_chars"], F.get("turns", e["turn"])["text"]))
-    rows = rows.select("conv_id", "n_turns", "formatted", spoken.alias("spoken"), F.array_join(loss, "").alias("loss"))
-    return rows.select("conv_id", "n_turns", F.sha2("spoken", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    due = F.size(F.filter("turns", lambda t: t["role"] == target_role))
+    rows = rows.select("conv_id", "n_turns", F.sha2(spoken, 256).alias("turns_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), due.alias("due"), "formatted", "examples")
+    kept = ("n_turns", "turns_sha256", "formatted_chars", "due")
+    examples = expand(rows, *kept, every=True)
+    head = F.concat(F.lit(OPEN), escape(F.lit(target_role)), F.lit(MID))
+    wrong = F.raise_error(F.lit("the prompt of an example doesn't end with the target role's head")).cast("string")
+    said = F.when(F.col("prompt").endswith(head), unescape(F.col("target"))).otherwise(wrong)
+    example = F.when(F.col("turn").isNotNull(), F.struct("turn", said.alias("text")))
+    found = examples.groupBy("conv_id").agg(*[F.first(c).alias(c) for c in kept], F.sort_array(F.collect_list(example)).alias("x"))
+    # each target turn is an example, once
+    texts = F.when((F.size("x") == F.col("due")) & (F.size(F.array_distinct("x.turn")) == F.col("due")), F.col("x.text"))
+    texts = F.coalesce(texts, F.raise_error(F.lit("a conversation's examples aren't its target turns")).cast("array<string>"))
+    rows = found.select("conv_id", "n_turns", "turns_sha256", F.array_join(texts, "").alias("loss"), "formatted_chars")
+    return rows.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
