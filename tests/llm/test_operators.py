@@ -297,6 +297,24 @@ def test_bins_close_the_fullest():
 
 # 10
 
+def test_language_letters_past_the_first_planes(spark):
+    no_letter = ["\U0001f600\U0001f680", "\u3000\u3000", "\u3001\u3002\u300c\u300d", "\uff11\uff12\uff13", "\ufffd"]
+    letters = ["\u4e2d\u6587", "\uac00\ub098", "\uff21\uff22", "\U00020000"]
+    assert [language.bucket_counts(t) is None for t in no_letter + letters] == [True] * len(no_letter) + [False] * len(letters)
+    mixed = language.bucket_counts("\u3000\u4e2d\u6587\u3002\U0001f600")
+    assert (mixed == language.bucket_counts(" \u4e2d\u6587 ")).all()
+    train = spark.createDataFrame([(k, "abc def" if k % 2 else "xyz uvw", "a" if k % 2 else "b") for k in range(200)], "doc_id long, text string, lang string")
+    found = language.predict_language(spark.createDataFrame([(k, t) for k, t in enumerate(no_letter)], "doc_id long, text string"), language.fit_language_model(train)).collect()
+    assert {(r["lang_pred"], r["score"]) for r in found} == {("und", 0.0)}
+
+
+def test_language_takes_every_labelled_language(spark):
+    rows = [(k, f"text number {k % 520} of many", f"l{k % 520:03d}") for k in range(520 * 12)]
+    model = language.fit_language_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=3)
+    trained = {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2}
+    assert len(trained) > 500 and len(model.languages) > 500 and set(model.languages) <= trained
+
+
 def test_language_held_out_accuracy(spark, docs, odd):
     model = language.fit_language_model(docs)
     rows = language.predict_language(docs, model).where(language.held_out()).where("lang IS NOT NULL AND text RLIKE '[A-Za-z]{3}'").collect()

@@ -32,8 +32,8 @@ UNKNOWN = "und"
 
 @functools.lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    """Whether a code point is a letter; those past the table are."""
-    return np.array([chr(c).isalpha() for c in range(0x3000)], dtype=bool)
+    """Whether a code point is a letter, for all of Unicode: about 1 MB, made once a worker."""
+    return np.array([chr(c).isalpha() for c in range(0x110000)], dtype=bool)
 
 
 def buckets(text: str | None) -> Iterator[np.ndarray]:
@@ -42,7 +42,7 @@ def buckets(text: str | None) -> Iterator[np.ndarray]:
     for at in range(0, len(text or ""), BLOCK):
         # a block sees the last characters of the one before it
         codes = np.frombuffer(text[max(0, at - NGRAMS + 1) : at + BLOCK].lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
-        letter = table[np.minimum(codes, len(table) - 1)] | (codes >= len(table))
+        letter = table[codes]
         if not letter.any():
             continue
         codes = np.where(letter, codes, 32)
@@ -124,14 +124,10 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit_language_model(docs: DataFrame, per_language: int = 600, max_languages: int = 500) -> LanguageModel:
-    """Train on the rows that are not held out. Bounds: ``per_language`` texts (about) of each of
-    the ``max_languages`` most frequent languages."""
+def fit_language_model(docs: DataFrame, per_language: int = 600) -> LanguageModel:
+    """Train on the rows that are not held out, on ``per_language`` texts (about) of every language."""
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
-    if not sizes:
-        return LanguageModel((), np.zeros((BUCKETS, 0)), 1.0, 0.0)
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))])
+    shares = rows.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("_share"))  # a row for each language
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
 
     def count(batches: Iterator) -> Iterator:
@@ -144,9 +140,11 @@ def fit_language_model(docs: DataFrame, per_language: int = 600, max_languages:
                 columns = [[x.tobytes() for x in b], [c[x].astype("<u4").tobytes() for (c, _), x in zip(found, b, strict=True)], [lang for _, lang in found]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.string()), strict=True)], ["b", "c", "lang"])
 
-    drawn = rows.where(draw < share[F.col("lang")]).select("text", "lang")
+    drawn = rows.join(F.broadcast(shares), "lang").where(draw < F.col("_share")).select("text", "lang")
     got = drawn.mapInArrow(count, "b binary, c binary, lang string").collect()
     samples = sorted((r["lang"], bytes(r["b"]), bytes(r["c"])) for r in got)
+    if not samples:
+        return LanguageModel((), np.zeros((BUCKETS, 0)), 1.0, 0.0)
     return train([(np.frombuffer(b, "<u4").astype(np.int64), np.frombuffer(c, "<u4").astype(np.float64), lang) for lang, b, c in samples])
 
 
