@@ -37,6 +37,12 @@ def test_objectives_fall(spark, sf, name):
     assert len(values) > 1 and values == sorted(values, reverse=True) and values[-1] < values[0]
 
 
+def test_dense_base_keeps_what_uub_keeps(spark, sf):
+    whole = core.queries()["commute_ubub_m4_a5"](spark, sf).collect()
+    assert 20 < max(r["rn"] for r in whole) <= 500
+    assert sorted(r for r in whole if r["rn"] <= 20) == sorted(core.queries()["topk_ubub_m4_a5"](spark, sf).collect())
+
+
 def test_entry_runs(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
