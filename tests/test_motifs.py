@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tricord.operators import commuting, motifs, prep
+from tricord.operators import commuting, features, motifs, prep
 
 MICRO = {"m1": "ab bc ca", "m2": "ab ba bc ca", "m3": "ab ba bc cb ac", "m4": "ab ba bc cb ca ac", "m5": "ab bc ac", "m6": "ab ba ca cb", "m7": "ab ba ac bc"}
 
@@ -81,3 +81,15 @@ def test_dedup_last_and_encoding(spark):
     assert {tuple(x) for x in prep.dedup_last(r, ["u", "b"], ["seq"], "rating").collect()} == {(1, 1, 3.0), (2, 1, 4.0)}
     ids = spark.createDataFrame([(30,), (10,), (20,), (10,)], "id long")
     assert {tuple(x) for x in prep.encode_ids(ids).collect()} == {(10, 0), (20, 1), (30, 2)}
+
+
+def test_social_filter_drops_edges_without_a_rater(spark):
+    trust, train = edges(spark, [(1, 2), (2, 3), (3, 4), (5, 1), (5, 6)]), spark.createDataFrame([(1, 9, 2.0), (1, 8, 1.0), (4, 9, 3.0)], "u long, b long, rating double")
+    assert sorted(tuple(r) for r in prep.social_filter(trust, train).collect()) == [(1, 2), (3, 4), (5, 1)]
+
+
+def test_design_of_test_rows_fills_missing_ids_with_zeros(spark):
+    rows = spark.createDataFrame([(1, 7, 5.0), (2, 7, 4.0), (1, 8, 3.0)], "u long, b long, rating double")
+    of = lambda k: spark.createDataFrame([(k, [1.0, 2.0])], "id long, features array<double>")
+    got = {(r["u"], r["b"]): (r["x"], r["y"]) for r in features.design_test(rows, of(1), of(7), 2).collect()}
+    assert got == {(1, 7): ([1, 2, 1, 2], 5), (2, 7): ([0, 0, 1, 2], 4), (1, 8): ([1, 2, 0, 0], 3)}

@@ -43,6 +43,15 @@ def test_dense_base_keeps_what_uub_keeps(spark, sf):
     assert sorted(r for r in whole if r["rn"] <= 20) == sorted(core.queries()["topk_ubub_m4_a5"](spark, sf).collect())
 
 
+def test_whole_queries_leave_no_id_out(spark, sf):
+    run = lambda name: core.queries()[name](spark, sf)
+    assert run("design_sparsity_whole").first()["filled"] == 1.0
+    raters = {r["u"] for r in run("train_pairs").collect()}
+    kept = {(r["src"], r["dst"]) for r in run("social_filter_either_whole").collect()}
+    assert kept == {(r["src"], r["dst"]) for r in run("trust_edges").collect() if {r["src"], r["dst"]} & raters}
+    assert any(a % 3 and b % 3 for a, b in kept)
+
+
 def test_entry_runs(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -104,6 +104,11 @@ def social_filter_either(spark: SparkSession, d: str) -> DataFrame:
     return prep.social_filter(tables.trust(spark, d), _train(spark, d).where("u % 3 = 0"))
 
 
+@_query("social_filter_either_whole", _with(RATINGS, TRUST, SPLIT, TRAIN) + "SELECT src, dst FROM trust WHERE src IN (SELECT u FROM train) OR dst IN (SELECT u FROM train)")
+def social_filter_either_whole(spark: SparkSession, d: str) -> DataFrame:
+    return prep.social_filter(tables.trust(spark, d), _train(spark, d))
+
+
 @_query("train_pairs", _with(RATINGS, SPLIT, TRAIN) + "SELECT u, b FROM train")
 def train_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _train(spark, d).select("u", "b")
@@ -348,28 +353,29 @@ def mf_grid(spark: SparkSession, d: str) -> DataFrame:
     return mf.grid(train, test, ranks=(2,), epsilons=(10.0, 100.0), lambdas=(1.0, 10.0), iterations=2)
 
 
-# designs of two graphs' factors, the second without every seventh id
+# designs of two graphs' factors, the second without every seventh id; queries named _whole leave no id out
 
 L = 2
 N = 2 * L * RANK
 GRAPHS = f"""parts AS (SELECT side, id, g, k, CASE WHEN g = 1 AND id % 7 = 0 THEN 0.0::DOUBLE ELSE 0.1::DOUBLE * (1 + ((id * 31 + 17 * k + 13 * g) % 97) / 97.0::DOUBLE) END AS x
   FROM (SELECT DISTINCT 'u' AS side, u AS id FROM train UNION ALL SELECT DISTINCT 'b', b FROM train) CROSS JOIN range(0, {L}) a(g) CROSS JOIN range(0, {RANK}) c(k))"""
+WHOLE = GRAPHS.replace("CASE WHEN g = 1 AND id % 7 = 0 THEN 0.0::DOUBLE ELSE ", "").replace(" END AS x", " AS x")
 DESIGN = "design AS (SELECT t.u, t.b, CAST((CASE WHEN side = 'b' THEN {h} ELSE 0 END) + g * {r} + k AS INT) AS n, x, rating AS y FROM train t JOIN parts ON id = CASE WHEN side = 'u' THEN t.u ELSE t.b END)".format(h=L * RANK, r=RANK)
 
 
-def _factor_tables(ids: DataFrame) -> list[DataFrame]:
+def _factor_tables(ids: DataFrame, gaps: bool = True) -> list[DataFrame]:
     of = lambda g: ids.select("id", mf.initial_features(RANK, 0.1, 13 * g).alias("features"))
-    return [of(0), of(1).where("id % 7 <> 0")]
+    return [of(0), of(1).where("id % 7 <> 0") if gaps else of(1)]
 
 
-def _representations(train: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _representations(train: DataFrame, gaps: bool = True) -> tuple[DataFrame, DataFrame]:
     users, items = (train.select(F.col(c).alias("id")).distinct() for c in "ub")
-    return tuple(features.representation(ids, _factor_tables(ids), RANK) for ids in (users, items))
+    return tuple(features.representation(ids, _factor_tables(ids, gaps), RANK) for ids in (users, items))
 
 
-def _design(spark: SparkSession, d: str) -> DataFrame:
+def _design(spark: SparkSession, d: str, gaps: bool = True) -> DataFrame:
     train = materialize(_train(spark, d), "train")
-    return features.design_train(train, *_representations(train))
+    return features.design_train(train, *_representations(train, gaps))
 
 
 def _cells(design: DataFrame) -> DataFrame:
@@ -383,8 +389,8 @@ def maxabs_scale_x20(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query("design_train", _with(RATINGS, SPLIT, TRAIN, GRAPHS, DESIGN) + "SELECT u, b, n, round(x, 6) AS x, y FROM design")
-def design_train(spark: SparkSession, d: str) -> DataFrame:
-    return _cells(_design(spark, d))
+def design_train(spark: SparkSession, d: str, gaps: bool = True) -> DataFrame:
+    return _cells(_design(spark, d, gaps))
 
 
 @_query("design_test_zero_fill", _with(RATINGS, SPLIT, TRAIN, GRAPHS) + f"""SELECT t.u, t.b, CAST((CASE WHEN side = 'b' THEN {L * RANK} ELSE 0 END) + g * {RANK} + k AS INT) AS n,
@@ -396,9 +402,17 @@ def design_test_zero_fill(spark: SparkSession, d: str) -> DataFrame:
     return _cells(features.design_test(test, users, items, L * RANK))
 
 
+@_query("design_test_whole", _with(RATINGS, SPLIT, TRAIN, WHOLE) + f"""SELECT t.u, t.b, CAST((CASE WHEN s.side = 'b' THEN {L * RANK} ELSE 0 END) + a.g * {RANK} + c.k AS INT) AS n,
+  round(coalesce(x, 0.0::DOUBLE), 6) AS x, rating AS y FROM split t CROSS JOIN (VALUES ('u'), ('b')) s(side) CROSS JOIN range(0, {L}) a(g) CROSS JOIN range(0, {RANK}) c(k)
+  LEFT JOIN parts p ON p.id = CASE WHEN s.side = 'u' THEN t.u ELSE t.b END AND p.side = s.side AND p.g = a.g AND p.k = c.k WHERE split = 'test'""")
+def design_test_whole(spark: SparkSession, d: str) -> DataFrame:
+    train, test = _mf_problem(spark, d)
+    return _cells(features.design_test(test, *_representations(train, gaps=False), L * RANK))
+
+
 @_query("design_sparsity", _with(RATINGS, SPLIT, TRAIN, GRAPHS, DESIGN) + "SELECT round(avg(CASE WHEN x <> 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS filled FROM design")
-def design_sparsity(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.sparsity(_design(spark, d)).select(F.round("filled", 6).alias("filled"))
+def design_sparsity(spark: SparkSession, d: str, gaps: bool = True) -> DataFrame:
+    return metrics.sparsity(_design(spark, d, gaps)).select(F.round("filled", 6).alias("filled"))
 
 
 # factorisation machine, at parameters that SQL can write
@@ -417,15 +431,15 @@ def _params(bias: float) -> fm.Params:
     return fm.Params(bias, ((n * 7) % 11 - 5) / 20, ((n[:, None] * 5 + f * 3) % 13 - 6) / 20)
 
 
-def _fm_state(spark: SparkSession, d: str) -> tuple[DataFrame, fm.Params]:
-    design = materialize(_design(spark, d), "design")
+def _fm_state(spark: SparkSession, d: str, gaps: bool = True) -> tuple[DataFrame, fm.Params]:
+    design = materialize(_design(spark, d, gaps), "design")
     return design, _params(design.agg(F.avg("y")).first()[0] or 0.0)
 
 
 @_query("fm_forward", FM + "SELECT u, b, round(pred, 6) AS pred FROM forward")
-def fm_forward(spark: SparkSession, d: str) -> DataFrame:
+def fm_forward(spark: SparkSession, d: str, gaps: bool = True) -> DataFrame:
     """As column expressions; the solver's numpy form is tested against it."""
-    design, q = _fm_state(spark, d)
+    design, q = _fm_state(spark, d, gaps)
     array = lambda v: F.array(*[F.lit(float(x)) for x in v])
     pred = F.lit(q.bias) + vectors.dot(F.col("x"), array(q.w))
     for f in range(FM_RANK):
@@ -435,8 +449,8 @@ def fm_forward(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query("fm_error_metrics", FM + "SELECT round(sqrt(avg((pred - y) * (pred - y))), 6) AS rmse, round(avg(abs(pred - y)), 6) AS mae FROM forward")
-def fm_error_metrics(spark: SparkSession, d: str) -> DataFrame:
-    design, q = _fm_state(spark, d)
+def fm_error_metrics(spark: SparkSession, d: str, gaps: bool = True) -> DataFrame:
+    design, q = _fm_state(spark, d, gaps)
     n, [(_, square, absolute)], _ = fm.sums(design, [q])
     return spark.createDataFrame([(round(float(np.sqrt(square / n)), 6), round(absolute / n, 6))], "rmse double, mae double")
 
@@ -447,25 +461,29 @@ FM_NORMS = _with(RATINGS, SPLIT, TRAIN, GRAPHS, DESIGN, PARAMS, XP, NORMS)
 
 
 @_query("fm_objective", FM_NORMS + "SELECT round((SELECT avg((pred - y) * (pred - y)) FROM forward) + 0.5::DOUBLE * (SELECT sum(w_norm) FROM norms) + 0.25::DOUBLE * (SELECT sum(p_norm) FROM pnorms), 6) AS objective")
-def fm_objective(spark: SparkSession, d: str) -> DataFrame:
-    design, q = _fm_state(spark, d)
+def fm_objective(spark: SparkSession, d: str, gaps: bool = True) -> DataFrame:
+    design, q = _fm_state(spark, d, gaps)
     return spark.createDataFrame([(round(fm.objective(design, q, fm.Options(FM_RANK, RANK, reg_w=0.5, reg_p=0.25)), 6),)], "objective double")
 
 
 @_query("fm_grad_w", FM + "SELECT n, round(2 * avg((pred - f.y) * x), 6) AS g FROM design JOIN forward f USING (u, b) GROUP BY n")
-def fm_grad_w(spark: SparkSession, d: str) -> DataFrame:
-    design, q = _fm_state(spark, d)
+def fm_grad_w(spark: SparkSession, d: str, gaps: bool = True) -> DataFrame:
+    design, q = _fm_state(spark, d, gaps)
     n, _, g = fm.sums(design, [q], gradient=True)
     return spark.createDataFrame([(k, round(float(x), 6)) for k, x in enumerate(g[:, 0] * 2 / n)], "n int, g double")
 
 
 @_query("fm_grad_p", FM + "SELECT n, f, round(2 * avg((pred - r.y) * (x * s - p * x * x)), 6) AS g FROM design JOIN forward r USING (u, b) JOIN xp USING (u, b) JOIN p USING (n, f) GROUP BY n, f")
-def fm_grad_p(spark: SparkSession, d: str) -> DataFrame:
-    design, q = _fm_state(spark, d)
+def fm_grad_p(spark: SparkSession, d: str, gaps: bool = True) -> DataFrame:
+    design, q = _fm_state(spark, d, gaps)
     n, _, g = fm.sums(design, [q], gradient=True)
     return spark.createDataFrame([(k, f, round(float(g[k, 1 + f] * 2 / n), 6)) for k in range(N) for f in range(FM_RANK)], "n int, f int, g double")
 
 
+for _f in (design_train, design_sparsity, fm_forward, fm_error_metrics, fm_objective, fm_grad_w, fm_grad_p):
+    _query(f"{_f.__name__}_whole", SQL[_f.__name__].replace(GRAPHS, WHOLE))(lambda spark, d, f=_f: f(spark, d, gaps=False))
+
+
 @_query("group_norms", _with(PARAMS, NORMS) + "SELECT g, round(w_norm, 6) AS w_norm, round(p_norm, 6) AS p_norm FROM norms JOIN pnorms USING (g)")
 def group_norms(spark: SparkSession, d: str) -> DataFrame:
     q = _params(0.0)
