@@ -52,6 +52,34 @@ def test_whole_queries_leave_no_id_out(spark, sf):
     assert any(a % 3 and b % 3 for a, b in kept)
 
 
+def test_solvers_run_to_their_own_limits(spark, sf, monkeypatch):
+    class Called(Exception):
+        pass
+
+    def stop(*args, **more):
+        raise Called(args, more)
+
+    for name in ("train", "grid"):
+        monkeypatch.setattr(core.mf, name, stop)
+    monkeypatch.setattr(core.fm, "train", stop)
+
+    def given(name):
+        with pytest.raises(Called) as found:
+            core.queries()[name](spark, sf)
+        return found.value.args
+
+    assert given("mf_train_history")[0][2] == core.mf.Options(lamb=1.0)
+    assert given("mf_factors")[0][2] == core.mf.Options()
+    assert given("mf_five_splits")[0][2] == core.mf.Options(iterations=1000)
+    points = given("mf_grid")[1]
+    assert len(points["ranks"]) * len(points["epsilons"]) * len(points["lambdas"]) == 180 and points["iterations"] == 500
+    for name, solver in (("fm_pg_history", "PG"), ("fm_mapg_history", "mAPG"), ("fm_nmapg_history", "nmAPG")):
+        (design, test, o), _ = given(name)
+        assert o == core.fm.Options(solver=solver)
+        pairs = [{(r["u"], r["b"]) for r in x.select("u", "b").collect()} for x in (design, test)]
+        assert pairs[1] and not pairs[0] & pairs[1]
+
+
 def test_entry_runs(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

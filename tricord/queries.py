@@ -330,12 +330,12 @@ def _as_rows(rows: DataFrame, key: str = "ratings_only") -> DataFrame:
 @_query("mf_train_history")
 def mf_train_history(spark: SparkSession, d: str) -> DataFrame:
     train, test = _mf_problem(spark, d)
-    return mf.train(_as_rows(train), _as_rows(test), mf.Options(rank=5, eps=10.0, lamb=1.0, iterations=3))[2]
+    return mf.train(_as_rows(train), _as_rows(test), mf.Options(lamb=1.0))[2]
 
 
 @_query("mf_factors")
 def mf_factors(spark: SparkSession, d: str) -> DataFrame:
-    users, items, _ = mf.train(_as_rows(_train(spark, d)), None, mf.Options(rank=5, iterations=2))
+    users, items, _ = mf.train(_as_rows(_train(spark, d)), None, mf.Options())
     return users.withColumn("side", F.lit("user")).union(items.withColumn("side", F.lit("item")))
 
 
@@ -343,14 +343,14 @@ def mf_factors(spark: SparkSession, d: str) -> DataFrame:
 def mf_five_splits(spark: SparkSession, d: str) -> DataFrame:
     every = materialize(prep.five_splits(tables.ratings(spark, d)), "splits")
     rows = lambda name: every.where(F.col("split") == name).select(F.col("split_no").cast("string").alias("key"), "u", "b", F.col("rating").alias("x"))
-    _, _, history = mf.train(rows("train"), rows("test"), mf.Options(rank=5, eps=10.0, lamb=10.0, iterations=2))
+    _, _, history = mf.train(rows("train"), rows("test"), mf.Options(iterations=1000))
     return history.where("status = 'end'").agg(F.avg("rmse").alias("rmse"), F.avg("mae").alias("mae"), F.count("*").alias("splits"))
 
 
 @_query("mf_grid")
 def mf_grid(spark: SparkSession, d: str) -> DataFrame:
     train, test = _mf_problem(spark, d)
-    return mf.grid(train, test, ranks=(2,), epsilons=(10.0, 100.0), lambdas=(1.0, 10.0), iterations=2)
+    return mf.grid(train, test, ranks=(10, 20, 30, 40, 50), epsilons=(0.001, 0.01, 0.1, 1.0, 10.0, 100.0), lambdas=(0.01, 0.1, 1.0, 5.0, 10.0, 100.0), iterations=mf.Options().iterations)
 
 
 # designs of two graphs' factors, the second without every seventh id; queries named _whole leave no id out
@@ -363,14 +363,14 @@ WHOLE = GRAPHS.replace("CASE WHEN g = 1 AND id % 7 = 0 THEN 0.0::DOUBLE ELSE ",
 DESIGN = "design AS (SELECT t.u, t.b, CAST((CASE WHEN side = 'b' THEN {h} ELSE 0 END) + g * {r} + k AS INT) AS n, x, rating AS y FROM train t JOIN parts ON id = CASE WHEN side = 'u' THEN t.u ELSE t.b END)".format(h=L * RANK, r=RANK)
 
 
-def _factor_tables(ids: DataFrame, gaps: bool = True) -> list[DataFrame]:
-    of = lambda g: ids.select("id", mf.initial_features(RANK, 0.1, 13 * g).alias("features"))
+def _factor_tables(ids: DataFrame, gaps: bool = True, rank: int = RANK) -> list[DataFrame]:
+    of = lambda g: ids.select("id", mf.initial_features(rank, 0.1, 13 * g).alias("features"))
     return [of(0), of(1).where("id % 7 <> 0") if gaps else of(1)]
 
 
-def _representations(train: DataFrame, gaps: bool = True) -> tuple[DataFrame, DataFrame]:
+def _representations(train: DataFrame, gaps: bool = True, rank: int = RANK) -> tuple[DataFrame, DataFrame]:
     users, items = (train.select(F.col(c).alias("id")).distinct() for c in "ub")
-    return tuple(features.representation(ids, _factor_tables(ids, gaps), RANK) for ids in (users, items))
+    return tuple(features.representation(ids, _factor_tables(ids, gaps, rank), rank) for ids in (users, items))
 
 
 def _design(spark: SparkSession, d: str, gaps: bool = True) -> DataFrame:
@@ -498,8 +498,11 @@ def group_prox_step(spark: SparkSession, d: str) -> DataFrame:
 
 def _fm_history(solver: str) -> Query:
     def history(spark: SparkSession, d: str) -> DataFrame:
-        design, _ = _fm_state(spark, d)
-        return fm.train(design, design, fm.Options(FM_RANK, RANK, reg_w=0.01, reg_p=0.01, iterations=3, tries=50, eta=0.5, bias_eta=0.01, solver=solver))[1]
+        o = fm.Options(solver=solver)
+        train, test = _mf_problem(spark, d)
+        users, items = (materialize(r, "representations") for r in _representations(train, gaps=False, rank=o.size))
+        design = materialize(features.design_train(train, users, items), "design")
+        return fm.train(design, materialize(features.design_test(test, users, items, L * o.size), "design-test"), o)[1]
 
     return history
 
