@@ -10,16 +10,20 @@ import uuid
 from array import array
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a table, at most, that joins broadcast.
+BROADCAST_BYTES = 64 << 20
 _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; only where that is unset (tests), a temporary one."""
+    """A fresh folder under ``spark.checkpoint.dir``. Where that is unset, a temporary one in local mode, else ValueError."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own_dir:
             _own_dir.append(tempfile.mkdtemp(prefix="tricord-"))
         base = _own_dir[0]
@@ -28,11 +32,34 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there."""
-    path = shared_dir(df.sparkSession, name)
+    return _written(df, shared_dir(df.sparkSession, name))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more, through Spark's own file systems."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def small(df: DataFrame, row_bytes: Column | int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A materialized table, to be broadcast if its rows, of ``row_bytes`` each, sum up to no more than ``limit``."""
+    size = df.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes).cast("long"))).first()[0]
+    return F.broadcast(df) if (size or 0) <= limit else df
+
+
 def file_system(uri: str):
     """(pyarrow file system, path in it) of a URI or an absolute local path."""
     from pyarrow import fs
@@ -47,7 +74,8 @@ class ChunkEncoder(dict):
     text with a pattern whose matches never run over a chunk's ends: a chunk ends at white space,
     of which a last blank belongs to the next chunk, or between a letter and a mark of
     punctuation. So the ids of a text are those of its chunks one after another. Strings of
-    special tokens inside a text are ordinary text. Ids come as unsigned integers of ``width``
+    special tokens inside a text are ordinary text (``encode_special_tokens``, as the vocabularies'
+    own notes set it), so no document can write an end mark into the stream. Ids come as unsigned integers of ``width``
     bytes in the machine's order (dtype ``type``). The memo has two generations: what the older one holds and is used again
     moves to the younger one.
     """
@@ -120,19 +148,23 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b: long): rows (id, component), the smallest id of each.
 
     Alternates large-star and small-star steps: every step re-hangs the neighbours of a vertex on
-    the smallest one, so paths halve and hubs stay linear. Each round is written to the shared
-    folder; only a count and a checksum come to the driver. Null ends and loops are left out; an
-    empty input gives an empty result.
+    the smallest one, so paths halve and hubs stay linear; minima are taken before the shuffle, and
+    a hub's edges are rows that AQE may split. Each round is written to the shared folder and the one
+    before it deleted; only a count and a checksum come to the driver. Null ends and loops are left
+    out; an empty input gives an empty result.
     """
-    edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    spark, path = edges.sparkSession, shared_dir(edges.sparkSession, "edges")
+    edges = _written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), path)
     seen = None
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
-        edges = materialize(small, "edges")
+        near = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
+        before, path = path, shared_dir(spark, "edges")
+        edges = _written(near, path)
+        remove(spark, before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == seen:
             break
