@@ -6,8 +6,8 @@ for a page whose payload another response of the same run holds: of equal payloa
 front to back: it inflates piece by piece, takes the record's header, frames the block by its
 content length, checks that the gzip member ends there, and verifies block and payload digests.
 
-Rows: a null payload is an empty one; a null page id counts as the smallest; of repeated rows with
-the largest id each is a response and refers to itself by that id; other columns are ignored; an
+Rows: a null payload is an empty one; a null page id counts as the smallest, and where equal payloads
+have no other id each of them is a response; of repeated rows with the largest id each is a response and refers to itself by that id; other columns are ignored; an
 empty table gives no archive.
 """
 
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, file_system, materialize
@@ -182,4 +182,6 @@ def read_warc(manifest: DataFrame, out: str, with_payload: bool = True) -> DataF
                     yield flush(rows)
 
     schema = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long" + ", payload binary" * with_payload
-    return manifest.select("file").repartition("file").mapInArrow(read, schema)
+    # the manifest is tiny, so its own partitions would follow its size and not the work
+    numbered = manifest.select("file", (F.row_number().over(Window.orderBy("file")) - 1).alias("task"))
+    return numbered.repartitionById(max(1, manifest.count()), "task").select("file").mapInArrow(read, schema)
