@@ -96,6 +96,36 @@ FROM sized GROUP BY conv_id
 """
 
 
+def _op2_sql() -> str:
+    """Windows as tuples of words instead of hashes, every hit's diagonal laid out word by word."""
+    from .decontaminate import MASKS
+
+    span = max(map(len, MASKS))
+    runs = {m: [k for k, c in enumerate(m) if c == "1"] for m in MASKS}
+    whole = lambda n: ", ".join(f"w{k}" for k in range(n))
+    of = lambda t, keys: " UNION ALL ".join([f"SELECT {keys}, p, '{m}' AS m, [{', '.join(f'w{k}' for k in at)}] AS seed FROM {t} WHERE w{span - 1} IS NOT NULL" for m, at in runs.items()] + [f"SELECT {keys}, p, '{n}' AS m, [{whole(n)}] AS seed FROM {t} WHERE w{n - 1} IS NOT NULL" + f" AND n = {n}" * (t == "item_runs") for n in range(1, span)])
+    leads = ", ".join(f"lead(x, {k}) OVER o AS w{k}" for k in range(span))
+    return f"""
+WITH raw AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark),
+items AS (SELECT w, len(w) AS n, min(item_id) AS item_id, row_number() OVER () AS i FROM raw WHERE len(w) > 0 GROUP BY w),
+docs AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+item_words AS (SELECT i, n, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS p FROM items),
+doc_words AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS p FROM docs),
+item_runs AS (SELECT i, n, p, {leads} FROM item_words WINDOW o AS (PARTITION BY i ORDER BY p)),
+doc_runs AS (SELECT r, p, {leads} FROM doc_words WINDOW o AS (PARTITION BY r ORDER BY p)),
+item_seeds AS ({of('item_runs', 'i')}),
+doc_seeds AS ({of('doc_runs', 'r')}),
+hits AS (SELECT DISTINCT r, i, d.p - s.p AS position FROM doc_seeds d JOIN item_seeds s USING (m, seed)),
+laid AS (SELECT h.r, h.i, h.position, s.p AS k, CASE WHEN d.x = s.x THEN 1 ELSE -2 END AS s FROM hits h JOIN item_words s USING (i) LEFT JOIN doc_words d ON d.r = h.r AND d.p = h.position + s.p),
+walked AS (SELECT *, sum(s) OVER o AS upto FROM laid WINDOW o AS (PARTITION BY r, i, position ORDER BY k)),
+stretched AS (SELECT *, upto - least(0, min(upto) OVER (PARTITION BY r, i, position ORDER BY k)) AS stretch FROM walked),
+scored AS (SELECT r, i, position, count(*) AS item_words, count(*) FILTER (s = 1) AS matched, max(stretch) AS score FROM stretched GROUP BY ALL),
+leaked AS (SELECT doc_id, item_id, position, item_words, matched, greatest(score, 0) AS score FROM scored JOIN docs USING (r) JOIN items USING (i) WHERE matched >= 0.7 * item_words OR score >= 10)
+SELECT doc_id, item_id, CAST(position AS BIGINT) AS position, CAST(item_words AS BIGINT) AS item_words, CAST(matched AS BIGINT) AS matched, CAST(score AS BIGINT) AS score
+FROM leaked QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY score DESC, matched DESC, position) = 1
+"""
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack, token_pieces
 
@@ -115,4 +145,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_formatting": OP8_SQL}
+    return {"op2_spaced_seed_leaks": _op2_sql(), "op8_chat_formatting": OP8_SQL}
