@@ -1,19 +1,23 @@
 """Operator 7: toxicity by a classifier chain over hashed word features.
 
 Categories are predicted in order by linear logistic models; each later model also gets the earlier
-categories' log-odds. For training these come out of fold: a row's value is predicted by a model
-that hasn't seen the row, so later models learn from what they will meet. A text's features are
-the set of its words and of their beginnings (4 to 7 letters), hashed; sets, since a few words decide
-in a text of any length. The models are trained with an L1 penalty by accelerated proximal
-gradient in numpy, so that a neutral word weighs nothing however many of them a text has.
-
-Training takes a bounded sample of labelled rows, ``per_class`` (about) of the toxic and of the
+categories' probabilities, and the category that decides is the chain's last. For training these
+come out of fold: a row's value is predicted by a model that hasn't seen the row, so later models
+learn from what they will meet. A text's features are the set of its words and of their beginnings
+(4 to 7 letters), hashed; sets, since a few words decide in a text of any length. The models are
+trained with an L1 penalty by accelerated proximal gradient in numpy, so that a neutral word weighs
+nothing however many of them a text has.
+
+Training takes a bounded sample of labelled documents, ``per_class`` (about) of the toxic and of the
 other ones, drawn by a hash of the id and weighted back to their share; tasks make the features,
 and only these sets come to the driver. The decision threshold is the one with the best F1 out of fold.
 
-Rows: null and empty texts have no features and are not toxic; several labels of a document count
-as the largest; labels without a document, and null labels, teach nothing; without labelled rows
-of both kinds nothing is toxic; repeated rows get the same answer; other columns are ignored.
+Rows: texts without features (null, empty, without letters) are not toxic and have probability 0 in
+all categories; several labels of a document count as the largest; of rows that repeat an id the
+smallest text teaches; labels without a document, and null labels, teach nothing; without labelled
+texts of both kinds nothing is toxic; repeated rows get the same answer; very long texts are read
+whole; columns named as the result's are replaced, other columns stay as they are; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -34,9 +38,8 @@ WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6, 7)
 #: Rows of the sample that hold a feature, at least, for it to be looked at.
 SEEN = 4
-#: The chain: category -> its condition on the columns of labels. ``toxic`` decides.
-CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1", "toxic_junk": "toxic = 1 AND quality = 0"}
-DECIDES = "toxic"
+#: The chain: category -> its condition on the columns of labels. The last one decides.
+CATEGORIES = {"low_quality": "quality = 0", "toxic_junk": "toxic = 1 AND quality = 0", "toxic": "toxic = 1"}
 
 
 def features(text: str | None) -> np.ndarray:
@@ -120,10 +123,10 @@ def fit_linear(x: Rows, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, l1
     return Linear(chosen[used], w[:k][used], w[k : k + m], float(w[-1]))
 
 
-def _log_odds(model: Linear, x: Rows, extra: np.ndarray) -> np.ndarray:
+def _probabilities(model: Linear, x: Rows, extra: np.ndarray) -> np.ndarray:
     dense = np.zeros(FEATURES)
     dense[model.chosen] = model.weights
-    return x.dot(dense) + extra @ model.chained + model.bias
+    return sigmoid(x.dot(dense) + extra @ model.chained + model.bias)
 
 
 @dataclass(frozen=True)
@@ -141,10 +144,15 @@ class Chain:
 
     def probabilities(self, sums: np.ndarray) -> np.ndarray:
         """Of each category, from the texts' sums of weights (texts, categories)."""
-        odds = np.zeros(sums.shape)
+        p = np.zeros(sums.shape)
         for k, m in enumerate(self.models):
-            odds[:, k] = np.clip(sums[:, k] + odds[:, :k] @ m.chained + m.bias, -30, 30)
-        return sigmoid(odds)
+            p[:, k] = sigmoid(sums[:, k] + p[:, :k] @ m.chained + m.bias)
+        return p
+
+
+def no_chain(categories: tuple[str, ...]) -> Chain:
+    """What calls nothing toxic."""
+    return Chain(categories, tuple(Linear(np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(k), -30.0) for k in range(len(categories))), 0.5)
 
 
 def rows_of(sets: list[bytes]) -> Rows:
@@ -161,20 +169,22 @@ def rows_of(sets: list[bytes]) -> Rows:
 
 
 def fit_chain(x: Rows, labels: np.ndarray, weight: np.ndarray, categories: tuple[str, ...], folds: int = 3) -> Chain:
-    """Train the chain on feature sets and (rows, categories) 0/1 labels."""
+    """Train the chain on feature sets and (rows, categories) 0/1 labels; without both kinds of the last one, ``no_chain``."""
+    if x.n < folds or not 0 < labels[:, -1].sum() < x.n:
+        return no_chain(categories)
     fold, extra, models = np.arange(x.n) % folds, np.zeros((x.n, 0)), []
     threshold = 0.5
-    for k, name in enumerate(categories):
+    for k in range(len(categories)):
         y, out = labels[:, k], np.zeros(x.n)
         for f in range(folds):
             fit, rest = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-            out[rest] = _log_odds(fit_linear(x.take(fit), extra[fit], y[fit], weight[fit]), x.take(rest), extra[rest])
+            out[rest] = _probabilities(fit_linear(x.take(fit), extra[fit], y[fit], weight[fit]), x.take(rest), extra[rest])
         models.append(fit_linear(x, extra, y, weight))
-        if name == DECIDES:
-            p, at = sigmoid(out), np.linspace(0.05, 0.95, 91)
-            f1 = [2 * (weight * y)[p >= t].sum() / max(1e-9, weight[p >= t].sum() + (weight * y).sum()) for t in at]
+        if k == len(categories) - 1:
+            at = np.linspace(0.05, 0.95, 91)
+            f1 = [2 * (weight * y)[out >= t].sum() / max(1e-9, weight[out >= t].sum() + (weight * y).sum()) for t in at]
             threshold = float(np.median(at[np.array(f1) >= max(f1) - 1e-9]))
-        extra = np.column_stack([extra, np.clip(out, -30, 30)])
+        extra = np.column_stack([extra, out])
     return Chain(categories, tuple(models), threshold)
 
 
@@ -183,16 +193,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4000, cate
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
-        return Chain(tuple(categories), tuple(Linear(np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(k), -30.0) for k in range(len(categories))), 0.5)
+        return no_chain(tuple(categories))
     share = F.lit(0.0)
     for v, n in sizes.items():
         share = F.when(F.col("toxic") == v, min(1.0, per_class / n)).otherwise(share)
     drawn = known.withColumn("share", share).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30) < F.col("share"))
     drawn = drawn.select(F.col("doc_id").alias("labelled"), (1 / F.col("share")).alias("weight"), *[F.coalesce(F.expr(c), F.lit(False)).cast("double").alias(f"y_{k}") for k, c in enumerate(categories.values())])
 
-    # the sample has 2 * per_class rows (about), whatever the tables' sizes
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("labelled"))
+    # 2 * per_class documents (about), whatever the tables' sizes and however often an id stands in them
     names = ["labelled", "weight", *[f"y_{k}" for k in range(len(categories))]]
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("labelled"))
+    rows = rows.groupBy(*names).agg(F.min("text").alias("text"))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -202,7 +213,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4000, cate
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in names], pa.array(made, pa.binary())], [*names, "f"])
 
     schema = "labelled long, weight double, " + ", ".join(f"{n} double" for n in names[2:]) + ", f binary"
-    got = sorted((tuple(r[n] for n in names), bytes(r["f"])) for r in rows.select(*names, "text").mapInArrow(run, schema).collect())
+    # texts without features are never toxic, so they have nothing to teach
+    got = sorted((tuple(r[n] for n in names), bytes(r["f"])) for r in rows.select(*names, "text").mapInArrow(run, schema).where("octet_length(f) > 0").collect())
     table = np.array([r for r, _ in got], dtype=np.float64).reshape(len(got), len(names))
     # by a hash of the id: neighbours in id may be copies
     order = np.argsort([zlib.crc32(str(int(i)).encode()) for i in table[:, 0]], kind="stable") if len(got) else []
@@ -215,16 +227,17 @@ def predict_toxicity(docs: DataFrame, chain: Chain) -> DataFrame:
     """All columns of ``docs`` with p_<category> for each category and is_toxic (columns of these names are replaced)."""
     own = [f"p_{c}" for c in chain.categories]
     names = [c for c in docs.columns if c not in (*own, "is_toxic")]
-    at = chain.categories.index(DECIDES)
-
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         table = chain.table()
         for batch in batches:
-            sums = np.array([table[features(t)].sum(axis=0, dtype=np.float64) for (texts,) in arrow_rows(batch, "text") for t in texts]).reshape(batch.num_rows, len(own))
-            p = chain.probabilities(sums)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(p[:, k]) for k in range(len(own))], pa.array(p[:, at] >= chain.threshold)], [*names, *own, "is_toxic"])
+            sums, some = np.zeros((batch.num_rows, len(own))), np.zeros(batch.num_rows, dtype=bool)
+            for k, text in enumerate(t for (texts,) in arrow_rows(batch, "text") for t in texts):
+                f = features(text)
+                sums[k], some[k] = table[f].sum(axis=0, dtype=np.float64), len(f) > 0
+            p = chain.probabilities(sums) * some[:, None]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(p[:, k]) for k in range(len(own))], pa.array(some & (p[:, -1] >= chain.threshold))], [*names, *own, "is_toxic"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
     return docs.select(*names).mapInArrow(run, f"{schema}, " + ", ".join(f"{c} double" for c in own) + ", is_toxic boolean")
