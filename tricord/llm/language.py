@@ -4,7 +4,7 @@ A text is the mean of the embeddings of its character n-grams (1 to 3 characters
 text, every run of other characters than letters being one blank), hashed into a fixed number of
 buckets; a linear softmax over that mean gives the language. Embeddings and softmax are trained by
 stochastic gradient descent in numpy on a bounded sample of labelled texts, ``per_language`` at
-most of each language, drawn by a hash of the id. Tasks turn the sampled texts into bucket counts,
+most (about) of each language, drawn by a hash of the row, repeated rows once. Tasks turn the sampled texts into bucket counts,
 which have ``BUCKETS`` entries at most whatever a text's length; only these come to the driver. A
 fifth of the sample is held back: it sets the temperature of the scores and the rejection
 threshold, below which at most ``keep_loss`` of rightly named texts score, and never over one half.
@@ -128,7 +128,9 @@ def fit_language_model(docs: DataFrame, per_language: int = 600) -> LanguageMode
     """Train on the rows that are not held out, on ``per_language`` texts (about) of every language."""
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     shares = rows.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("_share"))  # a row for each language
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    # of the row, not the id alone: an id that many rows repeat must not come in or stay out with all of them
+    row = F.xxhash64("doc_id", "text", "lang")
+    draw = F.pmod(row, F.lit(1 << 30)) / float(1 << 30)
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -140,7 +142,7 @@ def fit_language_model(docs: DataFrame, per_language: int = 600) -> LanguageMode
                 columns = [[x.tobytes() for x in b], [c[x].astype("<u4").tobytes() for (c, _), x in zip(found, b, strict=True)], [lang for _, lang in found]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.string()), strict=True)], ["b", "c", "lang"])
 
-    drawn = rows.join(F.broadcast(shares), "lang").where(draw < F.col("_share")).select("text", "lang")
+    drawn = rows.select("doc_id", "text", "lang").join(F.broadcast(shares), "lang").where(draw < F.col("_share")).dropDuplicates(["doc_id", "text", "lang"]).select("text", "lang")
     got = drawn.mapInArrow(count, "b binary, c binary, lang string").collect()
     samples = sorted((r["lang"], bytes(r["b"]), bytes(r["c"])) for r in got)
     if not samples:
