@@ -3,13 +3,18 @@
 ``Bins`` keeps a fixed number of open bins. A bitset has the bit f set when an open bin has f free
 tokens, so the fullest bin that still takes a piece is the lowest set bit from the piece's length
 on. When a new bin is needed and all are open, the fullest closes; a bin without free tokens closes
-at once. Pieces are dealt to tasks by a hash of their whole key, so no document or source is hot,
-and each task streams its pieces through bins of its own, a fixed number at a time, of which the
-longest go first.
+at once. A task places its pieces one after another as they come, whatever the batches they come in.
+
+The order in which they come is the shuffle's: pieces are written first and numbered as they lie
+there, so that no document, source or group of copies is hot; a hash of the number deals them to
+rounds of about ``ROUND`` pieces, and within a round Spark sorts the longest first. With half as many
+open bins as a round has pieces, the long ones wait for the short ones that fill them up, and what
+is left when the bound is reached has hardly any room. ``fill`` measures how full sequences are.
 
 Rows: a null or empty text is a document of the end id alone; repeated rows are pieces of their
 own; other columns are ignored; an empty table gives no piece. A document longer than the capacity
-is cut into full pieces, the first one taking the rest.
+is cut into full pieces, the first one taking the rest. Strings of special tokens inside a text are
+ordinary text.
 """
 
 from __future__ import annotations
@@ -22,9 +27,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, chunk_encoder
+from .common import arrow_rows, chunk_encoder, materialize, unused
 
-CAPACITY, OPEN_BINS, WINDOW = 2048, 16384, 8192
+CAPACITY, OPEN_BINS, ROUND = 2048, 1024, 2048
 
 
 class Bins:
@@ -84,32 +89,38 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, window: int = WINDOW) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, per_round: int = ROUND) -> DataFrame:
     """``pieces`` (doc_id, piece, start, length, and more columns) with sequence_id and offset.
 
     A sequence's pieces stand one after another from offset 0. ``assemble`` makes its tokens.
     """
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    # written, so that neither counting nor a lost executor encodes the texts again
+    rows = materialize(pieces.select(*names), "pieces")
+    number, turn = unused(rows, "number"), unused(rows, "turn")
+    rounds = max(1, -(-rows.count() // per_round))
+    rows = rows.withColumn(number, F.monotonically_increasing_id()).withColumn(turn, F.pmod(F.xxhash64(number), F.lit(rounds)))
+    rows = rows.repartition(turn).sortWithinPartitions(turn, F.desc("length"), number).select(*names)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         bins, first = Bins(capacity, open_bins), TaskContext.get().partitionId() << 40
         for batch in batches:
-            for at in range(0, batch.num_rows, window):
-                part = batch.slice(at, window)
-                lengths = part.column(names.index("length")).to_numpy(zero_copy_only=False)
-                placed = np.empty((len(lengths), 2), dtype=np.int64)
-                for i in np.argsort(-lengths, kind="stable").tolist():
-                    placed[i] = bins.place(int(lengths[i]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(first + placed[:, 0]), pa.array(placed[:, 1])], [*names, "sequence_id", "offset"])
-
-    mix = F.xxhash64("doc_id", "piece", "start", "length")
-    rows = pieces.select(*names).repartition("doc_id", "piece", "start", "length").sortWithinPartitions(mix, "doc_id", "piece")
+            lengths = batch.column(names.index("length")).to_pylist()
+            placed = np.array([bins.place(n) for n in lengths], dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first + placed[:, 0]), pa.array(placed[:, 1])], [*names, "sequence_id", "offset"])
+
     kinds = {f.name: f.dataType.simpleString() for f in pieces.schema}
     return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", sequence_id long, offset long")
 
 
+def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(sequences, least, filled): how many there are, the least number that could do, and the share of their room in use."""
+    tokens, n = F.sum("length"), F.count_distinct("sequence_id")
+    return packed.agg(n.alias("sequences"), F.ceil(tokens / capacity).alias("least"), (tokens / capacity / n).alias("filled"))
+
+
 def assemble(packed: DataFrame) -> DataFrame:
     """(sequence_id, ids, lengths) of packed pieces that carry ``ids``: each sequence's tokens as
     little-endian u32 and its pieces' lengths, of which a sequence has ``capacity`` at most."""
