@@ -2,15 +2,16 @@
 
 A page is read once, front to back, into a flat list of blocks: the text between two block-level
 tags, with its words, its link density (share of its words inside links), where it stands (in an
-article, outside of the page's article, or on a page without one), whether a container around it
-is furniture by its element, role, class or id, and whether it is a heading or a list item. A
-block's features are its own and the words and link density of the blocks before and after it. The
-tree (Gini impurity, trained in numpy on the labelled rows below) calls a block content or not;
-content blocks are joined in page order.
-
-Rows: a null, empty or unfinished page gives what it has, "" if nothing; unclosed scripts,
-comments and styles run to the page's end; very long pages are read in one pass; repeated rows get
-the same answer; other columns are ignored; an empty table gives no rows.
+article, outside of the page's article, or on a page without one), whether a container around it is
+furniture by its element or role, or by its class or id, and whether it is a heading or a list item.
+A block's features are its own and the words and link density of the blocks before and after it. The
+tree (Gini impurity, grown in numpy) is trained on the blocks of a few labelled pages, read by the
+same code; it calls a block content or not, and content blocks are joined in page order.
+
+Rows: a null, empty or unfinished page gives what it has, "" if nothing; unclosed scripts, comments
+and styles run to the page's end; very long and very deep pages are read in one pass; repeated rows
+get the same answer; a column named as the result's is replaced, other columns stay; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -45,34 +46,46 @@ FURNITURE_NAMES = frozenset(
 )
 COMMENT_NAMES = frozenset("comment comments reply replies".split())
 
-# The labelled table. Columns: words, link density, words before, link density before,
-# words after, link density after, place (0 outside of the page's article, 1 no article, 2 in it),
-# furniture, heading, list item; then 1 for content.
-LABELLED = np.array(
-    [
-        (1, 1.0, 0, 0, 1, 1.0, 0, 1, 0, 1, 0), (2, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 1, 0), (3, 1.0, 2, 1.0, 40, 0, 1, 1, 0, 1, 0), (9, 0, 1, 1.0, 8, 0, 0, 1, 0, 0, 0),
-        (25, 0, 1, 1.0, 10, 0, 0, 1, 0, 0, 0), (60, 0, 12, 0, 80, 0, 0, 1, 0, 0, 0), (14, 0, 80, 0, 0, 0, 0, 1, 0, 0, 0), (70, 0.1, 60, 0, 40, 0, 2, 1, 0, 0, 0),
-        (12, 0, 60, 0, 40, 0, 2, 1, 0, 0, 0), (6, 0.5, 60, 0, 0, 0, 2, 1, 0, 1, 0), (30, 0, 30, 0, 30, 0, 1, 1, 0, 0, 0), (4, 0, 30, 0, 12, 0, 1, 1, 1, 0, 0),
-        (8, 0, 0, 0, 60, 0, 2, 0, 1, 0, 1), (3, 0, 40, 0, 60, 0, 2, 0, 1, 0, 1), (1, 0, 40, 0, 60, 0, 2, 0, 0, 0, 1), (2, 0, 8, 0, 0, 0, 2, 0, 0, 0, 1),
-        (60, 0, 8, 0, 80, 0, 2, 0, 0, 0, 1), (150, 0.02, 60, 0, 2, 0, 2, 0, 0, 0, 1), (15, 0, 150, 0, 14, 0, 2, 0, 0, 0, 1), (7, 0, 12, 0, 9, 0, 2, 0, 0, 1, 1),
-        (12, 0.2, 40, 0, 12, 0.1, 2, 0, 0, 1, 1), (25, 0.4, 40, 0, 30, 0, 2, 0, 0, 0, 1), (5, 0, 1, 1.0, 0, 0, 2, 0, 0, 0, 1), (90, 0, 0, 0, 14, 0, 2, 0, 0, 0, 1),
-        (2, 1.0, 40, 0, 3, 1.0, 2, 0, 0, 1, 0), (3, 1.0, 3, 1.0, 3, 1.0, 2, 0, 0, 1, 0), (4, 1.0, 3, 1.0, 0, 0, 2, 0, 0, 1, 0), (9, 1.0, 60, 0, 50, 0, 2, 0, 0, 0, 1),
-        (12, 0, 2, 1.0, 9, 0, 0, 0, 0, 0, 0), (40, 0, 2, 1.0, 9, 0, 0, 0, 0, 0, 0), (6, 0, 30, 0, 4, 1.0, 0, 0, 1, 0, 0), (2, 1.0, 6, 0, 3, 1.0, 0, 0, 0, 0, 0),
-        (5, 0, 0, 0, 2, 1.0, 0, 0, 1, 0, 0), (18, 0, 60, 0, 0, 0, 0, 0, 0, 0, 0), (30, 0.2, 5, 1.0, 9, 0, 0, 0, 0, 1, 0), (3, 0, 0, 0, 8, 0, 0, 0, 0, 0, 0),
-        (60, 0, 6, 0, 70, 0, 1, 0, 0, 0, 1), (30, 0.1, 60, 0, 45, 0, 1, 0, 0, 0, 1), (22, 0, 6, 0, 4, 1.0, 1, 0, 0, 0, 1), (100, 0.05, 2, 1.0, 2, 1.0, 1, 0, 0, 0, 1),
-        (14, 0, 40, 0, 50, 0, 1, 0, 0, 0, 1), (6, 0, 40, 0, 50, 0, 1, 0, 0, 0, 1), (5, 0, 2, 1.0, 60, 0, 1, 0, 1, 0, 1), (4, 0, 60, 0, 70, 0, 1, 0, 1, 0, 1),
-        (2, 1.0, 2, 1.0, 2, 1.0, 1, 0, 0, 1, 0), (3, 1.0, 0, 0, 2, 1.0, 1, 0, 0, 0, 0), (5, 0.8, 60, 0, 3, 1.0, 1, 0, 0, 0, 0), (40, 0.9, 5, 1.0, 6, 1.0, 1, 0, 0, 0, 0),
-        (4, 0, 2, 1.0, 3, 1.0, 1, 0, 0, 0, 0), (6, 0, 3, 1.0, 0, 0, 1, 0, 0, 0, 0), (3, 0, 0, 0, 2, 1.0, 1, 0, 0, 0, 0), (8, 0, 2, 1.0, 4, 0, 1, 0, 0, 0, 0),
-        (12, 0.7, 6, 1.0, 60, 0, 1, 0, 0, 0, 0), (7, 0, 3, 0, 0, 0, 1, 0, 0, 0, 0), (9, 0, 30, 0, 30, 0, 1, 0, 0, 1, 1), (12, 0, 9, 0, 25, 0, 1, 0, 0, 1, 1),
-        (19, 0, 2, 0, 1, 1.0, 1, 0, 0, 0, 1), (25, 0, 19, 0, 0, 0, 1, 0, 0, 0, 1), (45, 0, 70, 0, 2, 0, 1, 0, 0, 0, 1), (15, 0, 50, 0, 6, 0, 1, 0, 0, 0, 1),
-        (11, 0, 12, 0, 30, 0, 1, 0, 0, 0, 1), (16, 0.1, 14, 0, 3, 1.0, 1, 0, 0, 0, 1), (35, 0, 3, 0, 7, 0, 1, 0, 0, 0, 1), (65, 0.2, 30, 0, 1, 0, 1, 0, 0, 0, 1),
-        (30, 0, 20, 0, 3, 0, 2, 0, 0, 0, 1), (12, 0, 20, 0, 0, 0, 2, 0, 0, 0, 1), (80, 0, 20, 0, 1, 1.0, 2, 0, 0, 0, 1), (4, 0, 3, 0, 2, 0, 2, 0, 0, 0, 1),
-        (3, 0, 4, 0, 6, 0, 2, 0, 0, 1, 1), (1, 0, 0, 0, 0, 0, 2, 0, 0, 0, 1), (10, 0.3, 5, 0, 5, 0, 2, 0, 0, 0, 1), (20, 0.1, 9, 0, 9, 0, 2, 0, 0, 0, 1),
-        (40, 0, 10, 0, 20, 0, 1, 1, 0, 0, 0), (100, 0, 8, 0, 2, 1.0, 1, 1, 0, 0, 0), (18, 0, 18, 0, 18, 0, 1, 1, 0, 0, 0), (90, 0, 30, 0, 30, 0, 2, 1, 0, 0, 0),
-        (15, 0, 15, 0, 0, 0, 2, 1, 0, 0, 0), (2, 0, 5, 0, 30, 0, 2, 1, 1, 0, 0), (1, 0, 12, 0, 3, 0, 1, 1, 0, 0, 0), (50, 0.3, 0, 0, 60, 0, 0, 1, 0, 0, 0),
-        (80, 0, 30, 0, 20, 0, 0, 0, 0, 0, 0), (25, 0, 25, 0, 25, 0, 0, 0, 0, 1, 0), (10, 0, 70, 0, 3, 0, 0, 0, 0, 0, 0), (1, 0, 5, 0, 70, 0, 0, 0, 0, 0, 0),
-    ],
-    dtype=np.float64,
+#: The labelled pages. ``{n}`` stands for n words, ``{+n}`` for n words of main text: what words they are plays no part.
+LABELLED_PAGES = (
+    # an article between a menu, an advert, a side column and a footer
+    "<header><a>{2}</a><p>{6}</p></header><nav><ul><li><a>{1}</a><li><a>{2}</a><li><a>{1}</a></ul></nav><div class=ad>{9}</div>"
+    "<article><h1>{+8}</h1><p>{+2}</p><p>{+60}</p><p>{+7}</p><p>{+35} <a>{+3}</a> {+20}</p><ul><li>{+6}</li><li>{+11}</li></ul><p>{+90}</p><p>{+1}</p></article>"
+    "<aside><h2>{2}</h2><p>{40}</p><p><a>{4}</a></p></aside><footer>{9}</footer>",
+    # the same with open elements, and an end that is missing
+    "<nav><ul><li><a>{1}</a></li><li><a>{1}</a></li></ul></nav><div class=ad>{14}</div><article><h1>{+5}</h1><p><b>{+12}<br><p>{+70}</p><p>{+3}</p><p>{+150}</p></article><footer>{8}",
+    # a journal without an article element
+    "<div class=site-header><h1>{3}</h1><p>{7}</p></div><div class=menu><a>{1}</a><a>{1}</a><a>{2}</a></div>"
+    "<div id=content><h2>{+6}</h2><p>{+80}<p>{+25}<p>{+8}<p>{+110}<ul><li>{+9}<li>{+12}</ul><p>{+30} <a>{+8}</a></div>"
+    "<div class=sidebar><h3>{2}</h3><p>{30}</p><ul><li><a>{4}</a><li><a>{3}</a></ul></div><div class=comments><p>{35}</p><p>{12}</p><p>{90}</p></div>",
+    # tables that lay the page out, nothing named
+    "<table><tr><td><a>{1}</a><td><a>{2}</a><td>{3}<td><a>{1}</a><tr><td><a>{2}</a><td><p>{4}</p><td><a>{2}</a><tr><td>{8}<td><a>{3}</a>"
+    "<tr><td><h2>{+5}</h2><p>{+70}</p><p>{+5}</p><p>{+40}</p><p>{+14}</p><tr><td><a>{2}</a><td><a>{1}</a><td>{9}</table>",
+    # talk in short lines, nothing named: short blocks between short ones without links
+    "<h1>{+4}</h1><p>{+3}</p><p>{+2}</p><p>{+5}</p><p>{+1}</p><p>{+4}</p><p>{+8}</p><p>{+2}</p>",
+    # a page of links and what they lead to: text between links
+    "<h1>{3}</h1><div><a>{8}</a></div><div>{14}</div><div><a>{7}</a></div><div>{16}</div><div><a>{9}</a></div><div>{11}</div><div><a>{2}</a></div><div>{5}</div><div><a>{2}</a></div>",
+    "<ul><li><a>{1}</a><li><a>{2}</a><li>{2} <a>{3}</a><li><a>{1}</a></ul><p><a>{12}</a> {4}</p><p><a>{6}</a></p><p>{3}</p><p><a>{2}</a></p>",
+    # links inside of an article: one between paragraphs belongs to it, a list of them doesn't
+    "<article><h1>{+7}</h1><p>{+60}</p><p><a>{+9}</a></p><p>{+50}</p><p>{+10} <a>{+4}</a></p><ul><li><a>{2}</a></li><li><a>{3}</a></li><li><a>{5}</a></li></ul></article>",
+    "<article><p>{+80}</p><ul><li>{+4} <a>{+2}</a> {+5}</li><li>{+3} <a>{+3}</a> {+8}</li></ul><p>{+20}</p><p><a>{+4}</a> {+6}</p><p>{+30}</p><ul><li><a>{6}</a></li><li><a>{4}</a></li></ul><p>{+25}</p></article>",
+    # furniture inside of an article, and the article's own header
+    "<article><header><h1>{+5}</h1><p>{+4}</p></header><div class=notice>{25}</div><p>{+50}</p><div class=advert>{20}</div><p>{+45}</p><div class=share><a>{1}</a> <a>{1}</a></div>"
+    "<form><p>{12}</p></form><p>{+15}</p><div class=newsletter><h3>{3}</h3><p>{18}</p></div></article>",
+    # readers' comments, some of them articles themselves
+    "<article><h1>{+9}</h1><p>{+40}</p><p>{+100}</p></article><section id=comments><h2>{2}</h2><article class=comment><p>{45}</p></article><article class=comment><p>{5}</p></article></section>",
+    # text outside of the page's article
+    "<div><p>{12}</p><p>{40}</p></div><main><h1>{+3}</h1><p>{+30}</p><p>{+12}</p><p>{+80}</p></main><div><h2>{6}</h2><p>{25}</p><p>{3}</p><p><a>{2}</a></p></div><p>{60}</p>",
+    # notices and forms around unnamed text
+    "<div class=cookie-notice><p>{30}</p><p><a>{2}</a></p></div><div><p>{+45}</p><p>{+18}</p><h3>{+4}</h3><p>{+65}</p></div><form><p>{10}</p><p>{2}</p></form><div role=contentinfo><p>{22}</p></div>",
+    # articles right between links: whatever its neighbours, their unlinked text is main text
+    "<nav><a>{1}</a></nav><article><h1>{+6}</h1><p>{+3}</p><p>{+30}</p><p>{+2}</p></article><footer><a>{2}</a></footer>",
+    "<nav><ul><li><a>{2}</a></ul></nav><article><p>{+4}</p></article><div><a>{1}</a></div><p>{7}</p>", "<div><a>{1}</a></div><main><p>{+2}</p><p>{+60}</p><p>{+4}</p></main><p><a>{3}</a></p>",
+    "<article><h2>{+3}</h2><ul><li><a>{3}</a><li><a>{1}</a></ul><h2>{+2}</h2><p>{+3}</p><ul><li><a>{2}</a><li><a>{4}</a></ul><p>{+9}</p><ul><li><a>{1}</a></ul><p>{+1}</p></article>",
+    # the same without an article: a heading and paragraphs after a menu, before a linked line
+    "<div class=menu><a>{1}</a></div><h1>{+4}</h1><p>{+50}</p><p>{+12}</p><p>{+28}</p><p><a>{2}</a></p>", "<p><a>{2}</a></p><p>{+33}</p><p>{+70}</p><h2>{+3}</h2><p>{+26}</p><p><a>{4}</a></p><p>{6}</p>",
+    # hardly more than the text
+    "<p>{+100}</p>", "<h1>{+6}</h1><p>{+19}</p><p>{+25}</p>", "{+12}", "<article><p>{+1}</p></article>", "<article><h1>{+2}</h1><p>{+4}</p><p>{+3}</p></article>",
 )
 
 
@@ -82,7 +95,8 @@ class Block:
     words: int
     density: float
     place: int
-    furniture: bool
+    element: bool
+    named: bool
     heading: bool
     item: bool
 
@@ -106,17 +120,19 @@ def _names(attributes: str) -> tuple[set[str], str, bool]:
 def blocks(page: str) -> list[Block]:
     """The page's blocks that have text, in order."""
     found: list[tuple] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, furniture, inside an article
-    text, linked, in_link, article, seen_article = [], 0, 0, False, False
+    # element; furniture by element or role, and by name, of it or a container; inside an article
+    stack: list[tuple[str, bool, bool, bool]] = []
+    opened: dict[str, int] = {}
+    text, linked, in_link, seen_article = [], 0, 0, False
 
     def flush() -> None:
         nonlocal text, linked
         if text:
             joined = html.unescape("".join(text)).split()
             if joined:
-                names = [x[0] for x in stack]
-                near = names[-2:]
-                found.append((" ".join(joined), len(joined), min(1.0, linked / len(joined)), bool(stack and stack[-1][2]), bool(stack and stack[-1][1]), any(re.fullmatch("h[1-6]", x) for x in near), "li" in near))
+                near = [x[0] for x in stack[-2:]]
+                _, element, named, inside = stack[-1] if stack else ("", False, False, False)
+                found.append((" ".join(joined), len(joined), min(1.0, linked / len(joined)), inside, element, named, any(re.fullmatch("h[1-6]", x) for x in near), "li" in near))
             text, linked = [], 0
 
     def say(part: str) -> None:
@@ -125,6 +141,11 @@ def blocks(page: str) -> list[Block]:
         if in_link:
             linked += len(part.split())
 
+    def leave() -> str:
+        name = stack.pop()[0]
+        opened[name] -= 1
+        return name
+
     at = 0
     while m := MARK.search(page, at):
         if m.start() > at:
@@ -148,33 +169,45 @@ def blocks(page: str) -> list[Block]:
             if name not in CONTAINERS:
                 continue
             if close:
-                if any(x[0] == name for x in stack):
-                    while stack.pop()[0] != name:
-                        pass
+                while opened.get(name) and leave() != name:
+                    pass
                 continue
             if name in ENDS and stack and stack[-1][0] in ENDS[name]:
-                stack.pop()
-            furniture, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                leave()
+            _, element, named, inside = stack[-1] if stack else ("", False, False, False)
             parts, role, hidden = _names(attributes) if attributes else (set(), "", False)
             if name in ("article", "main") or role in ("main", "article"):
-                furniture |= hidden or bool(parts & COMMENT_NAMES)
-                inside = seen_article = inside or not furniture or seen_article
+                element, named = element or hidden, named or bool(parts & COMMENT_NAMES)
+                inside = seen_article = inside or seen_article or not (element or named)
             elif name not in ("html", "body"):
-                furniture |= hidden or name in FURNITURE or role in FURNITURE_ROLES or bool(parts & FURNITURE_NAMES) or (name == "header" or "header" in parts) and not inside
-            stack.append((name, furniture, inside))
+                element |= hidden or name in FURNITURE or role in FURNITURE_ROLES or (name == "header" and not inside)
+                named |= bool(parts & FURNITURE_NAMES) or ("header" in parts and not inside)
+            stack.append((name, element, named, inside))
+            opened[name] = opened.get(name, 0) + 1
     say(page[at:])
     flush()
-    article = any(b[3] and not b[4] for b in found)
-    return [Block(b[0], b[1], b[2], (2 if b[3] else 0) if article else 1, b[4], b[5], b[6]) for b in found]
+    article = any(inside and not (element or named) for _, _, _, inside, element, named, _, _ in found)
+    return [Block(b[0], b[1], b[2], (2 if b[3] else 0) if article else 1, *b[4:]) for b in found]
+
+
+FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "place", "element", "named", "heading", "item")
 
 
 def block_features(found: list[Block]) -> np.ndarray:
+    """(blocks, FEATURES); place: 0 outside of the page's article, 1 no article, 2 in it."""
     own = np.array([(b.words, b.density) for b in found], dtype=np.float64).reshape(-1, 2)
     before, after = np.vstack([np.zeros((1, 2)), own[:-1]]), np.vstack([own[1:], np.zeros((1, 2))])
-    rest = np.array([(b.place, b.furniture, b.heading, b.item) for b in found], dtype=np.float64).reshape(-1, 4)
+    rest = np.array([(b.place, b.element, b.named, b.heading, b.item) for b in found], dtype=np.float64).reshape(-1, 5)
     return np.hstack([own, before, after, rest])
 
 
+def labelled_table(pages: tuple[str, ...] = LABELLED_PAGES) -> np.ndarray:
+    """Features of the labelled pages' blocks and, last, 1 for main text."""
+    word = lambda m: " ".join((["+"] if m[1] else ["w"]) + ["w"] * (int(m[2]) - 1))
+    every = [blocks(re.sub(r"\{(\+?)(\d+)\}", word, p)) for p in pages]
+    return np.vstack([np.column_stack([block_features(found), ["+" in b.text for b in found]]) for found in every])
+
+
 @dataclass(frozen=True)
 class Node:
     """A leaf has only ``share``, the content share of its training rows."""
@@ -187,7 +220,7 @@ class Node:
 
 
 def grow(table: np.ndarray, depth: int = 7, least: int = 1) -> Node:
-    """A decision tree on rows of features and a last column of 0/1."""
+    """A decision tree on rows of features and a last column of 0/1; of equal splits the first feature's."""
     x, y = table[:, :-1], table[:, -1]
     share = float(y.mean())
     best = (share * (1 - share) * len(y) - 1e-9, -1, 0.0)
@@ -224,10 +257,10 @@ def main_text(page: str | None, tree: Node) -> str:
     return "\n".join(b.text for b, keep in zip(found, classify(tree, block_features(found)), strict=True) if keep)
 
 
-def extract_text(pages: DataFrame, labelled: np.ndarray = LABELLED, html_col: str = "html") -> DataFrame:
+def extract_text(pages: DataFrame, labelled: tuple[str, ...] = LABELLED_PAGES, html_col: str = "html") -> DataFrame:
     """All columns of ``pages`` but the page itself, with its main ``text``."""
     names = [c for c in pages.columns if c not in (html_col, "text")]
-    tree = grow(labelled)
+    tree = grow(labelled_table(labelled))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
