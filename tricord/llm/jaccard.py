@@ -17,11 +17,17 @@ documents hold stands last and isn't compared. Steps:
 5. group pairs are expanded to their classes, and each pair of classes is verified on whole sets.
 
 The table of frequent shingles that tasks hold is bounded by ``FREQUENT`` rows: shingles past it
-keep their hash's place. The order decides how much is compared, never what is found.
+keep their hash's place. The order decides how much is compared, never what is found. Shingles are
+counted in hash ranges of about ``PER_RANGE`` keys each, as many as the texts' length asks for.
+
+A shingle of ``HOT`` documents or more may have a list that no task should hold, so its list is
+dealt to parts: predecessors are those within a part, the first and the middle one of the whole list
+come from an aggregation that is partial before its shuffle, and where pairs of a list are made (4.),
+each block of the one side meets each block of the other in a task of its own.
 
 Rows: texts without words (null, empty, blank) have an empty set and are linked with nothing; fewer
 words than a shingle make one of the whole text; repeated rows and equal ids are linked by their
-texts alone; a null id is linked with nothing and gets a null component; other columns are
+texts alone, a class being verified on one of its texts; very long texts are read whole; a null id is linked with nothing and gets a null component; other columns are
 ignored; an empty table gives no rows.
 """
 
@@ -34,14 +40,14 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, components, materialize
+from .common import arrow_rows, components, materialize, small, unused
 
 WORDS, NUM, DEN = 5, 80, 100
-FREQUENT, OFTEN = 1 << 20, 16
+FREQUENT, OFTEN, HOT = 1 << 20, 16, 4096
+#: Keys of a range that are counted at once; bytes of text for a shingle, at least about; groups of a part of a hot list; groups of a block.
+PER_RANGE, TEXT_BYTES, PART, BLOCK_GROUPS = 4 << 20, 4, 1 << 16, 2048
 PARTNERS = ("first", "last", "middle")
 BLOCK = 1 << 18
-#: Rows of ids that may be broadcast to pick documents; beyond them the join shuffles.
-BROADCAST_ROWS = 1_000_000
 PRIME = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
 
@@ -106,8 +112,9 @@ def frequent_shingles(docs: DataFrame, words: int = WORDS, limit: int = FREQUENT
     as packed blocks of a hash range each. Where over ``limit`` of them stand in ``often`` documents
     or more, that number is doubled until they don't.
     """
-    spark = docs.sparkSession
-    bins = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # a range holds PER_RANGE keys (about) however many texts there are, in tasks of one range or more
+    text_bytes = docs.agg(F.sum(F.octet_length(F.col("text")).cast("long"))).first()[0] or 0
+    bins = max(32, -(-text_bytes // (TEXT_BYTES * PER_RANGE)))
 
     def pack(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -143,8 +150,9 @@ def frequent_shingles(docs: DataFrame, words: int = WORDS, limit: int = FREQUENT
     return rows["key"].to_numpy(dtype=np.uint64), rows["n"].to_numpy(dtype=np.uint64)
 
 
-def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(doc_id, n, k, p, prefix): set size, hash of the set, hash of prefix and size, first shingles in the common order."""
+def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: int = WORDS, num: int = NUM, den: int = DEN, hot: int = HOT) -> DataFrame:
+    """(doc_id, t, n, k, p, cold, prefix): hash of the text, set size, hash of the set, hash of prefix and size, and the
+    first shingles in the common order, of which ``cold`` many aren't hot; hot ones stand last."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # FREQUENT rows at most
 
     def run(batches: Iterator) -> Iterator:
@@ -152,21 +160,29 @@ def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: in
 
         keys, counts = shared.value
         for batch in batches:
-            for ids, texts in arrow_rows(batch, "doc_id", "text"):
+            for ids, hashes, texts in arrow_rows(batch, "doc_id", "t", "text"):
                 rows = []
-                for i, text in zip(ids, texts, strict=True):
+                for i, t, text in zip(ids, hashes, texts, strict=True):
                     h = shingle_set(text, words)
                     n = len(h)
                     size = n - (num * n + den - 1) // den + 1 if n else 0
+                    cold = size
                     if n and len(keys):
                         at = np.minimum(np.searchsorted(keys, own := _key40(h)), len(keys) - 1)
+                        often = np.where(keys[at] == own, counts[at], 0)
                         # h is sorted, and stays so within a frequency
-                        h = h[np.argsort(np.where(keys[at] == own, counts[at], 0), kind="stable")]
+                        order = np.argsort(often, kind="stable")
+                        h, cold = h[order], int(np.searchsorted(often[order[:size]], hot))
                     prefix = h[:size].view(np.int64)
-                    rows.append((i, n, set_key(h), int((mix(h[:size]) * np.arange(1, 2 * size, 2, dtype=np.uint64)).sum(dtype=np.uint64).view(np.int64)), prefix))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["doc_id", "n", "k", "p", "prefix"])
+                    rows.append((i, t, n, set_key(h), int((mix(h[:size]) * np.arange(1, 2 * size, 2, dtype=np.uint64)).sum(dtype=np.uint64).view(np.int64)), cold, prefix))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 5, pa.int32(), pa.list_(pa.int64())), strict=True)], ["doc_id", "t", "n", "k", "p", "cold", "prefix"])
+
+    return with_hash(docs).mapInArrow(run, "doc_id long, t long, n long, k long, p long, cold int, prefix array<long>")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, k long, p long, prefix array<long>")
+
+def with_hash(docs: DataFrame) -> DataFrame:
+    """(doc_id, t, text): ``t`` tells the texts of a repeated id apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
 
 
 def set_key(h: np.ndarray) -> int:
@@ -185,51 +201,54 @@ def _may(na: str, ia: str, nb: str, ib: str, num: int, den: int):
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """The (a, b) of ``pairs`` (class keys) whose sets have the similarity; whole sets are compared."""
     pairs = materialize(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(classes.select("k", "rep"), "k")
-    ids = materialize(ids.select("k", F.col("rep").alias("id")), "pair-ids")
-    if ids.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
+    chosen = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(classes.select("k", "rep"), "k")
+    chosen = materialize(chosen.select("k", F.col("rep.doc_id").alias("doc_id"), F.col("rep.t").alias("t")), "chosen")
 
     def compare(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             keep = []
-            for a, b, left, right in arrow_rows(batch, "a", "b", "ta", "tb"):
+            for left, right in arrow_rows(batch, "ta", "tb"):
                 own = {t: shingle_set(t, words) for t in {*left, *right}}
-                keys = {t: set_key(h) for t, h in own.items()}
-                for i, j, s, t in zip(a, b, left, right, strict=True):
+                for s, t in zip(left, right, strict=True):
                     both = len(np.intersect1d(own[s], own[t], assume_unique=True))
-                    # a key tells the texts of a repeated id apart
-                    keep.append(keys[s] == i and keys[t] == j and den * both >= num * (len(own[s]) + len(own[t]) - both))
+                    keep.append(den * both >= num * (len(own[s]) + len(own[t]) - both))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    # texts travel rather than sets, which are larger and don't compress
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id").select("k", "text")
+    # texts travel rather than sets, which are larger and don't compress; one for each class, however often its row is repeated
+    texts = with_hash(docs).join(small(chosen, 48), ["doc_id", "t"]).groupBy("k").agg(F.first("text").alias("text"))
     both = pairs.join(texts.select(F.col("k").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("k").alias("b"), F.col("text").alias("tb")), "b")
     return materialize(both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long").distinct(), "links")
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, hot: int = HOT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document: links where ``den * |x & y| >= num * |x | y|``."""
-    rows = materialize(prefixes(docs, frequent_shingles(docs, words), words, num, den), "prefixes")
+    rows = materialize(prefixes(docs, frequent_shingles(docs, words), words, num, den, hot), "prefixes")
     known = rows.where("n > 0 AND doc_id IS NOT NULL")
-    classes = materialize(known.groupBy("k").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("p").alias("p")), "classes")
-    groups = materialize(classes.groupBy("n", "p").agg(F.min(F.struct("k", "rep")).alias("s")).select(F.col("s.k").alias("g"), F.col("s.rep").alias("doc_id"), "n", "p"), "groups")
+    rep = F.min(F.struct("doc_id", "t")).alias("rep")
+    classes = materialize(known.groupBy("k").agg(rep, F.max("n").alias("n"), F.max("p").alias("p")), "classes")
+    groups = materialize(classes.groupBy("n", "p").agg(F.min(F.struct("k", "rep")).alias("s")).select(F.col("s.k").alias("g"), "s.rep.doc_id", "s.rep.t", "n", "p"), "groups")
     members = materialize(classes.select("k", "n", "p").join(groups.select("n", "p", "g"), ["n", "p"]).select("g", "k"), "members")
     # a group's prefix is that of one row
-    heads = known.select(F.col("k").alias("g"), "doc_id", "n", "prefix").join(groups.select("g", "doc_id"), ["g", "doc_id"]).dropDuplicates(["g", "doc_id"])
-
-    token = Window.partitionBy("token")
-    postings = heads.select("g", "n", F.posexplode("prefix").alias("pos", "token"))
-    postings = postings.withColumn("in_list", F.count("*").over(token)).where("in_list > 1").drop("in_list")
+    heads = known.select(F.col("k").alias("g"), "doc_id", "t", "n", "cold", "prefix").join(groups.select("g", "doc_id", "t"), ["g", "doc_id", "t"]).dropDuplicates(["g"])
+
+    # a hot list has parts, any other one is whole
+    parts = F.lit(max(1, -(-groups.count() // PART)))
+    postings = heads.select("g", "n", "cold", F.posexplode("prefix").alias("pos", "token"))
+    postings = postings.select("g", "n", "pos", "token", F.when(F.col("pos") >= F.col("cold"), F.pmod(F.xxhash64("g"), parts)).alias("part"))
+    listed = Window.partitionBy("token", "part")
+    postings = postings.withColumn("in_list", F.count("*").over(listed)).where("in_list > 1 OR part IS NOT NULL").drop("in_list")
     postings = materialize(postings, "postings")
 
-    ordered = token.orderBy("n", "g")
     at = F.struct("pos", "n", "g")
-    seen = F.struct(*[f.alias(x) for x, f in (("first", F.first(at).over(ordered)), ("last", F.lag(at).over(ordered)), ("middle", F.min(at).over(token)))])
-    near = postings.select("g", "n", "pos", seen.alias("s")).select("g", "n", "pos", *[F.col(f"s.{x}.{c}").alias(f"{c}_{x}") for x in PARTNERS for c in ("g", "n", "pos")])
+    ordered = listed.orderBy("n", "g")
+    near = postings.select("token", "g", "n", "pos", F.first(at).over(ordered).alias("first_"), F.lag(at).over(ordered).alias("last"), F.min(at).over(listed).alias("middle_"))
+    whole = postings.where("part IS NOT NULL").groupBy("token").agg(F.min(F.struct("n", "g", "pos")).alias("s"), F.min(at).alias("m"))
+    whole = whole.select("token", F.struct("s.pos", "s.n", "s.g").alias("f"), "m")  # hot tokens: FREQUENT rows at most
+    near = near.join(F.broadcast(whole), "token", "left").withColumns({"first": F.coalesce("f", "first_"), "middle": F.coalesce("m", "middle_")})
+    near = near.select("g", "n", "pos", *[F.col(f"{x}.{c}").alias(f"{c}_{x}") for x in PARTNERS for c in ("g", "n", "pos")])
     star = [near.where(_may("n", "pos", f"n_{x}", f"pos_{x}", num, den)).select(F.least("g", f"g_{x}").alias("a"), F.greatest("g", f"g_{x}").alias("b")) for x in PARTNERS]
     own = members.select(F.least("g", "k").alias("a"), F.greatest("g", "k").alias("b"))
     links = verify(star[0].union(star[1]).union(star[2]).union(own).where("a <> b").distinct(), classes, docs, words, num, den)
@@ -241,17 +260,26 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
     lists = postings.join(of_group, "g")
     sizes = lists.groupBy("token", "c").agg(F.count("*").alias("size"))
     largest = sizes.groupBy("token").agg(F.max_by("c", F.struct("size", "c")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1").select("token", "most")
-    lists = materialize(lists.join(largest, "token"), "lists")
-    left = lists.where(F.col("c") != F.col("most")).select("token", F.col("g").alias("ga"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("c").alias("ca"))
-    right = lists.select("token", F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("c").alias("cb"))
-    pairs = left.join(right, "token").where((F.col("ca") != F.col("cb")) & _may("na", "pa", "nb", "pb", num, den)).select(F.least("ga", "gb").alias("ga"), F.greatest("ga", "gb").alias("gb")).distinct()
+    lists = lists.join(largest, "token").select("token", "g", "n", "pos", "c", (F.col("c") != F.col("most")).alias("left"))
+    lists = materialize(lists, "lists")
+    # blocks of the smaller side and of the whole list, for lists that need more than one of either
+    long = lists.groupBy("token").agg(F.count("*").alias("rights"), F.sum(F.col("left").cast("int")).alias("lefts")).where(F.col("rights") > BLOCK_GROUPS)
+    long = small(materialize(long.select("token", *[F.ceil(F.col(c) / BLOCK_GROUPS).cast("int").alias(c) for c in ("lefts", "rights")]), "long-lists"), 48)
+
+    def side(rows: DataFrame, x: str, own: str, other: str) -> DataFrame:
+        count = [F.coalesce(F.col(c), F.lit(1)) for c in (own, other)]
+        dealt = rows.join(long, "token", "left").select("token", "g", "n", "pos", "c", F.pmod(F.xxhash64("g"), count[0]).cast("int").alias(own), F.explode(F.sequence(F.lit(0), count[1] - 1)).alias(other))
+        return dealt.select("token", "lefts", "rights", *[F.col(c).alias(f"{c[0]}{x}") for c in ("g", "n", "pos", "c")])
+
+    left, right = side(lists.where("left"), "a", "lefts", "rights"), side(lists, "b", "rights", "lefts")
+    pairs = left.join(right, ["token", "lefts", "rights"]).where((F.col("ca") != F.col("cb")) & _may("na", "pa", "nb", "pb", num, den)).select(F.least("ga", "gb").alias("ga"), F.greatest("ga", "gb").alias("gb")).distinct()
     mixed = of_group.where("c.mixed").select(F.col("g").alias("ga"), F.col("g").alias("gb"))
-    side = lambda x: named.select(F.col("g").alias(f"g{x}"), F.col("k").alias(x), F.col("c").alias(f"c{x}"))
-    pairs = pairs.union(mixed).join(side("a"), "ga").join(side("b"), "gb").where("ca <> cb")
+    of = lambda x: named.select(F.col("g").alias(f"g{x}"), F.col("k").alias(x), F.col("c").alias(f"c{x}"))
+    pairs = pairs.union(mixed).join(of("a"), "ga").join(of("b"), "gb").where("ca <> cb")
     more = verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), classes, docs, words, num, den)
     every = components(links.union(more))
 
-    joined = classes.select("k", "rep").join(every, F.col("k") == F.col("id"), "left").select("k", "rep", F.coalesce("component", "k").alias("c"))
+    joined = classes.select("k", F.col("rep.doc_id").alias("rep")).join(every, F.col("k") == F.col("id"), "left").select("k", "rep", F.coalesce("component", "k").alias("c"))
     smallest = joined.groupBy("c").agg(F.min("rep").alias("component_id"))
     of_class = materialize(joined.join(smallest, "c").select("k", "component_id"), "class-components")
     out = rows.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("k")).alias("k")).join(of_class, "k", "left")
@@ -260,7 +288,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The documents that speak for their component, all columns; of rows that repeat an id, one stays. Rows without an id stay."""
-    kept = jaccard_components(docs.select("doc_id", "text"), **options).where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    name = unused(docs, "kept")
+    kept = jaccard_components(docs.select("doc_id", "text"), **options).where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
     kept = materialize(kept, "kept")
-    with_id = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("kept"), "left_semi").dropDuplicates(["doc_id"])
+    with_id = docs.where("doc_id IS NOT NULL").join(kept, docs["doc_id"] == kept[name], "left_semi").dropDuplicates(["doc_id"])
     return with_id.unionByName(docs.where("doc_id IS NULL"))
