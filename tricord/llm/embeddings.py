@@ -4,19 +4,21 @@ Unit vectors are split into halves, each with a codebook of its own (k-means on
 so K centres a half span a grid of K x K cells. A vector lives in the cell of its nearest centres;
 a search walks the grid in order of the summed distances (multi-sequence traversal over a heap)
 and visits the first cells until the target recall, for which the number is measured on sampled
-vectors and neighbours at all angles up to the threshold's. What it meets is verified by cosine in
-double precision, so nothing below the threshold links.
+vectors and neighbours at all angles up to the threshold's. K is the one of the tried sizes at which
+such a search costs least: visits times what a visit and the vectors in a cell cost. Every vector
+is indexed and searches. What it meets is verified by cosine in double precision, so nothing below
+the threshold links.
 
-Copies don't multiply: within blocks of a cell, vectors in a small angle of a leader are one ball,
-and leaders search for their balls. By the triangle inequality on angles, two balls that are near
-enough link in all their pairs and two that are far enough in none; only what lies between is
-compared member by member, and gives counts, not pairs. Cells are dealt in blocks of residents and
-of visitors, so that none has to fit a task.
+Equal vectors of a label are one point with a weight. The visitors and residents of a cell meet in
+blocks of each side, so that none has to fit a task. A meeting gives no pairs: it adds up the
+weights of what each point links with, and returns edges that connect what is linked there, fewer
+than it has points. A pair that meets twice, each point visiting the other's cell, counts at the
+smaller point's visit.
 
 Rows: vectors that are null, empty, zero or hold null or non-finite components, and vectors without
 a label, link with nothing; so do vectors of different lengths; rows that repeat an id, its vector
 and label count once and are returned each; a null id takes part but speaks for no component;
-other columns are ignored; an empty table gives no rows.
+other columns are ignored; an empty table gives no rows. Points go by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -28,13 +30,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import components, materialize, small
 
-BLOCK = 4096
-#: The angle within which vectors are one ball: under half of any threshold's in use.
-BALL_COSINE = 0.9975
-SAMPLE = 20_000
-SLACK = 1e-7
+#: Points of a side that meet at once, on average.
+BLOCK = 2048
+#: Vectors that codebooks are made from, at most; codebook sizes that are tried.
+SAMPLE, SIZES = 20_000, (1, 2, 4, 8, 16, 32, 64, 128, 256, 512)
+#: What moving a vector to a cell costs, in comparisons of two vectors.
+MOVE = 200
 
 
 def unit(vector: list | None) -> bytes | None:
@@ -52,14 +55,13 @@ def unit(vector: list | None) -> bytes | None:
     return (x / size).tobytes()
 
 
-def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 1) -> np.ndarray:
+def k_means(x: np.ndarray, k: int, rounds: int = 6, seed: int = 1) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centres = x[rng.permutation(len(x))[:k]]
     for _ in range(rounds):
-        near = nearest(x, centres).argmin(axis=1)
+        near = np.concatenate([nearest(x[i : i + 2048], centres).argmin(axis=1) for i in range(0, len(x), 2048)])
         n = np.bincount(near, minlength=len(centres))
-        sums = np.zeros_like(centres)
-        np.add.at(sums, near, x)
+        sums = np.stack([np.bincount(near, weights=c, minlength=len(centres)) for c in x.T], axis=1) if x.shape[1] else np.zeros_like(centres)
         centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
     return centres
 
@@ -86,9 +88,8 @@ class Grid:
     """Codebooks of one vector length, and how many cells a search visits."""
 
     def __init__(self, x: np.ndarray, k: int, threshold: float, recall: float):
-        self.half = x.shape[1] // 2
+        self.length, self.half = x.shape[1], x.shape[1] // 2
         self.books = [k_means(part, min(k, len(x))) if part.shape[1] else np.zeros((1, 0)) for part in (x[:, : self.half], x[:, self.half :])]
-        self.visits = 1
         rng = np.random.default_rng(2)
         some = x[rng.permutation(len(x))[:400]]
         # a neighbour of each, at an angle drawn up to the threshold's
@@ -96,38 +97,45 @@ class Grid:
         turn -= (turn * some).sum(axis=1, keepdims=True) * some
         turn /= np.maximum(np.linalg.norm(turn, axis=1, keepdims=True), 1e-12)
         cosine = rng.uniform(threshold, 1, size=(len(some), 1))
-        there = self.cells(cosine * some + np.sqrt(1 - cosine * cosine) * turn)
-        ranks = [next(r for r, c in enumerate(multi_sequence(*d)) if c == tuple(t)) for d, t in zip(zip(*self.distances(some), strict=True), there.tolist(), strict=True)]
-        if ranks:
-            self.visits = int(np.sort(ranks)[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)]) + 1
+        there = np.stack([d.argmin(axis=1) for d in self.distances(cosine * some + np.sqrt(1 - cosine * cosine) * turn)], axis=1)
+        # a cell's place in a walk: how many cells are nearer
+        ranks = [int(((a[:, None] + b[None, :]) < a[i] + b[j]).sum()) for a, b, (i, j) in zip(*self.distances(some), there.tolist(), strict=True)]
+        self.visits = int(np.sort(ranks)[int(np.ceil(recall * len(ranks))) - 1]) + 1
 
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return nearest(x[:, : self.half], self.books[0]), nearest(x[:, self.half :], self.books[1])
 
-    def cells(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([d.argmin(axis=1) for d in self.distances(x)], axis=1)
+    def walk(self, x: np.ndarray) -> list[int]:
+        """The cells that the search of a vector visits, its own first."""
+        cells = multi_sequence(*(d[0] for d in self.distances(x[None, :])))
+        return [self.length << 40 | i << 20 | j for _, (i, j) in zip(range(self.visits), cells, strict=False)]
 
-    def walk(self, x: np.ndarray) -> list[list[tuple[int, int]]]:
-        """The cells that a search for each row visits."""
-        out = []
-        for a, b in zip(*self.distances(x), strict=True):
-            cells = multi_sequence(a, b)
-            out.append([c for _, c in zip(range(self.visits), cells, strict=False)])
-        return out
 
-
-def fit_grids(rows: DataFrame, threshold: float, recall: float, sample: int = SAMPLE, per_cell: int = 32) -> dict[int, Grid]:
-    """A grid for each vector length, on ``sample`` rows (about) drawn by a hash of the row."""
-    valid = rows.where("u IS NOT NULL")
-    n, labels = valid.agg(F.count("*"), F.approx_count_distinct("label")).first()
+def fit_grids(points: DataFrame, threshold: float, recall: float, sample: int = SAMPLE) -> dict[int, Grid]:
+    """A grid for each vector length, on ``sample`` points (about) drawn by their hash."""
+    n, labels = points.agg(F.count("*"), F.approx_count_distinct("label")).first()
     if not n:
         return {}
-    k = int(np.clip(np.sqrt(n / per_cell / max(1, labels)), 1, 256))
-    drawn = valid.where(F.pmod("rid", F.lit(1 << 30)) / float(1 << 30) < min(1.0, sample / n)).select("u").collect()
+    drawn = points.where(F.pmod("pid", F.lit(1 << 30)) / float(1 << 30) < min(1.0, sample / n)).select("u").collect()
     by: dict[int, list] = {}
-    for x in sorted(bytes(r["u"]) for r in drawn):
-        by.setdefault(len(x) // 8, []).append(np.frombuffer(x))
-    return {d: Grid(np.array(x), k, threshold, recall) for d, x in by.items()}
+    for u in sorted(bytes(r["u"]) for r in drawn):
+        by.setdefault(len(u) // 8, []).append(np.frombuffer(u))
+    return {d: cheapest_grid(np.array(x), n / max(1, labels), threshold, recall) for d, x in by.items()}
+
+
+def cheapest_grid(x: np.ndarray, rows: float, threshold: float, recall: float) -> Grid:
+    """The grid of the tried sizes on which a search among ``rows`` vectors of a label costs least; larger ones aren't tried once costs rise."""
+    best, least = None, np.inf
+    for k in SIZES:
+        if best is not None and k * 20 > len(x):
+            break
+        grid = Grid(x, k, threshold, recall)
+        cost = grid.visits * (MOVE + rows / (len(grid.books[0]) * len(grid.books[1])))
+        if cost > 2 * least:
+            break
+        if cost < least:
+            best, least = grid, cost
+    return best
 
 
 def _matrix(column) -> np.ndarray:
@@ -135,12 +143,24 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(data), dtype=np.float64).reshape(len(data), -1) if data else np.zeros((0, 1))
 
 
+def spanning_edges(hits: np.ndarray) -> list[tuple[int, int]]:
+    """(row, row or rows + column) edges that connect what ``hits`` (rows, columns) connects: fewer than rows and columns."""
+    out, rows, columns = [], hits.any(axis=1), hits.any(axis=0)
+    while rows.any():
+        root = int(rows.argmax())
+        rows[root], front = False, np.array([root])
+        while len(front):
+            reached = np.flatnonzero(hits[front].any(axis=0) & columns)
+            columns[reached] = False
+            front = np.flatnonzero(hits[:, reached].any(axis=1) & rows)
+            rows[front] = False
+            out += [(root, len(hits) + int(c)) for c in reached] + [(root, int(r)) for r in front]
+    return out
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.99, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row; links are pairs of one label with the threshold's cosine."""
     spark = vectors.sparkSession
-    limit, ball_angle = float(np.arccos(threshold)), float(np.arccos(BALL_COSINE))
-    if 2 * ball_angle >= limit:
-        raise ValueError(f"a threshold of {threshold} needs balls of a smaller angle")
 
     def prepare(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -149,119 +169,81 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: float =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([unit(v) for v in batch.column(3).to_pylist()], pa.binary())], ["rid", "vec_id", "label", "u"])
 
     source = vectors.select(F.xxhash64(id_col, label_col, vector_col).alias("rid"), F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("v"))
-    every = materialize(source.mapInArrow(prepare, "rid long, vec_id long, label string, u binary"), "vectors")
-    rows = every.where("u IS NOT NULL AND label IS NOT NULL").dropDuplicates(["rid"])
-    grids = fit_grids(rows, threshold, recall)
-    shared = spark.sparkContext.broadcast(grids)  # codebooks: 2 x 256 centres at most for each vector length of the sample
-
-    def place(batches: Iterator) -> Iterator:
+    every = source.mapInArrow(prepare, "rid long, vec_id long, label string, u binary")
+    pid = F.when(F.col("u").isNotNull() & F.col("label").isNotNull(), F.xxhash64("label", "u"))
+    every = materialize(every.withColumn("pid", pid), "vectors")
+    rows = every.where("pid IS NOT NULL")
+    # copies are merged before the shuffle, so no vector is hot
+    of_point = rows.select("pid", "rid", "vec_id").distinct().groupBy("pid").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"))
+    distinct = materialize(rows.select("pid", "label", "u").dropDuplicates(["pid"]), "distinct")
+    grids = fit_grids(distinct, threshold, recall)
+    shared = spark.sparkContext.broadcast(grids)  # 2 x 512 centres at most for each vector length of the sample
+
+    def walk(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            units = batch.column(batch.schema.get_field_index("u")).to_pylist()
             cells = []
-            for u in units:
+            for u in batch.column(batch.schema.get_field_index("u")).to_pylist():
                 grid = shared.value.get(len(u) // 8)
-                i, j = grid.cells(np.frombuffer(u)[None, :])[0].tolist() if grid else (0, 0)
-                cells.append(f"{len(u) // 8}/{i}/{j}")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.string())], [*batch.schema.names, "cell"])
+                cells.append(grid.walk(np.frombuffer(u)) if grid else [(len(u) // 8) << 40])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c[0] for c in cells], pa.int64()), pa.array(cells, pa.list_(pa.int64()))], [*batch.schema.names, "cell", "cells"])
 
-    placed = materialize(rows.mapInArrow(place, "rid long, vec_id long, label string, u binary, cell string"), "placed")
-    sizes = placed.groupBy("label", "cell").agg(F.count("*").alias("size"))
-    blocks = placed.join(sizes, ["label", "cell"]).withColumn("block", F.pmod(F.xxhash64("rid"), F.ceil(F.col("size") / BLOCK)).cast("int"))
+    points = distinct.mapInArrow(walk, "pid long, label string, u binary, cell long, cells array<long>")
+    points = materialize(points.join(of_point, "pid"), "points")
 
-    def gather(group):
-        """Balls of one block: greedy, in order of id."""
-        import pyarrow as pa
+    # each side of a cell in blocks, every block of the one with every block of the other; only crowded cells need more than one
+    visits = points.select("label", F.explode("cells").alias("at"), F.lit(0).alias("resident")).union(points.select("label", "cell", F.lit(1)))
+    crowds = visits.groupBy("label", "at").agg(F.sum("resident").alias("residents"), F.sum(1 - F.col("resident")).alias("visitors"))
+    crowded = crowds.where((F.col("residents") > BLOCK) | (F.col("visitors") > BLOCK))
+    crowded = materialize(crowded.select("label", "at", *[F.ceil(F.greatest(F.col(c), F.lit(1)) / BLOCK).cast("int").alias(c) for c in ("residents", "visitors")]), "crowded")
+    crowded = small(crowded, 64)
 
-        group = group.sort_by([("vec_id", "ascending"), ("rid", "ascending")])
-        x, rid = _matrix(group.column("u")), group.column("rid").to_numpy()
-        ball, cosine, free = np.zeros(len(x), dtype=np.int64), np.ones(len(x)), np.ones(len(x), dtype=bool)
-        for i in range(len(x)):
-            if free[i]:
-                c = x @ x[i]
-                own = free & (c >= BALL_COSINE)
-                own[i] = True
-                ball[own], cosine[own], free = rid[i], np.minimum(c[own], 1), free & ~own
-        angle = np.where(ball == rid, 0.0, np.arccos(cosine))
-        return pa.table({"rid": group.column("rid"), "vec_id": group.column("vec_id"), "label": group.column("label"), "cell": group.column("cell"), "u": group.column("u"), "ball": pa.array(ball), "angle": pa.array(angle)})
-
-    members = materialize(blocks.select("rid", "vec_id", "label", "cell", "block", "u").groupBy("label", "cell", "block").applyInArrow(gather, "rid long, vec_id long, label string, cell string, u binary, ball long, angle double"), "members")
-    balls = members.groupBy("ball").agg(F.max("angle").alias("radius"), F.count("*").alias("size"), F.min("vec_id").alias("least"))
-    leaders = members.where("rid = ball").select("ball", "label", "cell", "u")
-    balls = materialize(leaders.join(balls, "ball"), "balls")
-
-    def visit(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    def side(rows: DataFrame, flag: bool, own: str, other: str) -> DataFrame:
+        parts = [F.coalesce(F.col(c), F.lit(1)) for c in (own, other)]
+        dealt = rows.join(crowded, ["label", "at"], "left").select("label", "at", F.lit(flag).alias("resident"), "pid", "weight", "u", "cell", "cells", F.pmod(F.xxhash64("pid"), parts[0]).cast("int").alias(own), F.explode(F.sequence(F.lit(0), parts[1] - 1)).alias(other))
+        return dealt.select("label", "at", "residents", "visitors", "resident", "pid", "weight", "u", "cell", "cells")
 
-        for batch in batches:
-            cells = []
-            for u in batch.column(batch.schema.get_field_index("u")).to_pylist():
-                d = len(u) // 8
-                grid = shared.value.get(d)
-                cells.append([f"{d}/{i}/{j}" for i, j in grid.walk(np.frombuffer(u)[None, :])[0]] if grid else [f"{d}/0/0"])
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in ("ball", "label", "u", "radius")], pa.array(cells, pa.list_(pa.string()))], ["ball", "label", "u", "radius", "cells"])
-
-    visitors = balls.select("ball", "label", "u", "radius").mapInArrow(visit, "ball long, label string, u binary, radius double, cells array<string>")
-    visitors = materialize(visitors.select("ball", "label", "u", "radius", F.explode("cells").alias("cell")), "visitors")
-    # each side of a cell in blocks, every block of the one with every block of the other
-    parts = balls.groupBy("label", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("of_residents"))
-    parts = parts.join(visitors.groupBy("label", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("of_visitors")), ["label", "cell"])
-    side = lambda rows, own, other, own_name, other_name, flag: rows.join(parts, ["label", "cell"]).select("label", "cell", F.lit(flag).alias("resident"), "ball", "u", "radius", F.pmod(F.xxhash64("ball"), F.col(own)).cast("int").alias(own_name), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other_name))
-    both = side(balls, "of_residents", "of_visitors", "r", "v", True).unionByName(side(visitors, "of_visitors", "of_residents", "v", "r", False))
+    # a resident brings the cells that it visits itself, a visitor only its own cell
+    residents = side(points.withColumn("at", F.col("cell")), True, "residents", "visitors")
+    no_cells = F.lit(None).cast("array<long>")
+    visitors = side(points.select("label", F.explode("cells").alias("at"), "pid", "weight", "u", "cell", no_cells.alias("cells")), False, "visitors", "residents")
 
     def meet(group):
+        """(pid, linked weight) of points, and (pid, pid) of spanning edges."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
         res, vis = group.filter(group.column("resident")), group.filter(pc.invert(group.column("resident")))
         x, y = _matrix(res.column("u")), _matrix(vis.column("u"))
-        found = []
+        a, b = res.column("pid").to_numpy(), vis.column("pid").to_numpy()
+        out = [np.zeros(0, dtype=np.int64)] * 3
         if len(x) and len(y):
-            a, b = res.column("ball").to_numpy(), vis.column("ball").to_numpy()
-            ra, rb = res.column("radius").to_numpy(), vis.column("radius").to_numpy()
-            for at in range(0, len(y), 1024):
-                cosine = np.clip(y[at : at + 1024] @ x.T, -1, 1)
-                angle, reach = np.arccos(cosine), rb[at : at + 1024, None] + ra[None, :]
-                single = reach == 0
-                full = np.where(single, cosine >= threshold, angle + reach <= limit - SLACK)
-                maybe = ~full & ~single & (angle - reach <= limit + SLACK)
-                for i, j in zip(*np.nonzero(full | maybe), strict=True):
-                    if a[j] != b[at + i]:
-                        found.append((min(a[j], b[at + i]), max(a[j], b[at + i]), bool(full[i, j])))
-        return pa.table([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "whole"])
-
-    pairs = both.groupBy("label", "cell", "r", "v").applyInArrow(meet, "a long, b long, whole boolean").distinct()
-    pairs = materialize(pairs, "ball-pairs")
-
-    # pairs of balls between near and far: their members, a ball a row (a block's rows at most)
-    open_pairs = pairs.where("NOT whole").select("a", "b")
-    asked = open_pairs.select(F.explode(F.array("a", "b")).alias("ball")).distinct()
-    packed = members.join(asked, "ball").groupBy("ball").agg(F.sort_array(F.collect_list(F.struct("rid", "u"))).alias("m")).select("ball", "m.rid", "m.u")
-    packed = materialize(packed, "open-balls")
-
-    def compare(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                x, y = (np.frombuffer(b"".join(row[c]), dtype=np.float64).reshape(len(row[c]), -1) for c in ("ua", "ub"))
-                hit = (x @ y.T) >= threshold
-                rid, n = row["ra"] + row["rb"], np.concatenate((hit.sum(axis=1), hit.sum(axis=0)))
-                keep = n > 0
-                yield pa.RecordBatch.from_arrays([pa.array([row["a"]] * int(keep.sum()), pa.int64()), pa.array([row["b"]] * int(keep.sum()), pa.int64()), pa.array(np.array(rid, dtype=np.int64)[keep]), pa.array(n[keep].astype(np.int64))], ["a", "b", "rid", "n"])
-
-    left, right = packed.toDF("a", "ra", "ua"), packed.toDF("b", "rb", "ub")
-    partial = materialize(open_pairs.join(left, "a").join(right, "b").select("a", "b", "ra", "ua", "rb", "ub").mapInArrow(compare, "a long, b long, rid long, n long"), "open-links")
-
-    whole = pairs.where("whole").select("a", "b")
-    edges = whole.union(partial.select("a", "b").distinct())
-    of_ball = balls.select("ball", "size", "least")
-    label = of_ball.join(components(edges), F.col("ball") == F.col("id"), "left").select("ball", "least", F.coalesce("component", "ball").alias("c"))
-    least = label.groupBy("c").agg(F.min("least").alias("component_id"))
-    direct = whole.union(whole.select("b", "a")).join(of_ball.select(F.col("ball").alias("b"), "size"), "b").groupBy("a").agg(F.sum("size").alias("linked"))
-    balls_out = label.join(least, "c").join(direct, F.col("ball") == F.col("a"), "left").join(of_ball.select("ball", "size"), "ball").select("ball", "component_id", (F.coalesce("linked", F.lit(0)) + F.col("size") - 1).alias("linked"))
-    one_by_one = partial.groupBy("rid").agg(F.sum("n").alias("more"))
-    found = members.select("rid", "ball").join(balls_out, "ball").join(one_by_one, "rid", "left").select("rid", "component_id", (F.col("linked") + F.coalesce("more", F.lit(0))).alias("n_links"))
-    out = every.select("rid", "vec_id").join(found, "rid", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+            homes, home = np.unique(vis.column("cell").to_numpy(), return_inverse=True)
+            walks = res.column("cells").to_pylist()
+            flat = np.fromiter((c for w in walks for c in w), dtype=np.int64)
+            place = np.minimum(np.searchsorted(homes, flat), len(homes) - 1)
+            known = homes[place] == flat
+            returns = np.zeros((len(homes), len(x)), dtype=bool)
+            returns[place[known], np.repeat(np.arange(len(x)), [len(w) for w in walks])[known]] = True
+            hits = np.empty((len(y), len(x)), dtype=bool)
+            for i in range(0, len(y), 512):
+                own = slice(i, i + 512)
+                hits[own] = (y[own] @ x.T >= threshold) & ((b[own, None] < a[None, :]) | ~returns[home[own]]) & (b[own, None] != a[None, :])
+            linked = np.concatenate((hits @ res.column("weight").to_numpy(), hits.T @ vis.column("weight").to_numpy()))
+            ids = np.concatenate((b, a))
+            some = linked > 0
+            edges = np.array(spanning_edges(hits), dtype=np.int64).reshape(-1, 2)
+            out = [np.concatenate((ids[some], ids[edges[:, 0]])), np.concatenate((linked[some], np.zeros(len(edges), dtype=np.int64))), np.concatenate((ids[some], ids[edges[:, 1]]))]
+        return pa.table([pa.array(c, pa.int64()) for c in out], names=["a", "linked", "b"])
+
+    met = residents.unionByName(visitors).groupBy("label", "at", "residents", "visitors").applyInArrow(meet, "a long, linked long, b long")
+    met = materialize(met, "met")
+    counts = met.where("a = b").groupBy(F.col("a").alias("pid")).agg(F.sum("linked").alias("linked"))
+    linked = points.select("pid", "weight", "least").join(counts, "pid", "left")
+    named = linked.join(components(met.where("a <> b").select("a", "b")).select(F.col("id").alias("pid"), "component"), "pid", "left").withColumn("component", F.coalesce("component", "pid"))
+    named = materialize(named, "named")
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_row = named.join(least, "component").select("pid", "component_id", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    out = every.select("vec_id", "pid").join(of_row, "pid", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
