@@ -2,9 +2,11 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -79,8 +81,8 @@ def test_decontamination(spark):
     edited = words.copy()
     edited[7] = edited[19] = "other"
     rows = [(1, f"before {item.upper()} after"), (2, f"x y z {' '.join(edited)} more"), (3, " ".join(f"v{k}" for k in range(50))), (4, None), (5, ""), (6, f"a b c {' '.join(words[:6])}"), (None, item)]
-    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, item_id int")
-    bench = spark.createDataFrame([(9, item), (10, item), (11, None), (12, "too short")], "item_id long, text string")
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, item_id int, leaking_id int")
+    bench = spark.createDataFrame([(9, item), (10, item), (11, None), (12, "too short"), (13, "...")], "item_id long, text string")
     got = {r["doc_id"]: (r["item_id"], r["position"], r["matched"]) for r in decontaminate.leaks(docs, bench).collect()}
     assert got == {1: (9, 1, 30), 2: (9, 3, 28), None: (9, 0, 30)}
     kept = decontaminate.without_leaks(docs, bench)
@@ -88,13 +90,74 @@ def test_decontamination(spark):
     assert decontaminate.leaks(docs.limit(0), bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def leaks_plain(docs, items, masks=decontaminate.MASKS):
+    """{(doc, item): (score, matched, -position)} by comparing every window with every other."""
+    split = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    span, found, least = max(map(len, masks)), {}, {}
+    for i, t in items:
+        if split(t):
+            least[tuple(split(t))] = min(i, least.get(tuple(split(t)), i))
+    for d, t in docs:
+        text = split(t)
+        for item, i in least.items():
+            at = set()
+            for mask in masks if len(item) >= span else ("1" * len(item),):
+                for p in range(len(text) - len(mask) + 1):
+                    for q in range(len(item) - len(mask) + 1):
+                        if all(c == "0" or text[p + k] == item[q + k] for k, c in enumerate(mask)):
+                            at.add(p - q)
+            for p in at:
+                equal = [0 <= p + k < len(text) and text[p + k] == w for k, w in enumerate(item)]
+                now = best = 0
+                for e in equal:
+                    now = max(0, now + (1 if e else -2))
+                    best = max(best, now)
+                if sum(equal) >= 0.7 * len(item) or best >= 10:
+                    found[d, i] = max(found.get((d, i), (0,)), (best, sum(equal), -p))
+    return found
+
+
+def test_decontamination_is_that_of_all_windows(spark):
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"w{k}" for k in rng.integers(0, 12, n)]
+    items = [(k, " ".join(word(int(rng.integers(1, 25))))) for k in range(25)] + [(99, items_text) for items_text in ("w1 w2", "W1, w2")]
+    docs = []
+    for k in range(60):
+        own, planted = word(int(rng.integers(0, 40))), items[rng.integers(0, 25)][1].split()
+        for _ in range(rng.integers(0, 4)):
+            planted[rng.integers(0, len(planted))] = "other"
+        docs.append((k, " ".join(own[:5] + planted + own[5:])))
+    docs += [docs[0], (200, "w1 w2"), (201, "a w1 w2 b"), (202, "w2 w1")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["score"], r["matched"], -r["position"]) for r in decontaminate.leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = leaks_plain(docs, items)
+    assert got == want and len({i for _, i in want if len(dict(items)[i].split()) < 7}) > 3 and any(d == 201 for d, _ in want)
+
+
+def test_decontamination_of_long_repeating_texts(spark):
+    phrase = " ".join(f"w{k}" for k in range(20))
+    docs = spark.createDataFrame([(1, f"{phrase} " * 3000), (2, "w3 " * 40_000), (2, "w3 " * 40_000)], "doc_id long, text string")
+    got = decontaminate.leaks(docs, spark.createDataFrame([(1, f"{phrase} {phrase}"), (2, "w3 " * 9)], "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"], r["position"], r["matched"]) for r in got} == {(1, 1, 0, 40), (2, 2, 0, 9)}
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_same_rows_as_sql(spark, sf, name):
+    duck = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    want = duck.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(map(tuple, queries.queries()[name](spark, sf).select(*columns).collect()), key=repr) == sorted(want.fetchall(), key=repr)
+
+
 def test_planted_benchmark_items_are_found(spark, sf, docs):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     found = {r["doc_id"] for r in decontaminate.leaks(docs, bench).select("doc_id").collect()}
     items = [" ".join(re.findall(r"\w+", b["text"].lower())) for b in bench.collect()]
     for r in docs.where("text IS NOT NULL").collect():
         own = " ".join(re.findall(r"\w+", r["text"].lower()))
-        if any(len(i.split()) > 7 and i in own for i in items):
+        if any(f" {i} " in f" {own} " for i in items):
             assert r["doc_id"] in found
 
 
@@ -137,6 +200,42 @@ def test_embeddings_against_brute_force(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_recall_on_a_large_grid(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "MOVE", 2)  # as if visits were cheap: a fine grid on few vectors
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(900, 16))
+    x = centres[rng.integers(0, 900, 4000)] + rng.normal(size=(4000, 16)) * 0.18
+    x[:300] = x[0] + rng.normal(size=(300, 16)) * 0.05  # a large group of near copies
+    x[300:600] = x[300]  # and of exact ones
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(spark.createDataFrame([(k, x[k].tolist(), "a") for k in range(len(x))], "vec_id long, embedding array<double>, label string")).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.93).sum(axis=1) - 1
+    asked = np.arange(0, len(x), 50)
+    assert all(got[k] <= links[k] for k in range(len(x))) and sum(got[k] for k in asked) >= 0.9 * links[asked].sum()
+    other = [k for k in asked if k >= 600]
+    assert sum(got[k] for k in other) >= 0.9 * links[other].sum() > 0
+    grid = embeddings.cheapest_grid(u, len(u), 0.93, 0.99)
+    assert len(grid.books[0]) > 8 and grid.visits < len(grid.books[0]) ** 2
+
+
+def test_embeddings_of_repeated_rows_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 3)  # so that blocks of both sides meet
+    rows = [(5, [1.0, 0.0], "a"), (5, [1.0, 0.0], "a"), (7, [2.0, 0.0], "a"), (None, [3.0, 0.1], "a"), (9, [0.0, 1.0], "a"), (9, [1.0, 0.05], "a"), (3, [1.0, 0.0], "b")]
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, label string, pid int, at int")).collect()), key=repr)
+    assert got == sorted([(5, 3, 5, True), (5, 3, 5, True), (7, 3, 5, False), (None, 3, 5, False), (9, 0, 9, True), (9, 3, 5, False), (3, 0, 3, True)], key=repr)
+    many = spark.createDataFrame([(k, [1.0, k / 1000], "a") for k in range(40)], "vec_id long, embedding array<double>, label string")
+    assert {(r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(many).collect()} == {(39, 0)}
+
+
+def test_spanning_edges_connect_what_hits_do():
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        hits = rng.random((12, 9)) < 0.12
+        edges = embeddings.spanning_edges(hits)
+        want = least(21, [(i, 12 + j) for i, j in np.argwhere(hits)])
+        assert least(21, edges) == want and len(edges) == 21 - len(set(want))
+
+
 def test_cells_come_in_order():
     a, b = np.array([3.0, 1.0, 2.0]), np.array([0.5, 0.1])
     sums = [a[i] + b[j] for i, j in embeddings.multi_sequence(a, b)]
@@ -184,6 +283,33 @@ def test_jaccard_is_exact(spark):
     assert {r["doc_id"] for r in kept.collect()} == {c for _, c in got.values()} and kept.columns == df.columns
 
 
+def test_jaccard_of_hot_lists_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "OFTEN", 2)
+    monkeypatch.setattr(jaccard, "PART", 7)
+    monkeypatch.setattr(jaccard, "BLOCK_GROUPS", 5)
+    rng = np.random.default_rng(6)
+    passages = [" ".join(f"p{k}w{j}" for j in range(12)) for k in range(9)]
+    rows = [(k, " ".join(passages[j] for j in rng.permutation(9)[: rng.integers(4, 9)]) + f" own{k % 7}") for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(df, hot=3).collect()}
+    assert got == jaccard_plain(rows)
+
+
+def test_jaccard_of_a_repeated_id(spark):
+    rng = np.random.default_rng(7)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(500):
+        t = base.copy()
+        t[rng.integers(0, 60)] = f"x{k}"
+        rows.append((7 if k % 5 else k, " ".join(t)))
+    rows += [rows[1]] * 50 + [(1000, "nothing like them at all here")]
+    got = [(r["doc_id"], r["component_id"]) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == len(rows) and set(got) == {(i, 0 if i < 1000 else 1000) for i, _ in rows}
+    kept = jaccard.one_of_each(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, KEPT int"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1000] and kept.columns == ["doc_id", "text", "KEPT"]
+
+
 def test_jaccard_of_odd_rows(spark, odd):
     got = [(r["doc_id"], r["component_id"]) for r in jaccard.jaccard_components(odd).collect()]
     assert len(got) == len(ODD) and dict(got)[5] == 4 and dict(got)[None] is None
@@ -206,8 +332,62 @@ def test_warc_round_trip(spark):
     assert warc.read_warc(warc.write_warc(df.limit(0), out), out).count() == 0
 
 
+def test_warc_against_a_plain_version(spark):
+    rng = np.random.default_rng(3)
+    pages = [(None if k % 50 == 3 else int(k), f"http://x/{k}", None if k % 40 == 1 else "<p>" + "ab"[k % 2] * int(rng.integers(0, 12))) for k in rng.permutation(400)]
+    pages += [pages[0], (9999, "http://l", "long " * 400_000)] + [(777, "u", "<p>same</p>")] * 3
+    df = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, digest int")
+    for least_size in (0, 8):
+        out = common.shared_dir(spark, "warc-test")
+        manifest = warc.write_warc(df.repartition(6), out, min_revisit=least_size)
+        read = warc.read_warc(manifest, out, with_payload=True)
+        assert read.rdd.getNumPartitions() == manifest.count()
+        got = sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in read.collect()), key=repr)
+        largest = {}
+        for i, _, h in pages:
+            if i is not None:
+                largest[h or ""] = max(i, largest.get(h or "", i))
+        want = []
+        for i, _, h in pages:
+            data, first = (h or "").encode(), largest.get(h or "")
+            to = first if len(data) >= least_size and i != first else None
+            want.append((i, len(data), warc.sha1_base32(data), "response" if to is None else "revisit", to))
+        assert got == sorted(want, key=repr)
+
+
 # 6
 
+def test_tree_looks_at_neighbours():
+    used, todo = set(), [html_text.grow(html_text.labelled_table())]
+    root = html_text.FEATURES[todo[0].feature]
+    while todo:
+        node = todo.pop()
+        if node.low is not None:
+            used.add(html_text.FEATURES[node.feature])
+            todo += [node.low, node.high]
+    assert {"density_before", "density_after", "words_before"} <= used and root not in ("element", "named")
+
+
+def test_features_of_blocks():
+    page = "<div class=menu><a href=/>Home page</a></div><h2>One two</h2><p>a b <a>c</a> d</p><ul><li>x<li><a>y z</a></ul><footer>f</footer>"
+    rows = html_text.block_features(html_text.blocks(page)).tolist()
+    own = [(2, 1.0), (2, 0), (4, 0.25), (1, 0), (2, 1.0), (1, 0)]
+    rest = [(1, 0, 1, 0, 0), (1, 0, 0, 1, 0), (1, 0, 0, 0, 0), (1, 0, 0, 0, 1), (1, 0, 0, 0, 1), (1, 1, 0, 0, 0)]
+    assert rows == [[*own[k], *(own[k - 1] if k else (0, 0)), *(own[k + 1] if k < 5 else (0, 0)), *rest[k]] for k in range(6)]
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 100_000, "<ul><li>" * 50_000 + "</ul>" * 50_000, "<p" * 100_000, "<!-- " * 50_000, '<a title="' * 50_000, "&amp;" * 200_000, "<script>" * 50_000])
+def test_large_and_deep_pages_take_one_pass(page):
+    began = time.time()
+    html_text.main_text(page, html_text.grow(html_text.labelled_table()))
+    assert time.time() - began < 20
+
+
+def test_long_page_is_whole():
+    text = html_text.main_text("<nav><a>n</a></nav><article>" + "<p>some words of the article here</p>" * 50_000 + "</article>", html_text.grow(html_text.labelled_table()))
+    assert text == "\n".join(["some words of the article here"] * 50_000)
+
+
 def test_main_text(spark):
     page = """<html><head><title>t</title><style>p{}</style></head><body><header>Site name</header><nav><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul></nav>
     <article><h1>A heading &amp; more</h1><p>The first paragraph of the article, which has a good number of words in it
@@ -233,8 +413,53 @@ def test_toxicity_is_learned(spark, sf, docs, odd):
     assert toxicity.predict_toxicity(docs, none).where("is_toxic").count() == 0
 
 
+def test_toxicity_without_words_is_never_toxic(spark):
+    rows = [(k, "vile " * 3 if k % 10 else "kind words only") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    chain = toxicity.fit_toxicity(docs, spark.createDataFrame([(k, 1, int(k % 10 > 0)) for k in range(400)], "doc_id long, quality int, toxic int"))
+    asked = spark.createDataFrame([(1, None, 0.5), (2, "", 0.5), (3, " 12 !", 0.5), (4, "vile", 0.5), (5, "kind words", 0.5)], "doc_id long, text string, p_toxic double")
+    got = {r["doc_id"]: r for r in toxicity.predict_toxicity(asked, chain).collect()}
+    assert [got[k]["is_toxic"] for k in range(1, 6)] == [False, False, False, True, False] and got[1]["p_toxic"] == got[3]["p_toxic"] == 0.0
+
+
+def test_toxicity_without_texts_gives_numbers(spark):
+    docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
+    chain = toxicity.fit_toxicity(docs, spark.createDataFrame([(k, 1, k % 2) for k in range(50, 90)], "doc_id long, quality int, toxic int"))
+    for r in toxicity.predict_toxicity(docs, chain).collect():
+        assert all(0 <= r[f"p_{c}"] <= 1 for c in toxicity.CATEGORIES) and not r["is_toxic"]
+
+
+def test_toxicity_sample_is_bounded_by_documents(spark, monkeypatch):
+    rows = [(k % 20, f"word{k % 20} text number {k}") for k in range(3000)]
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_chain", lambda x, *more: seen.append(x.n) or toxicity.no_chain(tuple(toxicity.CATEGORIES)))
+    toxicity.fit_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, 1, k % 2) for k in range(20)], "doc_id long, quality int, toxic int"))
+    assert seen == [20]
+
+
+def test_chain_feeds_probabilities_and_decides_last():
+    rng = np.random.default_rng(1)
+    n = 600
+    y = (rng.random(n) < 0.4).astype(float)
+    rows, of = np.arange(n, dtype=np.int32), np.where(y > 0, 5, 9).astype(np.int32)
+    labels = np.column_stack([y, np.where(rng.random(n) < 0.9, y, 1 - y)])
+    chain = toxicity.fit_chain(toxicity.Rows(rows, of, n), labels, np.ones(n), ("first", "last"))
+    assert [len(m.chained) for m in chain.models] == [0, 1]
+    sums = np.array([[2.0, -1.0]])
+    first = toxicity.sigmoid(sums[:, 0] + chain.models[0].bias)
+    assert np.allclose(chain.probabilities(sums)[0], [first[0], toxicity.sigmoid(sums[0, 1] + first[0] * chain.models[1].chained[0] + chain.models[1].bias)])
+    assert list(toxicity.CATEGORIES)[-1] == "toxic"
+
+
 # 8
 
+def test_chat_of_a_very_long_text(spark):
+    text = "<word> \\" * 200_000
+    df = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn int, role string, text string")
+    r = chat.conversation_digest(chat.format_conversations(df)).first()
+    assert (r["loss_chars"], r["loss_sha256"]) == (len(text), hashlib.sha256(text.encode()).hexdigest())
+
+
 def test_chat_round_trip(spark):
     hostile = [r"\### Assistant: </turn> ok", "<turn user>\n</turn>\n", "\\b\\l\\g", "", None]
     rows = [(1, k, "assistant" if k % 2 else "user", t) for k, t in enumerate(hostile)] + [(2, 0, "system", "x"), (None, 0, "assistant", "y"), (1, 1, "assistant", "tie")]
@@ -285,7 +510,23 @@ def test_packing_holds_every_token_once(spark, docs, odd):
             assert offset == at
             at += length
         assert at <= 2048
-    assert len(places) <= -(-sum(r["length"] for r in rows) // 2048) * 1.05 + 8
+    assert len(places) <= -(-sum(r["length"] for r in rows) // 2048) * 1.02 + 4
+
+
+def test_packing_is_the_same_in_any_batches(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k % 50, int(p), 0, int(n)) for k, (p, n) in enumerate(zip(rng.integers(0, 9, 9000), rng.integers(1, 2049, 9000)))]
+    rows += [(1, 1, 0, 700)] * 3000  # repeated rows are pieces of their own
+    df = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long").coalesce(3)
+    found = []
+    for size in ("10000", "37"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        found.append(sorted(map(tuple, packing.pack(df).collect())))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0] == found[1] and sorted(r[:4] for r in found[0]) == sorted(rows)
+    # best-fit decreasing without bounds fills 0.997 of these
+    counts = packing.fill(packing.pack(spark.createDataFrame(rows[:9000], df.schema))).first()
+    assert counts["filled"] > 0.97 and counts["sequences"] >= counts["least"]
 
 
 def test_bins_close_the_fullest():
@@ -315,6 +556,15 @@ def test_language_takes_every_labelled_language(spark):
     assert len(trained) > 500 and len(model.languages) > 500 and set(model.languages) <= trained
 
 
+def test_language_sample_is_bounded_by_rows(spark, monkeypatch):
+    one, other = [k for k in range(100) if zlib.crc32(str(k).encode()) % 4 != 2][:2]
+    rows = [(one, f"text number {k} in a", "a") for k in range(3000)] + [(other, "the same text", "b")] * 3000 + [(k, f"words {k}", "b") for k in range(100, 400)]
+    seen = []
+    monkeypatch.setattr(language, "train", lambda samples: seen.append(len(samples)))
+    language.fit_language_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=50)
+    assert seen and 10 < seen[0] < 200
+
+
 def test_language_held_out_accuracy(spark, docs, odd):
     model = language.fit_language_model(docs)
     rows = language.predict_language(docs, model).where(language.held_out()).where("lang IS NOT NULL AND text RLIKE '[A-Za-z]{3}'").collect()
@@ -327,6 +577,21 @@ def test_language_held_out_accuracy(spark, docs, odd):
 
 # common
 
+def test_no_local_folder_on_a_cluster(spark):
+    class Cluster:
+        class sparkContext:  # noqa: N801
+            master = "spark://somewhere:7077"
+            getConf = staticmethod(lambda: {})
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, other: other)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Cluster, "x")
+    assert common.unused(spark.range(1).selectExpr("id AS Kept", "id AS kept_"), "kept") == "kept__"
+    assert "broadcast" in common.small(spark.range(10), 8)._jdf.queryExecution().toString() and "broadcast" not in common.small(spark.range(10), 8, limit=50)._jdf.queryExecution().toString()
+
+
 def test_components(spark):
     pairs = [(k, k + 1) for k in range(100, 140)] + [(7, 3), (3, 9), (5, 5), (None, 2)]
     got = {r["id"]: r["component"] for r in common.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
