@@ -91,30 +91,32 @@ def test_decontamination(spark):
 
 
 def leaks_plain(docs, items, masks=decontaminate.MASKS):
-    """{(doc, item): (score, matched, -position)} by comparing every window with every other."""
+    """[{item: (score, matched, -position)} of each document], every window of a text looked up among those of all items."""
     split = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
-    span, found, least = max(map(len, masks)), {}, {}
+    span, least, windows, out = max(map(len, masks)), {}, defaultdict(list), []
     for i, t in items:
         if split(t):
             least[tuple(split(t))] = min(i, least.get(tuple(split(t)), i))
-    for d, t in docs:
-        text = split(t)
-        for item, i in least.items():
-            at = set()
-            for mask in masks if len(item) >= span else ("1" * len(item),):
-                for p in range(len(text) - len(mask) + 1):
-                    for q in range(len(item) - len(mask) + 1):
-                        if all(c == "0" or text[p + k] == item[q + k] for k, c in enumerate(mask)):
-                            at.add(p - q)
-            for p in at:
-                equal = [0 <= p + k < len(text) and text[p + k] == w for k, w in enumerate(item)]
-                now = best = 0
-                for e in equal:
-                    now = max(0, now + (1 if e else -2))
-                    best = max(best, now)
-                if sum(equal) >= 0.7 * len(item) or best >= 10:
-                    found[d, i] = max(found.get((d, i), (0,)), (best, sum(equal), -p))
-    return found
+    for item in least:
+        for mask in masks if len(item) >= span else ("1" * len(item),):
+            for q in range(len(item) - len(mask) + 1):
+                windows[mask, tuple(item[q + k] for k, c in enumerate(mask) if c == "1")].append((item, q))
+    kinds = {m for m, _ in windows}
+    for _, t in docs:
+        text, at, found = split(t), set(), {}
+        for mask in kinds:
+            for p in range(len(text) - len(mask) + 1):
+                at |= {(item, p - q) for item, q in windows.get((mask, tuple(text[p + k] for k, c in enumerate(mask) if c == "1")), ())}
+        for item, p in at:
+            equal = [0 <= p + k < len(text) and text[p + k] == w for k, w in enumerate(item)]
+            now = best = 0
+            for e in equal:
+                now = max(0, now + (1 if e else -2))
+                best = max(best, now)
+            if sum(equal) >= 0.7 * len(item) or best >= 10:
+                found[least[item]] = max(found.get(least[item], (0,)), (best, sum(equal), -p))
+        out.append(found)
+    return out
 
 
 def test_decontamination_is_that_of_all_windows(spark):
@@ -130,7 +132,7 @@ def test_decontamination_is_that_of_all_windows(spark):
     docs += [docs[0], (200, "w1 w2"), (201, "a w1 w2 b"), (202, "w2 w1")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {(r["doc_id"], r["item_id"]): (r["score"], r["matched"], -r["position"]) for r in decontaminate.leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
-    want = leaks_plain(docs, items)
+    want = {(d, i): best for (d, _), found in zip(docs, leaks_plain(docs, items)) for i, best in found.items()}
     assert got == want and len({i for _, i in want if len(dict(items)[i].split()) < 7}) > 3 and any(d == 201 for d, _ in want)
 
 
