@@ -35,10 +35,27 @@ def encode_ids(ids: DataFrame) -> DataFrame:
     return dealt.join(F.broadcast(starts), "part").select("id", (F.col("start") + rank - 1).cast("long").alias("ind"))
 
 
-def split_ratings(ratings: DataFrame, seed: int = 1, shares: tuple[tuple[str, float], ...] = (("train", 0.8), ("test", 0.1), ("val", 1.0))) -> DataFrame:
+#: Parts of a split and their shares; the last one takes the rest.
+SHARES = (("train", 0.8), ("test", 0.1), ("val", 1.0))
+TWO_SHARES = (("train", 0.8), ("test", 1.0))
+
+
+def decode_ids(rows: DataFrame, encoded: DataFrame, column: str) -> DataFrame:
+    """``rows`` with the ids for the numbers that ``encode_ids`` gave them in ``column``; numbers of no id go."""
+    names = encoded.select(F.col("ind").alias(column), F.col("id").alias("_id"))
+    return rows.join(names, column).select(*[F.col("_id").alias(c) if c == column else F.col(c) for c in rows.columns])
+
+
+def split_ratings(ratings: DataFrame, seed: int = 1, shares: tuple[tuple[str, float], ...] = SHARES) -> DataFrame:
     """``ratings`` with ``split``: exact sizes floor(share * n) in the order of a seeded hash, the last part taking the rest."""
-    hashed = ratings.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("u"), F.col("b"))))
-    ranked = numbered(hashed, ["u", "b"], "_rank", "_h").crossJoin(F.broadcast(ratings.agg(F.count("*").alias("_n"))))  # a single row
+    return five_splits(ratings, [seed], shares).drop("split_no")
+
+
+def five_splits(ratings: DataFrame, seeds: list[int] | tuple[int, ...] = (1, 2, 3, 4, 5), shares: tuple[tuple[str, float], ...] = SHARES) -> DataFrame:
+    """Independent splits side by side, ratings being read once: ``split_no`` (the seed) and ``split``."""
+    each = ratings.withColumn("split_no", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    hashed = each.withColumn("_h", F.md5(F.concat_ws(":", "split_no", "u", "b")))
+    ranked = numbered(hashed, ["u", "b"], "_rank", "_h", ("split_no",))
     split, done = F.lit(shares[-1][0]), F.lit(0)
     ends = []
     for name, share in shares[:-1]:
@@ -46,16 +63,7 @@ def split_ratings(ratings: DataFrame, seed: int = 1, shares: tuple[tuple[str, fl
         ends.append((name, done))
     for name, end in reversed(ends):
         split = F.when(F.col("_rank") < end, name).otherwise(split)
-    return ranked.select(*ratings.columns, split.alias("split"))
-
-
-def five_splits(ratings: DataFrame, seeds: int = 5) -> DataFrame:
-    """Independent splits side by side: ``split_no`` 1 to 5 and ``split``."""
-    parts = [split_ratings(ratings, seed).withColumn("split_no", F.lit(seed)) for seed in range(1, seeds + 1)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return ranked.select(*ratings.columns, split.alias("split"), "split_no")
 
 
 def train_of(split: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tricord.plans.storage import materialize
+
 TRIPLET = "u long, b long, rating double"
 EDGE = "src long, dst long"
 
@@ -54,12 +56,25 @@ def read_factors(spark: SparkSession, path: str, rank: int) -> DataFrame:
 
 
 def read_matrix(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
-    """A matrix of a MATLAB file; needs scipy, which reads the file on the driver as such files are small."""
-    try:
-        from scipy.io import loadmat
-    except ImportError as e:
-        raise ImportError("MATLAB files need scipy; convert them to Parquet or text otherwise") from e
-    return spark.createDataFrame(loadmat(path)[name].tolist(), schema)
+    """A matrix of a MATLAB file; needs scipy. The format is one compressed block, so a task reads a file whole."""
+    def read(batches):
+        import io
+
+        import pandas as pd
+
+        try:
+            from scipy.io import loadmat
+        except ImportError as e:
+            raise ImportError("MATLAB files need scipy; convert them to Parquet or text otherwise") from e
+        names = [f.name for f in kinds]
+        for batch in batches:
+            for content in batch["content"]:
+                yield pd.DataFrame(loadmat(io.BytesIO(content))[name][:, : len(names)], columns=names)
+
+    kinds = T._parse_datatype_string(schema)
+    files = spark.read.format("binaryFile").load(path).select("content")
+    doubles = ", ".join(f"{f.name} double" for f in kinds)
+    return files.mapInPandas(read, doubles).select(*[F.col(f.name).cast(f.dataType) for f in kinds])
 
 
 def write_lines(df: DataFrame, path: str, pattern: str, *columns: str, mode: str = "overwrite") -> None:
@@ -91,13 +106,58 @@ def random_design(spark: SparkSession, rows: int = 1000, width: int = 80, seed:
     return spark.range(rows).select(F.array(*[F.randn(seed + k) for k in range(width)]).alias("x"), F.rand(seed + width).alias("y"))
 
 
-def numbered(df: DataFrame, order: list, name: str, split: str = "md5") -> DataFrame:
-    """``df`` with a gapless global rank (from 0) of ``split`` (a hex string) and ``order``, without one task that sorts all.
+def read_design(spark: SparkSession, x_path: str, y_path: str) -> DataFrame:
+    """(x, y) of a design matrix kept as two texts: a row of whitespace-delimited numbers a line, and its target.
+
+    Lines are matched by their place in the files, blank ones left out; files of different lengths, or a line
+    that isn't a target or has another width than the first, are errors. One file each, of any size.
+    """
+    x, y = (_placed(spark, path) for path in (x_path, y_path))
+    numbers = F.transform(F.split(F.trim("value"), r"\s+"), lambda v: v.try_cast("double"))
+    rows = x.select("line", numbers.alias("x")).join(y.select("line", F.trim("value").try_cast("double").alias("y")), "line", "full")
+    first = x.where("line = 0").select(F.size(F.split(F.trim("value"), r"\s+")).alias("_width"))  # a single row
+    rows = rows.join(F.broadcast(first), how="left")
+    right = F.col("x").isNotNull() & F.col("y").isNotNull() & (F.size("x") == F.col("_width")) & ~F.exists("x", lambda v: v.isNull())
+    wrong = F.raise_error(F.concat(F.lit("not a row of a design matrix: line "), F.col("line").cast("string"))).cast("array<double>")
+    return rows.select(F.when(right, F.col("x")).otherwise(wrong).alias("x"), "y")
+
+
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value) of a text file, its lines that aren't blank numbered from 0."""
+    rows = spark.read.text(path).withColumn("at", F.monotonically_increasing_id()).where(F.trim("value") != "")
+    # the upper bits of an id are its partition, and partitions of one file stand in its order
+    rows = rows.withColumn("part", F.shiftright("at", 33))
+    starts = rows.groupBy("part").agg(F.count("*").alias("n"))
+    starts = starts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))  # a row for each partition
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("at"))
+    return rows.withColumn("rank", rank).join(F.broadcast(starts), "part").select((F.col("start") + F.col("rank") - 1).alias("line"), "value")
+
+
+def write_design(design: DataFrame, x_path: str, y_path: str) -> None:
+    """(x, y) as two texts that ``read_design`` takes, a file each."""
+    rows = design.select(F.concat_ws(" ", F.transform("x", lambda v: v.cast("string"))).alias("x"), F.col("y").cast("string").alias("y")).coalesce(1)
+    rows.select(F.col("x").alias("value")).write.mode("overwrite").text(x_path)
+    rows.select(F.col("y").alias("value")).write.mode("overwrite").text(y_path)
+
+
+#: Rows of a range that one task ranks, about.
+PER_RANGE = 1 << 18
+
+
+def numbered(df: DataFrame, order: list, name: str, split: str, by: tuple[str, ...] = (), total: str = "_n") -> DataFrame:
+    """``df`` with a gapless rank (from 0) by ``split`` (a hex string of a hash) and ``order``, and the number of
+    rows; both within the groups of ``by``, which are few, where it is given.
 
-    Rows rank within the 4,096 ranges of the string's first digits; the ranges' counts give where each starts.
+    No task sorts all: rows rank within ranges of the string's first digits, as many digits as the rows ask for,
+    and the ranges' counts give where each starts. ``df`` is written first, as it is read twice.
     """
-    df = df.withColumn("_range", F.substring(split, 1, 3))
-    counts = df.groupBy("_range").agg(F.count("*").alias("_n"))
-    starts = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_start"))  # 4,096 rows at most
-    rank = F.row_number().over(Window.partitionBy("_range").orderBy(split, *order))
-    return df.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + rank - 1).drop("_range", "_start")
+    df = materialize(df, "hashed")
+    digits, n = 1, df.count()
+    while 16**digits * PER_RANGE < n:
+        digits += 1
+    df = df.withColumn("_range", F.substring(split, 1, digits))
+    counts = df.groupBy(*by, "_range").agg(F.count("*").alias("_c"))  # 16 ** digits rows for each group
+    within = Window.partitionBy(*by)
+    starts = counts.select(*by, "_range", (F.sum("_c").over(within.orderBy("_range")) - F.col("_c")).alias("_start"), F.sum("_c").over(within).alias(total))
+    rank = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(split, *order))
+    return df.withColumn("_rank_", rank).join(F.broadcast(starts), [*by, "_range"]).withColumn(name, F.col("_start") + F.col("_rank_") - 1).drop("_range", "_start", "_rank_")
