@@ -1,9 +1,11 @@
 """Directed-triangle motifs m1 to m7 of a trust graph, per ordered pair of users.
 
-Every triangle is found once: undirected edges point from the end of lower to that of higher degree, so
-a vertex has few of them however large a hub it is, and pairs of edges out of one vertex are closed
-by a third edge. The three edges' kinds decide the motif; each triangle then counts for its six
-ordered pairs. ``motif_by_terms`` is the sum of masked products that defines the same matrices.
+Every triangle is found once. Those with one mutual edge are looked for around it, and those with two
+around the vertex that these share, since mutual edges are few. Where all edges are of one kind,
+they point from the end of lower to that of higher degree, so that a vertex has few of them however
+large a hub it is, and pairs of edges out of one vertex are closed by a third edge. The edges' kinds
+decide the motif; each triangle then counts for its six ordered pairs. ``motif_by_terms`` is the sum
+of masked products that defines the same matrices.
 """
 
 from __future__ import annotations
@@ -11,11 +13,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tricord.plans.storage import materialize
+
 from .sparse import add, masked_multiply, transpose
 
 MOTIFS = tuple(f"m{k}" for k in range(1, 8))
-#: Kinds of edges that a motif's triangles have: mutual, one-way.
-HAS = {"m1": ("one-way",), "m2": ("mutual", "one-way"), "m3": ("mutual", "one-way"), "m4": ("mutual",), "m5": ("one-way",), "m6": ("mutual", "one-way"), "m7": ("mutual", "one-way")}
 
 
 def clean_edges(trust: DataFrame, keep_loops: bool = False) -> DataFrame:
@@ -40,30 +42,52 @@ def undirected(trust: DataFrame) -> DataFrame:
     return ends.groupBy("a", "b").agg(F.when(F.min("up") != F.max("up"), "m").when(F.max("up"), "f").otherwise("r").alias("kind"))
 
 
-def triangles(trust: DataFrame, motifs: tuple[str, ...] = MOTIFS) -> DataFrame:
-    """(x, y, z, motif), each triangle once."""
-    edges = undirected(trust)
-    kinds = {k for m in motifs for k in HAS[m]}
-    if kinds == {"mutual"}:
-        edges = edges.where("kind = 'm'")
-    elif kinds == {"one-way"}:
-        edges = edges.where("kind <> 'm'")
+def _pointed(edges: DataFrame) -> DataFrame:
+    """(x, y, kind): edges (a, b, kind) from the end of lower degree to that of higher degree, ``f`` and ``r`` along them."""
     degree = edges.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("d"))
-    ranked = edges.join(degree.select(F.col("v").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("v").alias("b"), F.col("d").alias("db")), "b")
+    both = edges.join(degree.select(F.col("v").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("v").alias("b"), F.col("d").alias("db")), "b")
     low = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
-    turned = F.when(low, F.col("kind")).when(F.col("kind") == "m", "m").when(F.col("kind") == "f", "r").otherwise("f")
-    out = ranked.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("y"), turned.alias("k"))
-    wedges = out.select("x", "y", F.col("k").alias("xy")).join(out.select("x", F.col("y").alias("z"), F.col("k").alias("xz")), "x")
+    turned = F.when(low | (F.col("kind") == "m"), F.col("kind")).otherwise(F.translate("kind", "fr", "rf"))
+    return both.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("y"), turned.alias("kind"))
+
+
+def _of_one_kind(edges: DataFrame) -> DataFrame:
+    """(x, y, z, xy, xz, yz): triangles of pointed edges."""
+    out = materialize(_pointed(edges), "pointed")  # read three times; of known size, so small ones are broadcast
+    wedges = out.select("x", "y", F.col("kind").alias("xy")).join(out.select("x", F.col("y").alias("z"), F.col("kind").alias("xz")), "x")
     # both orders of a pair of edges: only the one that the third edge closes remains
-    closed = wedges.join(out.select(F.col("x").alias("y"), F.col("y").alias("z"), F.col("k").alias("yz")), ["y", "z"])
-    is_ = lambda c, v: F.col(c) == v
-    n = sum((F.when(is_(c, "m"), 1).otherwise(0) for c in ("xy", "xz", "yz")), F.lit(0))
-    # at the vertex opposite the mutual edge: both edges point in (m7), out (m6), or one each way (m2)
-    both_in = (is_("xy", "m") & is_("xz", "f") & is_("yz", "f")) | (is_("xz", "m") & is_("xy", "f") & is_("yz", "r")) | (is_("yz", "m") & is_("xy", "r") & is_("xz", "r"))
-    both_out = (is_("xy", "m") & is_("xz", "r") & is_("yz", "r")) | (is_("xz", "m") & is_("xy", "r") & is_("yz", "f")) | (is_("yz", "m") & is_("xy", "f") & is_("xz", "f"))
-    cycle = (is_("xy", "f") & is_("yz", "f") & is_("xz", "r")) | (is_("xy", "r") & is_("yz", "r") & is_("xz", "f"))
-    motif = F.when(n == 3, "m4").when(n == 2, "m3").when((n == 1) & both_in, "m7").when((n == 1) & both_out, "m6").when(n == 1, "m2").when(cycle, "m1").otherwise("m5")
-    return closed.select("x", "y", "z", motif.alias("motif")).where(F.col("motif").isin(*motifs))
+    return wedges.join(out.select(F.col("x").alias("y"), F.col("y").alias("z"), F.col("kind").alias("yz")), ["y", "z"]).select("x", "y", "z", "xy", "xz", "yz")
+
+
+def triangles(trust: DataFrame, motifs: tuple[str, ...] = MOTIFS) -> DataFrame:
+    """(x, y, z, motif), each triangle once."""
+    edges = materialize(undirected(trust), "edges")
+    mutual, single = edges.where("kind = 'm'"), edges.where("kind <> 'm'")
+    wanted, found = set(motifs), []
+    if wanted & {"m1", "m5"}:
+        cycle = ((F.col("xy") == F.col("yz")) & (F.col("xz") != F.col("xy")))
+        found.append(_of_one_kind(single).select("x", "y", "z", F.when(cycle, "m1").otherwise("m5").alias("motif")))
+    if "m4" in wanted:
+        found.append(_of_one_kind(mutual).select("x", "y", "z", F.lit("m4").alias("motif")))
+    if "m3" in wanted:
+        # two mutual edges out of z, the ends of a one-way edge
+        spokes = mutual.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("z")), F.struct(F.col("b").alias("v"), F.col("a").alias("z")))).alias("s")).select("s.v", "s.z")
+        pairs = spokes.withColumnRenamed("v", "x").join(spokes.withColumnRenamed("v", "y"), "z").where("x < y")
+        found.append(pairs.join(single.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"]).select("x", "y", "z", F.lit("m3").alias("motif")))
+    if wanted & {"m2", "m6", "m7"}:
+        # a mutual edge between x and y, x having fewer one-way edges: they lead to z, and y must be joined with it
+        near = single.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("z"), (F.col("kind") == "f").alias("to")), F.struct(F.col("b").alias("v"), F.col("a").alias("z"), (F.col("kind") == "r").alias("to")))).alias("s")).select("s.v", "s.z", "s.to")
+        near = materialize(near, "near")
+        degree = near.groupBy("v").agg(F.count("*").alias("d"))
+        ends = mutual.join(degree.select(F.col("v").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("v").alias("b"), F.col("d").alias("db")), "b")
+        ends = ends.select(F.when(F.col("da") <= F.col("db"), F.struct(F.col("a").alias("x"), F.col("b").alias("y"))).otherwise(F.struct(F.col("b").alias("x"), F.col("a").alias("y"))).alias("e")).select("e.x", "e.y")
+        closed = ends.join(near.select(F.col("v").alias("x"), "z", F.col("to").alias("xz")), "x").join(near.select(F.col("v").alias("y"), "z", F.col("to").alias("yz")), ["y", "z"])
+        motif = F.when(F.col("xz") & F.col("yz"), "m7").when(~F.col("xz") & ~F.col("yz"), "m6").otherwise("m2")
+        found.append(closed.select("x", "y", "z", motif.alias("motif")))
+    rows = found[0]
+    for f in found[1:]:
+        rows = rows.union(f)
+    return rows.where(F.col("motif").isin(*motifs))
 
 
 def all_motifs(trust: DataFrame, motifs: tuple[str, ...] = MOTIFS) -> DataFrame:
@@ -80,8 +104,9 @@ def motif_matrix(trust: DataFrame, motif: str) -> DataFrame:
     return all_motifs(trust, (motif,)).select("i", "j", "w")
 
 
-#: The sums of (left . right) o mask that define the motifs; U one-way, B mutual, V the transpose of U;
-#: the second entry tells whether the sum is added to its transpose.
+# The definition of the motifs. Each is a sum of products (left . right) o mask, written as
+# three letters: U one-way edges, B mutual edges, V the transpose of U. The second entry tells whether
+# the sum is added to its transpose.
 TERMS = {
     "m1": ("UUV", True),
     "m2": ("BUV UBV UUB", True),
