@@ -7,6 +7,7 @@ parts is multiplied once and all eleven steps are made from these.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,21 +69,35 @@ def commuting(path: str, motif: str, step: int, trust: DataFrame, train: DataFra
 def sweep(motifs: DataFrame, base: DataFrame, train: DataFrame, k: int = TOP_K, names: tuple[str, ...] = MOTIFS) -> DataFrame:
     """All motifs of ``motifs`` (motif, i, j, w) and all steps in one plan: (motif, alpha_step, u, b, score, rn).
 
-    A motif of ``names`` without triangles has the base's similarities alone.
+    A motif of ``names`` without triangles has the base's similarities alone. The cells of a motif and user are
+    moved once, not once for each step, and ranked for all steps where they meet: one user's row, as long as
+    there are items at most.
     """
     r = relation(train)
     side = r.select(F.col("i").alias("k"), F.col("j").alias("b"))
     through = motifs.select("motif", F.col("i").alias("u"), F.col("j").alias("k"), "w").join(side, "k").groupBy("motif", "u", "b").agg(F.sum("w").alias("m"))
     plain = multiply(base, r).select(F.col("i").alias("u"), F.col("j").alias("b"), F.col("w").alias("base"))
     each = F.explode(F.array(*map(F.lit, names))).alias("motif")
-    rows = through.select("motif", "u", "b", F.lit(0).cast("long").alias("base"), "m").union(plain.select(each, "u", "b", "base", F.lit(0).cast("long").alias("m")))
-    cells = rows.groupBy("motif", "u", "b").agg(F.sum("base").alias("base"), F.sum("m").alias("m"))
-    every = cells.select("motif", "u", "b", "base", "m", F.explode(F.array(*map(F.lit, STEPS))).alias("alpha_step"))
-    scored = every.select("motif", "alpha_step", "u", "b", ((10 - F.col("alpha_step")) * F.col("base") + F.col("alpha_step") * F.col("m")).alias("w"))
-    return top_k(scored, k, ("motif", "alpha_step", "u"))
-
-
-def density(m: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFrame:
-    """(nnz, n_rows, n_columns, density) of a matrix over its domains."""
-    counts = m.where("w <> 0").agg(F.count("*").alias("nnz")).crossJoin(rows.agg(F.count("*").alias("n_rows"))).crossJoin(columns.agg(F.count("*").alias("n_columns")))  # single rows
-    return counts.withColumn("density", F.col("nnz") / F.col("n_rows") / F.col("n_columns"))
+    none = F.lit(0).cast("long")
+    rows = through.select("motif", "u", "b", none.alias("base"), "m").union(plain.select(each, "u", "b", "base", none.alias("m")))
+
+    def rank(group):
+        import pyarrow as pa
+
+        items, at = np.unique(group.column("b").to_numpy(), return_inverse=True)
+        parts = [np.zeros(len(items), dtype=np.int64) for _ in range(2)]
+        for part, name in zip(parts, ("base", "m"), strict=True):
+            np.add.at(part, at, group.column(name).to_numpy())
+        out = []
+        for step in STEPS:
+            w = (10 - step) * parts[0] + step * parts[1]
+            best = np.flatnonzero(w > 0)
+            if len(best) > k:  # all that reach the k-th score, of which the sort then takes the first k
+                best = best[w[best] >= -np.partition(-w[best], k - 1)[k - 1]]
+            best = best[np.lexsort((items[best], -w[best]))[:k]]
+            out.append((np.full(len(best), step, dtype=np.int32), items[best], w[best] / 10, np.arange(1, len(best) + 1, dtype=np.int32)))
+        steps, b, score, rn = (np.concatenate(c) for c in zip(*out, strict=True))
+        same = [pa.array([group.column(n)[0].as_py()] * len(b), t) for n, t in (("motif", pa.string()), ("u", pa.int64()))]
+        return pa.table([same[0], pa.array(steps), same[1], pa.array(b), pa.array(score), pa.array(rn)], names=["motif", "alpha_step", "u", "b", "score", "rn"])
+
+    return rows.groupBy("motif", "u").applyInArrow(rank, "motif string, alpha_step int, u long, b long, score double, rn int")
