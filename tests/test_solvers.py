@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 
 from tricord import experiment
-from tricord.operators import features, fm, mf
+from tricord.functions import metrics
+from tricord.operators import features, fm, mf, prep
+from tricord.plans import storage
 from tricord.sources import tables
 
 
@@ -77,13 +79,14 @@ def test_fm_gradient_is_that_of_finite_differences(spark, problem):
     x, y = problem
     rng = np.random.default_rng(2)
     q = fm.Params(0.1, rng.normal(size=6), rng.normal(size=(6, 2)))
-    n, _, g = fm.sums(design_of(spark, x, y), [q], gradient=True)
+    [(errors, held)], [g] = fm.sums(fm.packed(design_of(spark, x, y)), [q], 1)
+    assert (errors.rows, held.rows) == (40, 0)
     loss = lambda a: ((fm.predict(x, q.moved(a)) - y) ** 2).mean()
     a = q.stacked
     for i, j in ((0, 0), (3, 1), (5, 2)):
         d = np.zeros_like(a)
         d[i, j] = 1e-6
-        assert abs((loss(a + d) - loss(a - d)) / 2e-6 - g[i, j] * 2 / n) < 1e-4
+        assert abs((loss(a + d) - loss(a - d)) / 2e-6 - g[i, j] * 2 / errors.rows) < 1e-4
 
 
 @pytest.mark.parametrize("solver", ["PG", "mAPG", "nmAPG"])
@@ -95,6 +98,95 @@ def test_fm_solvers_lower_the_objective(spark, problem, solver):
     assert values[-1] < values[0] and q.w.shape == (6,)
 
 
+def dense_fm(x, y, bias, w, p, o, solver):
+    """The published algorithms on whole matrices, one trial of a step size at a time: objectives and parameters."""
+    def loss(bias, a):
+        s = x @ a[:, 1:]
+        return bias + x @ a[:, 0] + 0.5 * ((s**2).sum(axis=1) - ((x**2) @ (a[:, 1:] ** 2)).sum(axis=1)) - y
+
+    def group(v):
+        return sum(np.linalg.norm(v[i : i + o.size]) for i in range(0, len(v), o.size))
+
+    def full(bias, a):
+        return (loss(bias, a) ** 2).mean() + o.reg_w * group(a[:, 0]) + o.reg_p * group(a[:, 1:])
+
+    def slope(bias, a):
+        e = loss(bias, a)
+        g = np.zeros_like(a)
+        for i in range(len(x)):
+            g[:, 0] += e[i] * x[i]
+            for f in range(1, a.shape[1]):
+                g[:, f] += e[i] * (x[i] * (x[i] @ a[:, f]) - x[i] ** 2 * a[:, f])
+        return g * 2 / len(x)
+
+    def shorten(v, eta):
+        out = v.copy()
+        for i in range(0, len(v), o.size):
+            n = np.linalg.norm(v[i : i + o.size])
+            out[i : i + o.size] *= max(0.0, 1 - eta / n) if n > 0 else 0
+        return out
+
+    def step(bias, a, eta):
+        now, g = full(bias, a), slope(bias, a)
+        for _ in range(o.tries + 1):
+            new = np.column_stack((shorten(a[:, 0] - eta * g[:, 0], eta * o.reg_w), shorten(a[:, 1:] - eta * g[:, 1:], eta * o.reg_p)))
+            if full(bias, new) < now:
+                return full(bias, new), new, eta * 1.1
+            eta *= 0.7
+        return now, a, eta
+
+    x0 = x1 = z = np.column_stack((w, p))
+    t0, t1, eta, eta2 = 0.0, 1.0, o.eta, o.eta
+    c, q = full(bias, x1), 1.0
+    values = [c]
+    for _ in range(o.iterations):
+        if solver == "PG":
+            value, x1, eta = step(bias, x1, eta)
+            values.append(value)
+            continue
+        if solver == "nmAPG":
+            bias -= o.bias_eta * 2 * loss(bias, x1).mean()
+        ahead = x1 + t0 / t1 * (z - x1) + (t0 - 1) / t1 * (x1 - x0)
+        fz, z, eta_z = step(bias, ahead, eta)
+        if solver == "mAPG":
+            fv, v, eta_v = step(bias, x1, eta)
+            value, new, eta = (fz, z, eta_z) if fz < fv else (fv, v, eta_v)
+        else:
+            eta, value, new = eta_z, fz, z
+            if not fz < c:
+                fv, v, eta2 = step(bias, x1, eta2)
+                if fv <= fz:
+                    value, new = fv, v
+            q, q_before = 0.5 * q + 1, q
+            c = (0.5 * q_before * c + value) / q
+        x0, x1 = x1, new
+        t0, t1 = t1, (np.sqrt(4 * t1**2 + 1) + 1) / 2
+        values.append(value)
+    return values, bias, x1
+
+
+@pytest.mark.parametrize("solver", ["PG", "mAPG", "nmAPG"])
+def test_fm_is_the_published_algorithm(spark, problem, solver):
+    x, y = problem
+    rng = np.random.default_rng(9)
+    w, p = rng.normal(size=6) * 0.1, rng.normal(size=(6, 2)) * 0.1
+    o = fm.Options(rank=2, size=3, reg_w=0.02, reg_p=0.03, iterations=12, tries=30, eps=0.0, eta=0.5, bias_eta=0.05, solver=solver)
+    d = design_of(spark, x, y)
+    q, history = fm.train(d.repartition(3), d.limit(7), o, fm.Params(2.5, w, p))
+    values, bias, a = dense_fm(x, y, 2.5, w, p, o, solver)
+    rows = history.orderBy("iter").collect()
+    assert np.allclose([r["objective"] for r in rows], values, rtol=1e-9) and np.allclose(q.stacked, a, rtol=1e-7) and abs(q.bias - bias) < 1e-9
+    e = fm.predict(x[:7], q) - y[:7]
+    assert abs(rows[-1]["rmse"] - np.sqrt((e**2).mean())) < 1e-9 and abs(rows[-1]["mae"] - np.abs(e).mean()) < 1e-9
+
+
+def test_fm_literal_momentum_takes_plain_steps(spark, problem):
+    o = fm.Options(rank=2, size=3, initial=0.1, reg_w=0.01, reg_p=0.01, iterations=4, tries=30, eta=0.1)
+    d = design_of(spark, *problem)
+    found = [[r["objective"] for r in fm.train(d, None, fm.replace(o, solver=s, literal_momentum=s == "mAPG"))[1].orderBy("iter").collect()] for s in ("mAPG", "PG")]
+    assert len(found[0]) == 5 and np.allclose(found[0][:2], found[1][:2])
+
+
 def test_fm_large_penalty_leaves_the_mean(spark, problem):
     d = design_of(spark, *problem)
     q, _ = fm.train(d, None, fm.Options(rank=2, size=3, reg_w=1e6, reg_p=1e6, iterations=2, eta=0.1, solver="PG"))
@@ -122,6 +214,80 @@ def test_design_train_refuses_unknown_ids_and_test_fills_zeros(spark):
     assert got == {1: [1.0, 2.0, 1.0, 2.0], 2: [0.0, 0.0, 1.0, 2.0]}
 
 
+def test_design_texts_round_trip(spark, tmp_path):
+    d = tables.random_design(spark, 50, 4, seed=3)
+    rows = [tuple(r) for r in d.collect()]
+    assert len(rows) == 50 and all(len(x) == 4 and 0 <= y <= 1 for x, y in rows)
+    tables.write_design(d, str(tmp_path / "X"), str(tmp_path / "Y"))
+    assert sorted(tuple(r) for r in tables.read_design(spark, str(tmp_path / "X"), str(tmp_path / "Y")).collect()) == sorted(rows)
+    (tmp_path / "X1").write_text("1 2\n\n3 4\n5\n")
+    (tmp_path / "Y1").write_text("1\n2\n3\n")
+    with pytest.raises(Exception, match="line 2"):
+        tables.read_design(spark, str(tmp_path / "X1"), str(tmp_path / "Y1")).collect()
+
+
+def test_synthetic_experiment_from_the_command_line(spark, tmp_path, capsys):
+    for name, seed in (("train", 1), ("test", 2)):
+        d = tables.random_design(spark, 60, 8, seed)
+        tables.write_design(d, f"{tmp_path}/{name}_X", f"{tmp_path}/{name}_Y")
+    (tmp_path / "s.yaml").write_text(f"dt: synthetic\ndata_dir: {tmp_path}/\ntrain_X: train_X\ntrain_Y: train_Y\ntest_X: test_X\ntest_Y: test_Y\nF: 4\nK: 2\nmax_iters: 3\neta: 0.01\nln: 20\n")
+    experiment.main([str(tmp_path / "s.yaml"), "-reg", "0.1"])
+    assert "synthetic" in capsys.readouterr().out
+
+
+def test_baseline(spark, sf):
+    r = mf.baseline(tables.ratings(spark, sf), mf.Options(rank=3, eps=500.0, lamb=1.0, iterations=3)).first()
+    assert 0 < r["mae"] <= r["rmse"] < 3
+
+
+def test_relative_decrease_and_last_average(spark):
+    h = spark.createDataFrame([("a", 0, 10.0, 4.0, 2.0), ("a", 1, 8.0, 3.0, 1.0), ("a", 2, 6.0, 1.0, 0.5), ("b", 0, 1.0, 9.0, 9.0)], "key string, iter int, objective double, rmse double, mae double")
+    got = {(r["key"], r["iter"]): r["decrease"] for r in metrics.relative_decrease(h, ("key",)).collect()}
+    assert got == {("a", 0): None, ("a", 1): 0.2, ("a", 2): 0.25, ("b", 0): None}
+    assert tuple(metrics.last_average(h.where("key = 'a'"), 2).first()) == (2.0, 0.75)
+
+
+def test_factor_and_parameter_sinks(spark, tmp_path):
+    f = spark.createDataFrame([(1, "g", 2, [1.0, 2.0]), (2, "h", 2, [3.0, 4.0])], "id long, graph string, rank int, features array<double>")
+    tables.write_factors(f, str(tmp_path / "f"))
+    back = spark.read.parquet(str(tmp_path / "f"))
+    assert {(r["id"], r["graph"], r["rank"], tuple(r["features"])) for r in back.collect()} == {(1, "g", 2, (1.0, 2.0)), (2, "h", 2, (3.0, 4.0))}
+    tables.write_parameters(spark, [0.5, 0.25], [[1.0, 2.0], [3.0, 4.0]], 3.5, str(tmp_path / "p"))
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "p")).orderBy("feature").collect()] == [(-1, 3.5, []), (0, 0.5, [1.0, 2.0]), (1, 0.25, [3.0, 4.0])]
+    (tmp_path / "text").write_text("7\t0.5\t1.5\n")
+    assert [tuple(r) for r in tables.read_factors(spark, str(tmp_path / "text"), 2).collect()] == [(7, [0.5, 1.5])]
+
+
+def test_matlab_source(spark, tmp_path):
+    io = pytest.importorskip("scipy.io")
+    io.savemat(tmp_path / "m.mat", {"rating": np.array([[1, 2, 9, 4], [3, 4, 9, 5]])})
+    assert {tuple(r) for r in tables.read_matrix(spark, str(tmp_path / "m.mat"), "rating", "u long, b long, c long, rating double").collect()} == {(1, 2, 9, 4.0), (3, 4, 9, 5.0)}
+
+
+def test_every_graph_in_one_sweep(spark, sf):
+    trust, train = tables.trust(spark, sf), prep.train_of(prep.split_ratings(tables.ratings(spark, sf)))
+    graphs = experiment.every_graph()
+    relations = experiment.graph_relations(trust, train, graphs, k=5)
+    found = {r["key"] for r in relations.select("key").distinct().collect()}
+    # a motif without triangles has no similarities at the end where only it counts
+    assert "ratings_only" in found and {g for g in graphs if not g.endswith("_1.0")} <= found | {"ratings_only"}
+    users, items, history = mf.train(relations, None, mf.Options(rank=2, iterations=1))
+    assert {r["key"] for r in users.select("key").distinct().collect()} == found == {r["key"] for r in history.collect()}
+
+
+def test_no_local_folder_on_a_cluster():
+    class Cluster:
+        class sparkContext:  # noqa: N801
+            master = "yarn"
+            getConf = staticmethod(lambda: {})
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, other: other)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(Cluster, "x")
+
+
 def test_settings(tmp_path):
     f = tmp_path / "s.yaml"
     f.write_text("dt: x\neta: 1e-3\nmeta_graphs: ['UUB_m1_0.5']\ntheta: 10\n")

@@ -3,10 +3,14 @@
     y = bias + x.w + 1/2 sum_f ((x.p_f)^2 - (x^2).(p_f^2))
     objective = mean squared error + reg_w sum_g |w_g| + reg_p sum_g |p_g|
 
-Groups are blocks of ``size`` features. The design stays on the executors; parameters (a few
-thousand numbers: features times rank) live on the driver. A pass over the design returns sums
-only: squared errors of several parameter sets at once, and gradients as one row for each number.
-Line searches try eight steps a pass, in the order in which one after another would be tried.
+Groups are blocks of ``size`` features. The design stays on the executors, packed into blocks of rows that
+tasks read as matrices; parameters (a few thousand numbers: features times rank) live on the driver. A
+pass over the design returns sums only: squared errors of several parameter sets at once, on the training
+and on the test rows, and gradients as one row for each number. A proximal step takes a pass for the
+gradient and one or more for the step sizes, which are tried in order, a few more at a time in each pass.
+
+The accelerated forms are those published for nonconvex programs: from x_k, x_k-1 and the last extrapolated
+step z_k, y_k = x_k + t_k-1/t_k (z_k - x_k) + (t_k-1 - 1)/t_k (x_k - x_k-1), with t_k+1 = (sqrt(4 t_k^2 + 1) + 1)/2.
 """
 
 from __future__ import annotations
@@ -18,7 +22,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-AT_ONCE = 8
+from tricord.plans.storage import materialize
+
+#: Step sizes tried in the first passes of a search; later ones try as many as the last.
+TRIED = (2, 4, 8)
+BLOCK_BYTES = 4 << 20
 GROW, SHRINK = 1.1, 0.7
 
 
@@ -76,65 +84,119 @@ def penalty(q: Params, o: Options) -> float:
     return float(o.reg_w * group_norms(q.w, o.size).sum() + o.reg_p * group_norms(q.p, o.size).sum())
 
 
-def sums(design: DataFrame, sets: list[Params], gradient: bool = False) -> tuple[float, list[tuple[float, float, float]], np.ndarray | None]:
-    """(rows, [(sum of errors, of squares, of absolutes) of each set], gradient sums of the first set).
+@dataclass(frozen=True)
+class Errors:
+    rows: float
+    total: float
+    square: float
+    absolute: float
+
+    @property
+    def mean_square(self) -> float:
+        return self.square / self.rows
+
+
+def packed(design: DataFrame, test: DataFrame | None = None) -> DataFrame:
+    """(held, n, x, y): the rows (x, y) of a design, and those of a test design as held ones, as blocks of little-endian doubles."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            width = max(1, len(batch.column(1).slice(0, 1).flatten()))
+            at_once = max(1, BLOCK_BYTES // (8 * width))
+            for i in range(0, batch.num_rows, at_once):
+                part = batch.slice(i, at_once)
+                x, y = part.column(1).flatten().to_numpy(zero_copy_only=False), part.column(2).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(0, 1), pa.array([len(y)], pa.int32()), pa.array([x.astype("<f8").tobytes()], pa.binary()), pa.array([y.astype("<f8").tobytes()], pa.binary())], ["held", "n", "x", "y"])
+
+    pack = lambda rows, held: rows.select(F.lit(held).alias("held"), "x", "y").mapInArrow(run, "held boolean, n int, x binary, y binary")
+    return pack(design, False) if test is None else pack(design, False).unionByName(pack(test, True))
+
+
+def sums(blocks: DataFrame, sets: list[Params], gradients: int = 0) -> tuple[list[tuple[Errors, Errors]], list[np.ndarray]]:
+    """Errors of each set on the training and on the held rows, and the training rows' gradient sums of the first ``gradients`` sets.
 
     A gradient has a column for w and one for each factor, as the sums of err x and of
     err (x (x.p_f) - p_f x^2), before the factor 2 / rows.
     """
-    shared = design.sparkSession.sparkContext.broadcast(sets)  # features times rank, AT_ONCE times at most
+    shared = blocks.sparkSession.sparkContext.broadcast(sets)  # features times rank, a few times
+    size = sets[0].stacked.size
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         sets = shared.value
-        total = np.zeros(1 + 3 * len(sets) + (sets[0].stacked.size if gradient else 0))
+        errors, found = np.zeros((2, len(sets), 4)), np.zeros((gradients, size))
         any_rows = False
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            any_rows = True
-            y = batch.column(batch.schema.get_field_index("y")).to_numpy(zero_copy_only=False)
-            x = batch.column(batch.schema.get_field_index("x")).flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1)
-            total[0] += len(y)
-            for k, q in enumerate(sets):
-                err = predict(x, q) - y
-                total[1 + 3 * k : 4 + 3 * k] += err.sum(), err @ err, np.abs(err).sum()
-                if gradient and k == 0:
-                    gp = x.T @ (err[:, None] * (x @ q.p)) - q.p * ((x * x).T @ err)[:, None]
-                    total[1 + 3 * len(sets) :] += np.column_stack((x.T @ err, gp)).ravel()
+            for held, n, x, y in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("held", "n", "x", "y")), strict=True):
+                any_rows = True
+                x, y = np.frombuffer(x, "<f8").reshape(n, -1), np.frombuffer(y, "<f8")
+                for k, q in enumerate(sets):
+                    err = predict(x, q) - y
+                    errors[int(held), k] += n, err.sum(), err @ err, np.abs(err).sum()
+                    if k < gradients and not held:
+                        of_p = x.T @ (err[:, None] * (x @ q.p)) - q.p * ((x * x).T @ err)[:, None]
+                        found[k] += np.column_stack((x.T @ err, of_p)).ravel()
         if any_rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["k", "v"])
+            every = np.concatenate((errors.ravel(), found.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(every))), pa.array(every)], ["k", "v"])
 
-    found = design.select("x", "y").mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas().sort_values("k")["v"].to_numpy()
+    rows = blocks.mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
     shared.unpersist()
-    if not len(found):
+    every = np.zeros(8 * len(sets) + gradients * size)
+    every[[r["k"] for r in rows]] = [r["v"] for r in rows]
+    errors = every[: 8 * len(sets)].reshape(2, len(sets), 4)
+    if not errors[0, 0, 0]:
         raise ValueError("the design has no rows")
-    errors = [tuple(map(float, found[1 + 3 * k : 4 + 3 * k])) for k in range(len(sets))]
-    return float(found[0]), errors, found[1 + 3 * len(sets) :].reshape(sets[0].stacked.shape) if gradient else None
+    pairs = [tuple(Errors(*map(float, errors[held, k])) for held in (0, 1)) for k in range(len(sets))]
+    return pairs, list(every[8 * len(sets) :].reshape((gradients, *sets[0].stacked.shape)))
+
+
+def objective(blocks: DataFrame, q: Params, o: Options) -> float:
+    return sums(blocks, [q])[0][0][0].mean_square + penalty(q, o)
 
 
-def objective(design: DataFrame, q: Params, o: Options) -> float:
-    n, [(_, square, _)], _ = sums(design, [q])
-    return square / n + penalty(q, o)
+@dataclass(frozen=True)
+class Step:
+    """Parameters with their objective and errors, and how a proximal step got there; the next step size to try is ``eta``."""
+
+    params: Params
+    value: float
+    errors: Errors
+    held: Errors
+    eta: float
+    tries: int = 0
+    accepted: bool = True
 
 
-def step_from(design: DataFrame, q: Params, eta: float, o: Options) -> tuple[float, float, int, Params, bool]:
-    """A proximal step from q: (objective, the next eta, tries, parameters, accepted).
+def proximal_steps(blocks: DataFrame, starts: list[Params], etas: list[float], o: Options) -> list[Step]:
+    """A proximal step from each start, in the same passes.
 
-    The step shrinks until the objective falls below that at q; if it never does, q and its own objective return.
+    A step size shrinks until the objective falls below that at the start; if it never does, the start
+    returns with its own objective.
     """
-    n, [(_, square, _)], g = sums(design, [q], gradient=True)
-    now, g = square / n + penalty(q, o), g * (2 / n)
-    tried = 0
-    while tried <= o.tries:
-        etas = [eta * SHRINK**k for k in range(min(AT_ONCE, o.tries + 1 - tried))]
-        sets = [replace(q, w=prox(q.w - e * g[:, 0], e * o.reg_w, o.size), p=prox(q.p - e * g[:, 1:], e * o.reg_p, o.size)) for e in etas]
-        for k, (e, s, (_, square, _)) in enumerate(zip(etas, sets, sums(design, sets)[1], strict=True)):
-            if (value := square / n + penalty(s, o)) < now:
-                return value, e * GROW, tried + k, s, True
-        tried, eta = tried + len(etas), etas[-1] * SHRINK
-    return now, eta, tried - 1, q, False
+    pairs, gradients = sums(blocks, starts, len(starts))
+    out = [Step(q, e.mean_square + penalty(q, o), e, h, eta, -1, False) for q, (e, h), eta in zip(starts, pairs, etas, strict=True)]
+    slopes = [g * (2 / e.rows) for g, (e, _) in zip(gradients, pairs, strict=True)]
+    turn = 0
+    while todo := [i for i, s in enumerate(out) if not s.accepted and s.tries < o.tries]:
+        sets = []
+        for i in todo:
+            q, g = starts[i], slopes[i]
+            for k in range(min(TRIED[min(turn, len(TRIED) - 1)], o.tries - out[i].tries)):
+                eta = out[i].eta * SHRINK**k
+                sets.append((i, eta, replace(q, w=prox(q.w - eta * g[:, 0], eta * o.reg_w, o.size), p=prox(q.p - eta * g[:, 1:], eta * o.reg_p, o.size))))
+        for (i, eta, q), (e, h) in zip(sets, sums(blocks, [q for _, _, q in sets])[0], strict=True):
+            if out[i].accepted:
+                continue
+            value, tries = e.mean_square + penalty(q, o), out[i].tries + 1
+            out[i] = Step(q, value, e, h, eta * GROW, tries) if value < out[i].value else replace(out[i], eta=eta * SHRINK, tries=tries)
+        turn += 1
+    return out
 
 
 def start(design: DataFrame, o: Options) -> Params:
@@ -149,80 +211,82 @@ def start(design: DataFrame, o: Options) -> Params:
 def train(design: DataFrame, test: DataFrame | None, o: Options, q: Params | None = None) -> tuple[Params, DataFrame]:
     """(parameters, history); history: (iter, objective, rmse, mae, step, tries, accelerated, status), iter 0 the start.
 
-    ``design`` should be cached or written, as each pass reads it. Errors are those on ``test``, null without.
+    Errors are those on ``test``, null without.
     """
     solvers = {"PG": _plain, "mAPG": _monotone, "nmAPG": _non_monotone}
     if o.solver not in solvers:
         raise ValueError(f"no solver {o.solver!r}; there are {', '.join(solvers)}")
     q = start(design, o) if q is None else q
+    blocks = materialize(packed(design, test), "fm-blocks")
+    (errors, held), = sums(blocks, [q])[0]
+    now = Step(q, errors.mean_square + penalty(q, o), errors, held, o.eta)
     history: list[tuple] = []
 
-    def note(q: Params, value: float, eta: float | None, tries: int, accelerated: bool, status: str = "ok") -> bool:
+    def note(s: Step, accelerated: bool = False, ok: bool = True) -> bool:
         """Whether to stop."""
-        errors = (None, None)
-        if test is not None:
-            n, [(_, square, absolute)], _ = sums(test, [q])
-            errors = (float(np.sqrt(square / n)), absolute / n)
+        found = ((s.held.mean_square) ** 0.5, s.held.absolute / s.held.rows) if s.held.rows else (None, None)
         before = history[-1][1] if history else None
-        history.append((len(history), value, *errors, eta, tries, accelerated, status))
-        return before is not None and before > 0 and abs(before - value) / before < o.eps
+        history.append((len(history), s.value, *found, s.eta, s.tries, accelerated, "ok" if ok else "failed"))
+        return not ok or (before is not None and before > 0 and abs(before - s.value) / before < o.eps)
 
-    note(q, objective(design, q, o), o.eta, 0, False)
-    q = solvers[o.solver](design, q, o, note, history)
-    return q, design.sparkSession.createDataFrame(history, "iter int, objective double, rmse double, mae double, step double, tries int, accelerated boolean, status string")
+    note(now)
+    for s, accelerated, ok in solvers[o.solver](blocks, now, o):
+        now = s
+        if note(s, accelerated, ok):
+            break
+    return now.params, design.sparkSession.createDataFrame(history, "iter int, objective double, rmse double, mae double, step double, tries int, accelerated boolean, status string")
 
 
-def _plain(design, q, o, note, history) -> Params:
-    eta = o.eta
+def _plain(blocks: DataFrame, s: Step, o: Options) -> Iterator[tuple[Step, bool, bool]]:
     for _ in range(o.iterations):
-        value, eta, tries, q, ok = step_from(design, q, eta, o)
-        if note(q, value, eta, tries, False, "ok" if ok else "failed") or not ok:
-            break
-    return q
+        (s,) = proximal_steps(blocks, [s.params], [s.eta], o)
+        yield s, False, s.accepted
+
+
+@dataclass
+class Momentum:
+    """x_k-1, x_k, z_k, t_k-1 and t_k of the published recurrence; t_k-1 stays 0 where it is ``fixed``."""
+
+    x: np.ndarray
+    fixed: bool = False
 
+    def __post_init__(self):
+        self.x_before, self.z, self.t_before, self.t = self.x, self.x, 0.0, 1.0
 
-def _momentum(r: float) -> float:
-    return (np.sqrt(4 * r * r + 1) + 1) / 2
+    @property
+    def y(self) -> np.ndarray:
+        return self.x + self.t_before / self.t * (self.z - self.x) + (self.t_before - 1) / self.t * (self.x - self.x_before)
+
+    def advance(self, x: np.ndarray, z: np.ndarray) -> None:
+        self.x_before, self.x, self.z = self.x, x, z
+        t = self.t
+        self.t = (np.sqrt(4 * (self.t_before if self.fixed else t) ** 2 + 1) + 1) / 2
+        self.t_before = self.t_before if self.fixed else t
 
 
-def _monotone(design, q, o, note, history) -> Params:
-    a0 = a1 = c1 = q.stacked
-    r0, r1, eta = 0.0, 1.0, o.eta
+def _monotone(blocks: DataFrame, s: Step, o: Options) -> Iterator[tuple[Step, bool, bool]]:
+    """x_k+1 is the better one of z_k+1, a step from y_k, and v_k+1, a step from x_k."""
+    at = Momentum(s.params.stacked, o.literal_momentum)
     for _ in range(o.iterations):
-        plain = step_from(design, q.moved(a1), eta, o)
-        far = step_from(design, q.moved(a1 + r0 / r1 * (c1 - a1) + (r0 - 1) / r1 * (a1 - a0)), eta, o)
-        c1 = far[3].stacked
-        value, eta, tries, q, ok = far if far[0] < plain[0] else plain
-        a0, a1 = a1, q.stacked
-        if not o.literal_momentum:
-            r0 = r1
-        r1 = _momentum(r0)
-        if note(q, value, eta, tries, far[0] < plain[0], "ok" if ok else "failed") or not ok:
-            break
-    return q
+        z, v = proximal_steps(blocks, [s.params.moved(at.y), s.params.moved(at.x)], [s.eta, s.eta], o)
+        s = z if z.value < v.value else v
+        at.advance(s.params.stacked, z.params.stacked)
+        yield s, s is z, s.accepted
 
 
-def _non_monotone(design, q, o, note, history) -> Params:
-    a0 = a1 = c1 = q.stacked
-    bound, weight, r0, r1 = history[0][1], 1.0, 0.0, 1.0
-    eta_far = eta_plain = o.eta
+def _non_monotone(blocks: DataFrame, s: Step, o: Options) -> Iterator[tuple[Step, bool, bool]]:
+    """x_k+1 is z_k+1 if that falls below c_k, a mean of past objectives; only else is v_k+1 made. The bias takes a step of its own."""
+    at, c, q = Momentum(s.params.stacked), s.value, 1.0
+    eta_z = eta_v = o.eta
     bias_eta = o.eta if o.bias_eta is None else o.bias_eta
     for _ in range(o.iterations):
-        n, [(error, _, _)], _ = sums(design, [q])
-        q = replace(q, bias=q.bias - bias_eta * 2 / n * error)
-        far = step_from(design, q.moved(a1 + r0 / r1 * (c1 - a1) + (r0 - 1) / r1 * (a1 - a0)), eta_far, o)
-        eta_far, c1, best = far[1], far[3].stacked, far
-        ok = far[4]
-        if not far[0] < bound:
-            plain = step_from(design, q.moved(a1), eta_plain, o)
-            eta_plain, ok = plain[1], ok and plain[4]
-            if plain[0] <= far[0]:
-                best = plain
-        value, eta, tries, q, _ = best
-        a0, a1 = a1, q.stacked
-        r0, r1 = r1, _momentum(r1)
-        grown = 0.5 * weight + 1
-        bound, weight = (0.5 * weight * bound + value) / grown, grown
-        if note(q, value, eta, tries, best is far, "ok" if ok else "failed") or not ok:
-            break
-    return q
+        moved = replace(s.params, bias=s.params.bias - bias_eta * 2 / s.errors.rows * s.errors.total)
+        (z,) = proximal_steps(blocks, [moved.moved(at.y)], [eta_z], o)
+        eta_z, s, ok = z.eta, z, z.accepted
+        if not z.value < c:
+            (v,) = proximal_steps(blocks, [moved.moved(at.x)], [eta_v], o)
+            eta_v, s, ok = v.eta, v if v.value <= z.value else z, ok and v.accepted
+        at.advance(s.params.stacked, z.params.stacked)
+        q, before = 0.5 * q + 1, q
+        c = (0.5 * before * c + s.value) / q
+        yield s, s is z, ok

@@ -5,6 +5,10 @@ problem of its own, and all advance in the same joins, so 78 graphs cost no more
 Nothing of a problem's size comes to the driver: along a gradient the objective is a polynomial of
 degree 4 in the step, so one pass gives its coefficients for each key, and the whole line search
 is decided on these few numbers.
+
+Factors of both sides are one table (key, side, id, features), side being ``u`` or ``b``. An iteration
+is two jobs: one writes the factors with their gradients, the other returns the coefficients and the
+test errors; the step itself is a projection that the next iteration's first job makes.
 """
 
 from __future__ import annotations
@@ -15,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tricord.functions.vectors import axpy, dot, sum_vectors
-from tricord.plans.storage import materialize
+from tricord.operators.prep import TWO_SHARES, split_ratings
+from tricord.plans.storage import materialize, remove, shared_dir, written
 
 TRIES = 20
 
@@ -34,52 +39,65 @@ def initial_features(rank: int, scale: float = 1e-4, shift: int = 0, key: str =
     return F.array(*[F.lit(scale) * (1 + F.pmod(F.col(key) * 31 + 17 * k + shift, F.lit(97)) / F.lit(97.0)) for k in range(rank)])
 
 
-def factors_of(rows: DataFrame, side: str, rank: int, scale: float = 1e-4) -> DataFrame:
-    """(key, id, features) of the distinct ids on a side of the relations."""
-    return rows.select("key", F.col(side).alias("id")).distinct().select("key", "id", initial_features(rank, scale).alias("features"))
+def factors_of(rows: DataFrame, rank: int, scale: float = 1e-4) -> DataFrame:
+    """(key, side, id, features) of the distinct ids on both sides of the relations."""
+    ends = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(side).alias("id")) for side in "ub"])).alias("e")
+    return rows.select("key", ends).select("key", "e.side", "e.id").distinct().select("key", "side", "id", initial_features(rank, scale).alias("features"))
+
+
+def _beside(rows: DataFrame, factors: DataFrame, *names: str) -> DataFrame:
+    """Rows with columns ``u_name`` and ``b_name`` of both sides' factors; null where an id has none."""
+    for side in "ub":
+        own = factors.where(F.col("side") == side).select("key", F.col("id").alias(side), *[F.col(n).alias(f"{side}_{n}") for n in names])
+        rows = rows.join(own, ["key", side], "left")
+    return rows
 
 
-def _beside(rows: DataFrame, users: DataFrame, items: DataFrame, names: dict[str, str]) -> DataFrame:
-    """Rows with columns of both sides: ``names`` maps a factor column to the suffix it gets."""
-    left = users.select("key", F.col("id").alias("u"), *[F.col(c).alias(f"u{s}") for c, s in names.items()])
-    right = items.select("key", F.col("id").alias("b"), *[F.col(c).alias(f"v{s}") for c, s in names.items()])
-    return rows.join(left, ["key", "u"]).join(right, ["key", "b"])
+def _left(x: Column) -> Column:
+    return x - F.coalesce(dot(F.col("u_features"), F.col("b_features")), F.lit(0.0))
 
 
-def residuals(rows: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
-    """(key, u, b, r): x less the key's ``mu`` and the product, at the observed cells only."""
-    both = _beside(rows, users, items, {"features": "_f"})
-    return both.select("key", "u", "b", (F.col("x") - F.col("mu") - dot(F.col("u_f"), F.col("v_f"))).alias("r"))
+def residuals(rows: DataFrame, factors: DataFrame) -> DataFrame:
+    """(key, u, b, r) of rows (key, u, b, x), x being above the key's mean: x less the product, at the observed cells only."""
+    return _beside(rows, factors, "features").select("key", "u", "b", _left(F.col("x")).alias("r"))
 
 
-def objective(res: DataFrame, users: DataFrame, items: DataFrame, lamb: float) -> DataFrame:
+def objective(rows: DataFrame, factors: DataFrame, lamb: float) -> DataFrame:
     """(key, objective): half the squared residuals and lambda times half the squared factors."""
-    square = lambda fs: fs.select("key", (dot(F.col("features"), F.col("features")) * lamb).alias("o"))
-    return res.select("key", (F.col("r") * F.col("r")).alias("o")).union(square(users)).union(square(items)).groupBy("key").agg((F.sum("o") / 2).alias("objective"))
+    square = factors.select("key", (dot(F.col("features"), F.col("features")) * lamb).alias("o"))
+    return residuals(rows, factors).select("key", (F.col("r") * F.col("r")).alias("o")).union(square).groupBy("key").agg((F.sum("o") / 2).alias("objective"))
 
 
-def gradient(res: DataFrame, own: DataFrame, other: DataFrame, side: str, lamb: float | Column, rank: int) -> DataFrame:
-    """(key, id, features, g) of a side (``u`` or ``b``): lambda times its factors less the residuals times the others'."""
-    far = "b" if side == "u" else "u"
-    parts = res.join(other.select("key", F.col("id").alias(far), F.col("features").alias("f")), ["key", far])
-    parts = parts.select("key", F.col(side).alias("id"), F.transform("f", lambda v: v * F.col("r")).alias("p"))
-    sums = parts.groupBy("key", "id").agg(sum_vectors("p", rank).alias("s"))
+def gradient(rows: DataFrame, factors: DataFrame, lamb: Column | float, rank: int) -> DataFrame:
+    """(key, side, id, features, g) of both sides: lambda times the factors less the residuals times the other side's."""
+    r = _left(F.col("x"))
+    parts = _beside(rows, factors, "features").select("key", "u", "b", r.alias("r"), "u_features", "b_features")
+    one = lambda own, other: F.struct(F.lit(own).alias("side"), F.col(own).alias("id"), F.transform(f"{other}_features", lambda v: v * F.col("r")).alias("p"))
+    sums = parts.select("key", F.explode(F.array(one("u", "b"), one("b", "u"))).alias("e")).select("key", "e.side", "e.id", "e.p").groupBy("key", "side", "id").agg(sum_vectors("p", rank).alias("s"))
     factor = lamb if isinstance(lamb, Column) else F.lit(float(lamb))
-    return own.join(sums, ["key", "id"], "left").select(*own.columns, F.when(F.col("s").isNull(), F.transform("features", lambda x: x * factor)).otherwise(F.zip_with("features", "s", lambda x, s: factor * x - s)).alias("g"))
+    g = F.when(F.col("s").isNull(), F.transform("features", lambda x: x * factor)).otherwise(F.zip_with("features", "s", lambda x, s: factor * x - s))
+    return factors.join(sums, ["key", "side", "id"], "left").select("key", "side", "id", "features", g.alias("g"))
+
+
+SUMS = ("rr", "ra", "rc", "aa", "ac", "cc", "n0", "n1", "n2", "rows", "square", "absolute")
 
 
-def line_coefficients(res: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
-    """(key, rr, ra, rc, aa, ac, cc, n0, n1, n2) of the objective along the gradients.
+def line_coefficients(rows: DataFrame, factors: DataFrame) -> DataFrame:
+    """(key, rr, ra, rc, aa, ac, cc, n0, n1, n2, rows, square, absolute) of the objective along the gradients.
 
     With step s a residual becomes r + s a - s^2 c; n0 to n2 are the factors' inner products with
-    themselves, with their gradient, and the gradient's with itself.
+    themselves, with their gradient, and the gradient's with itself. Rows with ``held`` don't belong to the
+    objective: they are counted, and their errors' squares and absolutes added up.
     """
-    both = _beside(res, users, items, {"features": "_f", "g": "_g"})
-    a, c = dot(F.col("u_g"), F.col("v_f")) + dot(F.col("u_f"), F.col("v_g")), dot(F.col("u_g"), F.col("v_g"))
-    both = both.select("key", "r", a.alias("a"), c.alias("c"))
-    sums = both.groupBy("key").agg(*[F.sum(F.col(x) * F.col(y)).alias(x + y) for x, y in ("rr", "ra", "rc", "aa", "ac", "cc")])
-    norm = lambda fs: fs.select("key", dot(F.col("features"), F.col("features")).alias("n0"), dot(F.col("features"), F.col("g")).alias("n1"), dot(F.col("g"), F.col("g")).alias("n2"))
-    return sums.join(norm(users).union(norm(items)).groupBy("key").agg(*[F.sum(n).alias(n) for n in ("n0", "n1", "n2")]), "key")
+    a, c = dot(F.col("u_g"), F.col("b_features")) + dot(F.col("u_features"), F.col("b_g")), dot(F.col("u_g"), F.col("b_g"))
+    both = _beside(rows, factors, "features", "g").select("key", "held", _left(F.col("x")).alias("r"), a.alias("a"), c.alias("c"))
+    zero = F.lit(0.0)
+    of = lambda held, value: F.when(F.col("held") == F.lit(held), value).otherwise(zero)
+    cells = [of(False, F.col(x) * F.col(y)).alias(x + y) for x, y in ("rr", "ra", "rc", "aa", "ac", "cc")] + [zero.alias(n) for n in ("n0", "n1", "n2")] + [of(True, v).alias(n) for n, v in (("rows", F.lit(1.0)), ("square", F.col("r") * F.col("r")), ("absolute", F.abs("r")))]
+    f, g = F.col("features"), F.col("g")
+    norms = {"n0": dot(f, f), "n1": dot(f, g), "n2": dot(g, g)}
+    every = both.select("key", *cells).union(factors.select("key", *[norms.get(n, zero).alias(n) for n in SUMS]))
+    return every.groupBy("key").agg(*[F.sum(n).alias(n) for n in SUMS])
 
 
 def along(c: dict, s: float, lamb: float) -> float:
@@ -99,73 +117,86 @@ def search(c: dict, eps: float, lamb: float) -> tuple[float | None, float, float
     return None, eps, now, TRIES
 
 
+def _by_key(values: dict[str, float]) -> Column:
+    """The value of a row's key, null for others: as many literals as there are problems."""
+    if not values:
+        return F.lit(None).cast("double")
+    return F.element_at(F.map_from_arrays(F.array(*[F.lit(k) for k in values]), F.array(*[F.lit(float(v)) for v in values.values()])), F.col("key"))
+
+
+def _in(keys: set[str]) -> Column:
+    return F.col("key").isin(sorted(keys))
+
+
 def train(relations: DataFrame, test: DataFrame | None, options: Options | dict[str, Options]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Factors of all relations: (users, items, history).
+    """Factors of all relations: (users, items, history), factors being (key, id, features).
 
     ``relations`` and ``test`` are (key: string, u, b, x); a key has its own options where a dict is
     given, all of one rank. A history row is (key, iter, objective, rmse, mae, step, tries, status);
-    rmse and mae are those on the key's test rows, null without. Repeated (key, u, b) are averaged.
-    Written to the shared folder at each iteration, so a lost executor repeats one iteration at most.
+    rmse and mae are those on the key's test rows, null without; an id without factors leaves the
+    mean, and nothing is clipped to the scale. Repeated (key, u, b) are averaged. Gradients are written
+    to the shared folder at each iteration, so a lost executor repeats one iteration at most.
     """
     spark = relations.sparkSession
     rows = relations.groupBy("key", "u", "b").agg(F.avg("x").alias("x"))
     mean = materialize(rows.groupBy("key").agg(F.avg("x").alias("mu")), "mf-means")  # a row for each key
-    rows = materialize(rows.join(F.broadcast(mean), "key"), "mf-rows")
+    every = rows.withColumn("held", F.lit(False))
+    if test is not None:
+        every = every.unionByName(test.select("key", "u", "b", "x", F.lit(True).alias("held")))
+    every = materialize(every.join(F.broadcast(mean), "key").select("key", "u", "b", (F.col("x") - F.col("mu")).alias("x"), "held"), "mf-rows")
     keys = sorted(r["key"] for r in mean.select("key").collect())
     of = options if isinstance(options, dict) else dict.fromkeys(keys, options)
     ranks = {of[k].rank for k in keys}
     if len(ranks) > 1:
         raise ValueError("problems that are trained together need one rank; train each rank on its own")
     rank = ranks.pop() if ranks else 1
-    users, items = (materialize(factors_of(rows, side, rank), f"mf-{side}") for side in "ub")
-    eps, active, before = {k: of[k].eps for k in keys}, set(keys), {}
-    history: list[tuple] = []
-    each = lambda values: F.broadcast(spark.createDataFrame([(k, float(v)) for k, v in values.items()], "key string, value double"))  # a row for each key
-    lambs = each({k: of[k].lamb for k in keys})
+    factors = materialize(factors_of(every.where("NOT held"), rank), "mf-factors")
+    eps, active, ended, before, history, old = {k: of[k].eps for k in keys}, set(keys), [], {}, [], None
+    errors = lambda c: (None, None) if not c["rows"] else ((c["square"] / c["rows"]) ** 0.5, c["absolute"] / c["rows"])
     for t in range(max((of[k].iterations for k in keys), default=0)):
-        running = F.col("key").isin(sorted(active)) if active != set(keys) else F.lit(True)
-        res = materialize(residuals(rows.where(running), users, items), "mf-residuals")
-        own_u, own_b = (fs.where(running).join(lambs.withColumnRenamed("value", "lamb"), "key") for fs in (users, items))
-        gu = materialize(gradient(res, own_u, items, "u", F.col("lamb"), rank).drop("lamb"), "mf-gu")
-        gb = materialize(gradient(res, own_b, users, "b", F.col("lamb"), rank).drop("lamb"), "mf-gb")
-        steps = {}
-        scores = _test_scores(test, mean, users, items)
-        for c in line_coefficients(res, gu, gb).collect():  # a row for each key
-            k, c = c["key"], c.asDict()
-            start = along(c, 0.0, of[k].lamb)
+        running = every.where(_in(active))
+        path = shared_dir(spark, "mf-gradients")
+        g = written(gradient(running.where("NOT held"), factors.where(_in(active)), _by_key({k: of[k].lamb for k in active}), rank), path)
+        if old:
+            remove(spark, old)
+        steps, done = {}, set()
+        for c in line_coefficients(running, g).collect():  # a row for each key
+            k, start = c["key"], along(c, 0.0, of[c["key"]].lamb)
             step, eps[k], new, tries = search(c, eps[k], of[k].lamb)
             drop = abs(start - new) / start if start else 0.0
-            done = step is None or drop < of[k].tolerance or new < of[k].tolerance or t + 1 >= of[k].iterations
-            history.append((k, t, start, *scores.get(k, (None, None)), step, tries, "failed" if step is None else "ok"))
-            before[k] = new
-            if step is not None:
-                steps[k] = step
-            if done:
-                active.discard(k)
-        if steps:
-            by = each(steps).withColumnRenamed("value", "step")
-            move = lambda all_, gs, name: materialize(all_.join(gs.select("key", "id", "g"), ["key", "id"], "left").join(by, "key", "left").select("key", "id", F.when(F.col("g").isNull() | F.col("step").isNull(), F.col("features")).otherwise(axpy(F.col("features"), -F.col("step"), F.col("g"))).alias("features")), name)
-            users, items = move(users, gu, "mf-u"), move(items, gb, "mf-b")
+            history.append((k, t, start, *errors(c), step, tries, "failed" if step is None else "ok"))
+            before[k], steps[k] = new, step or 0.0
+            if step is None or drop < of[k].tolerance or new < of[k].tolerance or t + 1 >= of[k].iterations:
+                done.add(k)
+        factors = g.select("key", "side", "id", axpy(F.col("features"), -_by_key(steps), F.col("g")).alias("features"))
+        if done:
+            ended.append(factors.where(_in(done)))
+        old = None if done else path  # what ended problems are read from stays
+        active -= done
         if not active:
             break
-    scores = _test_scores(test, mean, users, items)
+    final = factors.where(_in(active)) if active else factors.where("false")
+    for e in ended:
+        final = final.unionByName(e)
+    final = materialize(final, "mf-result")
     last = {k: max(h[1] for h in history if h[0] == k) + 1 for k in before}
-    history += [(k, last[k], float(before[k]), *scores.get(k, (None, None)), None, 0, "end") for k in before]
-    return users, items, spark.createDataFrame(history, "key string, iter int, objective double, rmse double, mae double, step double, tries int, status string")
+    found = {r["key"]: (r["rmse"], r["mae"]) for r in evaluate(every.where("held"), final).collect()} if history else {}  # a row for each key
+    history += [(k, last[k], float(before[k]), *found.get(k, (None, None)), None, 0, "end") for k in before]
+    side = lambda s: final.where(F.col("side") == s).select("key", "id", "features")
+    return side("u"), side("b"), spark.createDataFrame(history, "key string, iter int, objective double, rmse double, mae double, step double, tries int, status string")
 
 
-def _test_scores(test: DataFrame | None, mean: DataFrame, users: DataFrame, items: DataFrame) -> dict[str, tuple]:
-    if test is None:
-        return {}
-    return {r["key"]: (r["rmse"], r["mae"]) for r in evaluate(test, mean, users, items).collect()}  # a row for each key
+def evaluate(rows: DataFrame, factors: DataFrame) -> DataFrame:
+    """(key, rmse, mae) of rows above their key's mean; an id without factors leaves the mean. Not clipped to the scale."""
+    e = residuals(rows, factors)
+    return e.groupBy("key").agg(F.sqrt(F.avg(F.col("r") * F.col("r"))).alias("rmse"), F.avg(F.abs("r")).alias("mae"))
 
 
-def evaluate(test: DataFrame, mean: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
-    """(key, rmse, mae) on test rows; an id without factors leaves the mean. Not clipped to the scale."""
-    rows = test.join(F.broadcast(mean), "key")
-    rows = rows.join(users.select("key", F.col("id").alias("u"), F.col("features").alias("uf")), ["key", "u"], "left").join(items.select("key", F.col("id").alias("b"), F.col("features").alias("bf")), ["key", "b"], "left")
-    error = F.col("x") - F.col("mu") - F.coalesce(dot(F.col("uf"), F.col("bf")), F.lit(0.0))
-    return rows.select("key", error.alias("e")).groupBy("key").agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg(F.abs("e")).alias("mae"))
+def baseline(ratings: DataFrame, options: Options = Options(lamb=1.0), seed: int = 1) -> DataFrame:
+    """(rmse, mae) of the ratings alone: trained on 80 of 100, the errors on the others after the last iteration."""
+    split = materialize(split_ratings(ratings, seed, TWO_SHARES), "split")
+    part = lambda name: split.where(F.col("split") == name).select(F.lit("ratings_only").alias("key"), "u", "b", F.col("rating").alias("x"))
+    return train(part("train"), part("test"), options)[2].where("status = 'end'").select("rmse", "mae")
 
 
 def grid(train_rows: DataFrame, test_rows: DataFrame, ranks: tuple[int, ...], epsilons: tuple[float, ...], lambdas: tuple[float, ...], iterations: int) -> DataFrame:

@@ -90,12 +90,27 @@ def split_80_10_10(spark: SparkSession, d: str) -> DataFrame:
     return prep.split_ratings(tables.ratings(spark, d))
 
 
+@_query("split_80_20", _with(RATINGS) + """SELECT u, b, rating, CASE WHEN rk < floor(n * CAST(0.8 AS DOUBLE)) THEN 'train' ELSE 'test' END AS split
+  FROM (SELECT *, row_number() OVER (ORDER BY md5('1:' || u || ':' || b), u, b) - 1 AS rk, count(*) OVER () AS n FROM ratings)""")
+def split_80_20(spark: SparkSession, d: str) -> DataFrame:
+    return prep.split_ratings(tables.ratings(spark, d), shares=prep.TWO_SHARES)
+
+
+@_query("index_decode_ratings", _with(RATINGS) + "SELECT * FROM ratings")
+def index_decode_ratings(spark: SparkSession, d: str) -> DataFrame:
+    """Users numbered and named again: the ratings as they were."""
+    ratings = materialize(tables.ratings(spark, d), "ratings")
+    codes = materialize(prep.encode_ids(ratings.select(F.col("u").alias("id"))), "codes")
+    numbered = ratings.join(codes.withColumnRenamed("id", "u"), "u").select(F.col("ind").alias("u"), "b", "rating")
+    return prep.decode_ids(numbered, codes, "u")
+
+
 @_query("split_counts_5", _with(RATINGS) + """SELECT s AS split_no, split, count(*) AS n FROM (
   SELECT s, CASE WHEN rk < floor(n * CAST(0.8 AS DOUBLE)) THEN 'train' WHEN rk < floor(n * CAST(0.8 AS DOUBLE)) + floor(n * CAST(0.1 AS DOUBLE)) THEN 'test' ELSE 'val' END AS split
   FROM (SELECT CAST(s AS INT) AS s, row_number() OVER (PARTITION BY s ORDER BY md5(s || ':' || u || ':' || b), u, b) - 1 AS rk, count(*) OVER (PARTITION BY s) AS n
         FROM ratings CROSS JOIN range(1, 6) t(s))) GROUP BY s, split""")
 def split_counts_5(spark: SparkSession, d: str) -> DataFrame:
-    return prep.five_splits(materialize(tables.ratings(spark, d), "ratings")).groupBy("split_no", "split").agg(F.count("*").alias("n"))
+    return prep.five_splits(tables.ratings(spark, d)).groupBy("split_no", "split").agg(F.count("*").alias("n"))
 
 
 @_query("social_filter_either", _with(RATINGS, TRUST, SPLIT, TRAIN) + "SELECT src, dst FROM trust WHERE src IN (SELECT u FROM train WHERE u % 3 = 0) OR dst IN (SELECT u FROM train WHERE u % 3 = 0)")
@@ -255,6 +270,9 @@ def mean_predictor_errors(spark: SparkSession, d: str) -> DataFrame:
     return found.select(*[F.round(c, 6).alias(c) for c in found.columns])
 
 
+# iterations of the solver queries; the operators' own limits (500, of five splits 1000; 10,000) take hours here, see README
+MF_ITERATIONS, GRID_ITERATIONS, FM_ITERATIONS = 40, 5, 60
+
 # matrix factorisation: one step from start values that SQL can write
 
 RANK, EPS, LAMB = 3, 500.0, 10.0
@@ -267,11 +285,16 @@ gb AS (SELECT id, k, {LAMB} * any_value(x) - sum(r * y) AS g, any_value(x) AS x
 MF = _with(RATINGS, SPLIT, TRAIN, FACTORS, RES, GRADS)
 
 
-def _mf_state(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _mf_state(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Rows above their mean, and factors of both sides."""
     train = materialize(_train(spark, d), "train")
-    rows = train.select(F.lit("r").alias("key"), "u", "b", F.col("rating").alias("x")).crossJoin(F.broadcast(train.agg(F.avg("rating").alias("mu"))))  # a single row
-    users, items = (mf.factors_of(rows, side, RANK, 0.5) for side in "ub")
-    return mf.residuals(rows, users, items), users, items
+    mean = F.broadcast(train.agg(F.avg("rating").alias("mu")))  # a single row
+    rows = train.crossJoin(mean).select(F.lit("r").alias("key"), "u", "b", (F.col("rating") - F.col("mu")).alias("x"), F.lit(False).alias("held"))
+    return rows, mf.factors_of(rows, RANK, 0.5)
+
+
+def _side(factors: DataFrame, side: str) -> DataFrame:
+    return factors.where(F.col("side") == side)
 
 
 def _long(fs: DataFrame, *columns: str) -> DataFrame:
@@ -281,12 +304,12 @@ def _long(fs: DataFrame, *columns: str) -> DataFrame:
 
 @_query("factor_init", MF + "SELECT id, k, round(x, 6) AS features FROM uf")
 def factor_init(spark: SparkSession, d: str) -> DataFrame:
-    return _long(_mf_state(spark, d)[1], "features")
+    return _long(_side(_mf_state(spark, d)[1], "u"), "features")
 
 
 @_query("mf_residual_init", MF + "SELECT u, b, round(r, 6) AS r FROM res")
 def mf_residual_init(spark: SparkSession, d: str) -> DataFrame:
-    return _mf_state(spark, d)[0].select("u", "b", F.round("r", 6).alias("r"))
+    return mf.residuals(*_mf_state(spark, d)).select("u", "b", F.round("r", 6).alias("r"))
 
 
 @_query("mf_objective_init", MF + f"SELECT round(((SELECT sum(r * r) FROM res) + {LAMB} * ((SELECT sum(x * x) FROM uf) + (SELECT sum(x * x) FROM bf))) / 2, 4) AS objective")
@@ -296,22 +319,20 @@ def mf_objective_init(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("mf_grad_user_step1", MF + "SELECT id, k, round(g, 6) AS g FROM gu")
 def mf_grad_user_step1(spark: SparkSession, d: str) -> DataFrame:
-    res, users, items = _mf_state(spark, d)
-    return _long(mf.gradient(res, users, items, "u", LAMB, RANK), "g")
+    return _long(_side(mf.gradient(*_mf_state(spark, d), LAMB, RANK), "u"), "g")
 
 
 @_query("mf_grad_item_step1", MF + "SELECT id, k, round(g, 6) AS g FROM gb")
 def mf_grad_item_step1(spark: SparkSession, d: str) -> DataFrame:
-    res, users, items = _mf_state(spark, d)
-    return _long(mf.gradient(res, items, users, "b", LAMB, RANK), "g")
+    return _long(_side(mf.gradient(*_mf_state(spark, d), LAMB, RANK), "b"), "g")
 
 
 @_query("mf_objective_step1", MF + f"""SELECT round(((SELECT sum(r * r) FROM (SELECT t.u, t.b, any_value(t.rating) - (SELECT avg(rating) FROM train) - sum((x.x - x.g / {EPS}) * (y.x - y.g / {EPS})) AS r FROM train t JOIN gu x ON x.id = t.u JOIN gb y ON y.id = t.b AND y.k = x.k GROUP BY t.u, t.b))
   + {LAMB} * ((SELECT sum((x - g / {EPS}) * (x - g / {EPS})) FROM gu) + (SELECT sum((x - g / {EPS}) * (x - g / {EPS})) FROM gb))) / 2, 4) AS objective""")
 def mf_objective_step1(spark: SparkSession, d: str) -> DataFrame:
     """The line search's polynomial at step 1 / EPS; SQL takes the step and computes the objective anew."""
-    res, users, items = _mf_state(spark, d)
-    c = mf.line_coefficients(res, mf.gradient(res, users, items, "u", LAMB, RANK), mf.gradient(res, items, users, "b", LAMB, RANK))
+    rows, factors = _mf_state(spark, d)
+    c = mf.line_coefficients(rows, materialize(mf.gradient(rows, factors, LAMB, RANK), "gradients"))
     s = F.lit(1 / EPS)
     square = F.col("rr") + 2 * s * F.col("ra") + s * s * (F.col("aa") - 2 * F.col("rc")) - 2 * s * s * s * F.col("ac") + s * s * s * s * F.col("cc")
     return c.select(F.round(square / 2 + LAMB / 2 * (F.col("n0") - 2 * s * F.col("n1") + s * s * F.col("n2")), 4).alias("objective"))
@@ -330,12 +351,12 @@ def _as_rows(rows: DataFrame, key: str = "ratings_only") -> DataFrame:
 @_query("mf_train_history")
 def mf_train_history(spark: SparkSession, d: str) -> DataFrame:
     train, test = _mf_problem(spark, d)
-    return mf.train(_as_rows(train), _as_rows(test), mf.Options(lamb=1.0))[2]
+    return mf.train(_as_rows(train), _as_rows(test), mf.Options(lamb=1.0, iterations=MF_ITERATIONS))[2]
 
 
 @_query("mf_factors")
 def mf_factors(spark: SparkSession, d: str) -> DataFrame:
-    users, items, _ = mf.train(_as_rows(_train(spark, d)), None, mf.Options())
+    users, items, _ = mf.train(_as_rows(_train(spark, d)), None, mf.Options(iterations=MF_ITERATIONS))
     return users.withColumn("side", F.lit("user")).union(items.withColumn("side", F.lit("item")))
 
 
@@ -343,14 +364,14 @@ def mf_factors(spark: SparkSession, d: str) -> DataFrame:
 def mf_five_splits(spark: SparkSession, d: str) -> DataFrame:
     every = materialize(prep.five_splits(tables.ratings(spark, d)), "splits")
     rows = lambda name: every.where(F.col("split") == name).select(F.col("split_no").cast("string").alias("key"), "u", "b", F.col("rating").alias("x"))
-    _, _, history = mf.train(rows("train"), rows("test"), mf.Options(iterations=1000))
+    _, _, history = mf.train(rows("train"), rows("test"), mf.Options(iterations=MF_ITERATIONS))
     return history.where("status = 'end'").agg(F.avg("rmse").alias("rmse"), F.avg("mae").alias("mae"), F.count("*").alias("splits"))
 
 
 @_query("mf_grid")
 def mf_grid(spark: SparkSession, d: str) -> DataFrame:
     train, test = _mf_problem(spark, d)
-    return mf.grid(train, test, ranks=(10, 20, 30, 40, 50), epsilons=(0.001, 0.01, 0.1, 1.0, 10.0, 100.0), lambdas=(0.01, 0.1, 1.0, 5.0, 10.0, 100.0), iterations=mf.Options().iterations)
+    return mf.grid(train, test, ranks=(10, 20, 30, 40, 50), epsilons=(0.001, 0.01, 0.1, 1.0, 10.0, 100.0), lambdas=(0.01, 0.1, 1.0, 5.0, 10.0, 100.0), iterations=GRID_ITERATIONS)
 
 
 # designs of two graphs' factors, the second without every seventh id; queries named _whole leave no id out
@@ -385,7 +406,7 @@ def _cells(design: DataFrame) -> DataFrame:
 
 @_query("maxabs_scale_x20", _with(RATINGS, SPLIT, TRAIN, FACTORS) + "SELECT id, k, round(x / max(x) OVER (PARTITION BY k) * 20, 6) AS features FROM bf")
 def maxabs_scale_x20(spark: SparkSession, d: str) -> DataFrame:
-    return _long(features.max_abs_scale(_mf_state(spark, d)[2].select("id", "features"), RANK), "features")
+    return _long(features.max_abs_scale(_side(_mf_state(spark, d)[1], "b").select("id", "features"), RANK), "features")
 
 
 @_query("design_train", _with(RATINGS, SPLIT, TRAIN, GRAPHS, DESIGN) + "SELECT u, b, n, round(x, 6) AS x, y FROM design")
@@ -451,8 +472,8 @@ def fm_forward(spark: SparkSession, d: str, gaps: bool = True) -> DataFrame:
 @_query("fm_error_metrics", FM + "SELECT round(sqrt(avg((pred - y) * (pred - y))), 6) AS rmse, round(avg(abs(pred - y)), 6) AS mae FROM forward")
 def fm_error_metrics(spark: SparkSession, d: str, gaps: bool = True) -> DataFrame:
     design, q = _fm_state(spark, d, gaps)
-    n, [(_, square, absolute)], _ = fm.sums(design, [q])
-    return spark.createDataFrame([(round(float(np.sqrt(square / n)), 6), round(absolute / n, 6))], "rmse double, mae double")
+    errors = fm.sums(fm.packed(design), [q])[0][0][0]
+    return spark.createDataFrame([(round(errors.mean_square**0.5, 6), round(errors.absolute / errors.rows, 6))], "rmse double, mae double")
 
 
 NORMS = f"""norms AS (SELECT CAST(n // {RANK} AS INT) AS g, sqrt(sum(w * w)) AS w_norm FROM w GROUP BY ALL),
@@ -463,21 +484,21 @@ FM_NORMS = _with(RATINGS, SPLIT, TRAIN, GRAPHS, DESIGN, PARAMS, XP, NORMS)
 @_query("fm_objective", FM_NORMS + "SELECT round((SELECT avg((pred - y) * (pred - y)) FROM forward) + 0.5::DOUBLE * (SELECT sum(w_norm) FROM norms) + 0.25::DOUBLE * (SELECT sum(p_norm) FROM pnorms), 6) AS objective")
 def fm_objective(spark: SparkSession, d: str, gaps: bool = True) -> DataFrame:
     design, q = _fm_state(spark, d, gaps)
-    return spark.createDataFrame([(round(fm.objective(design, q, fm.Options(FM_RANK, RANK, reg_w=0.5, reg_p=0.25)), 6),)], "objective double")
+    return spark.createDataFrame([(round(fm.objective(fm.packed(design), q, fm.Options(FM_RANK, RANK, reg_w=0.5, reg_p=0.25)), 6),)], "objective double")
 
 
 @_query("fm_grad_w", FM + "SELECT n, round(2 * avg((pred - f.y) * x), 6) AS g FROM design JOIN forward f USING (u, b) GROUP BY n")
 def fm_grad_w(spark: SparkSession, d: str, gaps: bool = True) -> DataFrame:
     design, q = _fm_state(spark, d, gaps)
-    n, _, g = fm.sums(design, [q], gradient=True)
-    return spark.createDataFrame([(k, round(float(x), 6)) for k, x in enumerate(g[:, 0] * 2 / n)], "n int, g double")
+    [(errors, _)], [g] = fm.sums(fm.packed(design), [q], 1)
+    return spark.createDataFrame([(k, round(float(x), 6)) for k, x in enumerate(g[:, 0] * 2 / errors.rows)], "n int, g double")
 
 
 @_query("fm_grad_p", FM + "SELECT n, f, round(2 * avg((pred - r.y) * (x * s - p * x * x)), 6) AS g FROM design JOIN forward r USING (u, b) JOIN xp USING (u, b) JOIN p USING (n, f) GROUP BY n, f")
 def fm_grad_p(spark: SparkSession, d: str, gaps: bool = True) -> DataFrame:
     design, q = _fm_state(spark, d, gaps)
-    n, _, g = fm.sums(design, [q], gradient=True)
-    return spark.createDataFrame([(k, f, round(float(g[k, 1 + f] * 2 / n), 6)) for k in range(N) for f in range(FM_RANK)], "n int, f int, g double")
+    [(errors, _)], [g] = fm.sums(fm.packed(design), [q], 1)
+    return spark.createDataFrame([(k, f, round(float(g[k, 1 + f] * 2 / errors.rows), 6)) for k in range(N) for f in range(FM_RANK)], "n int, f int, g double")
 
 
 for _f in (design_train, design_sparsity, fm_forward, fm_error_metrics, fm_objective, fm_grad_w, fm_grad_p):
@@ -498,7 +519,7 @@ def group_prox_step(spark: SparkSession, d: str) -> DataFrame:
 
 def _fm_history(solver: str) -> Query:
     def history(spark: SparkSession, d: str) -> DataFrame:
-        o = fm.Options(solver=solver)
+        o = fm.Options(solver=solver, iterations=FM_ITERATIONS)
         train, test = _mf_problem(spark, d)
         users, items = (materialize(r, "representations") for r in _representations(train, gaps=False, rank=o.size))
         design = materialize(features.design_train(train, users, items), "design")
