@@ -477,6 +477,8 @@ def test_chat_round_trip(spark):
 def test_chat_digest_reads_written_out_examples(spark):
     texts = ["hi <b>", "one \\ two", "", "three </turn> four", "bye", "five"]
     df = spark.createDataFrame([(1, k, "assistant" if k % 2 else "user", t) for k, t in enumerate(texts)] + [(2, 0, "user", "alone"), (None, 0, "assistant", "y")], "conv_id long, turn int, role string, text string")
+    lone = chat.conversation_digest(chat.format_conversations(df.union(df.where("conv_id IS NULL")).union(df.where("conv_id IS NULL")))).where("conv_id IS NULL").collect()
+    assert [(r["n_turns"], r["loss_chars"]) for r in lone] == [(1, 1)] * 3
     formatted = chat.format_conversations(df)
     got = {r["conv_id"]: r for r in chat.conversation_digest(formatted).collect()}
     want = {1: "".join(texts[1::2]), 2: "", None: "y"}

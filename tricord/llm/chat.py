@@ -10,9 +10,10 @@ the square of a conversation's length; ``expand`` writes them out for a trainer
 ``conversation_digest``, one at a time and never through a shuffle.
 
 Rows: turns go by number, ties by role and text; repeated rows are turns of their own; a null text
-or role is an empty one; rows without a conversation id make one conversation without id; a
-conversation without assistant turns has no examples; other columns are ignored; an empty table
-gives no rows. A conversation is one record, so its turns meet in one task.
+or role is an empty one; a row without a conversation id is a conversation of its own, so that such
+rows never meet; a conversation without assistant turns has no examples; very long texts are taken
+whole; other columns are ignored; an empty table gives no rows. A conversation is one record, so its
+turns meet in one task.
 """
 
 from __future__ import annotations
@@ -32,20 +33,21 @@ def unescape(text: Column) -> Column:
 
 
 def format_conversations(turns: DataFrame, target_role: str = "assistant") -> DataFrame:
-    """(conv_id, n_turns, formatted, examples), examples: array of (turn, context_chars, target_chars).
+    """(conv_id, lone, n_turns, formatted, examples), examples: array of (turn, context_chars, target_chars).
 
-    ``turn`` counts from 0; an example's context is the first ``context_chars`` characters of
+    ``lone`` tells conversations without an id apart and is null for others. ``turn`` counts from 0; an example's context is the first ``context_chars`` characters of
     ``formatted``, its target the ``target_chars`` after them.
     """
     text, role = escape(F.coalesce("text", F.lit(""))), escape(F.coalesce("role", F.lit("")))
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("r"), F.coalesce("text", F.lit("")).alias("x"), F.concat(F.lit(OPEN), role, F.lit(MID)).alias("head"), text.alias("body"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "r", "x")
+    lone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("lone")
+    rows = turns.select("conv_id", lone, "turn", F.coalesce("role", F.lit("")).alias("r"), F.coalesce("text", F.lit("")).alias("x"), F.concat(F.lit(OPEN), role, F.lit(MID)).alias("head"), text.alias("body"))
+    order = Window.partitionBy("conv_id", "lone").orderBy("turn", "r", "x")
     size = F.length("head") + F.length("body") + len(CLOSE)
     rows = rows.withColumns({"at": F.row_number().over(order) - 1, "end": F.sum(size.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))})
     begin = F.col("end") - len(CLOSE) - F.length("body")
     example = F.when(F.col("r") == target_role, F.struct(F.col("at").alias("turn"), begin.alias("context_chars"), F.length("body").cast("long").alias("target_chars")))
-    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("at", F.concat("head", "body", F.lit(CLOSE)).alias("piece")))).alias("p"), F.sort_array(F.collect_list(example)).alias("examples"))
-    return grouped.select("conv_id", F.size("p").cast("long").alias("n_turns"), F.array_join(F.col("p.piece"), "").alias("formatted"), "examples")
+    grouped = rows.groupBy("conv_id", "lone").agg(F.sort_array(F.collect_list(F.struct("at", F.concat("head", "body", F.lit(CLOSE)).alias("piece")))).alias("p"), F.sort_array(F.collect_list(example)).alias("examples"))
+    return grouped.select("conv_id", "lone", F.size("p").cast("long").alias("n_turns"), F.array_join(F.col("p.piece"), "").alias("formatted"), "examples")
 
 
 def expand(formatted: DataFrame, *kept: str, every: bool = False) -> DataFrame:
@@ -78,14 +80,14 @@ def conversation_digest(formatted: DataFrame, target_role: str = "assistant") ->
     rows = formatted.withColumn("turns", parse(F.col("formatted")))
     spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     due = F.size(F.filter("turns", lambda t: t["role"] == target_role))
-    rows = rows.select("conv_id", "n_turns", F.sha2(spoken, 256).alias("turns_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), due.alias("due"), "formatted", "examples")
-    kept = ("n_turns", "turns_sha256", "formatted_chars", "due")
+    rows = rows.select("conv_id", "lone", "n_turns", F.sha2(spoken, 256).alias("turns_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), due.alias("due"), "formatted", "examples")
+    kept = ("lone", "n_turns", "turns_sha256", "formatted_chars", "due")
     examples = expand(rows, *kept, every=True)
     head = F.concat(F.lit(OPEN), escape(F.lit(target_role)), F.lit(MID))
     wrong = F.raise_error(F.lit("the prompt of an example doesn't end with the target role's head")).cast("string")
     said = F.when(F.col("prompt").endswith(head), unescape(F.col("target"))).otherwise(wrong)
     example = F.when(F.col("turn").isNotNull(), F.struct("turn", said.alias("text")))
-    found = examples.groupBy("conv_id").agg(*[F.first(c).alias(c) for c in kept], F.sort_array(F.collect_list(example)).alias("x"))
+    found = examples.groupBy("conv_id", "lone").agg(*[F.first(c).alias(c) for c in kept[1:]], F.sort_array(F.collect_list(example)).alias("x"))
     # each target turn is an example, once
     texts = F.when((F.size("x") == F.col("due")) & (F.size(F.array_distinct("x.turn")) == F.col("due")), F.col("x.text"))
     texts = F.coalesce(texts, F.raise_error(F.lit("a conversation's examples aren't its target turns")).cast("array<string>"))
