@@ -338,6 +338,24 @@ def mf_objective_step1(spark: SparkSession, d: str) -> DataFrame:
     return c.select(F.round(square / 2 + LAMB / 2 * (F.col("n0") - 2 * s * F.col("n1") + s * s * F.col("n2")), 4).alias("objective"))
 
 
+@_query("mf_factors_step1", MF + f"SELECT 'u' AS side, id, k, round(x - g / {EPS}, 6) AS x FROM gu UNION ALL SELECT 'b', id, k, round(x - g / {EPS}, 6) FROM gb")
+def mf_factors_step1(spark: SparkSession, d: str) -> DataFrame:
+    rows, factors = _mf_state(spark, d)
+    moved = mf.gradient(rows, factors, LAMB, RANK).select("side", "id", vectors.axpy(F.col("features"), F.lit(-1 / EPS), F.col("g")).alias("f"))
+    return moved.select("side", "id", F.posexplode("f").alias("k", "x")).withColumn("x", F.round("x", 6))
+
+
+@_query("mf_test_errors", _with(RATINGS, SPLIT, TRAIN, FACTORS) + """SELECT round(sqrt(avg(e * e)), 6) AS rmse, round(avg(abs(e)), 6) AS mae FROM (
+  SELECT t.u, t.b, any_value(t.rating) - (SELECT avg(rating) FROM train) - coalesce(sum(x.x * y.x), 0) AS e
+  FROM split t LEFT JOIN uf x ON x.id = t.u LEFT JOIN bf y ON y.id = t.b AND y.k = x.k WHERE split = 'test' GROUP BY t.u, t.b)""")
+def mf_test_errors(spark: SparkSession, d: str) -> DataFrame:
+    train, test = _mf_problem(spark, d)
+    mean = F.broadcast(train.agg(F.avg("rating").alias("mu")))  # a single row
+    rows = test.crossJoin(mean).select(F.lit("r").alias("key"), "u", "b", (F.col("rating") - F.col("mu")).alias("x"))
+    found = mf.evaluate(rows, mf.factors_of(train.withColumn("key", F.lit("r")), RANK, 0.5))
+    return found.select(F.round("rmse", 6).alias("rmse"), F.round("mae", 6).alias("mae"))
+
+
 def _mf_problem(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     split = materialize(prep.split_ratings(tables.ratings(spark, d)), "split")
     part = lambda name: split.where(F.col("split") == name).drop("split")
@@ -501,7 +519,33 @@ def fm_grad_p(spark: SparkSession, d: str, gaps: bool = True) -> DataFrame:
     return spark.createDataFrame([(k, f, round(float(g[k, 1 + f] * 2 / errors.rows), 6)) for k in range(N) for f in range(FM_RANK)], "n int, f int, g double")
 
 
-for _f in (design_train, design_sparsity, fm_forward, fm_error_metrics, fm_objective, fm_grad_w, fm_grad_p):
+@_query("fm_bias_step", FM + "SELECT round((SELECT avg(rating) FROM train) - 0.1::DOUBLE * 2 * avg(pred - y), 6) AS bias FROM forward")
+def fm_bias_step(spark: SparkSession, d: str, gaps: bool = True) -> DataFrame:
+    design, q = _fm_state(spark, d, gaps)
+    e = fm.sums(fm.packed(design), [q])[0][0][0]
+    return spark.createDataFrame([(round(q.bias - 0.1 * 2 / e.rows * e.total, 6),)], "bias double")
+
+
+ETA, REG_W, REG_P = 0.05, 0.5, 0.25
+FM_STEP = FM_NORMS.rstrip() + f""",
+gw AS (SELECT n, any_value(w) - {ETA} * 2 * avg((pred - f.y) * x) AS v FROM design JOIN forward f USING (u, b) JOIN w USING (n) GROUP BY n),
+gp AS (SELECT n, f, any_value(p) - {ETA} * 2 * avg((pred - r.y) * (x * s - p * x * x)) AS v FROM design JOIN forward r USING (u, b) JOIN xp USING (u, b) JOIN p USING (n, f) GROUP BY n, f),
+lw AS (SELECT n // {RANK} AS g, sqrt(sum(v * v)) AS size FROM gw GROUP BY ALL), lp AS (SELECT n // {RANK} AS g, sqrt(sum(v * v)) AS size FROM gp GROUP BY ALL)
+SELECT n, CAST(-1 AS INT) AS f, round(CASE WHEN size > {ETA * REG_W} THEN v * (1 - {ETA * REG_W} / size) ELSE 0 END, 6) AS v FROM gw JOIN lw ON g = n // {RANK}
+UNION ALL SELECT n, f, round(CASE WHEN size > {ETA * REG_P} THEN v * (1 - {ETA * REG_P} / size) ELSE 0 END, 6) FROM gp JOIN lp ON g = n // {RANK}"""
+
+
+@_query("fm_proximal_step", FM_STEP)
+def fm_proximal_step(spark: SparkSession, d: str, gaps: bool = True) -> DataFrame:
+    """The parameters after a step of size ETA; f is -1 for w."""
+    design, q = _fm_state(spark, d, gaps)
+    (s,) = fm.proximal_steps(fm.packed(design), [q], [ETA], fm.Options(FM_RANK, RANK, reg_w=REG_W, reg_p=REG_P, tries=0))
+    if not s.accepted:
+        raise ValueError("the step doesn't lower the objective")
+    return spark.createDataFrame([(k, f - 1, round(float(s.params.stacked[k, f]), 6) + 0.0) for k in range(N) for f in range(1 + FM_RANK)], "n int, f int, v double")
+
+
+for _f in (design_train, design_sparsity, fm_forward, fm_error_metrics, fm_objective, fm_grad_w, fm_grad_p, fm_bias_step, fm_proximal_step):
     _query(f"{_f.__name__}_whole", SQL[_f.__name__].replace(GRAPHS, WHOLE))(lambda spark, d, f=_f: f(spark, d, gaps=False))
 
 
