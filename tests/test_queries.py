@@ -93,12 +93,11 @@ def test_solvers_run_to_their_own_limits(spark, sf, monkeypatch):
 
 
 def test_entry_without_the_training_data_operators(tmp_path):
-    for name in ("__spark_entry__.py", "tricord", "corpus_pipeline.py"):
+    for name in ("__spark_entry__.py", "tricord"):
         source = Path(ROOT) / name
         (shutil.copytree if source.is_dir() else shutil.copy)(source, tmp_path / name)
     count = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
     run = lambda: subprocess.run([sys.executable, "-c", count], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
-    (tmp_path / "corpus_pipeline.py").unlink()
     shutil.rmtree(tmp_path / "tricord" / "llm", ignore_errors=True)
     assert run().stdout.split() == [str(len(core.queries())), str(len(core.oracle_sql()))]
     # a broken module is an error, not a shorter list
