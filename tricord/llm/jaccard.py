@@ -40,12 +40,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, components, materialize, small, unused
+from .common import arrow_rows, components, materialize, remove, shared_dir, small, unused, written
 
 WORDS, NUM, DEN = 5, 80, 100
 FREQUENT, OFTEN, HOT = 1 << 20, 16, 4096
-#: Keys of a range that are counted at once; bytes of text for a shingle, at least about; groups of a part of a hot list; groups of a block.
-PER_RANGE, TEXT_BYTES, PART, BLOCK_GROUPS = 4 << 20, 4, 1 << 16, 2048
+#: Keys of a range that are counted at once; bytes of text for a shingle, at least about; groups of a part of a hot list;
+#: groups of a block; pairs of a text in one place.
+PER_RANGE, TEXT_BYTES, PART, BLOCK_GROUPS, HUB = 2 << 20, 4, 1 << 16, 2048, 128
 PARTNERS = ("first", "last", "middle")
 BLOCK = 1 << 18
 PRIME = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -114,7 +115,7 @@ def frequent_shingles(docs: DataFrame, words: int = WORDS, limit: int = FREQUENT
     """
     # a range holds PER_RANGE keys (about) however many texts there are, in tasks of one range or more
     text_bytes = docs.agg(F.sum(F.octet_length(F.col("text")).cast("long"))).first()[0] or 0
-    bins = max(32, -(-text_bytes // (TEXT_BYTES * PER_RANGE)))
+    bins = max(1, -(-text_bytes // (TEXT_BYTES * PER_RANGE)))
 
     def pack(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -218,9 +219,22 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int = W
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
     # texts travel rather than sets, which are larger and don't compress; one for each class, however often its row is repeated
-    texts = with_hash(docs).join(small(chosen, 48), ["doc_id", "t"]).groupBy("k").agg(F.first("text").alias("text"))
-    both = pairs.join(texts.select(F.col("k").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("k").alias("b"), F.col("text").alias("tb")), "b")
-    return materialize(both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long").distinct(), "links")
+    path = shared_dir(docs.sparkSession, "pair-texts")
+    texts = written(with_hash(docs).join(small(chosen, 48), ["doc_id", "t"]).groupBy("k").agg(F.first("text").alias("text")), path)
+    # what many are compared with stands in several places, so that no task gets all its pairs
+    hubs = pairs.select(F.explode(F.array("a", "b")).alias("k")).groupBy("k").agg(F.ceil(F.count("*") / HUB).cast("int").alias("places")).where("places > 1")
+    hubs = small(materialize(hubs, "hubs"), 48)
+    places = F.coalesce("places", F.lit(1))
+    texts = texts.join(hubs, "k", "left").select("k", F.explode(F.sequence(F.lit(0), places - 1)).alias("place"), "text")
+    both = pairs
+    for end, other in ("ab", "ba"):
+        own = hubs.select(F.col("k").alias(end), "places")
+        both = both.join(own, end, "left").withColumn(f"p{end}", F.pmod(F.xxhash64(other), places).cast("int")).drop("places")
+    for end in "ab":
+        both = both.join(texts.select(F.col("k").alias(end), F.col("place").alias(f"p{end}"), F.col("text").alias(f"t{end}")), [end, f"p{end}"])
+    links = materialize(both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long").distinct(), "links")
+    remove(docs.sparkSession, path)
+    return links
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, hot: int = HOT) -> DataFrame:
