@@ -7,8 +7,9 @@ hold checks themselves stays sound. Records stand in shards in ascending order o
 the index is a Parquet table with a row per record (file, offset, size, id, tokens, start), so that
 a reader takes any subset in any order by byte ranges.
 
-Rows: a null or empty text gives only the end id; repeated rows each give a record; a null id comes
-first; other columns of the input are ignored; an empty table gives no record.
+Rows: strings of special tokens inside a text are ordinary text; a null or empty text gives only the
+end id; repeated rows each give a record; a null id comes first; other columns of the input are
+ignored; an empty table gives no record.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from .common import arrow_rows, chunk_encoder, file_system, shared_dir
 
 HEAD, CRC, PAYLOAD = "<QI", "<I", "<?qB"
 HEAD_SIZE, PAYLOAD_HEAD_SIZE = struct.calcsize(HEAD), struct.calcsize(PAYLOAD)
-READ_AT_ONCE = 8 << 20
+READ_AT_ONCE, READ_PER_TASK = 8 << 20, 32 << 20
 
 
 def masked_crc(data: bytes) -> int:
@@ -133,8 +134,19 @@ def read_token_records(index: DataFrame, out: str) -> DataFrame:
     return index.select("file", "offset", "size", "start").mapInArrow(read, "id long, start long, n_tokens long, ids binary")
 
 
+def dealt(index: DataFrame, bytes_per_task: int = READ_PER_TASK) -> DataFrame:
+    """The index in as many partitions as its records' bytes ask for, each a stretch of the stream in its order.
+
+    The index itself is tiny, so that its own partitions would follow its size and not the work.
+    """
+    size, tokens = index.agg(F.sum("size"), F.max(F.col("start") + F.col("n_tokens"))).first()
+    parts = max(1, -(-(size or 0) // bytes_per_task))
+    stretch = F.floor(F.col("start") / max(1, -(-(tokens or 0) // parts)))
+    return index.repartitionById(parts, stretch.cast("int")).sortWithinPartitions("start")
+
+
 def token_digest(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFrame:
     """Write the records of ``docs``, read them back and give (doc_id, start, n_tokens, ids_crc32)."""
     out = shared_dir(spark, "token-records")
     index = spark.read.parquet(write_token_records(docs, out, tokenizer))
-    return read_token_records(index, out).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_token_records(dealt(index), out).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
