@@ -91,7 +91,7 @@ def fit_linear(x: Rows, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, l1
     """L1 logistic regression on the features most associated with ``y``, by FISTA."""
     share = weight / weight.sum()
     base = float(np.clip(share @ y, 1e-6, 1 - 1e-6))
-    count = np.bincount(x.of, minlength=FEATURES)
+    count = sum((np.bincount(f, minlength=FEATURES) for _, f in x._blocks()), np.zeros(FEATURES, dtype=np.int64))
     seen = x.back(share, FEATURES)
     pull = np.abs(x.back(share * (y - base), FEATURES)) / np.sqrt(np.maximum(seen * (1 - seen), 1e-12))
     pull[count < SEEN] = 0
@@ -155,17 +155,18 @@ def no_chain(categories: tuple[str, ...]) -> Chain:
     return Chain(categories, tuple(Linear(np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(k), -30.0) for k in range(len(categories))), 0.5)
 
 
-def rows_of(sets: list[bytes]) -> Rows:
-    """Of packed sets. Features too rare for any model are left out, so the driver holds 8 bytes for each of the others."""
+def rows_of(sets: list[np.ndarray]) -> Rows:
+    """Features too rare for any model are left out, so the driver holds 8 bytes for each of the others."""
     count = np.zeros(FEATURES, dtype=np.int64)
     for s in sets:
-        count[np.frombuffer(s, "<u4")] += 1
-    often, parts = count >= SEEN, []
-    for s in sets:
-        own = np.frombuffer(s, "<u4")
-        parts.append(own[often[own]].astype(np.int32))
-    row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(p) for p in parts])
-    return Rows(row, np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32), len(sets))
+        count[s] += 1
+    often = count >= SEEN
+    sizes = [int(often[s].sum()) for s in sets]
+    of, at = np.empty(sum(sizes), dtype=np.int32), 0
+    for s, n in zip(sets, sizes, strict=True):
+        of[at : at + n] = s[often[s]]
+        at += n
+    return Rows(np.repeat(np.arange(len(sets), dtype=np.int32), sizes), of, len(sets))
 
 
 def fit_chain(x: Rows, labels: np.ndarray, weight: np.ndarray, categories: tuple[str, ...], folds: int = 3) -> Chain:
@@ -213,14 +214,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4000, cate
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in names], pa.array(made, pa.binary())], [*names, "f"])
 
     schema = "labelled long, weight double, " + ", ".join(f"{n} double" for n in names[2:]) + ", f binary"
-    # texts without features are never toxic, so they have nothing to teach
-    got = sorted((tuple(r[n] for n in names), bytes(r["f"])) for r in rows.select(*names, "text").mapInArrow(run, schema).where("octet_length(f) > 0").collect())
-    table = np.array([r for r, _ in got], dtype=np.float64).reshape(len(got), len(names))
+    # texts without features are never toxic, so they have nothing to teach; Arrow keeps the sets in one place
+    got = rows.select(*names, "text").mapInArrow(run, schema).where("octet_length(f) > 0").toArrow()
+    ids, weight, *labels = (got.column(n).to_numpy() for n in names)
     # by a hash of the id: neighbours in id may be copies
-    order = np.argsort([zlib.crc32(str(int(i)).encode()) for i in table[:, 0]], kind="stable") if len(got) else []
-    x = rows_of([got[i][1] for i in order])
-    del got
-    return fit_chain(x, table[order, 2:], table[order, 1], tuple(categories))
+    order = np.lexsort((ids, [zlib.crc32(str(i).encode()) for i in ids.tolist()]))
+    sets = [np.frombuffer(f.as_buffer(), "<u4") for chunk in got.column("f").chunks for f in chunk]
+    x = rows_of([sets[i] for i in order])
+    del got, sets
+    return fit_chain(x, np.column_stack(labels).astype(np.float64)[order], weight.astype(np.float64)[order], tuple(categories))
 
 
 def predict_toxicity(docs: DataFrame, chain: Chain) -> DataFrame:
