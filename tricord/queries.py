@@ -271,7 +271,7 @@ def mean_predictor_errors(spark: SparkSession, d: str) -> DataFrame:
 
 
 # iterations of the solver queries; the operators' own limits (500, of five splits 1000; 10,000) take hours here, see README
-MF_ITERATIONS, GRID_ITERATIONS, FM_ITERATIONS = 30, 3, 40
+MF_ITERATIONS, GRID_ITERATIONS, FM_ITERATIONS = 30, 2, 40
 
 # matrix factorisation: one step from start values that SQL can write
 
