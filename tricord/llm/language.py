@@ -143,11 +143,13 @@ def fit_language_model(docs: DataFrame, per_language: int = 600) -> LanguageMode
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.string()), strict=True)], ["b", "c", "lang"])
 
     drawn = rows.select("doc_id", "text", "lang").join(F.broadcast(shares), "lang").where(draw < F.col("_share")).dropDuplicates(["doc_id", "text", "lang"]).select("text", "lang")
-    got = drawn.mapInArrow(count, "b binary, c binary, lang string").collect()
-    samples = sorted((r["lang"], bytes(r["b"]), bytes(r["c"])) for r in got)
+    # Arrow keeps the counts in one place, and 4 bytes each
+    got = drawn.mapInArrow(count, "b binary, c binary, lang string").toArrow()
+    whole = lambda name: [bytes(x.as_buffer()) for chunk in got.column(name).chunks for x in chunk]
+    samples = sorted(zip(got.column("lang").to_pylist(), whole("b"), whole("c"), strict=True))
     if not samples:
         return LanguageModel((), np.zeros((BUCKETS, 0)), 1.0, 0.0)
-    return train([(np.frombuffer(b, "<u4").astype(np.int64), np.frombuffer(c, "<u4").astype(np.float64), lang) for lang, b, c in samples])
+    return train([(np.frombuffer(b, "<u4"), np.frombuffer(c, "<u4"), lang) for lang, b, c in samples])
 
 
 def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
