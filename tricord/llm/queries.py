@@ -140,9 +140,48 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .dialogue import damage, repair_digest
+
+    return repair_digest(damage(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+
+
+def _op11_sql() -> str:
+    """The costs to the end of each grammar state as strings of cost and audit, row by row from a conversation's end."""
+    add = lambda n, letter, of: f"(lpad(CAST(CAST(left({of}, 9) AS BIGINT) + {n} AS VARCHAR), 9, '0') || '{letter}' || substr({of}, 10))"
+    stays = lambda cond, n, letter, of: f"CASE WHEN free AND {cond} THEN CASE WHEN late THEN {add(n + 1, letter, of)} ELSE {add(n, letter, of)} END ELSE '~' END"
+    to_user = ", ".join((stays("x = 'u'", 0, "K", "qu"), stays("true", 2, "R", "qu")))
+    to_assistant = ", ".join((stays("x = 'a'", 0, "K", "qa"), stays("true", 2, "R", "qa")))
+    to_system = stays("x = 's'", 0, 'K', 'qs')
+    return rf"""
+WITH RECURSIVE octets AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, s: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+named AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(name, ''), lambda x: CAST(ord(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 20 AS k FROM named, octets),
+damaged AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM keyed),
+convs AS (SELECT conv_id, row_number() OVER () AS g FROM (SELECT DISTINCT conv_id FROM conversations)),
+placed AS (SELECT g, turn, role, text, left(role, 1) AS x, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM damaged JOIN convs ON damaged.conv_id IS NOT DISTINCT FROM convs.conv_id),
+judged AS (SELECT *, lag(x) OVER (PARTITION BY g ORDER BY i) AS x_before, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE 'fine' END AS fault FROM placed),
+stats AS (SELECT g, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND x_before || x NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY g),
+walk AS (
+  SELECT g, n AS i, '000000000' AS q0, '000000004II' AS qs, '000000002I' AS qu, '000000000' AS qa FROM stats
+  UNION ALL
+  SELECT g, i, least(z, {add(2, 'I', 'u')}), least(s, {add(2, 'I', 'u')}), u, a FROM (
+    SELECT g, i, z, s, least(b, {add(2, 'I', 'e')}) AS u, least(e, {add(2, 'I', 'b')}) AS a FROM (
+      SELECT g, w.i - 1 AS i, least({add(3, 'D', 'q0')}, {to_system}, {to_user}) AS z, least({add(3, 'D', 'qs')}, {to_user}) AS s, least({add(3, 'D', 'qu')}, {to_assistant}) AS b, least({add(3, 'D', 'qa')}, {to_user}) AS e
+      FROM walk w JOIN (SELECT g, i, x, fault IN ('fine', 'truncated') AS free, fault = 'truncated' AS late FROM judged) r USING (g, i) WHERE w.i > 0))),
+best AS (SELECT g, CAST(left(q0, 9) AS BIGINT) AS cost, substr(q0, 10) AS audit FROM walk WHERE i = 0),
+edits AS (SELECT g, generate_subscripts(string_split(audit, ''), 1) AS j, unnest(string_split(audit, '')) AS e FROM best WHERE audit <> ''),
+located AS (SELECT g, j, e, count(*) FILTER (e <> 'I') OVER o AS i, count(*) FILTER (e <> 'D') OVER o AS place FROM edits WINDOW o AS (PARTITION BY g ORDER BY j)),
+kept AS (SELECT l.g, l.place, l.e, r.role, CASE WHEN e = 'I' THEN '' ELSE r.text END AS text, max(CASE WHEN place = 1 AND e = 'K' AND x = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.g) AS opened FROM located l LEFT JOIN judged r USING (g, i) WHERE e <> 'D'),
+hashed AS (SELECT g, sha256(string_agg(CASE WHEN e = 'K' THEN role WHEN (place - opened) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY place)) AS repaired_sha256 FROM kept GROUP BY g)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM convs LEFT JOIN stats USING (g) LEFT JOIN best USING (g) LEFT JOIN hashed USING (g)
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_records, op2_spaced_seed_leaks, op3_multi_index_near_dedup, op4_ngram_jaccard_join, op5_warc, op6_main_text, op7_toxicity_chain, op8_chat_formatting, op9_best_fit_packing, op10_language_id)}
+    return {f.__name__: f for f in (op1_token_records, op2_spaced_seed_leaks, op3_multi_index_near_dedup, op4_ngram_jaccard_join, op5_warc, op6_main_text, op7_toxicity_chain, op8_chat_formatting, op9_best_fit_packing, op10_language_id, op11_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_spaced_seed_leaks": _op2_sql(), "op8_chat_formatting": OP8_SQL}
+    return {"op2_spaced_seed_leaks": _op2_sql(), "op8_chat_formatting": OP8_SQL, "op11_conversation_repair": _op11_sql()}
