@@ -179,9 +179,30 @@ FROM convs LEFT JOIN stats USING (g) LEFT JOIN best USING (g) LEFT JOIN hashed U
 """
 
 
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: Targets by the water level among sources in the order of their limits, documents by running sums in the order of their hashes.
+OP13_SQL = r"""
+WITH docs AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, CAST('0x' || left(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 15) AS BIGINT) AS h FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM docs GROUP BY source),
+weighed AS (SELECT *, [1, 5, 2][place % 3 + 1] AS weight, sum(source_size) OVER () AS total FROM sources),
+levels AS (SELECT *, row_number() OVER o AS j, 3 * total - 2 * coalesce(sum(2 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS among FROM weighed WINDOW o AS (ORDER BY 2.0 * source_size / weight, place)),
+level AS (SELECT * FROM levels WHERE rest * weight <= 4 * source_size * among ORDER BY j LIMIT 1),
+aims AS (SELECT s.source, s.source_size, CASE WHEN s.j < l.j THEN CAST(2 * s.source_size AS DOUBLE) ELSE CAST(l.rest * s.weight AS DOUBLE) / CAST(2 * l.among AS DOUBLE) END AS target FROM levels s, level l),
+budgets AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM aims),
+hashes AS (SELECT source, h, sum(size) AS s, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) AS upto FROM docs GROUP BY source, h),
+chosen AS (SELECT a.source, h, source_size, target, CAST(whole AS BIGINT) + CASE WHEN target - whole * source_size > 0 AND (upto <= target - whole * source_size OR upto - s <= target - whole * source_size AND 2 * (target - whole * source_size) > 2 * (upto - s) + s) THEN 1 ELSE 0 END AS copies FROM hashes k JOIN budgets a ON a.source IS NOT DISTINCT FROM k.source)
+SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken FROM docs d JOIN chosen c ON d.source IS NOT DISTINCT FROM c.source AND d.h = c.h
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_records, op2_spaced_seed_leaks, op3_multi_index_near_dedup, op4_ngram_jaccard_join, op5_warc, op6_main_text, op7_toxicity_chain, op8_chat_formatting, op9_best_fit_packing, op10_language_id, op11_conversation_repair)}
+    return {f.__name__: f for f in (op1_token_records, op2_spaced_seed_leaks, op3_multi_index_near_dedup, op4_ngram_jaccard_join, op5_warc, op6_main_text, op7_toxicity_chain, op8_chat_formatting, op9_best_fit_packing, op10_language_id, op11_conversation_repair, op13_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_spaced_seed_leaks": _op2_sql(), "op8_chat_formatting": OP8_SQL, "op11_conversation_repair": _op11_sql()}
+    return {"op2_spaced_seed_leaks": _op2_sql(), "op8_chat_formatting": OP8_SQL, "op11_conversation_repair": _op11_sql(), "op13_source_mixing": OP13_SQL}
