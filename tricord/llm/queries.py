@@ -179,6 +179,27 @@ FROM convs LEFT JOIN stats USING (g) LEFT JOIN best USING (g) LEFT JOIN hashed U
 """
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+#: All n-grams written out and counted; a candidate is looked for in longer ones as a string between blanks.
+OP12_SQL = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (SELECT lang, size, array_to_string(w[i : i + size - 1], ' ') AS phrase FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM worded, (SELECT unnest(range(1, 6)) AS size) WHERE len(w) >= size)),
+counts AS (SELECT lang, phrase, size, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100),
+totals AS (SELECT lang, count(*) AS n FROM grams WHERE size = 1 GROUP BY lang),
+cuts AS (SELECT *, array_to_string(w[1 : k], ' ') AS left_part, array_to_string(w[k + 1 :], ' ') AS right_part FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, size)) AS k FROM counts WHERE size > 1)),
+scored AS (SELECT c.lang, c.phrase, c.size, c.a, k, l.a AS l, r.a AS r, n, CAST(CAST(1000 AS HUGEINT) * c.a * n // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score FROM cuts c JOIN counts l ON l.lang = c.lang AND l.phrase = c.left_part JOIN counts r ON r.lang = c.lang AND r.phrase = c.right_part JOIN totals t ON t.lang = c.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+alone AS (SELECT * FROM lowest s WHERE NOT EXISTS (SELECT 1 FROM counts b WHERE b.lang = s.lang AND b.size > s.size AND 100 * b.a >= 100 * s.a AND contains(' ' || b.phrase || ' ', ' ' || s.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM alone QUALIFY rank <= 2000
+"""
+
+
 def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -201,8 +222,8 @@ SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_records, op2_spaced_seed_leaks, op3_multi_index_near_dedup, op4_ngram_jaccard_join, op5_warc, op6_main_text, op7_toxicity_chain, op8_chat_formatting, op9_best_fit_packing, op10_language_id, op11_conversation_repair, op13_source_mixing)}
+    return {f.__name__: f for f in (op1_token_records, op2_spaced_seed_leaks, op3_multi_index_near_dedup, op4_ngram_jaccard_join, op5_warc, op6_main_text, op7_toxicity_chain, op8_chat_formatting, op9_best_fit_packing, op10_language_id, op11_conversation_repair, op12_phrase_collocations, op13_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_spaced_seed_leaks": _op2_sql(), "op8_chat_formatting": OP8_SQL, "op11_conversation_repair": _op11_sql(), "op13_source_mixing": OP13_SQL}
+    return {"op2_spaced_seed_leaks": _op2_sql(), "op8_chat_formatting": OP8_SQL, "op11_conversation_repair": _op11_sql(), "op12_phrase_collocations": OP12_SQL, "op13_source_mixing": OP13_SQL}
