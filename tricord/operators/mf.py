@@ -1,24 +1,28 @@
 """Matrix factorisation of many relations at once: mean + U.V, joint gradient steps, adaptive step 1 / eps.
 
-Relations are rows (key, u, b, x); every key (a graph, a split, a point of a parameter grid) is a
-problem of its own, and all advance in the same joins, so 78 graphs cost no more jobs than one.
-Nothing of a problem's size comes to the driver: along a gradient the objective is a polynomial of
-degree 4 in the step, so one pass gives its coefficients for each key, and the whole line search
+Every graph, split and point of a parameter grid is a problem of its own, and all advance in the same
+jobs. Ratings are laid out once, in blocks of users by blocks of items (``blocks``); an iteration moves blocks of factors and of
+sums, never a rating. Problems on the same rows (grid points, splits) share them. Nothing of a problem's size comes to the driver: along a gradient the objective is a polynomial of
+degree 4 in the step, so one pass gives its coefficients for each problem, and the whole line search
 is decided on these few numbers.
 
-Factors of both sides are one table (key, side, id, features), side being ``u`` or ``b``. An iteration
-is two jobs: one writes the factors with their gradients, the other returns the coefficients and the
-test errors; the step itself is a projection that the next iteration's first job makes.
+An iteration is two jobs: one writes the factors with their gradients, the other returns the coefficients and the
+test errors; the step itself is a projection that the next iteration's first job makes. ``residuals``, ``objective`` and
+``evaluate`` are the same sums as joins, for factors in a table.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tricord.functions.vectors import axpy, dot, sum_vectors
+from tricord.functions.vectors import dot
+from tricord.operators.blocks import SIDES, Layout, add_runs, lay_out, rows_of
 from tricord.operators.prep import TWO_SHARES, split_ratings
 from tricord.plans.storage import materialize, remove, shared_dir, written
 
@@ -39,6 +43,11 @@ def initial_features(rank: int, scale: float = 1e-4, shift: int = 0, key: str =
     return F.array(*[F.lit(scale) * (1 + F.pmod(F.col(key) * 31 + 17 * k + shift, F.lit(97)) / F.lit(97.0)) for k in range(rank)])
 
 
+def initial_matrix(ids: np.ndarray, rank: int, scale: float = 1e-4, shift: int = 0) -> np.ndarray:
+    """The same, a row for each id."""
+    return scale * (1 + np.mod(ids[:, None] * 31 + 17 * np.arange(rank) + shift, 97) / 97.0)
+
+
 def factors_of(rows: DataFrame, rank: int, scale: float = 1e-4) -> DataFrame:
     """(key, side, id, features) of the distinct ids on both sides of the relations."""
     ends = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(side).alias("id")) for side in "ub"])).alias("e")
@@ -68,38 +77,9 @@ def objective(rows: DataFrame, factors: DataFrame, lamb: float) -> DataFrame:
     return residuals(rows, factors).select("key", (F.col("r") * F.col("r")).alias("o")).union(square).groupBy("key").agg((F.sum("o") / 2).alias("objective"))
 
 
-def gradient(rows: DataFrame, factors: DataFrame, lamb: Column | float, rank: int) -> DataFrame:
-    """(key, side, id, features, g) of both sides: lambda times the factors less the residuals times the other side's."""
-    r = _left(F.col("x"))
-    parts = _beside(rows, factors, "features").select("key", "u", "b", r.alias("r"), "u_features", "b_features")
-    one = lambda own, other: F.struct(F.lit(own).alias("side"), F.col(own).alias("id"), F.transform(f"{other}_features", lambda v: v * F.col("r")).alias("p"))
-    sums = parts.select("key", F.explode(F.array(one("u", "b"), one("b", "u"))).alias("e")).select("key", "e.side", "e.id", "e.p").groupBy("key", "side", "id").agg(sum_vectors("p", rank).alias("s"))
-    factor = lamb if isinstance(lamb, Column) else F.lit(float(lamb))
-    g = F.when(F.col("s").isNull(), F.transform("features", lambda x: x * factor)).otherwise(F.zip_with("features", "s", lambda x, s: factor * x - s))
-    return factors.join(sums, ["key", "side", "id"], "left").select("key", "side", "id", "features", g.alias("g"))
-
-
 SUMS = ("rr", "ra", "rc", "aa", "ac", "cc", "n0", "n1", "n2", "rows", "square", "absolute")
 
 
-def line_coefficients(rows: DataFrame, factors: DataFrame) -> DataFrame:
-    """(key, rr, ra, rc, aa, ac, cc, n0, n1, n2, rows, square, absolute) of the objective along the gradients.
-
-    With step s a residual becomes r + s a - s^2 c; n0 to n2 are the factors' inner products with
-    themselves, with their gradient, and the gradient's with itself. Rows with ``held`` don't belong to the
-    objective: they are counted, and their errors' squares and absolutes added up.
-    """
-    a, c = dot(F.col("u_g"), F.col("b_features")) + dot(F.col("u_features"), F.col("b_g")), dot(F.col("u_g"), F.col("b_g"))
-    both = _beside(rows, factors, "features", "g").select("key", "held", _left(F.col("x")).alias("r"), a.alias("a"), c.alias("c"))
-    zero = F.lit(0.0)
-    of = lambda held, value: F.when(F.col("held") == F.lit(held), value).otherwise(zero)
-    cells = [of(False, F.col(x) * F.col(y)).alias(x + y) for x, y in ("rr", "ra", "rc", "aa", "ac", "cc")] + [zero.alias(n) for n in ("n0", "n1", "n2")] + [of(True, v).alias(n) for n, v in (("rows", F.lit(1.0)), ("square", F.col("r") * F.col("r")), ("absolute", F.abs("r")))]
-    f, g = F.col("features"), F.col("g")
-    norms = {"n0": dot(f, f), "n1": dot(f, g), "n2": dot(g, g)}
-    every = both.select("key", *cells).union(factors.select("key", *[norms.get(n, zero).alias(n) for n in SUMS]))
-    return every.groupBy("key").agg(*[F.sum(n).alias(n) for n in SUMS])
-
-
 def along(c: dict, s: float, lamb: float) -> float:
     """The objective at step s."""
     square = c["rr"] + 2 * s * c["ra"] + s**2 * (c["aa"] - 2 * c["rc"]) - 2 * s**3 * c["ac"] + s**4 * c["cc"]
@@ -117,73 +97,281 @@ def search(c: dict, eps: float, lamb: float) -> tuple[float | None, float, float
     return None, eps, now, TRIES
 
 
-def _by_key(values: dict[str, float]) -> Column:
-    """The value of a row's key, null for others: as many literals as there are problems."""
-    if not values:
-        return F.lit(None).cast("double")
-    return F.element_at(F.map_from_arrays(F.array(*[F.lit(k) for k in values]), F.array(*[F.lit(float(v)) for v in values.values()])), F.col("key"))
+@dataclass(frozen=True)
+class Problem:
+    """A problem of a group: the rows whose ``train`` field has its bit teach it, those whose ``test`` field has it test it."""
+
+    group: int
+    key: str
+    options: Options
+    bit: int = 0
 
 
-def _in(keys: set[str]) -> Column:
-    return F.col("key").isin(sorted(keys))
+class Factorisation:
+    """Problems by groups; those of a group share its rows, each of which is read once for all of them.
+
+    An id has one array with its factors of all the group's problems, one after another. A state is a table
+    (home, f): per home a matrix with a row of factors for each id; gradients are (home, f, g).
+    """
+
+    def __init__(self, rows: DataFrame, problems: list[Problem]):
+        """``rows``: (g, u, b, x, train, test)."""
+        self.spark, self.problems = rows.sparkSession, {}
+        for p in problems:
+            self.problems.setdefault(p.group, []).append(p)
+        rows = materialize(rows, "mf-rows")
+        bit = lambda field, k: F.shiftright(field, k).bitwiseAND(1) == 1
+        means = rows.groupBy("g").agg(*[F.avg(F.when(bit("train", k), F.col("x"))).alias(f"m{k}") for k in sorted({p.bit for p in problems} | {0})])
+        means = {r["g"]: r for r in means.collect()}  # a row for each group
+        self.specs = {}
+        for g, ps in self.problems.items():
+            ranks = np.array([p.options.rank for p in ps])
+            mean = np.array([means[g][f"m{p.bit}"] if g in means and means[g][f"m{p.bit}"] is not None else 0.0 for p in ps])
+            self.specs[g] = {"ranks": ranks, "from": np.cumsum(ranks) - ranks, "mean": mean, "bits": np.array([p.bit for p in ps]), "lamb": np.repeat([float(p.options.lamb) for p in ps], ranks)}
+        ends = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(side).alias("id")) for side in SIDES])).alias("e")
+        known = rows.where("train <> 0").select("g", ends).select("g", "e.side", "e.id")
+        self.layout = lay_out(rows, known, max((len(x["lamb"]) for x in self.specs.values()), default=1))
+
+        width = self.layout.width
+        self.group_of = lambda home: home // width // 2
+
+    def start(self, scale: float = 1e-4) -> DataFrame:
+        specs = self.specs
+
+        def run(batches):
+            for batch in batches:
+                for home, g, ids in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                    f = np.hstack([initial_matrix(np.array(ids), rank, scale) for rank in specs[g]["ranks"]])
+                    yield pa.RecordBatch.from_arrays([pa.array([home]), pa.array([f.tobytes()], pa.binary())], ["home", "f"])
+
+        return self.layout.homes.select("home", "g", "ids").mapInArrow(run, "home long, f binary")
+
+    def _running(self, groups: set[int] | None) -> Layout:
+        return self.layout if groups is None or groups == set(self.specs) else replace(self.layout, parts=self.layout.parts.where(F.col("g").isin(sorted(groups))))
+
+    def gradient(self, state: DataFrame, groups: set[int] | None = None) -> DataFrame:
+        """(home, f, g): lambda times the factors less the residuals times the other side's."""
+        specs, layout, group_of = self.specs, self._running(groups), self.group_of
+
+        def part_sums(part, sides):
+            spec = specs[part["g"]]
+            taught = np.flatnonzero(part["train"])
+            if not len(taught):
+                return []
+            f = {s: matrix(sides[s]["f"], spec) for s in SIDES}
+            sums = {s: np.zeros_like(f[s]) for s in SIDES}
+            for rows in chunks(taught, spec):
+                u, b = part["u"][rows], part["b"][rows]
+                fu, fb = f["u"][u], f["b"][b]
+                r = part["x"][rows, None] - spec["mean"] - np.add.reduceat(fu * fb, spec["from"], axis=1)
+                r *= has(part["train"][rows], spec)
+                wide = np.repeat(r, spec["ranks"], axis=1)
+                add_runs(sums["u"], u, wide * fb)
+                add_runs(sums["b"], b, wide * fu)
+            return [(sides[s]["home"], sums[s].tobytes()) for s in SIDES]
+
+        parts = layout.meet(state, part_sums, "home long, f binary").select("home", F.lit(True).alias("sums"), "f")
+        every = state.select("home", F.lit(False).alias("sums"), "f").unionByName(parts)
+
+        def combine(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            home, f, total = key[0].as_py(), None, 0.0
+            spec = specs[group_of(home)]
+            for batch in batches:  # as many as the other side has blocks, one after another
+                for sums, data in zip(batch.column("sums").to_pylist(), batch.column("f").to_pylist(), strict=True):
+                    if sums:
+                        total = total + matrix(data, spec)
+                    else:
+                        f = matrix(data, spec)
+            yield pa.RecordBatch.from_arrays([pa.array([home]), pa.array([f.tobytes()], pa.binary()), pa.array([(spec["lamb"] * f - total).tobytes()], pa.binary())], ["home", "f", "g"])
+
+        return every.groupBy("home").applyInArrow(combine, "home long, f binary, g binary")
+
+    def coefficients(self, gradients: DataFrame, groups: set[int] | None = None) -> DataFrame:
+        """(g, p, rr, ra, rc, aa, ac, cc, n0, n1, n2, rows, square, absolute) of each problem's objective along its gradient.
+
+        With step s a residual becomes r + s a - s^2 c; n0 to n2 are the factors' inner products with
+        themselves, with their gradient, and the gradient's with itself. Of the test rows the number and
+        the errors' squares and absolutes are added up.
+        """
+        specs, layout, group_of = self.specs, self._running(groups), self.group_of
+
+        def part_sums(part, sides):
+            spec = specs[part["g"]]
+            none = np.zeros((0, len(spec["lamb"])))
+            f, g = ({s: matrix(sides[s][c], spec) if s in sides else none for s in SIDES} for c in "fg")
+            sums = np.zeros((len(spec["mean"]), len(SUMS)))
+            for rows in chunks(np.arange(part["n"]), spec):
+                u, b = part["u"][rows], part["b"][rows]
+                fu, fb, gu, gb = rows_of(f["u"], u), rows_of(f["b"], b), rows_of(g["u"], u), rows_of(g["b"], b)
+                dot = lambda v: np.add.reduceat(v, spec["from"], axis=1)  # noqa: B023, E731
+                r, a, c = part["x"][rows, None] - spec["mean"] - dot(fu * fb), dot(gu * fb + fu * gb), dot(gu * gb)
+                taught, held = has(part["train"][rows], spec), has(part["test"][rows], spec)
+                for k, v in enumerate((r * r, r * a, r * c, a * a, a * c, c * c)):
+                    sums[:, k] += (v * taught).sum(axis=0)
+                sums[:, 9:] += np.column_stack([held.sum(axis=0), (r * r * held).sum(axis=0), (np.abs(r) * held).sum(axis=0)])
+            return [(part["g"], p, *map(float, sums[p])) for p in range(len(sums))]
+
+        def norms(batches):
+            for batch in batches:
+                for home, f, g in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                    spec = specs[group_of(home)]
+                    f, g = matrix(f, spec), matrix(g, spec)
+                    sums = np.zeros((len(spec["mean"]), len(SUMS)))
+                    for k, v in enumerate((f * f, f * g, g * g)):
+                        sums[:, 6 + k] = np.add.reduceat(v.sum(axis=0), spec["from"])
+                    group = pa.array([group_of(home)] * len(sums), pa.int32())
+                    yield pa.RecordBatch.from_arrays([group, pa.array(np.arange(len(sums)), pa.int32()), *[pa.array(c) for c in sums.T]], ["g", "p", *SUMS])
+
+        schema = "g int, p int, " + ", ".join(f"{n} double" for n in SUMS)
+        every = layout.meet(gradients, part_sums, schema).unionByName(gradients.select("home", "f", "g").mapInArrow(norms, schema))
+        return every.groupBy("g", "p").agg(*[F.sum(n).alias(n) for n in SUMS])
+
+    def errors(self, state: DataFrame) -> DataFrame:
+        """(g, p, rmse, mae) on the problems' test rows; an id without factors leaves the mean. Not clipped to the scale."""
+        found = self.coefficients(state.withColumn("g", F.col("f")))
+        return found.where("rows > 0").select("g", "p", F.sqrt(F.col("square") / F.col("rows")).alias("rmse"), (F.col("absolute") / F.col("rows")).alias("mae"))
+
+    def moved(self, gradients: DataFrame, steps: dict[tuple[int, int], float]) -> DataFrame:
+        """The state after a step of its own along each problem's gradient."""
+        specs, group_of = self.specs, self.group_of
+
+        def run(batches):
+            for batch in batches:
+                for home, f, g in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                    spec = specs[group_of(home)]
+                    step = np.repeat([steps.get((group_of(home), p), 0.0) for p in range(len(spec["ranks"]))], spec["ranks"])
+                    yield pa.RecordBatch.from_arrays([pa.array([home]), pa.array([(matrix(f, spec) - step * matrix(g, spec)).tobytes()], pa.binary())], ["home", "f"])
+
+        return gradients.select("home", "f", "g").mapInArrow(run, "home long, f binary")
+
+    def of_groups(self, state: DataFrame, groups: set[int]) -> DataFrame:
+        width = self.layout.width
+        return state.where((F.col("home") / F.lit(2 * width)).cast("int").isin(sorted(groups)))
+
+    def table(self, state: DataFrame, *columns: str) -> DataFrame:
+        """(key, side, id, columns) of a state or of gradients, ``columns`` (f, g) as arrays."""
+        specs, keys = self.specs, {g: [p.key for p in ps] for g, ps in self.problems.items()}
+
+        def run(batches):
+            for batch in batches:
+                for side, g, ids, *data in zip(*(batch.column(k).to_pylist() for k in range(3 + len(columns))), strict=True):
+                    spec, made = specs[g], [matrix(d, specs[g]) for d in data]
+                    for key, at, rank in zip(keys[g], spec["from"], spec["ranks"], strict=True):
+                        lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * rank), pa.array(m[:, at : at + rank].ravel())) for m in made]
+                        yield pa.RecordBatch.from_arrays([pa.array([key] * len(ids)), pa.array([side] * len(ids)), pa.array(ids, pa.int64()), *lists], ["key", "side", "id", *columns])
+
+        rows = self.layout.homes.withColumnRenamed("g", "group").join(state, "home").select("side", "group", "ids", *columns)
+        return rows.mapInArrow(run, "key string, side string, id long, " + ", ".join(f"{c} array<double>" for c in columns))
+
+    def train(self) -> tuple[DataFrame, DataFrame]:
+        """(state, history) of all problems. An iteration is two jobs; gradients are written to the shared folder at
+        each of them, so a lost executor repeats one iteration at most."""
+        state = materialize(self.start(), "mf-factors")
+        options = {(g, k): p.options for g, ps in self.problems.items() for k, p in enumerate(ps)}
+        eps, active, ended, before, history, old = {k: o.eps for k, o in options.items()}, set(options), [], {}, [], None
+        errors = lambda c: (None, None) if not c["rows"] else ((c["square"] / c["rows"]) ** 0.5, c["absolute"] / c["rows"])
+        for t in range(max((o.iterations for o in options.values()), default=0)):
+            groups = {g for g, _ in active}
+            path = shared_dir(self.spark, "mf-gradients")
+            gradients = written(self.gradient(state, groups), path)
+            if old:
+                remove(self.spark, old)
+            steps, done = {}, set()
+            for c in self.coefficients(gradients, groups).collect():  # a row for each problem
+                k = (c["g"], c["p"])
+                if k not in active:
+                    continue
+                o, first = options[k], along(c, 0.0, options[k].lamb)
+                step, eps[k], new, tries = search(c, eps[k], o.lamb)
+                drop = abs(first - new) / first if first else 0.0
+                history.append((k, t, first, *errors(c), step, tries, "failed" if step is None else "ok"))
+                before[k], steps[k] = new, step or 0.0
+                if step is None or drop < o.tolerance or new < o.tolerance or t + 1 >= o.iterations:
+                    done.add(k)
+            state, active = self.moved(gradients, steps), active - done
+            over = groups - {g for g, _ in active}
+            if over:  # what ended groups are read from stays
+                ended.append(self.of_groups(state, over))
+                state = self.of_groups(state, groups - over)
+            old = None if over else path
+            if not active:
+                break
+        final = state
+        for e in ended:
+            final = final.unionByName(e)
+        final = materialize(final, "mf-result")
+        last = {k: max(h[1] for h in history if h[0] == k) + 1 for k in before}
+        found = {(r["g"], r["p"]): (r["rmse"], r["mae"]) for r in self.errors(final).collect()} if history else {}  # a row for each problem
+        history += [(k, last[k], float(before[k]), *found.get(k, (None, None)), None, 0, "end") for k in before]
+        named = [(self.problems[g][p].key, *rest) for (g, p), *rest in history]
+        return final, self.spark.createDataFrame(named, "key string, iter int, objective double, rmse double, mae double, step double, tries int, status string")
+
+    def close(self) -> None:
+        self.layout.close()
+
+
+#: Doubles of the rows that are worked on at once.
+AT_ONCE = 1 << 20
+
+
+def matrix(data: bytes, spec: dict) -> np.ndarray:
+    return np.frombuffer(data, "<f8").reshape(-1, len(spec["lamb"]))
+
+
+def chunks(rows: np.ndarray, spec: dict):
+    size = max(1, AT_ONCE // len(spec["lamb"]))
+    return (rows[i : i + size] for i in range(0, len(rows), size))
+
+
+def has(field: np.ndarray, spec: dict) -> np.ndarray:
+    """Whether rows belong to problems, by their bits: (rows, problems)."""
+    return (field[:, None] >> spec["bits"]) & 1
+
+
+def grouped(relations: DataFrame, test: DataFrame | None, options: Options | dict[str, Options]) -> Factorisation:
+    """Every key of ``relations`` (key, u, b, x) as a group with one problem; repeated (key, u, b) are averaged."""
+    rows = materialize(relations.groupBy("key", "u", "b").agg(F.avg("x").alias("x")), "mf-relations")
+    keys = sorted(r["key"] for r in rows.select("key").distinct().collect())
+    of = options if isinstance(options, dict) else dict.fromkeys(keys, options)
+    place = F.element_at(F.create_map(*[F.lit(v) for k in enumerate(keys) for v in (k[1], k[0])]), F.col("key")) if keys else F.lit(0)
+    one, no = F.lit(1).cast("long"), F.lit(0).cast("long")
+    every = rows.select(place.alias("g"), "u", "b", "x", one.alias("train"), no.alias("test"))
+    if test is not None:
+        every = every.unionByName(test.where(F.col("key").isin(keys)).select(place.alias("g"), "u", "b", F.col("x").cast("double").alias("x"), no.alias("train"), one.alias("test")))
+    return Factorisation(every, [Problem(g, k, of[k]) for g, k in enumerate(keys)])
+
+
+def shared(rows: DataFrame, problems: list[Problem]) -> Factorisation:
+    """Problems of one group over ``rows`` (u, b, x, train, test), the two fields telling which problems a row belongs to."""
+    return Factorisation(rows.select(F.lit(0).alias("g"), "u", "b", F.col("x").cast("double").alias("x"), F.col("train").cast("long").alias("train"), F.col("test").cast("long").alias("test")), problems)
+
+
+def _results(work: Factorisation) -> tuple[DataFrame, DataFrame, DataFrame]:
+    state, history = work.train()
+    work.close()
+    final = work.table(state, "f")
+    side = lambda s: final.where(F.col("side") == s).select("key", "id", F.col("f").alias("features"))
+    return side("u"), side("b"), history
 
 
 def train(relations: DataFrame, test: DataFrame | None, options: Options | dict[str, Options]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Factors of all relations: (users, items, history), factors being (key, id, features).
 
     ``relations`` and ``test`` are (key: string, u, b, x); a key has its own options where a dict is
-    given, all of one rank. A history row is (key, iter, objective, rmse, mae, step, tries, status);
+    given. A history row is (key, iter, objective, rmse, mae, step, tries, status);
     rmse and mae are those on the key's test rows, null without; an id without factors leaves the
-    mean, and nothing is clipped to the scale. Repeated (key, u, b) are averaged. Gradients are written
-    to the shared folder at each iteration, so a lost executor repeats one iteration at most.
+    mean, and nothing is clipped to the scale. Repeated (key, u, b) are averaged.
     """
-    spark = relations.sparkSession
-    rows = relations.groupBy("key", "u", "b").agg(F.avg("x").alias("x"))
-    mean = materialize(rows.groupBy("key").agg(F.avg("x").alias("mu")), "mf-means")  # a row for each key
-    every = rows.withColumn("held", F.lit(False))
-    if test is not None:
-        every = every.unionByName(test.select("key", "u", "b", "x", F.lit(True).alias("held")))
-    every = materialize(every.join(F.broadcast(mean), "key").select("key", "u", "b", (F.col("x") - F.col("mu")).alias("x"), "held"), "mf-rows")
-    keys = sorted(r["key"] for r in mean.select("key").collect())
-    of = options if isinstance(options, dict) else dict.fromkeys(keys, options)
-    ranks = {of[k].rank for k in keys}
-    if len(ranks) > 1:
-        raise ValueError("problems that are trained together need one rank; train each rank on its own")
-    rank = ranks.pop() if ranks else 1
-    factors = materialize(factors_of(every.where("NOT held"), rank), "mf-factors")
-    eps, active, ended, before, history, old = {k: of[k].eps for k in keys}, set(keys), [], {}, [], None
-    errors = lambda c: (None, None) if not c["rows"] else ((c["square"] / c["rows"]) ** 0.5, c["absolute"] / c["rows"])
-    for t in range(max((of[k].iterations for k in keys), default=0)):
-        running = every.where(_in(active))
-        path = shared_dir(spark, "mf-gradients")
-        g = written(gradient(running.where("NOT held"), factors.where(_in(active)), _by_key({k: of[k].lamb for k in active}), rank), path)
-        if old:
-            remove(spark, old)
-        steps, done = {}, set()
-        for c in line_coefficients(running, g).collect():  # a row for each key
-            k, start = c["key"], along(c, 0.0, of[c["key"]].lamb)
-            step, eps[k], new, tries = search(c, eps[k], of[k].lamb)
-            drop = abs(start - new) / start if start else 0.0
-            history.append((k, t, start, *errors(c), step, tries, "failed" if step is None else "ok"))
-            before[k], steps[k] = new, step or 0.0
-            if step is None or drop < of[k].tolerance or new < of[k].tolerance or t + 1 >= of[k].iterations:
-                done.add(k)
-        factors = g.select("key", "side", "id", axpy(F.col("features"), -_by_key(steps), F.col("g")).alias("features"))
-        if done:
-            ended.append(factors.where(_in(done)))
-        old = None if done else path  # what ended problems are read from stays
-        active -= done
-        if not active:
-            break
-    final = factors.where(_in(active)) if active else factors.where("false")
-    for e in ended:
-        final = final.unionByName(e)
-    final = materialize(final, "mf-result")
-    last = {k: max(h[1] for h in history if h[0] == k) + 1 for k in before}
-    found = {r["key"]: (r["rmse"], r["mae"]) for r in evaluate(every.where("held"), final).collect()} if history else {}  # a row for each key
-    history += [(k, last[k], float(before[k]), *found.get(k, (None, None)), None, 0, "end") for k in before]
-    side = lambda s: final.where(F.col("side") == s).select("key", "id", "features")
-    return side("u"), side("b"), spark.createDataFrame(history, "key string, iter int, objective double, rmse double, mae double, step double, tries int, status string")
+    return _results(grouped(relations, test, options))
+
+
+def train_splits(ratings: DataFrame, splits: int, options: Options) -> DataFrame:
+    """The history of a problem for each split: ``ratings`` (u, b, x, train, test) stand once, whatever the number of splits,
+    with a bit for each split they train or test."""
+    work = shared(ratings, [Problem(0, str(k + 1), options, k) for k in range(splits)])
+    _, history = work.train()
+    work.close()
+    return history
 
 
 def evaluate(rows: DataFrame, factors: DataFrame) -> DataFrame:
@@ -202,15 +390,15 @@ def baseline(ratings: DataFrame, options: Options = Options(lamb=1.0), seed: int
 def grid(train_rows: DataFrame, test_rows: DataFrame, ranks: tuple[int, ...], epsilons: tuple[float, ...], lambdas: tuple[float, ...], iterations: int) -> DataFrame:
     """(rank, eps, lamb, rmse, mae) of every point of a grid, the mean of its last five iterations, best first.
 
-    All points of a rank are trained side by side.
+    All points, of all ranks, are trained side by side: an id has one array with its factors of all
+    points, and a rating is read once for all of them.
     """
-    out = None
-    for rank in ranks:
-        points = {f"{e!r}/{m!r}": Options(rank, e, m, iterations) for e in epsilons for m in lambdas}
-        names = F.broadcast(train_rows.sparkSession.createDataFrame([(k,) for k in points], "key string"))  # the grid's points
-        spread = lambda rows: rows.select("u", "b", F.col("rating").alias("x")).crossJoin(names)
-        _, _, history = train(spread(train_rows), spread(test_rows), points)
-        h = history.join(history.groupBy("key").agg(F.max("iter").alias("end")), "key").where("iter > end - 5").groupBy("key").agg(F.avg("rmse").alias("rmse"), F.avg("mae").alias("mae"))
-        part = h.select(F.lit(rank).alias("rank"), F.split("key", "/")[0].cast("double").alias("eps"), F.split("key", "/")[1].cast("double").alias("lamb"), "rmse", "mae")
-        out = part if out is None else out.union(part)
-    return out.orderBy("rmse", "rank", "eps", "lamb")
+    points = [Problem(0, f"{r}/{e!r}/{m!r}", Options(r, e, m, iterations)) for r in ranks for e in epsilons for m in lambdas]
+    one, no = F.lit(1), F.lit(0)
+    rows = train_rows.groupBy("u", "b").agg(F.avg("rating").alias("x")).select("u", "b", "x", one.alias("train"), no.alias("test"))
+    work = shared(rows.unionByName(test_rows.select("u", "b", F.col("rating").alias("x"), no.alias("train"), one.alias("test"))), points)
+    _, history = work.train()
+    work.close()
+    h = history.join(history.groupBy("key").agg(F.max("iter").alias("end")), "key").where("iter > end - 5").groupBy("key").agg(F.avg("rmse").alias("rmse"), F.avg("mae").alias("mae"))
+    part = lambda k, kind: F.split("key", "/")[k].cast(kind)
+    return h.select(part(0, "int").alias("rank"), part(1, "double").alias("eps"), part(2, "double").alias("lamb"), "rmse", "mae").orderBy("rmse", "rank", "eps", "lamb")

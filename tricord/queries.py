@@ -299,6 +299,13 @@ def _side(factors: DataFrame, side: str) -> DataFrame:
     return factors.where(F.col("side") == side)
 
 
+def _mf_blocks(spark: SparkSession, d: str) -> tuple[mf.Factorisation, DataFrame]:
+    """The problem laid out in blocks, and the gradients of its start."""
+    train = materialize(_train(spark, d), "train")
+    work = mf.grouped(_as_rows(train, "r"), None, mf.Options(RANK, EPS, LAMB))
+    return work, materialize(work.gradient(work.start(0.5)), "gradients")
+
+
 def _long(fs: DataFrame, *columns: str) -> DataFrame:
     rows = fs.select("id", F.posexplode(F.arrays_zip(*columns)).alias("k", "z"))
     return rows.select("id", "k", *[F.round(F.col(f"z.{c}"), 6).alias(c) for c in columns])
@@ -321,20 +328,22 @@ def mf_objective_init(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("mf_grad_user_step1", MF + "SELECT id, k, round(g, 6) AS g FROM gu")
 def mf_grad_user_step1(spark: SparkSession, d: str) -> DataFrame:
-    return _long(_side(mf.gradient(*_mf_state(spark, d), LAMB, RANK), "u"), "g")
+    work, gradients = _mf_blocks(spark, d)
+    return _long(_side(work.table(gradients, "g"), "u"), "g")
 
 
 @_query("mf_grad_item_step1", MF + "SELECT id, k, round(g, 6) AS g FROM gb")
 def mf_grad_item_step1(spark: SparkSession, d: str) -> DataFrame:
-    return _long(_side(mf.gradient(*_mf_state(spark, d), LAMB, RANK), "b"), "g")
+    work, gradients = _mf_blocks(spark, d)
+    return _long(_side(work.table(gradients, "g"), "b"), "g")
 
 
 @_query("mf_objective_step1", MF + f"""SELECT round(((SELECT sum(r * r) FROM (SELECT t.u, t.b, any_value(t.rating) - (SELECT avg(rating) FROM train) - sum((x.x - x.g / {EPS}) * (y.x - y.g / {EPS})) AS r FROM train t JOIN gu x ON x.id = t.u JOIN gb y ON y.id = t.b AND y.k = x.k GROUP BY t.u, t.b))
   + {LAMB} * ((SELECT sum((x - g / {EPS}) * (x - g / {EPS})) FROM gu) + (SELECT sum((x - g / {EPS}) * (x - g / {EPS})) FROM gb))) / 2, 4) AS objective""")
 def mf_objective_step1(spark: SparkSession, d: str) -> DataFrame:
     """The line search's polynomial at step 1 / EPS; SQL takes the step and computes the objective anew."""
-    rows, factors = _mf_state(spark, d)
-    c = mf.line_coefficients(rows, materialize(mf.gradient(rows, factors, LAMB, RANK), "gradients"))
+    work, gradients = _mf_blocks(spark, d)
+    c = work.coefficients(gradients)
     s = F.lit(1 / EPS)
     square = F.col("rr") + 2 * s * F.col("ra") + s * s * (F.col("aa") - 2 * F.col("rc")) - 2 * s * s * s * F.col("ac") + s * s * s * s * F.col("cc")
     return c.select(F.round(square / 2 + LAMB / 2 * (F.col("n0") - 2 * s * F.col("n1") + s * s * F.col("n2")), 4).alias("objective"))
@@ -342,8 +351,8 @@ def mf_objective_step1(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("mf_factors_step1", MF + f"SELECT 'u' AS side, id, k, round(x - g / {EPS}, 6) AS x FROM gu UNION ALL SELECT 'b', id, k, round(x - g / {EPS}, 6) FROM gb")
 def mf_factors_step1(spark: SparkSession, d: str) -> DataFrame:
-    rows, factors = _mf_state(spark, d)
-    moved = mf.gradient(rows, factors, LAMB, RANK).select("side", "id", vectors.axpy(F.col("features"), F.lit(-1 / EPS), F.col("g")).alias("f"))
+    work, gradients = _mf_blocks(spark, d)
+    moved = work.table(work.moved(gradients, {(0, 0): 1 / EPS}), "f")
     return moved.select("side", "id", F.posexplode("f").alias("k", "x")).withColumn("x", F.round("x", 6))
 
 
@@ -382,9 +391,10 @@ def mf_factors(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("mf_five_splits")
 def mf_five_splits(spark: SparkSession, d: str) -> DataFrame:
-    every = materialize(prep.five_splits(tables.ratings(spark, d)), "splits")
-    rows = lambda name: every.where(F.col("split") == name).select(F.col("split_no").cast("string").alias("key"), "u", "b", F.col("rating").alias("x"))
-    _, _, history = mf.train(rows("train"), rows("test"), mf.Options(iterations=MF_ITERATIONS))
+    every = prep.five_splits(tables.ratings(spark, d))
+    bits = lambda name: F.sum(F.when(F.col("split") == name, F.element_at(F.array(*[F.lit(1 << k).cast("long") for k in range(5)]), F.col("split_no"))).otherwise(F.lit(0).cast("long"))).alias(name)
+    rows = every.groupBy("u", "b", F.col("rating").alias("x")).agg(bits("train"), bits("test"))
+    history = mf.train_splits(rows, 5, mf.Options(iterations=MF_ITERATIONS))
     return history.where("status = 'end'").agg(F.avg("rmse").alias("rmse"), F.avg("mae").alias("mae"), F.count("*").alias("splits"))
 
 
