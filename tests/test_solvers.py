@@ -7,7 +7,7 @@ import pytest
 
 from tricord import experiment
 from tricord.functions import metrics
-from tricord.operators import features, fm, mf, prep
+from tricord.operators import blocks, features, fm, mf, prep
 from tricord.plans import storage
 from tricord.sources import tables
 
@@ -49,6 +49,43 @@ def test_mf_is_the_dense_algorithm_for_every_key(spark):
     assert history.where("status = 'end' AND rmse IS NOT NULL").count() == 2
 
 
+def test_shared_rows_are_problems_of_their_own(spark, monkeypatch):
+    """Problems on the same rows, of several ranks and with parts of the rows, in many small parts."""
+    monkeypatch.setattr(blocks, "PART_ROWS", 7)
+    monkeypatch.setattr(blocks, "HOME_BYTES", 300)
+    rng = np.random.default_rng(8)
+    cells = [(i, j, float(rng.integers(1, 6)), int(rng.integers(1, 4)), int(rng.integers(0, 4))) for i in range(9) for j in range(7) if j == 0 or i == 0 or rng.random() < 0.6]
+    rows = spark.createDataFrame(cells, "u long, b long, x double, train long, test long")
+    problems = [mf.Problem(0, "a", mf.Options(2, 1.0, 0.1, 5), 0), mf.Problem(0, "b", mf.Options(3, 2.0, 0.5, 3), 1), mf.Problem(0, "c", mf.Options(2, 5.0, 0.0, 4), 0)]
+    work = mf.shared(rows, problems)
+    assert work.layout.parts.count() > 6 and work.layout.homes.count() > 4
+    state, history = work.train()
+    got, history = work.table(state, "f").collect(), history.collect()
+    work.close()
+    for p in problems:
+        one = lambda k, p=p: spark.createDataFrame([("k", u, b, x) for u, b, x, *f in cells if f[k] >> p.bit & 1], "key string, u long, b long, x double")
+        users, items, alone = mf.train(one(0), one(1), p.options)
+        for side, table in (("u", users), ("b", items)):
+            want = {r["id"]: r["features"] for r in table.collect()}
+            found = {r["id"]: r["f"] for r in got if r["key"] == p.key and r["side"] == side}
+            assert all(np.allclose(found[i], want[i], rtol=1e-9, atol=1e-13) for i in want)
+        of = lambda rs: sorted((r["iter"], r["objective"], r["rmse"], r["mae"], r["tries"]) for r in rs)
+        assert np.allclose(of(alone.collect()), of(r for r in history if r["key"] == p.key))
+
+
+def test_no_rating_is_shuffled_in_an_iteration(spark):
+    rows = spark.range(300).selectExpr("'k' AS key", "id % 17 AS u", "id AS b", "double(id % 5) AS x")
+    work = mf.grouped(rows, rows, mf.Options(rank=2))
+    gradients = work.gradient(work.start())
+    assert blocks.PART_ROWS > 300
+    for step in (gradients, work.coefficients(gradients)):
+        step.collect()
+        plan = step._jdf.queryExecution().executedPlan().toString()
+        left = plan.split("FlatMapCoGroupsInArrow")[1].split("\n")[1]  # what the ratings' side comes from
+        assert "InMemoryTableScan" in left or "TableCacheQueryStage" in left, left
+    work.close()
+
+
 def test_mf_takes_no_rows(spark):
     empty = spark.createDataFrame([], "key string, u long, b long, x double")
     users, _, history = mf.train(empty, None, mf.Options(rank=2, iterations=2))
@@ -205,6 +242,34 @@ def test_prox_zeroes_small_groups():
     assert np.allclose(fm.prox(a, 1.0, 2), [0, 0, 3 * 0.8, 4 * 0.8])
 
 
+@pytest.mark.parametrize("solver", ["PG", "mAPG", "nmAPG"])
+def test_joined_design_is_the_made_one(spark, solver, monkeypatch):
+    monkeypatch.setattr(blocks, "PART_ROWS", 20)
+    monkeypatch.setattr(blocks, "HOME_BYTES", 1500)
+    rng = np.random.default_rng(9)
+    reps = [spark.createDataFrame([(i, [float(x) for x in rng.normal(size=6)]) for i in range(n)], "id long, features array<double>") for n in (11, 8)]
+    rows = spark.createDataFrame([(u, b, float(rng.integers(1, 6))) for u in range(11) for b in range(8) if rng.random() < 0.8], "u long, b long, rating double")
+    held = spark.createDataFrame([(1, 2, 3.0), (99, 2, 4.0), (1, 99, 2.0), (98, 99, 1.0)], "u long, b long, rating double")
+    o = fm.Options(rank=2, size=3, initial=0.1, reg_w=0.01, reg_p=0.01, iterations=6, tries=30, eta=0.1, bias_eta=0.01, solver=solver)
+    design = fm.joined(rows, held, *reps, rank=2)
+    q, history = fm.train(design, None, o)
+    want, made = fm.train(features.design_train(rows, *reps), features.design_test(held, *reps, 6), o)
+    assert np.allclose(q.stacked, want.stacked) and np.isclose(q.bias, want.bias)
+    of = lambda h: [(r["iter"], r["objective"], r["rmse"], r["mae"], r["step"], r["tries"]) for r in h.orderBy("iter").collect()]
+    assert np.allclose(of(history), of(made))
+    pred = {(r["u"], r["b"]): r["pred"] for r in fm.predictions(rows.union(held), *reps, q).collect()}
+    x = np.array([r["x"] for r in features.design_test(held, *reps, 6).orderBy("u", "b").collect()])
+    assert np.allclose([pred[k] for k in ((1, 2), (1, 99), (98, 99), (99, 2))], fm.predict(x, q))
+    design.close()
+
+
+def test_joined_design_refuses_unknown_training_ids(spark):
+    reps = spark.createDataFrame([(1, [1.0, 2.0])], "id long, features array<double>")
+    rows = spark.createDataFrame([(1, 1, 4.0), (2, 1, 5.0)], "u long, b long, rating double")
+    with pytest.raises(Exception, match="no representation"):
+        fm.train(fm.joined(rows, None, reps, reps), None, fm.Options(rank=1, size=2, iterations=1))
+
+
 def test_design_train_refuses_unknown_ids_and_test_fills_zeros(spark):
     reps = spark.createDataFrame([(1, [1.0, 2.0])], "id long, features array<double>")
     r = spark.createDataFrame([(1, 1, 4.0), (2, 1, 5.0)], "u long, b long, rating double")

@@ -3,8 +3,12 @@
     y = bias + x.w + 1/2 sum_f ((x.p_f)^2 - (x^2).(p_f^2))
     objective = mean squared error + reg_w sum_g |w_g| + reg_p sum_g |p_g|
 
-Groups are blocks of ``size`` features. The design stays on the executors, packed into blocks of rows that
-tasks read as matrices; parameters (a few thousand numbers: features times rank) live on the driver. A
+Groups are blocks of ``size`` features. A row of the design is a user's representation beside an item's, so
+x.w, x.p_f and (x^2).(p_f^2) are sums of a number of the user and one of the item: ``joined`` never makes the
+design. These numbers are computed once for each id and sent to the ratings, which are laid out in blocks
+(``blocks``); ratings send each id the sums of err and err (x.p_f) over its rows, and one small product for
+each block of ids makes these the gradient. Designs that exist as tables are packed into blocks of rows instead. Parameters
+(a few thousand numbers: features times rank) live on the driver. A
 pass over the design returns sums only: squared errors of several parameter sets at once, on the training
 and on the test rows, and gradients as one row for each number. A proximal step takes a pass for the
 gradient and one or more for the step sizes, which are tried in order, a few more at a time in each pass.
@@ -19,9 +23,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tricord.functions.vectors import dot
+from tricord.operators.blocks import SIDES, Layout, add_runs, lay_out, rows_of
 from tricord.plans.storage import materialize
 
 #: Step sizes tried in the first passes of a search; later ones try as many as the last.
@@ -100,8 +108,6 @@ def packed(design: DataFrame, test: DataFrame | None = None) -> DataFrame:
     """(held, n, x, y): the rows (x, y) of a design, and those of a test design as held ones, as blocks of little-endian doubles."""
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -116,18 +122,30 @@ def packed(design: DataFrame, test: DataFrame | None = None) -> DataFrame:
     return pack(design, False) if test is None else pack(design, False).unionByName(pack(test, True))
 
 
-def sums(blocks: DataFrame, sets: list[Params], gradients: int = 0) -> tuple[list[tuple[Errors, Errors]], list[np.ndarray]]:
+def sums(blocks: DataFrame | Joined, sets: list[Params], gradients: int = 0) -> tuple[list[tuple[Errors, Errors]], list[np.ndarray]]:
     """Errors of each set on the training and on the held rows, and the training rows' gradient sums of the first ``gradients`` sets.
 
     A gradient has a column for w and one for each factor, as the sums of err x and of
     err (x (x.p_f) - p_f x^2), before the factor 2 / rows.
     """
-    shared = blocks.sparkSession.sparkContext.broadcast(sets)  # features times rank, a few times
     size = sets[0].stacked.size
+    if isinstance(blocks, Joined):
+        rows = blocks.sums(sets, gradients).groupBy("k").agg(F.sum("v").alias("v")).collect()
+    else:
+        shared = blocks.sparkSession.sparkContext.broadcast(sets)  # features times rank, a few times
+        rows = blocks.mapInArrow(_dense_sums(shared, gradients, size), "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+        shared.unpersist()
+    every = np.zeros(8 * len(sets) + gradients * size)
+    every[[r["k"] for r in rows]] = [r["v"] for r in rows]
+    errors = every[: 8 * len(sets)].reshape(2, len(sets), 4)
+    if not errors[0, 0, 0]:
+        raise ValueError("the design has no rows")
+    pairs = [tuple(Errors(*map(float, errors[held, k])) for held in (0, 1)) for k in range(len(sets))]
+    return pairs, list(every[8 * len(sets) :].reshape((gradients, *sets[0].stacked.shape)))
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
+def _dense_sums(shared, gradients: int, size: int):
+    def run(batches: Iterator) -> Iterator:
         sets = shared.value
         errors, found = np.zeros((2, len(sets), 4)), np.zeros((gradients, size))
         any_rows = False
@@ -142,21 +160,153 @@ def sums(blocks: DataFrame, sets: list[Params], gradients: int = 0) -> tuple[lis
                         of_p = x.T @ (err[:, None] * (x @ q.p)) - q.p * ((x * x).T @ err)[:, None]
                         found[k] += np.column_stack((x.T @ err, of_p)).ravel()
         if any_rows:
-            every = np.concatenate((errors.ravel(), found.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(every))), pa.array(every)], ["k", "v"])
+            yield _numbers(np.concatenate((errors.ravel(), found.ravel())))
 
-    rows = blocks.mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
-    shared.unpersist()
-    every = np.zeros(8 * len(sets) + gradients * size)
-    every[[r["k"] for r in rows]] = [r["v"] for r in rows]
-    errors = every[: 8 * len(sets)].reshape(2, len(sets), 4)
-    if not errors[0, 0, 0]:
-        raise ValueError("the design has no rows")
-    pairs = [tuple(Errors(*map(float, errors[held, k])) for held in (0, 1)) for k in range(len(sets))]
-    return pairs, list(every[8 * len(sets) :].reshape((gradients, *sets[0].stacked.shape)))
+    return run
+
+
+def _numbers(values: np.ndarray, first: int = 0) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(values))), pa.array(values)], ["k", "v"])
+
+
+#: Rows of sums of errors that meet in one place are dealt over so many.
+ERROR_ROWS = 64
+#: Doubles of the rows that are worked on at once.
+AT_ONCE = 1 << 20
 
 
-def objective(blocks: DataFrame, q: Params, o: Options) -> float:
+@dataclass(frozen=True)
+class Joined:
+    """A design that stays in its factors: ratings in blocks, and ``sides`` (home, x), x a matrix with an id's representation a row."""
+
+    layout: Layout
+    sides: DataFrame
+    widths: dict[str, int]  # of a user's and of an item's representation
+    mean: float
+
+    @property
+    def features(self) -> int:
+        return sum(self.widths.values())
+
+    def sums(self, sets: list[Params], gradients: int = 0) -> DataFrame:
+        """(k, v): the numbers that ``sums`` adds up."""
+        widths, rank, home_width = self.widths, sets[0].p.shape[1], self.layout.width
+        side_of = lambda home: SIDES[home // home_width % 2]
+        own = {"u": slice(0, widths["u"]), "b": slice(widths["u"], None)}
+        biases, n_sets, n_columns = np.array([q.bias for q in sets]), len(sets), rank + 2
+
+        def parts(batches: Iterator) -> Iterator:
+            """For each id and parameter set: x.w, x.p_f, and the sum of (x^2).(p_f^2)."""
+            for batch in batches:
+                for home, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    at = own[side_of(home)]
+                    x = np.frombuffer(x, "<f8").reshape(-1, widths[side_of(home)])
+                    f = np.hstack([np.column_stack([x @ q.stacked[at], (x * x) @ (q.p[at] ** 2).sum(axis=1)]) for q in sets])
+                    yield pa.RecordBatch.from_arrays([pa.array([home]), pa.array([f.tobytes()], pa.binary())], ["home", "f"])
+
+        def part_sums(part, sides):
+            read = lambda s: np.frombuffer(sides[s]["f"], "<f8").reshape(-1, n_sets * n_columns) if s in sides else np.zeros((0, n_sets * n_columns))
+            f = {s: read(s) for s in SIDES}
+            taught = part["train"] > 0
+            if np.any(taught & ((part["u"] < 0) | (part["b"] < 0))):
+                raise ValueError("a training row's user or item has no representation")
+            errors, back = np.zeros((2, n_sets, 4)), {s: np.zeros((len(f[s]), gradients * (1 + rank))) for s in SIDES}
+            size = max(1, AT_ONCE // (n_sets * n_columns))
+            for i in range(0, part["n"], size):
+                u, b, y, mine = (part[c][i : i + size] for c in ("u", "b", "x", "train"))
+                v = (rows_of(f["u"], u) + rows_of(f["b"], b)).reshape(-1, n_sets, n_columns)
+                err = biases + v[:, :, 0] + 0.5 * ((v[:, :, 1:-1] ** 2).sum(axis=2) - v[:, :, -1]) - y[:, None]
+                for held in (0, 1):
+                    e = err[(mine > 0) != bool(held)]
+                    errors[held] += np.column_stack([np.full(n_sets, len(e)), e.sum(axis=0), (e * e).sum(axis=0), np.abs(e).sum(axis=0)])
+                if gradients and mine.any():
+                    e = np.where(mine[:, None] > 0, err[:, :gradients], 0.0)
+                    values = np.concatenate([e[:, :, None], e[:, :, None] * v[:, :gradients, 1:-1]], axis=2).reshape(len(u), -1)
+                    for s, places in (("u", u), ("b", b)):
+                        add_runs(back[s], places, values)
+            found = [(-1 - int(part["u"].sum() + part["n"]) % ERROR_ROWS, errors.tobytes())]
+            return found + [(sides[s]["home"], back[s].tobytes()) for s in SIDES if gradients and s in sides]
+
+        sent = self.layout.meet(self.sides.mapInArrow(parts, "home long, f binary"), part_sums, "home long, f binary")
+        size = self.features * (1 + rank)
+
+        def gather(key, left: pa.Table, right: pa.Table) -> pa.Table:
+            """A home's sums times its representations; the errors' sums under numbers below 0."""
+            home, total = key[0].as_py(), 0.0
+            for data in right.column("f").to_pylist():
+                total = total + np.frombuffer(data, "<f8")
+            if home < 0:
+                return pa.Table.from_batches([_numbers(total)])
+            made = [_numbers(np.zeros(0))]
+            for x in left.column("x").to_pylist() if right.num_rows else ():
+                at = own[side_of(home)]
+                x = np.frombuffer(x, "<f8").reshape(-1, widths[side_of(home)])
+                total = total.reshape(len(x), gradients, 1 + rank)
+                for k, q in enumerate(sets[:gradients]):
+                    g = x.T @ total[:, k]
+                    g[:, 1:] -= q.p[at] * ((x * x).T @ total[:, k, 0])[:, None]
+                    made.append(_numbers(g.ravel(), 8 * n_sets + k * size + at.start * (1 + rank)))
+            return pa.Table.from_batches(made)
+
+        if not gradients:
+            return sent.groupBy("home").applyInArrow(lambda key, t: gather(key, None, t), "k long, v double")
+        return self.sides.groupBy("home").cogroup(sent.groupBy("home")).applyInArrow(gather, "k long, v double")
+
+    def close(self) -> None:
+        self.sides.unpersist()
+        self.layout.close()
+
+
+def joined(train: DataFrame, test: DataFrame | None, users: DataFrame, items: DataFrame, rank: int = 10) -> Joined:
+    """The design of ratings (u, b, rating) whose users and items have representations (id, features), as its factors.
+
+    Every user and item of ``train`` must have one, else the first pass raises ValueError; those of ``test`` without
+    one are zeros.
+    """
+    one, no = F.lit(1).cast("long"), F.lit(0).cast("long")
+    pick = lambda rows, a, b: rows.select(F.lit(0).alias("g"), "u", "b", F.col("rating").cast("double").alias("x"), a.alias("train"), b.alias("test"))
+    rows = pick(train, one, no) if test is None else pick(train, one, no).unionByName(pick(test, no, one))
+    tables = {"u": users.select("id", "features"), "b": items.select("id", "features")}
+    heads = {s: t.agg(F.max(F.size("features"))).first()[0] or 0 for s, t in tables.items()}
+    known = [t.select(F.lit(0).alias("g"), F.lit(s).alias("side"), "id") for s, t in tables.items()]
+    layout = lay_out(rows, known[0].unionByName(known[1]), max(*heads.values(), 8 * (rank + 2)))
+    places = layout.homes.select("home", "side", F.posexplode("ids").alias("at", "id"))
+    placed = None
+    for s, t in tables.items():
+        met = places.where(F.col("side") == s).join(t, "id").select("home", "at", "features")
+        placed = met if placed is None else placed.unionByName(met)
+
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.sort_by("at")
+        x = t.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return pa.table({"home": t.column("home").slice(0, 1), "x": pa.array([x.astype("<f8").tobytes()], pa.binary())})
+
+    sides = materialize(placed.groupBy("home").applyInArrow(pack, "home long, x binary"), "representations")
+    tasks = max(1, train.sparkSession.sparkContext.defaultParallelism)
+    sides = sides.repartition(max(tasks, sides.count() // 4), "home").sortWithinPartitions("home").persist(StorageLevel.MEMORY_AND_DISK)
+    mean = train.agg(F.avg("rating")).first()[0]
+    return Joined(layout, sides, heads, float(mean or 0.0))
+
+
+def predictions(ratings: DataFrame, users: DataFrame, items: DataFrame, q: Params) -> DataFrame:
+    """(u, b, pred) as column expressions: an id's part of every sum once, two joins, and the square of the sums."""
+    n = users.agg(F.max(F.size("features"))).first()[0] or 0
+    array = lambda v: F.array(*[F.lit(float(x)) for x in v])
+
+    def part(table: DataFrame, side: str, at: slice) -> DataFrame:
+        x = F.col("features")
+        s = [dot(x, array(q.p[at, f])) for f in range(q.p.shape[1])]
+        square = dot(F.transform(x, lambda v: v * v), array((q.p[at] ** 2).sum(axis=1)))
+        return table.select(F.col("id").alias(side), dot(x, array(q.w[at])).alias(f"{side}_w"), F.array(*s).alias(f"{side}_p"), square.alias(f"{side}_q"))
+
+    rows = ratings.select("u", "b").join(part(users, "u", slice(0, n)), "u", "left").join(part(items, "b", slice(n, None)), "b", "left")
+    none = F.array_repeat(F.lit(0.0), q.p.shape[1])
+    number = lambda c: F.coalesce(F.col(f"u_{c}"), F.lit(0.0)) + F.coalesce(F.col(f"b_{c}"), F.lit(0.0))
+    sums_: Column = F.zip_with(F.coalesce("u_p", none), F.coalesce("b_p", none), lambda a, b: a + b)
+    return rows.select("u", "b", (F.lit(q.bias) + number("w") + (dot(sums_, sums_) - number("q")) / 2).alias("pred"))
+
+
+def objective(blocks: DataFrame | Joined, q: Params, o: Options) -> float:
     return sums(blocks, [q])[0][0][0].mean_square + penalty(q, o)
 
 
@@ -173,7 +323,7 @@ class Step:
     accepted: bool = True
 
 
-def proximal_steps(blocks: DataFrame, starts: list[Params], etas: list[float], o: Options) -> list[Step]:
+def proximal_steps(blocks: DataFrame | Joined, starts: list[Params], etas: list[float], o: Options) -> list[Step]:
     """A proximal step from each start, in the same passes.
 
     A step size shrinks until the objective falls below that at the start; if it never does, the start
@@ -199,25 +349,29 @@ def proximal_steps(blocks: DataFrame, starts: list[Params], etas: list[float], o
     return out
 
 
-def start(design: DataFrame, o: Options) -> Params:
+def start(design: DataFrame | Joined, o: Options) -> Params:
     """Bias: the mean target; parameters: uniform in (0, initial), seeded."""
-    head = design.agg(F.avg("y").alias("mean"), F.max(F.size("x")).alias("n")).first()
-    if head["n"] is None:
-        raise ValueError("the design has no rows")
+    if isinstance(design, Joined):
+        mean, n = design.mean, design.features
+    else:
+        head = design.agg(F.avg("y").alias("mean"), F.max(F.size("x")).alias("n")).first()
+        if head["n"] is None:
+            raise ValueError("the design has no rows")
+        mean, n = float(head["mean"]), head["n"]
     rng = np.random.default_rng(o.seed)
-    return Params(float(head["mean"]), rng.random(head["n"]) * o.initial, rng.random((head["n"], o.rank)) * o.initial)
+    return Params(mean, rng.random(n) * o.initial, rng.random((n, o.rank)) * o.initial)
 
 
-def train(design: DataFrame, test: DataFrame | None, o: Options, q: Params | None = None) -> tuple[Params, DataFrame]:
+def train(design: DataFrame | Joined, test: DataFrame | None, o: Options, q: Params | None = None) -> tuple[Params, DataFrame]:
     """(parameters, history); history: (iter, objective, rmse, mae, step, tries, accelerated, status), iter 0 the start.
 
-    Errors are those on ``test``, null without.
+    ``design``: rows (x, y), or a joined one, which holds its test rows itself. Errors are those on ``test``, null without.
     """
     solvers = {"PG": _plain, "mAPG": _monotone, "nmAPG": _non_monotone}
     if o.solver not in solvers:
         raise ValueError(f"no solver {o.solver!r}; there are {', '.join(solvers)}")
     q = start(design, o) if q is None else q
-    blocks = materialize(packed(design, test), "fm-blocks")
+    blocks = design if isinstance(design, Joined) else materialize(packed(design, test), "fm-blocks")
     (errors, held), = sums(blocks, [q])[0]
     now = Step(q, errors.mean_square + penalty(q, o), errors, held, o.eta)
     history: list[tuple] = []
@@ -234,10 +388,11 @@ def train(design: DataFrame, test: DataFrame | None, o: Options, q: Params | Non
         now = s
         if note(s, accelerated, ok):
             break
-    return now.params, design.sparkSession.createDataFrame(history, "iter int, objective double, rmse double, mae double, step double, tries int, accelerated boolean, status string")
+    spark = design.sides.sparkSession if isinstance(design, Joined) else design.sparkSession
+    return now.params, spark.createDataFrame(history, "iter int, objective double, rmse double, mae double, step double, tries int, accelerated boolean, status string")
 
 
-def _plain(blocks: DataFrame, s: Step, o: Options) -> Iterator[tuple[Step, bool, bool]]:
+def _plain(blocks: DataFrame | Joined, s: Step, o: Options) -> Iterator[tuple[Step, bool, bool]]:
     for _ in range(o.iterations):
         (s,) = proximal_steps(blocks, [s.params], [s.eta], o)
         yield s, False, s.accepted
@@ -264,7 +419,7 @@ class Momentum:
         self.t_before = self.t_before if self.fixed else t
 
 
-def _monotone(blocks: DataFrame, s: Step, o: Options) -> Iterator[tuple[Step, bool, bool]]:
+def _monotone(blocks: DataFrame | Joined, s: Step, o: Options) -> Iterator[tuple[Step, bool, bool]]:
     """x_k+1 is the better one of z_k+1, a step from y_k, and v_k+1, a step from x_k."""
     at = Momentum(s.params.stacked, o.literal_momentum)
     for _ in range(o.iterations):
@@ -274,7 +429,7 @@ def _monotone(blocks: DataFrame, s: Step, o: Options) -> Iterator[tuple[Step, bo
         yield s, s is z, s.accepted
 
 
-def _non_monotone(blocks: DataFrame, s: Step, o: Options) -> Iterator[tuple[Step, bool, bool]]:
+def _non_monotone(blocks: DataFrame | Joined, s: Step, o: Options) -> Iterator[tuple[Step, bool, bool]]:
     """x_k+1 is z_k+1 if that falls below c_k, a mean of past objectives; only else is v_k+1 made. The bias takes a step of its own."""
     at, c, q = Momentum(s.params.stacked), s.value, 1.0
     eta_z = eta_v = o.eta

@@ -113,12 +113,6 @@ def split_counts_5(spark: SparkSession, d: str) -> DataFrame:
     return prep.five_splits(tables.ratings(spark, d)).groupBy("split_no", "split").agg(F.count("*").alias("n"))
 
 
-@_query("social_filter_either", _with(RATINGS, TRUST, SPLIT, TRAIN) + "SELECT src, dst FROM trust WHERE src IN (SELECT u FROM train WHERE u % 3 = 0) OR dst IN (SELECT u FROM train WHERE u % 3 = 0)")
-def social_filter_either(spark: SparkSession, d: str) -> DataFrame:
-    # every user of these tables rates: a third of the raters stand for the train set, so that some edges go
-    return prep.social_filter(tables.trust(spark, d), _train(spark, d).where("u % 3 = 0"))
-
-
 @_query("social_filter_either_whole", _with(RATINGS, TRUST, SPLIT, TRAIN) + "SELECT src, dst FROM trust WHERE src IN (SELECT u FROM train) OR dst IN (SELECT u FROM train)")
 def social_filter_either_whole(spark: SparkSession, d: str) -> DataFrame:
     return prep.social_filter(tables.trust(spark, d), _train(spark, d))
@@ -404,29 +398,24 @@ def mf_grid(spark: SparkSession, d: str) -> DataFrame:
     return mf.grid(train, test, **GRID)
 
 
-# designs of two graphs' factors, the second without every seventh id; queries named _whole leave no id out
+# designs of two graphs' factors
 
 L = 2
 N = 2 * L * RANK
-GRAPHS = f"""parts AS (SELECT side, id, g, k, CASE WHEN g = 1 AND id % 7 = 0 THEN 0.0::DOUBLE ELSE 0.1::DOUBLE * (1 + ((id * 31 + 17 * k + 13 * g) % 97) / 97.0::DOUBLE) END AS x
+WHOLE = f"""parts AS (SELECT side, id, g, k, 0.1::DOUBLE * (1 + ((id * 31 + 17 * k + 13 * g) % 97) / 97.0::DOUBLE) AS x
   FROM (SELECT DISTINCT 'u' AS side, u AS id FROM train UNION ALL SELECT DISTINCT 'b', b FROM train) CROSS JOIN range(0, {L}) a(g) CROSS JOIN range(0, {RANK}) c(k))"""
-WHOLE = GRAPHS.replace("CASE WHEN g = 1 AND id % 7 = 0 THEN 0.0::DOUBLE ELSE ", "").replace(" END AS x", " AS x")
 DESIGN = "design AS (SELECT t.u, t.b, CAST((CASE WHEN side = 'b' THEN {h} ELSE 0 END) + g * {r} + k AS INT) AS n, x, rating AS y FROM train t JOIN parts ON id = CASE WHEN side = 'u' THEN t.u ELSE t.b END)".format(h=L * RANK, r=RANK)
 
 
-def _factor_tables(ids: DataFrame, gaps: bool = True, rank: int = RANK) -> list[DataFrame]:
-    of = lambda g: ids.select("id", mf.initial_features(rank, 0.1, 13 * g).alias("features"))
-    return [of(0), of(1).where("id % 7 <> 0") if gaps else of(1)]
-
-
-def _representations(train: DataFrame, gaps: bool = True, rank: int = RANK) -> tuple[DataFrame, DataFrame]:
+def _representations(train: DataFrame, rank: int = RANK) -> tuple[DataFrame, DataFrame]:
     users, items = (train.select(F.col(c).alias("id")).distinct() for c in "ub")
-    return tuple(features.representation(ids, _factor_tables(ids, gaps, rank), rank) for ids in (users, items))
+    factors = lambda ids: [ids.select("id", mf.initial_features(rank, 0.1, 13 * g).alias("features")) for g in range(L)]
+    return tuple(features.representation(ids, factors(ids), rank) for ids in (users, items))
 
 
-def _design(spark: SparkSession, d: str, gaps: bool = True) -> DataFrame:
+def _design(spark: SparkSession, d: str) -> DataFrame:
     train = materialize(_train(spark, d), "train")
-    return features.design_train(train, *_representations(train, gaps))
+    return features.design_train(train, *_representations(train))
 
 
 def _cells(design: DataFrame) -> DataFrame:
@@ -439,18 +428,9 @@ def maxabs_scale_x20(spark: SparkSession, d: str) -> DataFrame:
     return _long(features.max_abs_scale(_side(_mf_state(spark, d)[1], "b").select("id", "features"), RANK), "features")
 
 
-@_query("design_train", _with(RATINGS, SPLIT, TRAIN, GRAPHS, DESIGN) + "SELECT u, b, n, round(x, 6) AS x, y FROM design")
-def design_train(spark: SparkSession, d: str, gaps: bool = True) -> DataFrame:
-    return _cells(_design(spark, d, gaps))
-
-
-@_query("design_test_zero_fill", _with(RATINGS, SPLIT, TRAIN, GRAPHS) + f"""SELECT t.u, t.b, CAST((CASE WHEN side = 'b' THEN {L * RANK} ELSE 0 END) + g * {RANK} + k AS INT) AS n,
-  round(CASE WHEN (CASE WHEN side = 'u' THEN u ELSE b END) % 5 = 0 THEN 0.0::DOUBLE ELSE x END, 6) AS x, rating AS y FROM split t JOIN parts ON id = CASE WHEN side = 'u' THEN t.u ELSE t.b END WHERE split = 'test'""")
-def design_test_zero_fill(spark: SparkSession, d: str) -> DataFrame:
-    train, test = _mf_problem(spark, d)
-    # every fifth user and item has no representation
-    users, items = (r.where("id % 5 <> 0") for r in _representations(train))
-    return _cells(features.design_test(test, users, items, L * RANK))
+@_query("design_train_whole", _with(RATINGS, SPLIT, TRAIN, WHOLE, DESIGN) + "SELECT u, b, n, round(x, 6) AS x, y FROM design")
+def design_train(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(_design(spark, d))
 
 
 @_query("design_test_whole", _with(RATINGS, SPLIT, TRAIN, WHOLE) + f"""SELECT t.u, t.b, CAST((CASE WHEN s.side = 'b' THEN {L * RANK} ELSE 0 END) + a.g * {RANK} + c.k AS INT) AS n,
@@ -458,12 +438,12 @@ def design_test_zero_fill(spark: SparkSession, d: str) -> DataFrame:
   LEFT JOIN parts p ON p.id = CASE WHEN s.side = 'u' THEN t.u ELSE t.b END AND p.side = s.side AND p.g = a.g AND p.k = c.k WHERE split = 'test'""")
 def design_test_whole(spark: SparkSession, d: str) -> DataFrame:
     train, test = _mf_problem(spark, d)
-    return _cells(features.design_test(test, *_representations(train, gaps=False), L * RANK))
+    return _cells(features.design_test(test, *_representations(train), L * RANK))
 
 
-@_query("design_sparsity", _with(RATINGS, SPLIT, TRAIN, GRAPHS, DESIGN) + "SELECT round(avg(CASE WHEN x <> 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS filled FROM design")
-def design_sparsity(spark: SparkSession, d: str, gaps: bool = True) -> DataFrame:
-    return metrics.sparsity(_design(spark, d, gaps)).select(F.round("filled", 6).alias("filled"))
+@_query("design_sparsity_whole", _with(RATINGS, SPLIT, TRAIN, WHOLE, DESIGN) + "SELECT round(avg(CASE WHEN x <> 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS filled FROM design")
+def design_sparsity(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.sparsity(_design(spark, d)).select(F.round("filled", 6).alias("filled"))
 
 
 # factorisation machine, at parameters that SQL can write
@@ -474,7 +454,7 @@ p AS (SELECT CAST(n AS INT) AS n, CAST(f AS INT) AS f, ((n * 5 + f * 3) % 13 - 6
 XP = """xp AS (SELECT u, b, f, sum(x * p) AS s, sum(x * x * p * p) AS q FROM design JOIN p USING (n) GROUP BY u, b, f),
 forward AS (SELECT l.u, l.b, l.y, (SELECT avg(rating) FROM train) + l.l + c.c AS pred FROM
   (SELECT u, b, any_value(y) AS y, sum(x * w) AS l FROM design JOIN w USING (n) GROUP BY u, b) l JOIN (SELECT u, b, sum(s * s - q) / 2 AS c FROM xp GROUP BY u, b) c USING (u, b))"""
-FM = _with(RATINGS, SPLIT, TRAIN, GRAPHS, DESIGN, PARAMS, XP)
+FM = _with(RATINGS, SPLIT, TRAIN, WHOLE, DESIGN, PARAMS, XP)
 
 
 def _params(bias: float) -> fm.Params:
@@ -482,59 +462,57 @@ def _params(bias: float) -> fm.Params:
     return fm.Params(bias, ((n * 7) % 11 - 5) / 20, ((n[:, None] * 5 + f * 3) % 13 - 6) / 20)
 
 
-def _fm_state(spark: SparkSession, d: str, gaps: bool = True) -> tuple[DataFrame, fm.Params]:
-    design = materialize(_design(spark, d, gaps), "design")
-    return design, _params(design.agg(F.avg("y")).first()[0] or 0.0)
+def _fm_state(spark: SparkSession, d: str) -> tuple[fm.Joined, fm.Params]:
+    train = materialize(_train(spark, d), "train")
+    users, items = (materialize(r, "representations") for r in _representations(train))
+    design = fm.joined(train, None, users, items, FM_RANK)
+    return design, _params(design.mean)
 
 
-@_query("fm_forward", FM + "SELECT u, b, round(pred, 6) AS pred FROM forward")
-def fm_forward(spark: SparkSession, d: str, gaps: bool = True) -> DataFrame:
+@_query("fm_forward_whole", FM + "SELECT u, b, round(pred, 6) AS pred FROM forward")
+def fm_forward(spark: SparkSession, d: str) -> DataFrame:
     """As column expressions; the solver's numpy form is tested against it."""
-    design, q = _fm_state(spark, d, gaps)
-    array = lambda v: F.array(*[F.lit(float(x)) for x in v])
-    pred = F.lit(q.bias) + vectors.dot(F.col("x"), array(q.w))
-    for f in range(FM_RANK):
-        s, square = vectors.dot(F.col("x"), array(q.p[:, f])), vectors.dot(F.transform("x", lambda x: x * x), array(q.p[:, f] ** 2))
-        pred = pred + (s * s - square) / 2
-    return design.select("u", "b", F.round(pred, 6).alias("pred"))
-
-
-@_query("fm_error_metrics", FM + "SELECT round(sqrt(avg((pred - y) * (pred - y))), 6) AS rmse, round(avg(abs(pred - y)), 6) AS mae FROM forward")
-def fm_error_metrics(spark: SparkSession, d: str, gaps: bool = True) -> DataFrame:
-    design, q = _fm_state(spark, d, gaps)
-    errors = fm.sums(fm.packed(design), [q])[0][0][0]
+    train = materialize(_train(spark, d), "train")
+    q = _params(train.agg(F.avg("rating")).first()[0] or 0.0)
+    return fm.predictions(train, *_representations(train), q).select("u", "b", F.round("pred", 6).alias("pred"))
+
+
+@_query("fm_error_metrics_whole", FM + "SELECT round(sqrt(avg((pred - y) * (pred - y))), 6) AS rmse, round(avg(abs(pred - y)), 6) AS mae FROM forward")
+def fm_error_metrics(spark: SparkSession, d: str) -> DataFrame:
+    design, q = _fm_state(spark, d)
+    errors = fm.sums(design, [q])[0][0][0]
     return spark.createDataFrame([(round(errors.mean_square**0.5, 6), round(errors.absolute / errors.rows, 6))], "rmse double, mae double")
 
 
 NORMS = f"""norms AS (SELECT CAST(n // {RANK} AS INT) AS g, sqrt(sum(w * w)) AS w_norm FROM w GROUP BY ALL),
 pnorms AS (SELECT CAST(n // {RANK} AS INT) AS g, sqrt(sum(p * p)) AS p_norm FROM p GROUP BY ALL)"""
-FM_NORMS = _with(RATINGS, SPLIT, TRAIN, GRAPHS, DESIGN, PARAMS, XP, NORMS)
+FM_NORMS = _with(RATINGS, SPLIT, TRAIN, WHOLE, DESIGN, PARAMS, XP, NORMS)
 
 
-@_query("fm_objective", FM_NORMS + "SELECT round((SELECT avg((pred - y) * (pred - y)) FROM forward) + 0.5::DOUBLE * (SELECT sum(w_norm) FROM norms) + 0.25::DOUBLE * (SELECT sum(p_norm) FROM pnorms), 6) AS objective")
-def fm_objective(spark: SparkSession, d: str, gaps: bool = True) -> DataFrame:
-    design, q = _fm_state(spark, d, gaps)
-    return spark.createDataFrame([(round(fm.objective(fm.packed(design), q, fm.Options(FM_RANK, RANK, reg_w=0.5, reg_p=0.25)), 6),)], "objective double")
+@_query("fm_objective_whole", FM_NORMS + "SELECT round((SELECT avg((pred - y) * (pred - y)) FROM forward) + 0.5::DOUBLE * (SELECT sum(w_norm) FROM norms) + 0.25::DOUBLE * (SELECT sum(p_norm) FROM pnorms), 6) AS objective")
+def fm_objective(spark: SparkSession, d: str) -> DataFrame:
+    design, q = _fm_state(spark, d)
+    return spark.createDataFrame([(round(fm.objective(design, q, fm.Options(FM_RANK, RANK, reg_w=0.5, reg_p=0.25)), 6),)], "objective double")
 
 
-@_query("fm_grad_w", FM + "SELECT n, round(2 * avg((pred - f.y) * x), 6) AS g FROM design JOIN forward f USING (u, b) GROUP BY n")
-def fm_grad_w(spark: SparkSession, d: str, gaps: bool = True) -> DataFrame:
-    design, q = _fm_state(spark, d, gaps)
-    [(errors, _)], [g] = fm.sums(fm.packed(design), [q], 1)
+@_query("fm_grad_w_whole", FM + "SELECT n, round(2 * avg((pred - f.y) * x), 6) AS g FROM design JOIN forward f USING (u, b) GROUP BY n")
+def fm_grad_w(spark: SparkSession, d: str) -> DataFrame:
+    design, q = _fm_state(spark, d)
+    [(errors, _)], [g] = fm.sums(design, [q], 1)
     return spark.createDataFrame([(k, round(float(x), 6)) for k, x in enumerate(g[:, 0] * 2 / errors.rows)], "n int, g double")
 
 
-@_query("fm_grad_p", FM + "SELECT n, f, round(2 * avg((pred - r.y) * (x * s - p * x * x)), 6) AS g FROM design JOIN forward r USING (u, b) JOIN xp USING (u, b) JOIN p USING (n, f) GROUP BY n, f")
-def fm_grad_p(spark: SparkSession, d: str, gaps: bool = True) -> DataFrame:
-    design, q = _fm_state(spark, d, gaps)
-    [(errors, _)], [g] = fm.sums(fm.packed(design), [q], 1)
+@_query("fm_grad_p_whole", FM + "SELECT n, f, round(2 * avg((pred - r.y) * (x * s - p * x * x)), 6) AS g FROM design JOIN forward r USING (u, b) JOIN xp USING (u, b) JOIN p USING (n, f) GROUP BY n, f")
+def fm_grad_p(spark: SparkSession, d: str) -> DataFrame:
+    design, q = _fm_state(spark, d)
+    [(errors, _)], [g] = fm.sums(design, [q], 1)
     return spark.createDataFrame([(k, f, round(float(g[k, 1 + f] * 2 / errors.rows), 6)) for k in range(N) for f in range(FM_RANK)], "n int, f int, g double")
 
 
-@_query("fm_bias_step", FM + "SELECT round((SELECT avg(rating) FROM train) - 0.1::DOUBLE * 2 * avg(pred - y), 6) AS bias FROM forward")
-def fm_bias_step(spark: SparkSession, d: str, gaps: bool = True) -> DataFrame:
-    design, q = _fm_state(spark, d, gaps)
-    e = fm.sums(fm.packed(design), [q])[0][0][0]
+@_query("fm_bias_step_whole", FM + "SELECT round((SELECT avg(rating) FROM train) - 0.1::DOUBLE * 2 * avg(pred - y), 6) AS bias FROM forward")
+def fm_bias_step(spark: SparkSession, d: str) -> DataFrame:
+    design, q = _fm_state(spark, d)
+    e = fm.sums(design, [q])[0][0][0]
     return spark.createDataFrame([(round(q.bias - 0.1 * 2 / e.rows * e.total, 6),)], "bias double")
 
 
@@ -547,39 +525,25 @@ SELECT n, CAST(-1 AS INT) AS f, round(CASE WHEN size > {ETA * REG_W} THEN v * (1
 UNION ALL SELECT n, f, round(CASE WHEN size > {ETA * REG_P} THEN v * (1 - {ETA * REG_P} / size) ELSE 0 END, 6) FROM gp JOIN lp ON g = n // {RANK}"""
 
 
-@_query("fm_proximal_step", FM_STEP)
-def fm_proximal_step(spark: SparkSession, d: str, gaps: bool = True) -> DataFrame:
+@_query("fm_proximal_step_whole", FM_STEP)
+def fm_proximal_step(spark: SparkSession, d: str) -> DataFrame:
     """The parameters after a step of size ETA; f is -1 for w."""
-    design, q = _fm_state(spark, d, gaps)
-    (s,) = fm.proximal_steps(fm.packed(design), [q], [ETA], fm.Options(FM_RANK, RANK, reg_w=REG_W, reg_p=REG_P, tries=0))
+    design, q = _fm_state(spark, d)
+    (s,) = fm.proximal_steps(design, [q], [ETA], fm.Options(FM_RANK, RANK, reg_w=REG_W, reg_p=REG_P, tries=0))
     if not s.accepted:
         raise ValueError("the step doesn't lower the objective")
     return spark.createDataFrame([(k, f - 1, round(float(s.params.stacked[k, f]), 6) + 0.0) for k in range(N) for f in range(1 + FM_RANK)], "n int, f int, v double")
 
 
-for _f in (design_train, design_sparsity, fm_forward, fm_error_metrics, fm_objective, fm_grad_w, fm_grad_p, fm_bias_step, fm_proximal_step):
-    _query(f"{_f.__name__}_whole", SQL[_f.__name__].replace(GRAPHS, WHOLE))(lambda spark, d, f=_f: f(spark, d, gaps=False))
-
-
-@_query("group_norms", _with(PARAMS, NORMS) + "SELECT g, round(w_norm, 6) AS w_norm, round(p_norm, 6) AS p_norm FROM norms JOIN pnorms USING (g)")
-def group_norms(spark: SparkSession, d: str) -> DataFrame:
-    q = _params(0.0)
-    rows = zip(fm.group_norms(q.w, RANK), fm.group_norms(q.p, RANK), strict=True)
-    return spark.createDataFrame([(k, round(float(w), 6), round(float(p), 6)) for k, (w, p) in enumerate(rows)], "g int, w_norm double, p_norm double")
-
-
-@_query("group_prox_step", _with(PARAMS, NORMS) + f"SELECT n, round(CASE WHEN w_norm > 0.3 THEN w * (1 - 0.3::DOUBLE / w_norm) ELSE 0 END, 6) AS w FROM w JOIN norms ON g = n // {RANK}")
-def group_prox_step(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(k, round(float(x), 6) + 0.0) for k, x in enumerate(fm.prox(_params(0.0).w, 0.3, RANK))], "n int, w double")
-
-
 def _fm_history(solver: str) -> Query:
     def history(spark: SparkSession, d: str) -> DataFrame:
         o = fm.Options(solver=solver, iterations=FM_ITERATIONS)
         train, test = _mf_problem(spark, d)
-        users, items = (materialize(r, "representations") for r in _representations(train, gaps=False, rank=o.size))
-        design = materialize(features.design_train(train, users, items), "design")
-        return fm.train(design, materialize(features.design_test(test, users, items, L * o.size), "design-test"), o)[1]
+        users, items = (materialize(r, "representations") for r in _representations(train, o.size))
+        design = fm.joined(train, test, users, items, o.rank)
+        history = fm.train(design, None, o)[1]
+        design.close()
+        return history
 
     return history
 
