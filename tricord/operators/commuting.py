@@ -2,19 +2,25 @@
 
 Blends are exact: with alpha = step / 10 the integer ``(10 - step) * base + step * motif`` is ranked
 and only the score divided. A product with the relation is linear in the blend, so each of the two
-parts is multiplied once and all eleven steps are made from these.
+parts is multiplied once and all eleven steps are made from these. ``scores`` and ``top_k`` are joins with a row for
+each cell; ``product_top_k`` takes the best of a block of users where their sums are made.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tricord.plans.storage import materialize
+
 from .motifs import MOTIFS, motif_matrix
+from .prep import encode_ids
 from .sparse import add, multiply, scale, transpose
 
 STEPS = tuple(range(11))
+PATHS = ("UUB", "UBUB")
 TOP_K = 500
 
 
@@ -51,53 +57,184 @@ def top_k(scored: DataFrame, k: int = TOP_K, keys: tuple[str, ...] = ("u",)) ->
     return scored.where("w > 0").withColumn("rn", rank).where(F.col("rn") <= k).select(*keys, "b", (F.col("w") / 10).alias("score"), "rn")
 
 
+#: Bytes of the sums that a task holds, items of a range of them, and users of a pack of the relation's rows.
+SUM_BYTES, ITEMS, PACK = 64 << 20, 1 << 17, 256
+
+
+def product_top_k(train: DataFrame, weights: DataFrame, combinations: dict[tuple, dict[int, int]], layers: int, k: int = TOP_K, co_rated: bool = False) -> DataFrame:
+    """The k best items of each user for each combination of layers: (c, u, b, w, rn), c the combination's place.
+
+    ``weights`` are sparse matrices (layer, i, j, w) of user pairs; layer by layer they are multiplied with the
+    relation, and a combination is a sum of products with integer factors. With ``co_rated`` layer 0 also has R.R',
+    items rated in common, which is never made: a block of users meets packs of the relation's rows, and a tile of R.R' is used as it comes.
+
+    No cell of a product is a row: a user's items travel as one array, once to each block of users with a weight on
+    this user, and the sums of a block stand in a task's memory, ``SUM_BYTES`` of them, until the k best
+    are taken. Items beyond ``ITEMS`` go in ranges, whose best meet again.
+    """
+    r = relation(train).select("i", "j")
+    codes = materialize(encode_ids(r.select(F.col("j").alias("id"))), "item-codes")
+    n_items = codes.count()
+    rows = r.join(codes.select(F.col("id").alias("j"), "ind"), "j").groupBy(F.col("i").alias("v")).agg(F.sort_array(F.collect_list(F.col("ind").cast("int"))).alias("items"))
+    rows = materialize(rows, "rows")
+    ranges = max(1, -(-n_items // ITEMS))
+    width = -(-n_items // ranges)
+    weights = materialize(weights.where("w <> 0"), "weights")
+    users = weights.select(F.col("i").alias("u"))
+    users = materialize((users.union(rows.select("v")) if co_rated else users).distinct(), "users")
+    blocks = max(1, -(-users.count() * 8 * layers * max(1, width) // SUM_BYTES))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))).alias("range")
+    # a block's users first, with their own rows where the tiles of R.R' are made of these
+    own = users.join(rows, F.col("u") == F.col("v"), "left").select(block("u").alias("block"), F.struct("u", F.when(F.lit(co_rated), F.col("items")).alias("items")).alias("h"))
+    heads = own.groupBy("block").agg(F.sort_array(F.collect_list("h")).alias("h"))
+    none = F.lit(None).cast("array<struct<i:bigint,layer:int,w:bigint>>").alias("to")
+    heads = heads.select("block", each, F.lit(0).alias("kind"), F.col("h.u").alias("ids"), F.col("h.items").alias("lists"), none)
+    sent = weights.groupBy(block("i").alias("block"), F.col("j").alias("v")).agg(F.collect_list(F.struct("i", F.col("layer").cast("int").alias("layer"), F.col("w").cast("long").alias("w"))).alias("to"))
+    sent = sent.join(rows, "v").select("block", each, F.lit(1).alias("kind"), F.array("v").alias("ids"), F.array("items").alias("lists"), "to")
+    every = heads.unionByName(sent)
+    if co_rated:
+        packs = rows.groupBy(F.pmod(F.xxhash64("v"), F.lit(max(1, rows.count() // PACK))).alias("pack")).agg(F.collect_list("v").alias("ids"), F.collect_list("items").alias("lists"))
+        packs = packs.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "ids", "lists")
+        every = every.unionByName(packs.select("block", each, F.lit(2).alias("kind"), "ids", "lists", none))
+    every = every.repartition("block", "range").sortWithinPartitions("block", "range", "kind")
+    factors = np.zeros((len(combinations), layers), dtype=np.int64)
+    for c, parts in enumerate(combinations.values()):
+        for layer, factor in parts.items():
+            factors[c, layer] = factor
+
+    def run(batches):
+        at = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                key = (row.column("block")[0].as_py(), row.column("range")[0].as_py())
+                if at is None or at.key != key:
+                    if at is not None:
+                        yield from at.best(factors, k)
+                    at = _Block(key, width, layers)
+                at.take(row)
+        if at is not None:
+            yield from at.best(factors, k)
+
+    found = every.select("block", "range", "kind", "ids", "lists", "to").mapInArrow(run, "c int, u long, ind long, w long, rn int")
+    if ranges > 1:
+        rank = F.row_number().over(Window.partitionBy("c", "u").orderBy(F.desc("w"), "ind"))
+        found = found.withColumn("rn", rank).where(F.col("rn") <= k)
+    return found.join(F.broadcast(codes) if n_items <= ITEMS * 8 else codes, "ind").select("c", "u", F.col("id").alias("b"), "w", "rn")
+
+
+class _Block:
+    """A block of users in a task: the sums (layer, user, item) of a range of items."""
+
+    def __init__(self, key: tuple[int, int], width: int, layers: int):
+        self.key, self.first, self.width, self.layers = key, key[1] * width, width, layers
+
+    @staticmethod
+    def _lists(row) -> tuple[np.ndarray, np.ndarray]:
+        """(items one list after another, lengths); a missing list is empty."""
+        lists = row.column("lists")[0].values
+        lengths = np.array([0 if x is None else x for x in lists.value_lengths().to_pylist()], dtype=np.int64)
+        return lists.flatten().to_numpy(zero_copy_only=False), lengths
+
+    def take(self, row) -> None:
+        kind, ids = row.column("kind")[0].as_py(), row.column("ids")[0].values.to_numpy(zero_copy_only=False)
+        items, lengths = self._lists(row)
+        if kind == 0:
+            self.users = ids
+            self.sums = np.zeros(self.layers * len(ids) * self.width, dtype=np.int64)
+            # which users of the block have an item
+            order = np.argsort(items, kind="stable")
+            self.items, self.raters = items[order], np.repeat(np.arange(len(ids)), lengths)[order]
+            return
+        if kind == 1:
+            to = row.column("to")[0].values
+            i, layer, w = (to.field(f).to_numpy(zero_copy_only=False) for f in ("i", "layer", "w"))
+            self._add(layer.astype(np.int64) * len(self.users) + np.searchsorted(self.users, i), np.zeros(len(i), dtype=np.int64), w, items, lengths)
+            return
+        # a tile of R.R': the block's users by the pack's
+        low, high = np.searchsorted(self.items, items, "left"), np.searchsorted(self.items, items, "right")
+        n = high - low
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        pack = np.repeat(np.repeat(np.arange(len(ids)), lengths), n)
+        tile = np.bincount(self.raters[at] * len(ids) + pack, minlength=len(self.users) * len(ids))
+        some = np.flatnonzero(tile)
+        self._add(some // len(ids), some % len(ids), tile[some], items, lengths)
+
+    def _add(self, to: np.ndarray, of: np.ndarray, w: np.ndarray, items: np.ndarray, lengths: np.ndarray, at_once: int = 1 << 21) -> None:
+        """Add w times list ``of`` to the row ``to`` of the sums."""
+        start = np.cumsum(lengths) - lengths
+        n = lengths[of]
+        ends = np.cumsum(n)
+        i = 0
+        while i < len(to):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + at_once, "right")))
+            m = n[i:j]
+            place = items[np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(start[of[i:j]], m)] - self.first
+            row, add = np.repeat(to[i:j], m) * self.width, np.repeat(w[i:j], m)
+            if self.first or (len(place) and place.max() >= self.width):
+                here = (place >= 0) & (place < self.width)
+                place, row, add = place[here], row[here], add[here]
+            np.add.at(self.sums, row + place, add)
+            i = j
+
+    def best(self, factors: np.ndarray, k: int):
+        """The k largest positive sums of each user for each combination, ties by item."""
+        sums = self.sums.reshape(self.layers, len(self.users), self.width)
+        made, held = [], 0
+        for u in range(len(self.users)):
+            some = np.flatnonzero(sums[:, u].any(axis=0))
+            own = sums[:, u][:, some]
+            for c, f in enumerate(factors):
+                w = f @ own
+                top = np.flatnonzero(w > 0)
+                if len(top) > k:  # all that reach the k-th score, of which the sort then takes the first k
+                    top = top[w[top] >= -np.partition(-w[top], k - 1)[k - 1]]
+                top = top[np.argsort(-w[top], kind="stable")[:k]]
+                if len(top):
+                    made.append((np.full(len(top), c, dtype=np.int32), np.full(len(top), self.users[u]), some[top] + self.first, w[top], np.arange(1, len(top) + 1, dtype=np.int32)))
+                    held += len(top)
+            if held > 1 << 17 or (made and u + 1 == len(self.users)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*made, strict=True)], ["c", "u", "ind", "w", "rn"])
+                made, held = [], 0
+
+
 def commuting(path: str, motif: str, step: int, trust: DataFrame, train: DataFrame, k: int = TOP_K) -> DataFrame:
     """The similarity relation of ``path`` blended with ``motif``: (u, b, score, rn)."""
     if motif not in MOTIFS:
         raise ValueError(f"no motif {motif!r}")
-    base = base_matrix(path, trust, train)
+    if step not in STEPS:
+        raise ValueError(f"alpha goes in steps of 0 to 10, not {step!r}")
+    if path not in PATHS:
+        raise ValueError(f"no base path {path!r}; there are UUB and UBUB")
     # at the ends of the range one of the parts has weight 0 and needn't be made
-    if step == 0:
-        m = scale(base, F.lit(10))
-    elif step == 10:
-        m = scale(motif_matrix(trust, motif), F.lit(10))
-    else:
-        m = blend(base, motif_matrix(trust, motif), step)
-    return top_k(multiply(m, relation(train)).select(F.col("i").alias("u"), F.col("j").alias("b"), "w"), k)
+    weights = layer_of(motif_matrix(trust, motif), 1) if step else None
+    if path == "UUB" and step < 10:
+        base = layer_of(base_matrix(path, trust, train), 0)
+        weights = base if weights is None else base.unionByName(weights)
+    if weights is None:
+        weights = layer_of(base_matrix("UUB", trust, train).limit(0), 0)
+    found = product_top_k(train, weights, {(motif, step): {0: 10 - step, 1: step}}, 2, k, path == "UBUB" and step < 10)
+    return found.select("u", "b", (F.col("w") / 10).alias("score"), "rn")
 
 
-def sweep(motifs: DataFrame, base: DataFrame, train: DataFrame, k: int = TOP_K, names: tuple[str, ...] = MOTIFS) -> DataFrame:
+def layer_of(matrix: DataFrame, layer: int) -> DataFrame:
+    return matrix.select(F.lit(layer).alias("layer"), "i", "j", F.col("w").cast("long").alias("w"))
+
+
+def sweep(motifs: DataFrame, path: str, trust: DataFrame, train: DataFrame, k: int = TOP_K, names: tuple[str, ...] = MOTIFS) -> DataFrame:
     """All motifs of ``motifs`` (motif, i, j, w) and all steps in one plan: (motif, alpha_step, u, b, score, rn).
 
-    A motif of ``names`` without triangles has the base's similarities alone. The cells of a motif and user are
-    moved once, not once for each step, and ranked for all steps where they meet: one user's row, as long as
-    there are items at most.
+    A motif of ``names`` without triangles has the base's similarities alone. The base and the motifs are
+    layers of one product: what moves is a user's items, once to each block of users, whatever the number of motifs and steps.
     """
-    r = relation(train)
-    side = r.select(F.col("i").alias("k"), F.col("j").alias("b"))
-    through = motifs.select("motif", F.col("i").alias("u"), F.col("j").alias("k"), "w").join(side, "k").groupBy("motif", "u", "b").agg(F.sum("w").alias("m"))
-    plain = multiply(base, r).select(F.col("i").alias("u"), F.col("j").alias("b"), F.col("w").alias("base"))
-    each = F.explode(F.array(*map(F.lit, names))).alias("motif")
-    none = F.lit(0).cast("long")
-    rows = through.select("motif", "u", "b", none.alias("base"), "m").union(plain.select(each, "u", "b", "base", none.alias("m")))
-
-    def rank(group):
-        import pyarrow as pa
-
-        items, at = np.unique(group.column("b").to_numpy(), return_inverse=True)
-        parts = [np.zeros(len(items), dtype=np.int64) for _ in range(2)]
-        for part, name in zip(parts, ("base", "m"), strict=True):
-            np.add.at(part, at, group.column(name).to_numpy())
-        out = []
-        for step in STEPS:
-            w = (10 - step) * parts[0] + step * parts[1]
-            best = np.flatnonzero(w > 0)
-            if len(best) > k:  # all that reach the k-th score, of which the sort then takes the first k
-                best = best[w[best] >= -np.partition(-w[best], k - 1)[k - 1]]
-            best = best[np.lexsort((items[best], -w[best]))[:k]]
-            out.append((np.full(len(best), step, dtype=np.int32), items[best], w[best] / 10, np.arange(1, len(best) + 1, dtype=np.int32)))
-        steps, b, score, rn = (np.concatenate(c) for c in zip(*out, strict=True))
-        same = [pa.array([group.column(n)[0].as_py()] * len(b), t) for n, t in (("motif", pa.string()), ("u", pa.int64()))]
-        return pa.table([same[0], pa.array(steps), same[1], pa.array(b), pa.array(score), pa.array(rn)], names=["motif", "alpha_step", "u", "b", "score", "rn"])
-
-    return rows.groupBy("motif", "u").applyInArrow(rank, "motif string, alpha_step int, u long, b long, score double, rn int")
+    place = F.coalesce(*[F.when(F.col("motif") == m, F.lit(x + 1)) for x, m in enumerate(names)])
+    weights = motifs.where(F.col("motif").isin(*names)).select(place.alias("layer"), "i", "j", "w")
+    if path == "UUB":
+        weights = weights.unionByName(layer_of(base_matrix(path, trust, train), 0))
+    elif path != "UBUB":
+        raise ValueError(f"no base path {path!r}; there are UUB and UBUB")
+    points = {(m, s): {0: 10 - s, x + 1: s} for x, m in enumerate(names) for s in STEPS}
+    found = product_top_k(train, weights, points, 1 + len(names), k, path == "UBUB")
+    name = F.element_at(F.array(*map(F.lit, names)), (F.col("c") / len(STEPS)).cast("int") + 1)
+    return found.select(name.alias("motif"), (F.col("c") % len(STEPS)).cast("int").alias("alpha_step"), "u", "b", (F.col("w") / 10).alias("score"), "rn")

@@ -237,7 +237,7 @@ for _name, _p, _m, _s, _k in [("commute_uub_m1_a0", "UUB", "m1", 0, 500), ("comm
   SELECT motif, CAST(s AS INT) AS s, u, b, (10 - s) * base + s * m AS w FROM cells CROSS JOIN range(0, 11) r(s)) WHERE w > 0)""") + "SELECT motif, s AS alpha_step, count(*) AS n, CAST(sum(w) AS BIGINT) AS total FROM ranked WHERE rn <= 500 GROUP BY motif, s")
 def alpha_sweep_counts(spark: SparkSession, d: str) -> DataFrame:
     trust = materialize(tables.trust(spark, d), "trust")
-    found = commuting.sweep(materialize(motifs.all_motifs(trust), "motifs"), _unit(trust), materialize(_train(spark, d), "train"))
+    found = commuting.sweep(materialize(motifs.all_motifs(trust), "motifs"), "UUB", trust, materialize(_train(spark, d), "train"))
     return found.groupBy("motif", "alpha_step").agg(F.count("*").alias("n"), F.sum(F.round(F.col("score") * 10).cast("long")).alias("total"))
 
 
