@@ -93,3 +93,40 @@ def test_design_of_test_rows_fills_missing_ids_with_zeros(spark):
     of = lambda k: spark.createDataFrame([(k, [1.0, 2.0])], "id long, features array<double>")
     got = {(r["u"], r["b"]): (r["x"], r["y"]) for r in features.design_test(rows, of(1), of(7), 2).collect()}
     assert got == {(1, 7): ([1, 2, 1, 2], 5), (2, 7): ([0, 0, 1, 2], 4), (1, 8): ([1, 2, 0, 0], 3)}
+
+
+def test_a_star_of_mutual_edges_is_walked_from_its_leaves(spark):
+    """A hub of 50,000 mutual edges and one chord: no pairs of its edges are made by any join."""
+    n = 50_000
+    leaves = spark.range(1, n + 1)
+    star = leaves.selectExpr("0L AS src", "id AS dst").union(leaves.selectExpr("id AS src", "0L AS dst")).union(spark.createDataFrame([(5, 9)], "src long, dst long"))
+    df = motifs.motif_matrix(star, "m3")
+    assert {tuple(r) for r in df.collect()} == {(i, j, 1) for i in (0, 5, 9) for j in (0, 5, 9) if i != j}
+    plan = df._jdf.queryExecution().executedPlan()
+    rows = []
+
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            walk(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            walk(node.plan())
+        metric = node.metrics().get("numOutputRows")
+        if metric.isDefined() and "Join" in name:
+            rows.append(metric.get().value())
+        children = node.children()
+        for k in range(children.size()):
+            walk(children.apply(k))
+
+    walk(plan)
+    assert rows and sum(rows) < 10**6, rows
+
+
+def test_heavy_lists_in_parts_are_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    edges = [(int(a), int(b)) for a, b in {tuple(x) for x in rng.integers(0, 30, (350, 2))} if a != b]
+    trust = spark.createDataFrame(edges, "src long, dst long")
+    monkeypatch.setattr(motifs, "HEAVY", 3)
+    got = {tuple(r) for r in motifs.all_motifs(trust).collect()}
+    want = {(m, *r) for m in ("m2", "m3", "m6", "m7") for r in motifs.motif_by_terms(trust, m).collect()}
+    assert {r for r in got if r[0] in ("m2", "m3", "m6", "m7")} == {(m, i, j, w) for m, i, j, w in want if w}

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from tests.conftest import ROOT, SF
 from tricord import queries as core
+from tricord.operators import commuting, motifs, prep
+from tricord.sources import tables
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -49,10 +51,16 @@ def test_objectives_fall(spark, sf, name, monkeypatch):
         assert values == sorted(values, reverse=True)
 
 
-def test_dense_base_keeps_what_uub_keeps(spark, sf):
-    whole = core.queries()["commute_ubub_m4_a5"](spark, sf).collect()
-    assert 20 < max(r["rn"] for r in whole) <= 500
-    assert sorted(r for r in whole if r["rn"] <= 20) == sorted(core.queries()["topk_ubub_m4_a5"](spark, sf).collect())
+def test_blocked_products_are_the_joins(spark, sf, monkeypatch):
+    """The dense base as cells, and the blocks' own way with tiny blocks, packs and ranges of items."""
+    trust, train = tables.trust(spark, sf), prep.train_of(prep.split_ratings(tables.ratings(spark, sf)))
+    base, m4 = commuting.base_matrix("UBUB", trust, train), motifs.motif_matrix(trust, "m4")
+    want = sorted(tuple(r) for r in commuting.top_k(commuting.scores(base, m4, train, 5), 7).collect())
+    for name, n in (("SUM_BYTES", 40_000), ("ITEMS", 45), ("PACK", 9)):
+        monkeypatch.setattr(commuting, name, n)
+    assert sorted(tuple(r) for r in commuting.commuting("UBUB", "m4", 5, trust, train, 7).collect()) == want
+    found = commuting.sweep(motifs.all_motifs(trust), "UBUB", trust, train, 7).where("motif = 'm4' AND alpha_step = 5").drop("motif", "alpha_step")
+    assert sorted(tuple(r) for r in found.collect()) == want
 
 
 def test_queries_leave_no_id_out(spark, sf):

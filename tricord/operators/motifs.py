@@ -1,7 +1,7 @@
 """Directed-triangle motifs m1 to m7 of a trust graph, per ordered pair of users.
 
 Every triangle is found once. Those with one mutual edge are looked for around it, and those with two
-around the vertex that these share, since mutual edges are few. Where all edges are of one kind,
+around their one-way edge, from the end that has fewer neighbours of the wanted kind. Where all edges are of one kind,
 they point from the end of lower to that of higher degree, so that a vertex has few of them however
 large a hub it is, and pairs of edges out of one vertex are closed by a third edge. The edges' kinds
 decide the motif; each triangle then counts for its six ordered pairs. ``motif_by_terms`` is the sum
@@ -59,6 +59,34 @@ def _of_one_kind(edges: DataFrame) -> DataFrame:
     return wedges.join(out.select(F.col("x").alias("y"), F.col("y").alias("z"), F.col("kind").alias("yz")), ["y", "z"]).select("x", "y", "z", "xy", "xz", "yz")
 
 
+#: Neighbours of one vertex that meet an edge in one place.
+HEAVY = 1 << 12
+
+
+def _both_ways(edges: DataFrame) -> DataFrame:
+    """(v, z, to) of both ends of edges (a, b, to, back)."""
+    side = lambda v, z, to: F.struct(F.col(v).alias("v"), F.col(z).alias("z"), F.col(to).alias("to"))
+    return edges.select(F.explode(F.array(side("a", "b", "to"), side("b", "a", "back"))).alias("s")).select("s.v", "s.z", "s.to")
+
+
+def _closed(edges: DataFrame, near: DataFrame) -> DataFrame:
+    """(x, y, z, xz, yz): each edge (a, b) with every z that is near both of its ends.
+
+    An edge walks the list of the end that has fewer neighbours, so a hub's list is walked by no edge but to another
+    hub; lists longer than ``HEAVY`` are in several parts, and an edge meets each of these in a place of its own.
+    """
+    near = materialize(near, "near")
+    degree = materialize(near.groupBy("v").agg(F.count("*").alias("d")), "near-degree")
+    of = lambda c: degree.select(F.col("v").alias(c), F.col("d").alias(f"d{c}"))
+    ends = edges.select("a", "b").join(of("a"), "a").join(of("b"), "b")
+    low = F.col("da") <= F.col("db")
+    ends = ends.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("y"), F.least("da", "db").alias("d"))
+    parts = F.ceil(F.col("d") / HEAVY)
+    ends = ends.select("x", "y", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    lists = near.join(degree, "v").select(F.col("v").alias("x"), "z", F.col("to").alias("xz"), F.pmod(F.xxhash64("z"), parts).alias("part"))
+    return ends.join(lists, ["x", "part"]).join(near.select(F.col("v").alias("y"), "z", F.col("to").alias("yz")), ["y", "z"]).select("x", "y", "z", "xz", "yz")
+
+
 def triangles(trust: DataFrame, motifs: tuple[str, ...] = MOTIFS) -> DataFrame:
     """(x, y, z, motif), each triangle once."""
     edges = materialize(undirected(trust), "edges")
@@ -71,17 +99,12 @@ def triangles(trust: DataFrame, motifs: tuple[str, ...] = MOTIFS) -> DataFrame:
         found.append(_of_one_kind(mutual).select("x", "y", "z", F.lit("m4").alias("motif")))
     if "m3" in wanted:
         # two mutual edges out of z, the ends of a one-way edge
-        spokes = mutual.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("z")), F.struct(F.col("b").alias("v"), F.col("a").alias("z")))).alias("s")).select("s.v", "s.z")
-        pairs = spokes.withColumnRenamed("v", "x").join(spokes.withColumnRenamed("v", "y"), "z").where("x < y")
-        found.append(pairs.join(single.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"]).select("x", "y", "z", F.lit("m3").alias("motif")))
+        closed = _closed(single, _both_ways(mutual.select("a", "b", F.lit(True).alias("to"), F.lit(True).alias("back"))))
+        found.append(closed.select("x", "y", "z", F.lit("m3").alias("motif")))
     if wanted & {"m2", "m6", "m7"}:
-        # a mutual edge between x and y, x having fewer one-way edges: they lead to z, and y must be joined with it
-        near = single.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("z"), (F.col("kind") == "f").alias("to")), F.struct(F.col("b").alias("v"), F.col("a").alias("z"), (F.col("kind") == "r").alias("to")))).alias("s")).select("s.v", "s.z", "s.to")
-        near = materialize(near, "near")
-        degree = near.groupBy("v").agg(F.count("*").alias("d"))
-        ends = mutual.join(degree.select(F.col("v").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("v").alias("b"), F.col("d").alias("db")), "b")
-        ends = ends.select(F.when(F.col("da") <= F.col("db"), F.struct(F.col("a").alias("x"), F.col("b").alias("y"))).otherwise(F.struct(F.col("b").alias("x"), F.col("a").alias("y"))).alias("e")).select("e.x", "e.y")
-        closed = ends.join(near.select(F.col("v").alias("x"), "z", F.col("to").alias("xz")), "x").join(near.select(F.col("v").alias("y"), "z", F.col("to").alias("yz")), ["y", "z"])
+        # two one-way edges out of or into z, the ends of a mutual edge
+        up = F.col("kind") == "f"
+        closed = _closed(mutual, _both_ways(single.select("a", "b", up.alias("to"), (~up).alias("back"))))
         motif = F.when(F.col("xz") & F.col("yz"), "m7").when(~F.col("xz") & ~F.col("yz"), "m6").otherwise("m2")
         found.append(closed.select("x", "y", "z", motif.alias("motif")))
     rows = found[0]

@@ -226,7 +226,7 @@ def blend_uub_m4_a5(spark: SparkSession, d: str) -> DataFrame:
     return commuting.blend(_unit(trust), motifs.motif_matrix(trust, "m4"), 5)
 
 
-for _name, _p, _m, _s, _k in [("commute_uub_m1_a0", "UUB", "m1", 0, 500), ("commute_uub_m3_a10", "UUB", "m3", 10, 500), ("topk_ubub_m4_a5", "UBUB", "m4", 5, 20), ("commute_ubub_m4_a5", "UBUB", "m4", 5, commuting.TOP_K), *((f"topk_uub_{m}_a5", "UUB", m, 5, 500) for m in motifs.MOTIFS)]:
+for _name, _p, _m, _s, _k in [("commute_uub_m1_a0", "UUB", "m1", 0, 500), ("commute_uub_m3_a10", "UUB", "m3", 10, 500), ("commute_ubub_m4_a5", "UBUB", "m4", 5, commuting.TOP_K), *((f"topk_uub_{m}_a5", "UUB", m, 5, 500) for m in motifs.MOTIFS)]:
     _base = PLAIN_BASE if _p == "UUB" else "SELECT * FROM ubub"
     _query(_name, _with(RATINGS, TRUST, SPLIT, TRAIN, *[UBUB] * (_p == "UBUB"), U_B, _blend_sql(_base, _m, _s), SCORES) + _top_sql(_k))(_commute(_p, _m, _s, _k))
 
