@@ -359,15 +359,55 @@ def test_warc_against_a_plain_version(spark):
 
 # 6
 
+def leaves(node, path=()):
+    """(share, conditions) of a tree's leaves; a condition is (feature, whether at most, limit)."""
+    if node.low is None:
+        yield node.share, path
+    else:
+        name = html_text.FEATURES[node.feature]
+        yield from leaves(node.low, (*path, (name, True, node.limit)))
+        yield from leaves(node.high, (*path, (name, False, node.limit)))
+
+
 def test_tree_looks_at_neighbours():
-    used, todo = set(), [html_text.grow(html_text.labelled_table())]
-    root = html_text.FEATURES[todo[0].feature]
-    while todo:
-        node = todo.pop()
-        if node.low is not None:
-            used.add(html_text.FEATURES[node.feature])
-            todo += [node.low, node.high]
-    assert {"density_before", "density_after", "words_before"} <= used and root not in ("element", "named")
+    content = [path for share, path in leaves(html_text.grow(html_text.labelled_table())) if share >= 0.5]
+    assert {"density_before", "words_after"} <= {name for path in content for name, _, _ in path}
+    # no leaf calls furniture content, whatever stands before it
+    for path in content:
+        assert ("element", True, 0.5) in path and any(name == "named" and low and limit < 0.5 for name, low, limit in path)
+
+
+FURNITURE = ("<footer>{}</footer>", "<nav>{}</nav>", "<aside class=sidebar>{}</aside>", "<div class=cookie-notice>{}</div>", "<form>{}</form>", "<div id=comments>{}</div>", "<div class='ad'>{}</div>", "<div role=complementary>{}</div>", "<div class=share>{}</div>", "<section class=related-posts>{}</section>")
+
+
+@pytest.mark.parametrize("n", [10, 60, 200])
+def test_furniture_after_paragraphs_of_any_length(n):
+    tree, text = html_text.grow(html_text.labelled_table()), " ".join(["x"] * n)
+    for outer in FURNITURE:
+        for inner in ("<a>F</a> <a>F F</a>", "<p>F F F</p>", "<p><a>F F F F F F F F F</a></p><p>F F F F F F F F F F F F F F F F F F F F</p>", "<ul><li><a>F</a><li><a>F</a></ul>", "<p>F F F F F F F F F F F F <a>F F</a></p>"):
+            part = outer.replace("{}", inner)
+            for page in (f"<article><p>{text}</p></article>{part}", f"<article><p>{text}</p>{part}<p>x x</p></article>", f"{part}<main><h1>x</h1><p>{text}</p></main>"):
+                assert html_text.main_text(page, tree).split() == ["x"] * len([t for t in re.sub("<[^>]*>", " ", page).split() if t == "x"]), page
+
+
+@pytest.mark.parametrize("n", [3, 20, 60, 200])
+def test_linked_text_of_an_article_stays(n):
+    tree, text = html_text.grow(html_text.labelled_table()), " ".join(["x"] * n)
+    for page in (f"<article><p>{text}</p><p><a>x x x x</a></p><p>{text}</p></article>", f"<article><p><a>x x x x x x</a> x</p><p>{text}</p></article>", f"<article><p>{text}</p><p><a>x x</a></p></article>",
+                 f"<article><p>{text} <math><mi>x</mi></math></p></article>", f"<article><div class=notice-of-award><p>{text}</p><p>x x</p></div></article>"):
+        assert len(html_text.main_text(page, tree).split()) == len(re.sub("<[^>]*>", " ", page).split()), page
+
+
+def test_given_pages_against_a_plain_extraction(sf):
+    """Every given page has one article element: its text between block tags, by regular expressions."""
+    from html import unescape
+
+    tree = html_text.grow(html_text.labelled_table())
+    for (page,) in duckdb.sql(f"select html from '{sf}/pages.parquet'").fetchall():
+        inside = re.search(r"<article>(.*)</article>", page or "", re.S)
+        text = re.sub(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->", "", inside[1] if inside else "", flags=re.S | re.I).replace("<br>", " ")
+        parts = [" ".join(unescape(re.sub(r"</?(b|i|em|a|span|strong)\b[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h[1-6]|ul|ol|li|div|section|blockquote|table|tr|td)\b[^>]*>", text)]
+        assert html_text.main_text(page, tree) == "\n".join(x for x in parts if x)
 
 
 def test_features_of_blocks():

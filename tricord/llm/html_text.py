@@ -3,7 +3,8 @@
 A page is read once, front to back, into a flat list of blocks: the text between two block-level
 tags, with its words, its link density (share of its words inside links), where it stands (in an
 article, outside of the page's article, or on a page without one), whether a container around it is
-furniture by its element or role, or by its class or id, and whether it is a heading or a list item.
+furniture by its element or role, how much of a container's class or id names furniture (the share of the listed words in a
+token: all of ``cookie-notice``, a third of ``notice-of-award``), and whether it is a heading or a list item.
 A block's features are its own and the words and link density of the blocks before and after it. The
 tree (Gini impurity, grown in numpy) is trained on the blocks of a few labelled pages, read by the
 same code; it calls a block content or not, and content blocks are joined in page order.
@@ -32,7 +33,7 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 # HTML's elements by what they do here.
-UNREAD = frozenset("script style noscript template title textarea select button svg math iframe object canvas audio video datalist".split())
+UNREAD = frozenset("script style noscript template title textarea select button svg annotation annotation-xml iframe object canvas audio video datalist".split())
 CONTAINERS = frozenset("html body div section article main nav header footer aside form ul ol dl table tbody thead tfoot tr td th dialog details figure menu fieldset center blockquote p li dd dt h1 h2 h3 h4 h5 h6 pre address figcaption summary".split())
 BLOCKS = CONTAINERS | frozenset("hr caption legend option optgroup frameset".split())
 FURNITURE = frozenset("nav footer aside form dialog menu fieldset".split())
@@ -45,6 +46,29 @@ FURNITURE_NAMES = frozenset(
     "footer masthead topbar toolbar share sharing social related recommended newsletter subscribe subscription signup login widget popup modal overlay paywall outbrain taboola skip".split()
 )
 COMMENT_NAMES = frozenset("comment comments reply replies".split())
+#: A container with such a share of listed words isn't the page's article.
+HALF = 0.5
+
+def _long_and_short() -> tuple[str, ...]:
+    """Furniture and article text right after a paragraph of few and of many words, linked and not."""
+    pages = []
+    for n in (4, 12, 60, 200):
+        # furniture of every kind, whatever stands before it
+        for furniture in ("<footer>{}</footer>", "<nav>{}</nav>", "<aside class=sidebar>{}</aside>", "<form>{}</form>", "<div class=footer>{}</div>", "<div role=contentinfo>{}</div>"):
+            for inner in ("<a>{1}</a> <a>{1}</a>", "<p><a>{2}</a></p><p>{9}</p>", "<p>{70}</p><p><a>{3}</a></p>"):
+                pages.append(f"<article><p>{{+{n}}}</p></article>" + furniture.replace("{}", inner))
+        for inside in ("<div class=share>{}</div>", "<section class=comments>{}</section>", "<aside>{}</aside>", "<div class=related-posts>{}</div>", "<nav>{}</nav>", "<form>{}</form>", "<footer>{}</footer>"):
+            for inner in ("<p><a>{1}</a></p>", "<p><a>{4}</a></p><p>{60}</p>", "<ul><li><a>{3}</a><li>{2}</ul>", "<p><a>{12}</a></p><p><a>{7}</a> {1}</p>"):
+                pages.append(f"<article><p>{{+{n}}}</p>" + inside.replace("{}", inner) + "<p>{+9}</p></article>")
+        pages.append(f"<article><p>{{+{n}}}</p></article><div><p><a>{{2}}</a></p><p>{{30}}</p></div>")
+        # links that are the article's own
+        pages.append(f"<article><p><a>{{+6}}</a> {{+2}}</p><p>{{+{n}}}</p><p><a>{{+9}}</a></p><p><a>{{+2}}</a></p><p>{{+5}}</p></article>")
+        pages.append(f"<article><p><a>{{+2}}</a></p><p>{{+{n}}}</p><p><a>{{+5}}</a></p><p>{{+20}}</p><p><a>{{+4}}</a></p></article>")
+        pages.append(f"<article><h2><a>{{+3}}</a></h2><p>{{+{n}}}</p><p>{{+3}} <a>{{+12}}</a></p></article>")
+        # no article: what is linked after a text isn't its
+        pages.append(f"<h1>{{+5}}</h1><p>{{+{n + 20}}}</p><p>{{+{n + 30}}}</p><p><a>{{2}}</a> <a>{{2}}</a></p>")
+    return tuple(pages)
+
 
 #: The labelled pages. ``{n}`` stands for n words, ``{+n}`` for n words of main text: what words they are plays no part.
 LABELLED_PAGES = (
@@ -85,6 +109,10 @@ LABELLED_PAGES = (
     # the same without an article: a heading and paragraphs after a menu, before a linked line
     "<div class=menu><a>{1}</a></div><h1>{+4}</h1><p>{+50}</p><p>{+12}</p><p>{+28}</p><p><a>{2}</a></p>", "<p><a>{2}</a></p><p>{+33}</p><p>{+70}</p><h2>{+3}</h2><p>{+26}</p><p><a>{4}</a></p><p>{6}</p>",
     # hardly more than the text
+    # names that only have a listed word in them
+    "<article><h1>{+5}</h1><div class=notice-of-award><p>{+30}</p><p>{+4}</p></div><section id=the-social-contract-today><p>{+60}</p><p><a>{+3}</a> {+2}</p></section></article>",
+    "<div id=banner-of-the-north><h1>{+4}</h1><p>{+40}</p><p>{+9}</p></div>",
+    *_long_and_short(),
     "<p>{+100}</p>", "<h1>{+6}</h1><p>{+19}</p><p>{+25}</p>", "{+12}", "<article><p>{+1}</p></article>", "<article><h1>{+2}</h1><p>{+4}</p><p>{+3}</p></article>",
 )
 
@@ -96,32 +124,37 @@ class Block:
     density: float
     place: int
     element: bool
-    named: bool
+    named: float
     heading: bool
     item: bool
 
 
-def _names(attributes: str) -> tuple[set[str], str, bool]:
-    """Parts of class and id, the role, and whether the element is hidden."""
-    parts, role, hidden = set(), "", False
+def _names(attributes: str) -> tuple[list[list[str]], str, bool]:
+    """The words of each token of class and id, the role, and whether the element is hidden."""
+    tokens, role, hidden = [], "", False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            parts.update(x.lower() for x in NAME_PART.findall(value))
+            tokens += [[x.lower() for x in NAME_PART.findall(t)] for t in value.split()]
         elif name == "role":
             role = value.lower()
         elif name == "style":
             hidden |= "display:none" in value.replace(" ", "").lower()
         else:
             hidden |= name == "hidden" or value.lower() == "true"
-    return parts, role, hidden
+    return tokens, role, hidden
+
+
+def _share(tokens: list[list[str]], listed: frozenset[str]) -> float:
+    """The largest share of listed words in a token."""
+    return max((sum(x in listed for x in t) / len(t) for t in tokens if t), default=0.0)
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks that have text, in order."""
     found: list[tuple] = []
     # element; furniture by element or role, and by name, of it or a container; inside an article
-    stack: list[tuple[str, bool, bool, bool]] = []
+    stack: list[tuple[str, bool, float, bool]] = []
     opened: dict[str, int] = {}
     text, linked, in_link, seen_article = [], 0, 0, False
 
@@ -131,7 +164,7 @@ def blocks(page: str) -> list[Block]:
             joined = html.unescape("".join(text)).split()
             if joined:
                 near = [x[0] for x in stack[-2:]]
-                _, element, named, inside = stack[-1] if stack else ("", False, False, False)
+                _, element, named, inside = stack[-1] if stack else ("", False, 0.0, False)
                 found.append((" ".join(joined), len(joined), min(1.0, linked / len(joined)), inside, element, named, any(re.fullmatch("h[1-6]", x) for x in near), "li" in near))
             text, linked = [], 0
 
@@ -174,19 +207,19 @@ def blocks(page: str) -> list[Block]:
                 continue
             if name in ENDS and stack and stack[-1][0] in ENDS[name]:
                 leave()
-            _, element, named, inside = stack[-1] if stack else ("", False, False, False)
-            parts, role, hidden = _names(attributes) if attributes else (set(), "", False)
+            _, element, named, inside = stack[-1] if stack else ("", False, 0.0, False)
+            tokens, role, hidden = _names(attributes) if attributes else ([], "", False)
             if name in ("article", "main") or role in ("main", "article"):
-                element, named = element or hidden, named or bool(parts & COMMENT_NAMES)
-                inside = seen_article = inside or seen_article or not (element or named)
+                element, named = element or hidden, max(named, _share(tokens, COMMENT_NAMES))
+                inside = seen_article = inside or seen_article or not (element or named >= HALF)
             elif name not in ("html", "body"):
                 element |= hidden or name in FURNITURE or role in FURNITURE_ROLES or (name == "header" and not inside)
-                named |= bool(parts & FURNITURE_NAMES) or ("header" in parts and not inside)
+                named = max(named, _share(tokens, FURNITURE_NAMES if inside else FURNITURE_NAMES | {"header"}))
             stack.append((name, element, named, inside))
             opened[name] = opened.get(name, 0) + 1
     say(page[at:])
     flush()
-    article = any(inside and not (element or named) for _, _, _, inside, element, named, _, _ in found)
+    article = any(inside and not (element or named >= HALF) for _, _, _, inside, element, named, _, _ in found)
     return [Block(b[0], b[1], b[2], (2 if b[3] else 0) if article else 1, *b[4:]) for b in found]
 
 
