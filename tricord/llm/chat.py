@@ -6,8 +6,8 @@ every text comes back as it was. ``format_conversations`` gives a row per conver
 whole formatted text and a row's worth of spans per assistant turn: the example of a turn is the
 prefix before it (its context) and the turn's own text (the target, the only part under the loss
 mask). Spans keep the output in proportion to the input, where written-out prefixes would grow with
-the square of a conversation's length; ``expand`` writes them out for a trainer and for
-``conversation_digest``, one at a time and never through a shuffle.
+the square of a conversation's length; ``expand`` writes them out for a trainer, one at a time and never
+through a shuffle; ``conversation_digest`` checks the spans by running sums instead.
 
 Rows: turns go by number, ties by role and text; repeated rows are turns of their own; a null text
 or role is an empty one; a row without a conversation id is a conversation of its own, so that such
@@ -76,20 +76,33 @@ def parse(formatted: Column) -> Column:
 
 
 def conversation_digest(formatted: DataFrame, target_role: str = "assistant") -> DataFrame:
-    """What the output says, read back: turns from the formatted text, loss from the written-out examples."""
-    rows = formatted.withColumn("turns", parse(F.col("formatted")))
-    spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    due = F.size(F.filter("turns", lambda t: t["role"] == target_role))
-    rows = rows.select("conv_id", "lone", "n_turns", F.sha2(spoken, 256).alias("turns_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), due.alias("due"), "formatted", "examples")
-    kept = ("lone", "n_turns", "turns_sha256", "formatted_chars", "due")
-    examples = expand(rows, *kept, every=True)
-    head = F.concat(F.lit(OPEN), escape(F.lit(target_role)), F.lit(MID))
-    wrong = F.raise_error(F.lit("the prompt of an example doesn't end with the target role's head")).cast("string")
-    said = F.when(F.col("prompt").endswith(head), unescape(F.col("target"))).otherwise(wrong)
-    example = F.when(F.col("turn").isNotNull(), F.struct("turn", said.alias("text")))
-    found = examples.groupBy("conv_id", "lone").agg(*[F.first(c).alias(c) for c in kept[1:]], F.sort_array(F.collect_list(example)).alias("x"))
+    """What the output says, read back: turns from the formatted text, loss from the turns that the examples' spans cover.
+
+    The spans are checked against running sums over the turns as they stand in the text, once for a conversation, so its
+    work grows with its length and not with that of its prefixes. A span that isn't a target turn's text, a target turn without an example or one
+    with two fail the job.
+    """
+    turns = parse(F.col("formatted"))
+    spoken = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    long, none = (lambda c: c.cast("long")), F.lit(None)
+    # a row for the conversation, one for each turn, one for each example right after its turn
+    row = lambda at, kind, size=none, raw=none, role=none, text=none, begin=none, chars=none, sha=none, total=none: F.struct(
+        long(at).alias("at"), kind.alias("kind"), long(size).alias("size"), long(raw).alias("raw"), role.cast("string").alias("role"), text.cast("string").alias("text"), long(begin).alias("begin"), long(chars).alias("chars"), sha.cast("string").alias("sha"), long(total).alias("total"))
+    head = row(F.lit(-1), F.lit(0), sha=F.sha2(spoken, 256), total=F.length("formatted"))
+    of_turn = lambda t, i: row(i, F.lit(1), F.length(escape(t["role"])) + F.length(t["raw"]) + len(OPEN + MID + CLOSE), F.length(t["raw"]), t["role"], t["text"])
+    of_example = lambda e: row(e["turn"], F.lit(2), begin=e["context_chars"], chars=e["target_chars"])
+    every = F.concat(F.array(head), F.transform(turns, of_turn), F.transform("examples", of_example))
+    rows = formatted.select("conv_id", "lone", "n_turns", F.explode(every).alias("e")).select("conv_id", "lone", "n_turns", "e.*")
+    order = Window.partitionBy("conv_id", "lone").orderBy("at", "kind")
+    before = lambda c: F.lag(c).over(order)
+    rows = rows.select("*", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("end"), *[before(c).alias(f"b_{c}") for c in ("kind", "at", "raw", "role", "text")])
+    right = (F.col("b_kind") == 1) & (F.col("b_at") == F.col("at")) & (F.col("b_role") == target_role) & (F.col("chars") == F.col("b_raw")) & (F.col("begin") == F.col("end") - len(CLOSE) - F.col("b_raw"))
+    wrong = F.raise_error(F.concat(F.lit("the span of an example isn't its turn: conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), F.lit(", turn "), F.col("at").cast("string")))
+    said = F.when(F.col("kind") == 2, F.struct("at", F.when(F.coalesce(right, F.lit(False)), F.col("b_text")).otherwise(wrong.cast("string")).alias("text")))
+    due = F.count(F.when((F.col("kind") == 1) & (F.col("role") == target_role), 1))
+    found = rows.select("*", said.alias("said")).groupBy("conv_id", "lone").agg(F.max("n_turns").alias("n_turns"), F.max("sha").alias("turns_sha256"), F.max("total").alias("formatted_chars"), due.alias("due"), F.sort_array(F.collect_list("said")).alias("x"))
     # each target turn is an example, once
-    texts = F.when((F.size("x") == F.col("due")) & (F.size(F.array_distinct("x.turn")) == F.col("due")), F.col("x.text"))
+    texts = F.when((F.size("x") == F.col("due")) & (F.size(F.array_distinct("x.at")) == F.col("due")), F.col("x.text"))
     texts = F.coalesce(texts, F.raise_error(F.lit("a conversation's examples aren't its target turns")).cast("array<string>"))
     rows = found.select("conv_id", "n_turns", "turns_sha256", F.array_join(texts, "").alias("loss"), "formatted_chars")
     return rows.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
