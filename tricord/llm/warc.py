@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, file_system, materialize
 
 READ = 1 << 16
+OWN_ID = re.compile(r"<urn:page:(-?\d+)>")
+RETURNED = ("response", "revisit", "resource")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -94,6 +97,8 @@ class WarcReader:
             if not first.startswith(b"WARC/1."):
                 raise ValueError(f"not a WARC record: {first[:20]!r}")
             headers = self._fields(lines)
+            if not headers.get("content-length", "").isdigit():
+                raise ValueError("a record without a content length")
             length = int(headers["content-length"])
             while len(self.plain) < length + 4:
                 if not self._more():
@@ -114,7 +119,13 @@ class WarcReader:
 
     @staticmethod
     def _verify(said: str | None, data: bytes) -> None:
-        if said and said.startswith("sha1:") and said[5:] != sha1_base32(data):
+        """Digests are ``algorithm:value``, base 32 or hexadecimal; those of an algorithm that Python doesn't have can't be verified."""
+        kind, _, value = (said or "").partition(":")
+        kind = kind.lower().replace("sha-", "sha")
+        if kind not in hashlib.algorithms_guaranteed or kind.startswith("shake"):
+            return
+        made = hashlib.new(kind, data).digest()
+        if value.lower() != made.hex() and value.upper().rstrip("=") != base64.b32encode(made).decode().rstrip("="):
             raise ValueError(f"a digest of {said} doesn't match its {len(data)} bytes")
 
 
@@ -157,23 +168,31 @@ def write_warc(pages: DataFrame, out: str, min_revisit: int = 0, date: str = "20
 
 
 def read_warc(manifest: DataFrame, out: str, with_payload: bool = True) -> DataFrame:
-    """Read archives front to back, one task for each: (page_id, url, record_type, payload_digest, payload_bytes, refers_to[, payload])."""
+    """Read archives front to back, one task for each: (page_id, url, record_type, payload_digest, payload_bytes, refers_to, record_id[, payload]).
+
+    ``manifest`` has a column ``file``, archives of any maker below ``out``. Every record is framed and verified, but only responses, revisits and
+    resources are returned; ids that aren't ours (``<urn:page:N>``) stand in record_id alone, and page_id and refers_to are null. A digest
+    that isn't given is null; one of another algorithm than SHA-1 stands with its name.
+    """
 
     def read(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         fs, folder = file_system(out)
-        page = lambda x: None if x in (None, "<urn:page:none>") else int(x[10:-1])
-        types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()] + [pa.binary()] * with_payload
-        names = ["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to"] + ["payload"] * with_payload
+        page = lambda x: int(m[1]) if (m := OWN_ID.fullmatch(x or "")) else None
+        digest = lambda x: x and (x[5:] if x.lower().startswith("sha1:") else x)
+        types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()] + [pa.binary()] * with_payload
+        names = ["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "record_id"] + ["payload"] * with_payload
         flush = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
         for batch in batches:
             for file in batch.column(0).to_pylist():
                 rows, held = [], 0
                 with fs.open_input_stream(f"{folder}/{file}", compression=None) as stream:
                     for head, http, payload in WarcReader(stream):
-                        size = int(http.get("content-length", len(payload)))
-                        rows.append((page(head["warc-record-id"]), head.get("warc-target-uri"), head["warc-type"], head["warc-payload-digest"][5:], size, page(head.get("warc-refers-to"))) + (payload,) * with_payload)
+                        if head.get("warc-type") not in RETURNED:
+                            continue
+                        size = int(http.get("content-length", len(payload)) if head["warc-type"] == "revisit" else len(payload))
+                        rows.append((page(head.get("warc-record-id")), head.get("warc-target-uri"), head["warc-type"], digest(head.get("warc-payload-digest")), size, page(head.get("warc-refers-to")), head.get("warc-record-id")) + (payload,) * with_payload)
                         held += len(payload) * with_payload
                         if len(rows) == 1000 or held > READ << 6:
                             yield flush(rows)
@@ -181,7 +200,7 @@ def read_warc(manifest: DataFrame, out: str, with_payload: bool = True) -> DataF
                 if rows:
                     yield flush(rows)
 
-    schema = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long" + ", payload binary" * with_payload
+    schema = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, record_id string" + ", payload binary" * with_payload
     # the manifest is tiny, so its own partitions would follow its size and not the work
     numbered = manifest.select("file", (F.row_number().over(Window.orderBy("file")) - 1).alias("task"))
     return numbered.repartitionById(max(1, manifest.count()), "task").select("file").mapInArrow(read, schema)
