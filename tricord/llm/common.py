@@ -1,51 +1,19 @@
-"""What the corpus operators share: the shared folder, files in it, tokenizing, components."""
+"""What the corpus operators share: files in the shared folder, tokenizing, components."""
 
 from __future__ import annotations
 
 import functools
 import os
 import re
-import tempfile
-import uuid
 from array import array
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of a table, at most, that joins broadcast.
-BROADCAST_BYTES = 64 << 20
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``. Where that is unset, a temporary one in local mode, else ValueError."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        if not _own_dir:
-            _own_dir.append(tempfile.mkdtemp(prefix="tricord-"))
-        base = _own_dir[0]
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there."""
-    return written(df, shared_dir(df.sparkSession, name))
-
-
-def written(df: DataFrame, path: str) -> DataFrame:
-    """``df`` written as Parquet to ``path`` and read back."""
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder that nothing reads any more, through Spark's own file systems."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+from tricord.plans.storage import BROADCAST_BYTES, materialize, remove, shared_dir, small, written
 
+__all__ = ["BROADCAST_BYTES", "ChunkEncoder", "arrow_rows", "chunk_encoder", "components", "file_system", "materialize", "others", "remove", "shared_dir", "small", "unused", "written"]
 
 def unused(df: DataFrame, name: str) -> str:
     """``name``, or with underscores until no column of ``df`` has it in any case."""
@@ -55,10 +23,10 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def small(df: DataFrame, row_bytes: Column | int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """A materialized table, to be broadcast if its rows, of ``row_bytes`` each, sum up to no more than ``limit``."""
-    size = df.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes).cast("long"))).first()[0]
-    return F.broadcast(df) if (size or 0) <= limit else df
+def others(df: DataFrame, *own: str) -> list[str]:
+    """The columns of ``df`` that have none of these names, in any case."""
+    taken = {c.lower() for c in own}
+    return [c for c in df.columns if c.lower() not in taken]
 
 
 def file_system(uri: str):

@@ -11,7 +11,7 @@ same code; it calls a block content or not, and content blocks are joined in pag
 
 Rows: a null, empty or unfinished page gives what it has, "" if nothing; unclosed scripts, comments
 and styles run to the page's end; very long and very deep pages are read in one pass; repeated rows
-get the same answer; a column named as the result's is replaced, other columns stay; an empty table
+get the same answer; a column named as the result's, in any case, is replaced, other columns stay; an empty table
 gives no rows.
 """
 
@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import arrow_rows
+from .common import arrow_rows, others
 
 #: A comment, a declaration, or a tag with quoted attributes (or, if quotes don't match, up to the next >).
 MARK = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
@@ -292,7 +292,7 @@ def main_text(page: str | None, tree: Node) -> str:
 
 def extract_text(pages: DataFrame, labelled: tuple[str, ...] = LABELLED_PAGES, html_col: str = "html") -> DataFrame:
     """All columns of ``pages`` but the page itself, with its main ``text``."""
-    names = [c for c in pages.columns if c not in (html_col, "text")]
+    names = others(pages, html_col, "text")
     tree = grow(labelled_table(labelled))
 
     def run(batches: Iterator) -> Iterator:

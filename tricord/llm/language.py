@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
+from .common import arrow_rows, others
 
 BUCKETS, DIM, NGRAMS, BLOCK = 1 << 15, 16, 3, 1 << 20
 UNKNOWN = "und"
@@ -37,22 +37,30 @@ def _letters() -> np.ndarray:
 
 
 def buckets(text: str | None) -> Iterator[np.ndarray]:
-    """Bucket numbers of a text's n-grams, a block at a time; none if it has no letter."""
-    table = _letters()
-    for at in range(0, len(text or ""), BLOCK):
-        # a block sees the last characters of the one before it
-        codes = np.frombuffer(text[max(0, at - NGRAMS + 1) : at + BLOCK].lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    """Bucket numbers of a text's n-grams, a block at a time; none if it has no letter.
+
+    Every n-gram of the whole text comes once, whatever the blocks: a block has the last characters of the one before it, and
+    n-grams that end in these are left out.
+    """
+    text, table = (text or "").lower(), _letters()
+    # runs of what isn't a letter are one blank; the text stands between two
+    before, counted, joined, some = np.array([32], dtype=np.uint64), 0, True, False
+    for at in range(0, len(text), BLOCK):
+        codes = np.frombuffer(text[at : at + BLOCK].encode("utf-32-le", "surrogatepass"), dtype="<u4")
         letter = table[codes]
-        if not letter.any():
+        new = np.where(letter, codes, 32)[letter | np.concatenate(([joined], letter[:-1]))].astype(np.uint64)
+        joined, some = bool(letter[-1]), some or bool(letter.any())
+        codes = np.concatenate((before, new, [32] if at + BLOCK >= len(text) else [])).astype(np.uint64)
+        if not some:
+            before = codes
             continue
-        codes = np.where(letter, codes, 32)
-        codes = np.concatenate(([32], codes[letter | np.concatenate(([True], letter[:-1]))], [32])).astype(np.uint64)
         mixed, parts = np.zeros(len(codes), dtype=np.uint64), []
         for n in range(NGRAMS):
             mixed = (mixed[: len(codes) - n] * np.uint64(0x9E3779B97F4A7C15)) + codes[n:] + np.uint64(1)
             h = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            parts.append((h >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int32))
+            parts.append((h >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int32)[max(0, counted - n) :])
         yield np.concatenate(parts)
+        before, counted = codes[-(NGRAMS - 1) :], min(NGRAMS - 1, len(codes))
 
 
 def bucket_counts(text: str | None) -> np.ndarray | None:
@@ -153,8 +161,8 @@ def fit_language_model(docs: DataFrame, per_language: int = 600) -> LanguageMode
 
 
 def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """All columns of ``docs`` with lang_pred and score (columns of these names are replaced)."""
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    """All columns of ``docs`` with lang_pred and score (columns of these names, in any case, are replaced)."""
+    names = others(docs, "lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows: a fixed size
 
     def run(batches: Iterator) -> Iterator:

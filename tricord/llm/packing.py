@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, chunk_encoder, materialize, unused
+from .common import arrow_rows, chunk_encoder, materialize, others, unused
 
 CAPACITY, OPEN_BINS, ROUND = 2048, 1024, 2048
 
@@ -94,7 +94,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
 
     A sequence's pieces stand one after another from offset 0. ``assemble`` makes its tokens.
     """
-    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    names = others(pieces, "sequence_id", "offset")
     # written, so that neither counting nor a lost executor encodes the texts again
     rows = materialize(pieces.select(*names), "pieces")
     number, turn = unused(rows, "number"), unused(rows, "turn")

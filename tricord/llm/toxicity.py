@@ -16,7 +16,7 @@ Rows: texts without features (null, empty, without letters) are not toxic and ha
 all categories; several labels of a document count as the largest; of rows that repeat an id the
 smallest text teaches; labels without a document, and null labels, teach nothing; without labelled
 texts of both kinds nothing is toxic; repeated rows get the same answer; very long texts are read
-whole; columns named as the result's are replaced, other columns stay as they are; an empty table
+whole; columns named as the result's, in any case, are replaced, other columns stay as they are; an empty table
 gives no rows.
 """
 
@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
+from .common import arrow_rows, others
 
 FEATURES = 1 << 18
 WORD = re.compile(r"[^\W\d_]+")
@@ -203,7 +203,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4000, cate
 
     # 2 * per_class documents (about), whatever the tables' sizes and however often an id stands in them
     names = ["labelled", "weight", *[f"y_{k}" for k in range(len(categories))]]
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("labelled"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id").cast("string") == F.col("labelled").cast("string"))
     rows = rows.groupBy(*names).agg(F.min("text").alias("text"))
 
     def run(batches: Iterator) -> Iterator:
@@ -213,12 +213,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4000, cate
             made = [features(t).astype("<u4").tobytes() for (texts,) in arrow_rows(batch, "text") for t in texts]
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in names], pa.array(made, pa.binary())], [*names, "f"])
 
-    schema = "labelled long, weight double, " + ", ".join(f"{n} double" for n in names[2:]) + ", f binary"
+    schema = f"labelled {drawn.schema['labelled'].dataType.simpleString()}, weight double, " + ", ".join(f"{n} double" for n in names[2:]) + ", f binary"
     # texts without features are never toxic, so they have nothing to teach; Arrow keeps the sets in one place
     got = rows.select(*names, "text").mapInArrow(run, schema).where("octet_length(f) > 0").toArrow()
-    ids, weight, *labels = (got.column(n).to_numpy() for n in names)
+    ids, (weight, *labels) = got.column("labelled").to_pylist(), (got.column(n).to_numpy() for n in names[1:])
     # by a hash of the id: neighbours in id may be copies
-    order = np.lexsort((ids, [zlib.crc32(str(i).encode()) for i in ids.tolist()]))
+    order = sorted(range(len(ids)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), str(ids[i])))
     sets = [np.frombuffer(f.as_buffer(), "<u4") for chunk in got.column("f").chunks for f in chunk]
     x = rows_of([sets[i] for i in order])
     del got, sets
@@ -226,9 +226,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4000, cate
 
 
 def predict_toxicity(docs: DataFrame, chain: Chain) -> DataFrame:
-    """All columns of ``docs`` with p_<category> for each category and is_toxic (columns of these names are replaced)."""
+    """All columns of ``docs`` with p_<category> for each category and is_toxic (columns of these names, in any case, are replaced)."""
     own = [f"p_{c}" for c in chain.categories]
-    names = [c for c in docs.columns if c not in (*own, "is_toxic")]
+    names = others(docs, *own, "is_toxic")
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
