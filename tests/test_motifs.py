@@ -76,6 +76,27 @@ def test_splits_are_exact_and_disjoint(spark):
     assert prep.split_ratings(r.limit(0)).count() == 0
 
 
+def test_splits_by_selection_are_those_by_rank(spark, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(prep, "ROUND", 1)
+    monkeypatch.setattr(prep, "LAST", 2)
+    r = spark.range(907).selectExpr("id % 31 AS u", "id AS b", "1.0D AS rating")
+    got = {(x["split_no"], x["u"], x["b"]): x["split"] for x in prep.five_splits(r, [1, 7]).collect()}
+    for s in (1, 7):
+        order = sorted(((i % 31, i) for i in range(907)), key=lambda k, s=s: hashlib.md5(f"{s}:{k[0]}:{k[1]}".encode()).hexdigest())
+        for k, (u, b) in enumerate(order):
+            assert got[s, u, b] == ("train" if k < 725 else "test" if k < 725 + 90 else "val")
+    # rows that repeat a pair stay together
+    one = prep.split_ratings(spark.range(50).selectExpr("1L AS u", "2L AS b", "double(id) AS rating"))
+    assert one.count() == 50 and one.select("split").distinct().count() == 1
+
+
+def test_splits_shuffle_no_rating(spark):
+    r = spark.range(100).selectExpr("id AS u", "id AS b", "1.0D AS rating")
+    assert "Exchange" not in prep.five_splits(r)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_dedup_last_and_encoding(spark):
     r = spark.createDataFrame([(1, 1, 1, 5.0), (1, 1, 2, 3.0), (2, 1, 1, 4.0)], "u long, b long, seq int, rating double")
     assert {tuple(x) for x in prep.dedup_last(r, ["u", "b"], ["seq"], "rating").collect()} == {(1, 1, 3.0), (2, 1, 4.0)}

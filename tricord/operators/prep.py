@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tricord.plans.storage import materialize
-from tricord.sources.tables import numbered
 
 
 def dedup_last(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
@@ -52,18 +54,72 @@ def split_ratings(ratings: DataFrame, seed: int = 1, shares: tuple[tuple[str, fl
 
 
 def five_splits(ratings: DataFrame, seeds: list[int] | tuple[int, ...] = (1, 2, 3, 4, 5), shares: tuple[tuple[str, float], ...] = SHARES) -> DataFrame:
-    """Independent splits side by side, ratings being read once: ``split_no`` (the seed) and ``split``."""
+    """Independent splits side by side: ``split_no`` (the seed) and ``split``.
+
+    Sizes are exact without a rank: the hashes at which one part ends and the next begins are found by counting, and a row's
+    part is a comparison with them, so no rating is sorted or shuffled. Rows that repeat (u, b) have one hash and stay together.
+    """
+    ratings = materialize(ratings, "ratings")
     each = ratings.withColumn("split_no", F.explode(F.array(*[F.lit(s) for s in seeds])))
     hashed = each.withColumn("_h", F.md5(F.concat_ws(":", "split_no", "u", "b")))
-    ranked = numbered(hashed, ["u", "b"], "_rank", "_h", ("split_no",))
-    split, done = F.lit(shares[-1][0]), F.lit(0)
-    ends = []
-    for name, share in shares[:-1]:
-        done = done + F.floor(F.col("_n") * share)
-        ends.append((name, done))
-    for name, end in reversed(ends):
-        split = F.when(F.col("_rank") < end, name).otherwise(split)
-    return ranked.select(*ratings.columns, split.alias("split"), "split_no")
+    cuts = cut_hashes(hashed.select("split_no", "_h"), [share for _, share in shares[:-1]])
+    split = F.lit(shares[-1][0])
+    for k in reversed(range(len(shares) - 1)):
+        at = F.element_at(F.create_map(*[F.lit(x) for s in seeds for x in (s, cuts[s][k] if s in cuts else "")]), F.col("split_no"))
+        split = F.when(F.col("_h") < at, shares[k][0]).otherwise(split)
+    return hashed.select(*ratings.columns, split.alias("split"), "split_no")
+
+
+#: Hexadecimal digits of a hash that a round of ``cut_hashes`` looks at, and hashes that it takes to the driver for a cut.
+ROUND, LAST = 3, 1000
+
+
+def cut_hashes(hashed: DataFrame, shares: list[float]) -> dict[int, list[str]]:
+    """Per ``split_no`` of ``hashed`` (split_no, _h), which are few, the hashes below which the first floor(share * n) rows lie, share after share.
+
+    Rows are counted by their hashes' first digits; of the bucket in which a cut lies the next digits are looked at, until
+    it is small. A round is an aggregation that is partial before its shuffle: 4096 rows for each split and cut.
+    """
+    found: dict[int, list[str]] = {}
+    open_: dict[tuple[int, int], tuple[str, int, int]] = {}  # split, cut -> prefix, rows of the bucket, rows of it below the cut
+
+    def count(rows: DataFrame, digits: int) -> dict[int, list[tuple[str, int]]]:
+        by = defaultdict(list)
+        for s, prefix, n in rows.groupBy("split_no", F.substring("_h", 1, digits)).agg(F.count("*")).collect():
+            by[s].append((prefix, n))
+        return by
+
+    for s, buckets in count(hashed, ROUND).items():
+        total, done = sum(n for _, n in buckets), 0
+        found[s] = ["g"] * len(shares)  # above all digits: everything is below
+        for k, share in enumerate(shares):
+            done += math.floor(total * share)
+            if done < total:
+                open_[s, k] = ("", total, done)
+    digits = 0
+    while any(size > LAST for _, size, _ in open_.values()) and digits < 32:
+        digits += ROUND
+        wanted = {f"{s}:{prefix}" for (s, _), (prefix, _, _) in open_.items()}
+        rows = hashed if digits == ROUND else hashed.where(F.concat_ws(":", "split_no", F.substring("_h", 1, digits - ROUND)).isin(*wanted))
+        by = count(rows, digits)
+        for (s, k), (prefix, _, below) in open_.items():
+            for bucket, n in sorted(x for x in by[s] if x[0].startswith(prefix)):
+                if below < n:
+                    open_[s, k] = (bucket, n, below)
+                    break
+                below -= n
+    if open_:
+        wanted = {f"{s}:{prefix}" for (s, _), (prefix, _, _) in open_.items()}
+        last = defaultdict(list)
+        for s, h, n in hashed.where(F.concat_ws(":", "split_no", F.substring("_h", 1, digits)).isin(*wanted)).groupBy("split_no", "_h").agg(F.count("*")).collect():
+            last[s].append((h, n))
+        for (s, k), (prefix, _, below) in open_.items():
+            for h, n in sorted(x for x in last[s] if x[0].startswith(prefix)):
+                if below < n:
+                    found[s][k] = h
+                    break
+                below -= n
+    return found
 
 
 def train_of(split: DataFrame) -> DataFrame:

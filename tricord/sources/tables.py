@@ -134,30 +134,9 @@ def _placed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_design(design: DataFrame, x_path: str, y_path: str) -> None:
-    """(x, y) as two texts that ``read_design`` takes, a file each."""
-    rows = design.select(F.concat_ws(" ", F.transform("x", lambda v: v.cast("string"))).alias("x"), F.col("y").cast("string").alias("y")).coalesce(1)
-    rows.select(F.col("x").alias("value")).write.mode("overwrite").text(x_path)
-    rows.select(F.col("y").alias("value")).write.mode("overwrite").text(y_path)
-
-
-#: Rows of a range that one task ranks, about.
-PER_RANGE = 1 << 18
-
-
-def numbered(df: DataFrame, order: list, name: str, split: str, by: tuple[str, ...] = (), total: str = "_n") -> DataFrame:
-    """``df`` with a gapless rank (from 0) by ``split`` (a hex string of a hash) and ``order``, and the number of
-    rows; both within the groups of ``by``, which are few, where it is given.
-
-    No task sorts all: rows rank within ranges of the string's first digits, as many digits as the rows ask for,
-    and the ranges' counts give where each starts. ``df`` is written first, as it is read twice.
-    """
-    df = materialize(df, "hashed")
-    digits, n = 1, df.count()
-    while 16**digits * PER_RANGE < n:
-        digits += 1
-    df = df.withColumn("_range", F.substring(split, 1, digits))
-    counts = df.groupBy(*by, "_range").agg(F.count("*").alias("_c"))  # 16 ** digits rows for each group
-    within = Window.partitionBy(*by)
-    starts = counts.select(*by, "_range", (F.sum("_c").over(within.orderBy("_range")) - F.col("_c")).alias("_start"), F.sum("_c").over(within).alias(total))
-    rank = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(split, *order))
-    return df.withColumn("_rank_", rank).join(F.broadcast(starts), [*by, "_range"]).withColumn(name, F.col("_start") + F.col("_rank_") - 1).drop("_range", "_start", "_rank_")
+    """(x, y) as two texts that ``read_design`` takes, a file each: a task writes it line by line. Rows are numbered and written
+    once, and both texts follow these numbers, so that line n of the one belongs to line n of the other."""
+    rows = design.select(F.concat_ws(" ", F.transform("x", lambda v: v.cast("string"))).alias("x"), F.col("y").cast("string").alias("y"))
+    placed = materialize(rows.select(F.monotonically_increasing_id().alias("line"), "x", "y"), "design-lines")
+    for name, path in (("x", x_path), ("y", y_path)):
+        placed.select("line", F.col(name).alias("value")).orderBy("line").select("value").coalesce(1).write.mode("overwrite").text(path)
