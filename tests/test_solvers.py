@@ -8,7 +8,7 @@ import pytest
 from tricord import experiment
 from tricord.functions import metrics
 from tricord.operators import blocks, features, fm, mf, prep
-from tricord.plans import storage
+from tricord.plans import states, storage
 from tricord.sources import tables
 
 
@@ -340,6 +340,57 @@ def test_every_graph_in_one_sweep(spark, sf):
     assert {r["key"] for r in users.select("key").distinct().collect()} == found == {r["key"] for r in history.collect()}
 
 
+class Lost(Exception):
+    pass
+
+
+def lost_after(states_class, monkeypatch, n):
+    """A run whose driver is lost right after it has written its n-th state."""
+    save = states_class.save
+
+    def once(self, number, *rest):
+        out = save(self, number, *rest)
+        if number == n:
+            raise Lost
+        return out
+
+    monkeypatch.setattr(states_class, "save", once)
+
+
+def test_factorisation_goes_on_after_a_lost_driver(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([(k, int(i), int(j), float(rng.integers(1, 6))) for k in "ab" for i in range(8) for j in range(6) if i == j or rng.random() < 0.6], "key string, u long, b long, x double")
+    of = {"a": mf.Options(2, 1.0, 0.1, 6), "b": mf.Options(3, 1.0, 0.5, 2)}
+    order = lambda h: [tuple(r) for r in h.orderBy("key", "iter").collect()]
+    want_u, _, want = mf.train(rows, rows, of)
+    with monkeypatch.context() as m:
+        lost_after(states.States, m, 4)
+        with pytest.raises(Lost):
+            mf.train(rows, rows, of, str(tmp_path / "mf"))
+    (tmp_path / "mf" / "000009" / "table").mkdir(parents=True)  # a state that was being written
+    users, _, history = mf.train(rows, rows, of, str(tmp_path / "mf"))
+    got, want = order(history), order(want)
+    assert [r[:2] for r in got] == [r[:2] for r in want] and all(np.allclose([x for x in a[2:7] if x is not None], [x for x in b[2:7] if x is not None]) for a, b in zip(got, want, strict=True))
+    flat = lambda t: np.concatenate([r["features"] for r in t.orderBy("key", "id").collect()])
+    assert np.allclose(flat(users), flat(want_u))
+    assert order(mf.train(rows, rows, of, str(tmp_path / "mf"))[2]) == got  # a run that had ended
+
+
+@pytest.mark.parametrize("solver", ["PG", "mAPG", "nmAPG"])
+def test_machine_goes_on_after_a_lost_driver(spark, problem, tmp_path, solver, monkeypatch):
+    d = design_of(spark, *problem)
+    o = fm.Options(rank=2, size=3, initial=0.1, reg_w=0.01, reg_p=0.01, iterations=5, tries=30, eta=0.1, bias_eta=0.01, solver=solver)
+    want_q, want = fm.train(d, d, o)
+    with monkeypatch.context() as m:
+        lost_after(states.States, m, 3)
+        with pytest.raises(Lost):
+            fm.train(d, d, o, resume=str(tmp_path / solver))
+    q, history = fm.train(d, d, o, resume=str(tmp_path / solver))
+    assert np.allclose(q.stacked, want_q.stacked, rtol=1e-12) and len(list((tmp_path / solver).iterdir())) == 2
+    of = lambda h: [tuple(r)[:6] for r in h.orderBy("iter").collect()]
+    assert np.allclose(of(history), of(want), rtol=1e-12)
+
+
 def test_no_local_folder_on_a_cluster():
     class Cluster:
         class sparkContext:  # noqa: N801

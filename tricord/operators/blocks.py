@@ -40,6 +40,7 @@ class Layout:
     parts: DataFrame
     routing: DataFrame
     width: int  # of the numbers of homes: home = (g * 2 + side) * width + block
+    grid: tuple[int, int]  # blocks of users and of items
 
     def meet(self, sent: DataFrame, f: Callable, schema: str) -> DataFrame:
         """``f(part, sides)`` for each part: its arrays by name, and the rows of ``sent`` (home, ...) of its two homes by
@@ -71,10 +72,11 @@ def _blocks(n_users: int, n_items: int, groups: int, rows: int, per_home: int, t
     return p, q
 
 
-def lay_out(rows: DataFrame, known: DataFrame, doubles: int) -> Layout:
+def lay_out(rows: DataFrame, known: DataFrame, doubles: int, grid: tuple[int, int] | None = None) -> Layout:
     """Lay out ``rows`` (g, u, b, x, train, test) for matrices of ``doubles`` numbers for each id of ``known`` (g, side, id).
 
-    ``train`` and ``test`` are bit fields: which problems of the group the row belongs to.
+    ``train`` and ``test`` are bit fields: which problems of the group the row belongs to. ``grid``: blocks of users and of items,
+    where an earlier run's homes are to be read.
     """
     spark = rows.sparkSession
     known = known.select("g", "side", "id").distinct()
@@ -82,7 +84,7 @@ def lay_out(rows: DataFrame, known: DataFrame, doubles: int) -> Layout:
     n = {r["side"]: r["n"] for r in counts}
     tasks, total = max(1, spark.sparkContext.defaultParallelism), rows.count()
     groups = max((r["groups"] for r in counts), default=1)
-    p, q = _blocks(n.get("u", 1), n.get("b", 1), groups, total, max(1, HOME_BYTES // (8 * doubles)), tasks)
+    p, q = grid or _blocks(n.get("u", 1), n.get("b", 1), groups, total, max(1, HOME_BYTES // (8 * doubles)), tasks)
     width = max(p, q)
     of = {"u": p, "b": q}
     block = lambda side, c: F.pmod(F.xxhash64(c), F.lit(of[side]))
@@ -111,7 +113,7 @@ def lay_out(rows: DataFrame, known: DataFrame, doubles: int) -> Layout:
     ends = F.explode(F.array(*[F.struct(F.col(f"{s}_home").alias("home"), F.lit(s).alias("side")) for s in SIDES]))
     routing = materialize(packed.select("part", ends.alias("e")).select("e.home", "part", "e.side"), "routing")
     parts = packed.drop("u_home", "b_home").repartition(max(tasks, ceil(p * q * groups / 4)), "part").sortWithinPartitions("part").persist(StorageLevel.MEMORY_AND_DISK)
-    return Layout(homes, parts, small(routing, 32), width)
+    return Layout(homes, parts, small(routing, 32), width, (p, q))
 
 
 def starts(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

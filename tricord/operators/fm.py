@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from tricord.functions.vectors import dot
 from tricord.operators.blocks import SIDES, Layout, add_runs, lay_out, rows_of
+from tricord.plans.states import States
 from tricord.plans.storage import materialize
 
 #: Step sizes tried in the first passes of a search; later ones try as many as the last.
@@ -362,18 +363,19 @@ def start(design: DataFrame | Joined, o: Options) -> Params:
     return Params(mean, rng.random(n) * o.initial, rng.random((n, o.rank)) * o.initial)
 
 
-def train(design: DataFrame | Joined, test: DataFrame | None, o: Options, q: Params | None = None) -> tuple[Params, DataFrame]:
+def train(design: DataFrame | Joined, test: DataFrame | None, o: Options, q: Params | None = None, resume: str | None = None, every: int = 1) -> tuple[Params, DataFrame]:
     """(parameters, history); history: (iter, objective, rmse, mae, step, tries, accelerated, status), iter 0 the start.
 
     ``design``: rows (x, y), or a joined one, which holds its test rows itself. Errors are those on ``test``, null without.
+    ``resume``: a folder for the states of this run, written after each ``every`` steps; one that holds a state is gone on from.
     """
     solvers = {"PG": _plain, "mAPG": _monotone, "nmAPG": _non_monotone}
     if o.solver not in solvers:
         raise ValueError(f"no solver {o.solver!r}; there are {', '.join(solvers)}")
-    q = start(design, o) if q is None else q
+    spark = design.sides.sparkSession if isinstance(design, Joined) else design.sparkSession
+    states = States(spark, resume) if resume else None
+    saved = states.last() if states else None
     blocks = design if isinstance(design, Joined) else materialize(packed(design, test), "fm-blocks")
-    (errors, held), = sums(blocks, [q])[0]
-    now = Step(q, errors.mean_square + penalty(q, o), errors, held, o.eta)
     history: list[tuple] = []
 
     def note(s: Step, accelerated: bool = False, ok: bool = True) -> bool:
@@ -383,19 +385,50 @@ def train(design: DataFrame | Joined, test: DataFrame | None, o: Options, q: Par
         history.append((len(history), s.value, *found, s.eta, s.tries, accelerated, "ok" if ok else "failed"))
         return not ok or (before is not None and before > 0 and abs(before - s.value) / before < o.eps)
 
-    note(now)
-    for s, accelerated, ok in solvers[o.solver](blocks, now, o):
-        now = s
-        if note(s, accelerated, ok):
-            break
-    spark = design.sides.sparkSession if isinstance(design, Joined) else design.sparkSession
+    memory, ended = None, False
+    if saved:
+        now, memory, ended = _told(saved[1]["step"]), saved[1]["memory"], saved[1]["ended"]
+        history += [tuple(h) for h in saved[1]["history"]]
+    else:
+        q = start(design, o) if q is None else q
+        (errors, held), = sums(blocks, [q])[0]
+        now = Step(q, errors.mean_square + penalty(q, o), errors, held, o.eta)
+        note(now)
+    solver = solvers[o.solver](now, o, memory)
+    while len(history) <= o.iterations and not ended:
+        now, accelerated, ok = solver.step(blocks)
+        ended = note(now, accelerated, ok)
+        if states and ((len(history) - 1) % every == 0 or ended):
+            states.save(len(history) - 1, {"step": _telling(now), "memory": solver.memory(), "ended": ended, "history": history})
     return now.params, spark.createDataFrame(history, "iter int, objective double, rmse double, mae double, step double, tries int, accelerated boolean, status string")
 
 
-def _plain(blocks: DataFrame | Joined, s: Step, o: Options) -> Iterator[tuple[Step, bool, bool]]:
-    for _ in range(o.iterations):
-        (s,) = proximal_steps(blocks, [s.params], [s.eta], o)
-        yield s, False, s.accepted
+def _telling(s: Step) -> dict:
+    return {"bias": float(s.params.bias), "stacked": s.params.stacked.tolist(), "value": float(s.value), "errors": [s.errors.rows, s.errors.total, s.errors.square, s.errors.absolute],
+            "held": [s.held.rows, s.held.total, s.held.square, s.held.absolute], "eta": s.eta, "tries": s.tries, "accepted": bool(s.accepted)}
+
+
+def _told(t: dict) -> Step:
+    a = np.array(t["stacked"])
+    return Step(Params(t["bias"], a[:, 0].copy(), a[:, 1:].copy()), t["value"], Errors(*t["errors"]), Errors(*t["held"]), t["eta"], t["tries"], t["accepted"])
+
+
+class _plain:  # noqa: N801
+    """Proximal steps, one after another. ``step`` gives (the new state, whether accelerated, whether accepted), ``memory`` what else a later step needs."""
+
+    def __init__(self, s: Step, o: Options, memory: dict | None = None):
+        self.s, self.o = s, o
+        self.begin(memory)
+
+    def begin(self, memory: dict | None) -> None:
+        pass
+
+    def memory(self) -> dict:
+        return {}
+
+    def step(self, blocks: DataFrame | Joined) -> tuple[Step, bool, bool]:
+        (self.s,) = proximal_steps(blocks, [self.s.params], [self.s.eta], self.o)
+        return self.s, False, self.s.accepted
 
 
 @dataclass
@@ -415,33 +448,60 @@ class Momentum:
     def advance(self, x: np.ndarray, z: np.ndarray) -> None:
         self.x_before, self.x, self.z = self.x, x, z
         t = self.t
-        self.t = (np.sqrt(4 * (self.t_before if self.fixed else t) ** 2 + 1) + 1) / 2
+        self.t = float((np.sqrt(4 * (self.t_before if self.fixed else t) ** 2 + 1) + 1) / 2)
         self.t_before = self.t_before if self.fixed else t
 
+    def told(self) -> dict:
+        return {"x": self.x.tolist(), "x_before": self.x_before.tolist(), "z": self.z.tolist(), "t": self.t, "t_before": self.t_before}
+
+    def restore(self, told: dict) -> None:
+        self.x, self.x_before, self.z = (np.array(told[k]) for k in ("x", "x_before", "z"))
+        self.t, self.t_before = told["t"], told["t_before"]
+
 
-def _monotone(blocks: DataFrame | Joined, s: Step, o: Options) -> Iterator[tuple[Step, bool, bool]]:
+class _monotone(_plain):  # noqa: N801
     """x_k+1 is the better one of z_k+1, a step from y_k, and v_k+1, a step from x_k."""
-    at = Momentum(s.params.stacked, o.literal_momentum)
-    for _ in range(o.iterations):
-        z, v = proximal_steps(blocks, [s.params.moved(at.y), s.params.moved(at.x)], [s.eta, s.eta], o)
-        s = z if z.value < v.value else v
-        at.advance(s.params.stacked, z.params.stacked)
-        yield s, s is z, s.accepted
 
+    def begin(self, memory: dict | None) -> None:
+        self.at = Momentum(self.s.params.stacked, self.o.literal_momentum)
+        if memory:
+            self.at.restore(memory["at"])
+
+    def memory(self) -> dict:
+        return {"at": self.at.told()}
 
-def _non_monotone(blocks: DataFrame | Joined, s: Step, o: Options) -> Iterator[tuple[Step, bool, bool]]:
+    def step(self, blocks: DataFrame | Joined) -> tuple[Step, bool, bool]:
+        s, at = self.s, self.at
+        z, v = proximal_steps(blocks, [s.params.moved(at.y), s.params.moved(at.x)], [s.eta, s.eta], self.o)
+        self.s = z if z.value < v.value else v
+        at.advance(self.s.params.stacked, z.params.stacked)
+        return self.s, self.s is z, self.s.accepted
+
+
+class _non_monotone(_plain):  # noqa: N801
     """x_k+1 is z_k+1 if that falls below c_k, a mean of past objectives; only else is v_k+1 made. The bias takes a step of its own."""
-    at, c, q = Momentum(s.params.stacked), s.value, 1.0
-    eta_z = eta_v = o.eta
-    bias_eta = o.eta if o.bias_eta is None else o.bias_eta
-    for _ in range(o.iterations):
+
+    def begin(self, memory: dict | None) -> None:
+        self.at, self.c, self.q = Momentum(self.s.params.stacked), self.s.value, 1.0
+        self.eta_z = self.eta_v = self.o.eta
+        if memory:
+            self.at.restore(memory["at"])
+            self.c, self.q, self.eta_z, self.eta_v = (memory[k] for k in ("c", "q", "eta_z", "eta_v"))
+
+    def memory(self) -> dict:
+        return {"at": self.at.told(), "c": float(self.c), "q": float(self.q), "eta_z": self.eta_z, "eta_v": self.eta_v}
+
+    def step(self, blocks: DataFrame | Joined) -> tuple[Step, bool, bool]:
+        s, at, o = self.s, self.at, self.o
+        bias_eta = o.eta if o.bias_eta is None else o.bias_eta
         moved = replace(s.params, bias=s.params.bias - bias_eta * 2 / s.errors.rows * s.errors.total)
-        (z,) = proximal_steps(blocks, [moved.moved(at.y)], [eta_z], o)
-        eta_z, s, ok = z.eta, z, z.accepted
-        if not z.value < c:
-            (v,) = proximal_steps(blocks, [moved.moved(at.x)], [eta_v], o)
-            eta_v, s, ok = v.eta, v if v.value <= z.value else z, ok and v.accepted
+        (z,) = proximal_steps(blocks, [moved.moved(at.y)], [self.eta_z], o)
+        self.eta_z, s, ok = z.eta, z, z.accepted
+        if not z.value < self.c:
+            (v,) = proximal_steps(blocks, [moved.moved(at.x)], [self.eta_v], o)
+            self.eta_v, s, ok = v.eta, v if v.value <= z.value else z, ok and v.accepted
         at.advance(s.params.stacked, z.params.stacked)
-        q, before = 0.5 * q + 1, q
-        c = (0.5 * before * c + s.value) / q
-        yield s, s is z, ok
+        self.q, before = 0.5 * self.q + 1, self.q
+        self.c = (0.5 * before * self.c + s.value) / self.q
+        self.s = s
+        return s, s is z, ok

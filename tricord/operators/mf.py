@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tricord.functions.vectors import dot
 from tricord.operators.blocks import SIDES, Layout, add_runs, lay_out, rows_of
 from tricord.operators.prep import TWO_SHARES, split_ratings
+from tricord.plans.states import States
 from tricord.plans.storage import materialize, remove, shared_dir, written
 
 TRIES = 20
@@ -114,8 +115,10 @@ class Factorisation:
     (home, f): per home a matrix with a row of factors for each id; gradients are (home, f, g).
     """
 
-    def __init__(self, rows: DataFrame, problems: list[Problem]):
-        """``rows``: (g, u, b, x, train, test)."""
+    def __init__(self, rows: DataFrame, problems: list[Problem], resume: str | None = None):
+        """``rows``: (g, u, b, x, train, test). ``resume``: a folder for the states of this run; one that holds a state is gone on from."""
+        self.states = States(rows.sparkSession, resume) if resume else None
+        self.saved = self.states.last("home long, f binary") if resume else None
         self.spark, self.problems = rows.sparkSession, {}
         for p in problems:
             self.problems.setdefault(p.group, []).append(p)
@@ -130,7 +133,7 @@ class Factorisation:
             self.specs[g] = {"ranks": ranks, "from": np.cumsum(ranks) - ranks, "mean": mean, "bits": np.array([p.bit for p in ps]), "lamb": np.repeat([float(p.options.lamb) for p in ps], ranks)}
         ends = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(side).alias("id")) for side in SIDES])).alias("e")
         known = rows.where("train <> 0").select("g", ends).select("g", "e.side", "e.id")
-        self.layout = lay_out(rows, known, max((len(x["lamb"]) for x in self.specs.values()), default=1))
+        self.layout = lay_out(rows, known, max((len(x["lamb"]) for x in self.specs.values()), default=1), tuple(self.saved[1]["grid"]) if self.saved else None)
 
         width = self.layout.width
         self.group_of = lambda home: home // width // 2
@@ -263,14 +266,25 @@ class Factorisation:
         rows = self.layout.homes.withColumnRenamed("g", "group").join(state, "home").select("side", "group", "ids", *columns)
         return rows.mapInArrow(run, "key string, side string, id long, " + ", ".join(f"{c} array<double>" for c in columns))
 
-    def train(self) -> tuple[DataFrame, DataFrame]:
+    def train(self, every: int = 1) -> tuple[DataFrame, DataFrame]:
         """(state, history) of all problems. An iteration is two jobs; gradients are written to the shared folder at
-        each of them, so a lost executor repeats one iteration at most."""
-        state = materialize(self.start(), "mf-factors")
+        each of them, so a lost executor repeats one iteration at most. With a folder for states, factors and the search's
+        numbers are written to it after each ``every`` iterations, and a lost driver repeats that many at most."""
+        state = materialize(self.start(), "mf-factors") if not self.saved else None
         options = {(g, k): p.options for g, ps in self.problems.items() for k, p in enumerate(ps)}
         eps, active, ended, before, history, old = {k: o.eps for k, o in options.items()}, set(options), [], {}, [], None
         errors = lambda c: (None, None) if not c["rows"] else ((c["square"] / c["rows"]) ** 0.5, c["absolute"] / c["rows"])
-        for t in range(max((o.iterations for o in options.values()), default=0)):
+        first_t = 0
+        if self.saved:
+            first_t, told, whole = self.saved[0], self.saved[1], self.saved[2]
+            named = {tuple(k): e for *k, e in told["eps"]}
+            eps, active, before = named, {tuple(k) for k in told["active"]}, {tuple(k): v for *k, v in told["before"]}
+            history = [(tuple(k), *rest) for k, *rest in told["history"]]
+            running = {g for g, _ in active}
+            over = {g for g, _ in options} - running
+            state = self.of_groups(whole, running)
+            ended = [self.of_groups(whole, over)] if over else []
+        for t in range(first_t, max((o.iterations for o in options.values()), default=0) if active else 0):
             groups = {g for g, _ in active}
             path = shared_dir(self.spark, "mf-gradients")
             gradients = written(self.gradient(state, groups), path)
@@ -294,6 +308,14 @@ class Factorisation:
                 ended.append(self.of_groups(state, over))
                 state = self.of_groups(state, groups - over)
             old = None if over else path
+            if self.states and ((t + 1) % every == 0 or not active):
+                whole = state
+                for e in ended:
+                    whole = whole.unionByName(e)
+                told = {"grid": self.layout.grid, "eps": [(*k, e) for k, e in eps.items()], "active": sorted(active), "before": [(*k, v) for k, v in before.items()], "history": history}
+                whole = self.states.save(t + 1, told, whole)  # earlier states go, so all is read from this one now
+                running = {g for g, _ in active}
+                state, ended = self.of_groups(whole, running), [self.of_groups(whole, {g for g, _ in options} - running)]
             if not active:
                 break
         final = state
@@ -328,7 +350,7 @@ def has(field: np.ndarray, spec: dict) -> np.ndarray:
     return (field[:, None] >> spec["bits"]) & 1
 
 
-def grouped(relations: DataFrame, test: DataFrame | None, options: Options | dict[str, Options]) -> Factorisation:
+def grouped(relations: DataFrame, test: DataFrame | None, options: Options | dict[str, Options], resume: str | None = None) -> Factorisation:
     """Every key of ``relations`` (key, u, b, x) as a group with one problem; repeated (key, u, b) are averaged."""
     rows = materialize(relations.groupBy("key", "u", "b").agg(F.avg("x").alias("x")), "mf-relations")
     keys = sorted(r["key"] for r in rows.select("key").distinct().collect())
@@ -338,7 +360,7 @@ def grouped(relations: DataFrame, test: DataFrame | None, options: Options | dic
     every = rows.select(place.alias("g"), "u", "b", "x", one.alias("train"), no.alias("test"))
     if test is not None:
         every = every.unionByName(test.where(F.col("key").isin(keys)).select(place.alias("g"), "u", "b", F.col("x").cast("double").alias("x"), no.alias("train"), one.alias("test")))
-    return Factorisation(every, [Problem(g, k, of[k]) for g, k in enumerate(keys)])
+    return Factorisation(every, [Problem(g, k, of[k]) for g, k in enumerate(keys)], resume)
 
 
 def shared(rows: DataFrame, problems: list[Problem]) -> Factorisation:
@@ -354,15 +376,15 @@ def _results(work: Factorisation) -> tuple[DataFrame, DataFrame, DataFrame]:
     return side("u"), side("b"), history
 
 
-def train(relations: DataFrame, test: DataFrame | None, options: Options | dict[str, Options]) -> tuple[DataFrame, DataFrame, DataFrame]:
+def train(relations: DataFrame, test: DataFrame | None, options: Options | dict[str, Options], resume: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Factors of all relations: (users, items, history), factors being (key, id, features).
 
     ``relations`` and ``test`` are (key: string, u, b, x); a key has its own options where a dict is
     given. A history row is (key, iter, objective, rmse, mae, step, tries, status);
     rmse and mae are those on the key's test rows, null without; an id without factors leaves the
-    mean, and nothing is clipped to the scale. Repeated (key, u, b) are averaged.
+    mean, and nothing is clipped to the scale. Repeated (key, u, b) are averaged. ``resume``: a folder of this run's states.
     """
-    return _results(grouped(relations, test, options))
+    return _results(grouped(relations, test, options, resume))
 
 
 def train_splits(ratings: DataFrame, splits: int, options: Options) -> DataFrame:

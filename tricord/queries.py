@@ -266,8 +266,10 @@ def mean_predictor_errors(spark: SparkSession, d: str) -> DataFrame:
 
 # iterations of the solver queries; the operators' own limits (500, of five splits 1000; 10,000) take hours here, see README
 MF_ITERATIONS, FM_ITERATIONS = 20, 40
-#: A part of the whole grid of 5 ranks, 6 eps and 6 lambdas, which moves too much for one machine.
-GRID = {"ranks": (10,), "epsilons": (1.0, 10.0, 100.0), "lambdas": (1.0, 10.0), "iterations": 5}
+#: The whole grid: 180 points.
+GRID = {"ranks": (10, 20, 30, 40, 50), "epsilons": (0.001, 0.01, 0.1, 1.0, 10.0, 100.0), "lambdas": (0.01, 0.1, 1.0, 5.0, 10.0, 100.0), "iterations": 5}
+#: Iterations of the 78 graphs' factors, and of the machine in the query of the whole chain.
+GRAPH_ITERATIONS, CHAIN_ITERATIONS = 2, 10
 
 # matrix factorisation: one step from start values that SQL can write
 
@@ -552,6 +554,26 @@ for _s, _n in (("PG", "fm_pg_history"), ("mAPG", "fm_mapg_history"), ("nmAPG", "
     _query(_n)(_fm_history(_s))
 
 
+@_query("graph_factors_78")
+def graph_factors_78(spark: SparkSession, d: str) -> DataFrame:
+    """The factors of the ratings and of all 7 x 11 similarities of the trust path, all relations trained side by side."""
+    from tricord import experiment
+
+    trust, train = materialize(tables.trust(spark, d), "trust"), materialize(_train(spark, d), "train")
+    relations = materialize(experiment.graph_relations(trust, train, experiment.every_graph()), "relations")
+    users, items, _ = mf.train(relations, None, mf.Options(iterations=GRAPH_ITERATIONS))
+    return users.withColumn("side", F.lit("user")).union(items.withColumn("side", F.lit("item"))).select(F.col("key").alias("graph"), "side", "id", "features")
+
+
+@_query("whole_chain")
+def whole_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Split, trust filter, similarities, factors, joined design and machine in one run: the machine's history."""
+    from tricord import experiment
+
+    s = experiment.Settings(meta_graphs=("ratings_only", "UUB_m1_0.5", "UUB_m4_0.5", "UUB_m7_1.0"), mf_iterations=MF_ITERATIONS, max_iters=CHAIN_ITERATIONS)
+    return experiment.run(spark, tables.ratings(spark, d), tables.trust(spark, d), s)[1]
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
