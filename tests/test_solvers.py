@@ -9,7 +9,7 @@ from tricord import experiment
 from tricord.functions import metrics
 from tricord.operators import blocks, features, fm, mf, prep
 from tricord.plans import states, storage
-from tricord.sources import tables
+from tricord.sources import matlab, tables
 
 
 def dense_mf(x, mask, u, v, mu, lamb, eps, iterations):
@@ -323,10 +323,47 @@ def test_factor_and_parameter_sinks(spark, tmp_path):
     assert [tuple(r) for r in tables.read_factors(spark, str(tmp_path / "text"), 2).collect()] == [(7, [0.5, 1.5])]
 
 
-def test_matlab_source(spark, tmp_path):
-    io = pytest.importorskip("scipy.io")
-    io.savemat(tmp_path / "m.mat", {"rating": np.array([[1, 2, 9, 4], [3, 4, 9, 5]])})
-    assert {tuple(r) for r in tables.read_matrix(spark, str(tmp_path / "m.mat"), "rating", "u long, b long, c long, rating double").collect()} == {(1, 2, 9, 4.0), (3, 4, 9, 5.0)}
+def mat5(order, matrices, compressed):
+    """A MATLAB file of (name, class, type number, numpy type, array) by its published format."""
+    import struct
+    import zlib
+
+    def element(kind, data, small=True):
+        if small and len(data) <= 4:
+            return struct.pack(order + "I", len(data) << 16 | kind) + data.ljust(4, b"\0")
+        return struct.pack(order + "II", kind, len(data)) + data + b"\0" * (-len(data) % 8)
+
+    out = b"MATLAB 5.0 MAT-file".ljust(124) + struct.pack(order + "H", 0x0100) + (b"IM" if order == "<" else b"MI")
+    for name, group, kind, number, a in matrices:
+        body = element(6, struct.pack(order + "II", group, 0)) + element(5, struct.pack(f"{order}{a.ndim}i", *a.shape)) + element(1, name.encode())
+        whole = element(14, body + element(kind, a.T.astype(order + number).tobytes()), False)
+        if compressed:
+            z = zlib.compress(whole)
+            whole = struct.pack(order + "II", 15, len(z)) + z
+        out += whole
+    return out
+
+
+@pytest.mark.parametrize("compressed", [True, False])
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_matlab_source(spark, tmp_path, order, compressed, monkeypatch):
+    monkeypatch.setattr(matlab, "PIECE", 128)
+    rng = np.random.default_rng(1)
+    rating, trust = rng.integers(0, 200, (1000, 5)), np.array([[1, 2], [3, 4]])
+    path = tmp_path / "m.mat"
+    path.write_bytes(mat5(order, [("x", 6, 9, "f8", rng.random((70, 3))), ("trustnetwork", 6, 2, "u1", trust), ("rating", 6, 4, "u2", rating), ("cube", 6, 9, "f8", rng.random((2, 2, 2)))], compressed))
+    found = matlab.read_matrix(spark, str(path), "rating", "u long, b long, c int, rating double", rows=300)
+    assert [tuple(r) for r in found.collect()] == [(*map(int, r[:3]), float(r[3])) for r in rating] and found.rdd.getNumPartitions() == 4
+    m = matlab.find(f"file://{path}", "rating")
+    pieces = [np.column_stack(p) for p in matlab.columns(f"file://{path}", m, 5, 10, 900)]
+    assert len(pieces) > 10 and np.array_equal(np.vstack(pieces), rating[10:910])
+    assert [tuple(r) for r in matlab.read_matrix(spark, f"file://{path}", "trustnetwork", "src long, dst long").collect()] == [(1, 2), (3, 4)]
+    for name, schema, message in (("other", "a long", "no matrix"), ("cube", "a long", "full matrix"), ("trustnetwork", "a long, b long, c long", "columns")):
+        with pytest.raises(Exception, match=message):
+            matlab.read_matrix(spark, str(path), name, schema).collect()
+    path.write_bytes(path.read_bytes()[:-40])
+    with pytest.raises(Exception):
+        matlab.read_matrix(spark, str(path), "cube", "a long").collect()
 
 
 def test_every_graph_in_one_sweep(spark, sf):

@@ -55,28 +55,6 @@ def read_factors(spark: SparkSession, path: str, rank: int) -> DataFrame:
     return rows.select("id", F.array(*[f"f{k}" for k in range(rank)]).alias("features"))
 
 
-def read_matrix(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
-    """A matrix of a MATLAB file; needs scipy. The format is one compressed block, so a task reads a file whole."""
-    def read(batches):
-        import io
-
-        import pandas as pd
-
-        try:
-            from scipy.io import loadmat
-        except ImportError as e:
-            raise ImportError("MATLAB files need scipy; convert them to Parquet or text otherwise") from e
-        names = [f.name for f in kinds]
-        for batch in batches:
-            for content in batch["content"]:
-                yield pd.DataFrame(loadmat(io.BytesIO(content))[name][:, : len(names)], columns=names)
-
-    kinds = T._parse_datatype_string(schema)
-    files = spark.read.format("binaryFile").load(path).select("content")
-    doubles = ", ".join(f"{f.name} double" for f in kinds)
-    return files.mapInPandas(read, doubles).select(*[F.col(f.name).cast(f.dataType) for f in kinds])
-
-
 def write_lines(df: DataFrame, path: str, pattern: str, *columns: str, mode: str = "overwrite") -> None:
     """Lines of ``columns`` in a printf pattern such as ``%d\\t%d\\t%.1f``."""
     df.select(F.format_string(pattern, *columns).alias("value")).write.mode(mode).text(path)
