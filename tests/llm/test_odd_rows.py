@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tricord.llm import chat, common, html_text, language, packing, queries, toxicity, warc
+from tricord.llm import chat, common, html_text, jaccard, language, packing, queries, toxicity, warc
 
 
 @pytest.mark.parametrize("kind", ["int", "string", "long"])
@@ -134,3 +134,19 @@ def test_common_keeps_no_helpers_of_its_own():
     from tricord.plans import storage
 
     assert common.shared_dir is storage.shared_dir and common.small is storage.small
+
+
+def test_shingles_are_counted_alike_in_ten_thousand_ranges(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    words = np.array([f"w{k}" for k in range(40)])
+    texts = [" ".join(words[rng.integers(0, 12 if i % 3 else 40, rng.integers(3, 60))]) for i in range(3000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    keys, counts = jaccard.frequent_shingles(docs, often=2)
+    own = [np.unique(jaccard._key40(jaccard.shingle_set(t))) for t in texts]
+    want, n = np.unique(np.concatenate(own), return_counts=True)
+    assert np.array_equal(keys, want[n >= 2]) and np.array_equal(counts, n[n >= 2])
+    size = sum(len(t) for t in texts)
+    monkeypatch.setattr(jaccard, "PER_RANGE", max(1, size // jaccard.TEXT_BYTES // 10_000))
+    began = time.time()
+    again = jaccard.frequent_shingles(docs, often=2)
+    assert np.array_equal(again[0], keys) and np.array_equal(again[1], counts) and time.time() - began < 60

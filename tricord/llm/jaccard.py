@@ -34,6 +34,7 @@ ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +48,8 @@ FREQUENT, OFTEN, HOT = 1 << 20, 16, 4096
 #: Keys of a range that are counted at once; bytes of text for a shingle, at least about; groups of a part of a hot list;
 #: groups of a block; pairs of a text in one place.
 PER_RANGE, TEXT_BYTES, PART, BLOCK_GROUPS, HUB = 2 << 20, 4, 1 << 16, 2048, 128
+#: Hash ranges that a batch is cut into at once; more than that are made in two steps.
+RANGES = 1024
 PARTNERS = ("first", "last", "middle")
 BLOCK = 1 << 18
 PRIME = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -106,6 +109,37 @@ def _key40(h: np.ndarray) -> np.ndarray:
     return h >> np.uint64(24)
 
 
+def _packs(keys: np.ndarray, n: np.ndarray, bins: int) -> Iterator:
+    """Sorted distinct keys of 40 bits and their counts as rows of a hash range each: 5 bytes a key, counts over 1 apart."""
+    import pyarrow as pa
+
+    if not len(keys):
+        return
+    at = (keys * np.uint64(bins)) >> np.uint64(40)
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    rows = []
+    for i, j in zip(first, [*first[1:], len(keys)], strict=True):
+        own, more = keys[i:j], n[i:j] > 1
+        rows.append((int(at[i]), own.astype("<u4").tobytes(), (own >> np.uint64(32)).astype(np.uint8).tobytes(), own[more].astype("<u8").tobytes(), (n[i:j][more] - 1).astype("<u8").tobytes()))
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 4), strict=True)], ["bin", "low", "high", "again", "n"])
+
+
+def _unpacked(rows) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, counts) of packs, in their order; a key may come several times."""
+    join = lambda name, kind: np.frombuffer(b"".join(rows.column(name).to_pylist()), dtype=kind)
+    keys = join("low", "<u4").astype(np.uint64) | (join("high", np.uint8).astype(np.uint64) << np.uint64(32))
+    more = join("again", "<u8")
+    return np.concatenate([keys, more]), np.concatenate([np.ones(len(keys), dtype=np.uint64), join("n", "<u8")])
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, n = (np.concatenate([p[k] for p in parts]) for k in range(2))
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
 def frequent_shingles(docs: DataFrame, words: int = WORDS, limit: int = FREQUENT, often: int = OFTEN) -> tuple[np.ndarray, np.ndarray]:
     """(keys, counts), sorted by key, of the shingles in the most documents: ``limit`` at most.
 
@@ -116,34 +150,38 @@ def frequent_shingles(docs: DataFrame, words: int = WORDS, limit: int = FREQUENT
     # a range holds PER_RANGE keys (about) however many texts there are, in tasks of one range or more
     text_bytes = docs.agg(F.sum(F.octet_length(F.col("text")).cast("long"))).first()[0] or 0
     bins = max(1, -(-text_bytes // (TEXT_BYTES * PER_RANGE)))
+    # many ranges: a batch is cut into few first, and what meets there is cut again, so the work of a batch doesn't grow with the corpus
+    coarse = bins if bins <= RANGES else max(RANGES, math.isqrt(bins))
 
     def pack(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         for batch in batches:
             for (texts,) in arrow_rows(batch, "text", at_once=2048):
                 keys, n = np.unique(_key40(np.concatenate([shingle_set(t, words) for t in texts])), return_counts=True)
-                cuts = np.searchsorted(keys, (np.arange(1, bins, dtype=np.uint64) << np.uint64(40)) // np.uint64(bins))
-                again = n > 1
-                rows = []
-                for k, (own, more, own_n) in enumerate(zip(np.split(keys, cuts), np.split(again, cuts), np.split(n, cuts), strict=True)):
-                    if len(own):
-                        low, high = (own & np.uint64(0xFFFFFFFF)).astype("<u4"), (own >> np.uint64(32)).astype(np.uint8)
-                        rows.append((k, low.tobytes(), high.tobytes(), own[more].astype("<u8").tobytes(), (own_n[more] - 1).astype("<u8").tobytes()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], ["bin", "low", "high", "again", "n"])
+                yield from _packs(keys, n, coarse)
+
+    def again(batches: Iterator) -> Iterator:
+        held, size = [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held.append(_unpacked(batch.slice(i, 1)))
+                size += len(held[-1][0])
+                if size >= 2 * PER_RANGE:
+                    yield from _packs(*_summed(held), bins)
+                    held, size = [], 0
+        if held:
+            yield from _packs(*_summed(held), bins)
 
     def count(group):
         import pyarrow as pa
 
-        join = lambda name, kind: np.frombuffer(b"".join(group.column(name).to_pylist()), dtype=kind)
-        keys = join("low", "<u4").astype(np.uint64) | (join("high", np.uint8).astype(np.uint64) << np.uint64(32))
-        found, n = np.unique(keys, return_counts=True)
-        np.add.at(n, np.searchsorted(found, join("again", "<u8")), join("n", "<u8").astype(n.dtype))
+        found, n = _summed([_unpacked(group)])
         keep = n >= often
         return pa.table({"key": pa.array(found[keep].astype(np.int64)), "n": pa.array(n[keep].astype(np.int64))})
 
-    packed = docs.select("text").mapInArrow(pack, "bin int, low binary, high binary, again binary, n binary")
+    schema = "bin long, low binary, high binary, again binary, n binary"
+    packed = docs.select("text").mapInArrow(pack, schema)
+    if coarse < bins:
+        packed = packed.repartition(coarse, "bin").mapInArrow(again, schema)
     counted = materialize(packed.groupBy("bin").applyInArrow(count, "key long, n long"), "frequent")
     while counted.where(F.col("n") >= often).count() > limit:
         often *= 2
@@ -261,7 +299,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
     near = postings.select("token", "g", "n", "pos", F.first(at).over(ordered).alias("first_"), F.lag(at).over(ordered).alias("last"), F.min(at).over(listed).alias("middle_"))
     whole = postings.where("part IS NOT NULL").groupBy("token").agg(F.min(F.struct("n", "g", "pos")).alias("s"), F.min(at).alias("m"))
     whole = whole.select("token", F.struct("s.pos", "s.n", "s.g").alias("f"), "m")  # hot tokens: FREQUENT rows at most
-    near = near.join(F.broadcast(whole), "token", "left").withColumns({"first": F.coalesce("f", "first_"), "middle": F.coalesce("m", "middle_")})
+    near = near.join(small(materialize(whole, "hot-lists"), 96), "token", "left").withColumns({"first": F.coalesce("f", "first_"), "middle": F.coalesce("m", "middle_")})
     near = near.select("g", "n", "pos", *[F.col(f"{x}.{c}").alias(f"{c}_{x}") for x in PARTNERS for c in ("g", "n", "pos")])
     star = [near.where(_may("n", "pos", f"n_{x}", f"pos_{x}", num, den)).select(F.least("g", f"g_{x}").alias("a"), F.greatest("g", f"g_{x}").alias("b")) for x in PARTNERS]
     own = members.select(F.least("g", "k").alias("a"), F.greatest("g", "k").alias("b"))
