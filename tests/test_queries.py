@@ -63,6 +63,27 @@ def test_blocked_products_are_the_joins(spark, sf, monkeypatch):
     assert sorted(tuple(r) for r in found.collect()) == want
 
 
+def test_lists_travel_as_often_as_the_terms_need_them(spark, monkeypatch):
+    """Eight copies of the tables with other ids take about eight times the rows, not the square; items that all rate are summed once."""
+    monkeypatch.setattr(commuting, "ITEMS", 400)
+    users = spark.range(40).select(F.col("id").alias("u"))
+    items = spark.range(60).select(F.col("id").alias("b"))
+    train = users.crossJoin(items).where((F.col("b") < 3) | (F.pmod(F.xxhash64("u", "b"), F.lit(9)) == 0))
+    trust = users.crossJoin(users.select(F.col("u").alias("dst"))).where((F.col("u") != F.col("dst")) & (F.pmod(F.xxhash64("u", "dst"), F.lit(4)) == 0)).select(F.col("u").alias("src"), "dst")
+    weights = commuting.layer_of(commuting.base_matrix("UUB", trust, train), 0)
+    times = spark.range(8).select((F.col("id") * 1000).alias("x"))
+    move = lambda df, *c: df.crossJoin(times).select(*[(F.col(k) + F.col("x")).alias(k) if k in c else F.col(k) for k in df.columns])
+    for co_rated in (False, True):
+        rows = lambda t, w: commuting.dealt(t, w, co_rated).agg(F.count("*"), F.sum(F.size("items"))).first()  # noqa: B023, E731
+        one, eight = rows(train, weights), rows(move(train, "u", "b"), move(weights, "i", "j"))
+        assert all(y <= 12 * x for x, y in zip(one, eight, strict=True))
+    found = commuting.product_top_k(train, weights, {"a": {0: 3}}, 1, 20, True).select("u", "b", (F.col("w") / 3).cast("long").alias("w"), "rn")
+    both = commuting.add(commuting.base_matrix("UBUB", trust, train), weights.drop("layer"))
+    scored = commuting.multiply(both, commuting.relation(train)).select(F.col("i").alias("u"), F.col("j").alias("b"), "w")
+    want = commuting.top_k(scored, 20).select("u", "b", (F.col("score") * 10).cast("long").alias("w"), "rn")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_queries_leave_no_id_out(spark, sf):
     run = lambda name: core.queries()[name](spark, sf)
     assert run("design_sparsity_whole").first()["filled"] == 1.0
