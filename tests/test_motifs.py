@@ -151,3 +151,16 @@ def test_heavy_lists_in_parts_are_the_same(spark, monkeypatch):
     got = {tuple(r) for r in motifs.all_motifs(trust).collect()}
     want = {(m, *r) for m in ("m2", "m3", "m6", "m7") for r in motifs.motif_by_terms(trust, m).collect()}
     assert {r for r in got if r[0] in ("m2", "m3", "m6", "m7")} == {(m, i, j, w) for m, i, j, w in want if w}
+
+
+def test_no_pair_of_an_edge_and_a_neighbour_is_a_row(spark, monkeypatch):
+    """Triangles of one kind of edge: blocks of any size find the same, and no join makes a row for a pair of edges."""
+    rng = np.random.default_rng(6)
+    trust = spark.createDataFrame([(int(a), int(b)) for a, b in {tuple(x) for x in rng.integers(0, 60, (1400, 2))} if a < b or (a + b) % 3 == 0], "src long, dst long").where("src <> dst")
+    want = {(m, *r) for m in ("m1", "m4", "m5") for r in motifs.motif_by_terms(trust, m).collect() if r["w"]}
+    for pairs in (motifs.BLOCK_PAIRS, 50):
+        monkeypatch.setattr(motifs, "BLOCK_PAIRS", pairs)
+        df = motifs.all_motifs(trust, ("m1", "m4", "m5"))
+        assert {tuple(r) for r in df.collect()} == want
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "y#" not in "".join(x for x in plan.splitlines() if "HashJoin" in x or "MergeJoin" in x)
