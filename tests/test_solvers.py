@@ -466,3 +466,15 @@ def test_text_round_trips(spark, tmp_path):
     assert {tuple(x) for x in tables.read_numbers(spark, str(tmp_path / "l")).collect()} == {(1, 2, 3.5), (2, 3, 4.0)}
     (tmp_path / "ids").write_text("3\n\n4.0\n")
     assert {x["id"] for x in tables.read_ids(spark, str(tmp_path / "ids")).collect()} == {3, 4}
+
+
+def test_a_pass_of_the_machine_moves_sums_only(spark):
+    """Neither ratings nor representations are shuffled by a pass: nothing is dealt anew above the kept parts."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(300).selectExpr("id % 20 AS u", "id AS b", "double(id % 5) AS rating")
+    reps = [rows.select(F.col(c).alias("id")).distinct().withColumn("features", F.array(F.lit(0.1), F.lit(0.2))) for c in "ub"]
+    design = fm.joined(rows, None, *reps, rank=2)
+    plan = design.sums([fm.Params(1.0, np.ones(4), np.ones((4, 2)))], 1)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("InMemoryRelation")[0] and "CoGroup" not in plan
+    design.close()
