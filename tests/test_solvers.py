@@ -86,6 +86,21 @@ def test_no_rating_is_shuffled_in_an_iteration(spark):
     work.close()
 
 
+def test_an_id_is_sent_to_the_parts_that_have_it_and_to_no_other(spark, monkeypatch):
+    """Twenty relations that share no id: parts grow in number with them, what is sent only with ids."""
+    monkeypatch.setattr(blocks, "PART_ROWS", 12)
+    monkeypatch.setattr(blocks, "HOME_BYTES", 160)
+    rows = spark.createDataFrame([("k", 3 * c + i, 4 * c + j, 1.0) for c in range(20) for i in range(3) for j in range(4)], "key string, u long, b long, x double")
+    work = mf.grouped(rows, rows.selectExpr("key", "u + 1000 AS u", "b", "x"), mf.Options(rank=2))
+    held = {(r["part"], s, int(i)) for r in work.layout.parts.collect() for s in "ub" for i in set(np.frombuffer(r[s], "<i4").tolist())}
+    routes = [r for h in work.layout.routing.collect() for r in h["routes"]]
+    sent = sum(len(blocks.unsqueezed(r["places"])) for r in routes)
+    assert work.layout.parts.count() >= 20 and work.layout.homes.count() >= 10
+    assert 140 <= sent <= len(held) - 60  # the test rows' 60 users are in parts, but nothing is known of them
+    assert sent <= 4 * 140
+    work.close()
+
+
 def test_mf_takes_no_rows(spark):
     empty = spark.createDataFrame([], "key string, u long, b long, x double")
     users, _, history = mf.train(empty, None, mf.Options(rank=2, iterations=2))
