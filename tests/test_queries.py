@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from tests.conftest import ROOT, SF
 from tricord import queries as core
-from tricord.operators import commuting, motifs, prep
+from tricord.operators import commuting, motifs, prep, sparse
 from tricord.sources import tables
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -84,6 +84,22 @@ def test_lists_travel_as_often_as_the_terms_need_them(spark, monkeypatch):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
 
 
+@pytest.mark.parametrize("at_once", [1, 7, 1 << 20])
+def test_products_are_made_row_by_row_and_are_the_joins(spark, monkeypatch, at_once):
+    """Rows cut at any term, weights of both signs and past 53 bits; no plan has a row for a term, so nothing is summed after a shuffle."""
+    monkeypatch.setattr(sparse, "AT_ONCE", at_once)
+    monkeypatch.setattr(sparse, "BLOCK_TERMS", 20)
+    cell = lambda n, p, q: spark.range(n).select((F.col("id") % p).alias("i"), F.pmod(F.xxhash64("id"), F.lit(q)).alias("j"), (F.col("id") % 7 - 3).alias("w")).groupBy("i", "j").agg(F.sum("w").alias("w"))
+    big = spark.createDataFrame([(100, 1, 2**55 + 1), (100, 2, -1), (101, 77, 1)], "i long, j long, w long")
+    x, y = cell(60, 9, 12).union(big), cell(80, 12, 10)
+    made = sparse.multiply(x, y)
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, sparse.joined_multiply(x, y).collect()))
+    assert "HashAggregate" not in made._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    assert sparse.multiply(x.limit(0), y).count() == 0 and sparse.multiply(x, y.limit(0)).count() == 0
+    half = x.limit(5).withColumn("w", F.lit(0.5))
+    assert sorted(map(tuple, sparse.multiply(half, y).collect())) == sorted(map(tuple, sparse.joined_multiply(half, y).collect()))
+
+
 def test_queries_leave_no_id_out(spark, sf):
     run = lambda name: core.queries()[name](spark, sf)
     assert run("design_sparsity_whole").first()["filled"] == 1.0
