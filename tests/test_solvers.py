@@ -101,6 +101,18 @@ def test_an_id_is_sent_to_the_parts_that_have_it_and_to_no_other(spark, monkeypa
     work.close()
 
 
+def test_a_grid_of_any_size_holds_a_few_points_at_a_time(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(u, b, float(rng.integers(1, 6))) for u in range(9) for b in range(7) if u == b or rng.random() < 0.6], "u long, b long, rating double")
+    run = lambda: [tuple(r) for r in mf.grid(rows, rows.limit(20), (2, 3), (1.0, 5.0), (0.1,), 2).collect()]
+    want, widths, start = run(), [], mf.Factorisation.start
+    monkeypatch.setattr(mf, "GRID_DOUBLES", 5)
+    monkeypatch.setattr(mf.Factorisation, "start", lambda self, *a: widths.append(sum(sum(x["ranks"]) for x in self.specs.values())) or start(self, *a))
+    got = run()
+    assert [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3:] for r in got], [r[3:] for r in want])
+    assert len(widths) > 1 and max(widths) <= 5 and sum(widths) == 10
+
+
 def test_mf_takes_no_rows(spark):
     empty = spark.createDataFrame([], "key string, u long, b long, x double")
     users, _, history = mf.train(empty, None, mf.Options(rank=2, iterations=2))
