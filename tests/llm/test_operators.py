@@ -73,6 +73,22 @@ def test_chunked_encoding_is_whole_encoding(name):
         assert np.frombuffer(got, dtype=e.type).tolist() == of(t), t
 
 
+def test_words_that_come_back_after_many_others_are_still_known():
+    e, calls = common.ChunkEncoder(queries.tokenizer_path("byte_bpe_50k.json")), [0]
+    tokenize = e.tokenize
+
+    def counted(word):
+        calls[0] += 1
+        return tokenize(word)
+
+    e.tokenize = counted
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [" " + " ".join(a + b + c + d for b in letters for c in letters) for a in letters for d in letters[:10]]  # 175,760 words
+    first = [x for t in texts for x in e.encode([t])]
+    assert calls[0] == 26**3 * 10
+    assert [x for t in texts for x in e.encode([t])] == first and calls[0] == 26**3 * 10
+
+
 # 2
 
 def test_decontamination(spark):

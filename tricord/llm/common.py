@@ -55,7 +55,8 @@ class ChunkEncoder(dict):
     CHUNK = re.compile(f" ?[{LETTER}]+(?![^{SPACE}.,;:!?])| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
     #: Byte-level vocabularies spell a byte as a character: printable ones as themselves, the others from 256 on.
     SPELL = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in {*range(33, 127), *range(161, 173), *range(174, 256)})}
-    MEMO = 60_000
+    #: Chunks of the younger generation, about 200 bytes each: a corpus has a long tail of words that come back only after many others.
+    MEMO = 200_000
 
     def __init__(self, path: str):
         super().__init__()
