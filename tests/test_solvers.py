@@ -404,6 +404,30 @@ def test_every_graph_in_one_sweep(spark, sf):
     assert {r["key"] for r in users.select("key").distinct().collect()} == found == {r["key"] for r in history.collect()}
 
 
+def test_similarities_in_lists_give_the_factors_of_their_rows(spark, sf, monkeypatch):
+    monkeypatch.setattr(experiment, "LIST", 8)
+    monkeypatch.setattr(blocks, "PART_ROWS", 200)
+    trust, train = tables.trust(spark, sf), prep.train_of(prep.split_ratings(tables.ratings(spark, sf)))
+    train = storage.materialize(train.unionByName(train.limit(20).selectExpr("u", "b", "rating + 1 AS rating")), "train")  # pairs that repeat
+    graphs = ("ratings_only", "UUB_m1_0.5", "UUB_m5_0.5")
+    lists = storage.materialize(experiment.graph_lists(trust, train, graphs, k=30), "lists")
+    n, longest = lists.where("key = 'ratings_only'").selectExpr("sum(size(b))", "max(size(b))").first()
+    assert n == train.select("u", "b").distinct().count() and longest < 40
+    assert lists.where("key <> 'ratings_only'").count() == lists.where("key <> 'ratings_only'").select("key", "u").distinct().count()
+    rows = storage.materialize(experiment.graph_relations(trust, train, graphs, k=30), "rows")
+    assert rows.count() == rows.select("key", "u", "b").distinct().count() == lists.selectExpr("sum(size(b))").first()[0]
+    found = []
+    for relations in (lists, rows):
+        users, items, history = mf.train(relations, None, mf.Options(rank=2, iterations=2))
+        factors = {(r["key"], side, r["id"]): r["features"] for side, t in (("u", users), ("b", items)) for r in t.collect()}
+        found.append((factors, sorted((r["key"], r["iter"], r["objective"]) for r in history.collect())))
+    (a, h), (b, g) = found
+    assert a.keys() == b.keys() and np.allclose([a[k] for k in sorted(a)], [b[k] for k in sorted(a)], rtol=1e-9)
+    assert [x[:2] for x in h] == [x[:2] for x in g] and np.allclose([x[2] for x in h], [x[2] for x in g], rtol=1e-9)
+    with pytest.raises(ValueError, match="lists"):
+        mf.train(lists, rows, mf.Options(rank=2, iterations=1))
+
+
 class Lost(Exception):
     pass
 
