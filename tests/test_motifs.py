@@ -164,3 +164,16 @@ def test_no_pair_of_an_edge_and_a_neighbour_is_a_row(spark, monkeypatch):
         assert {tuple(r) for r in df.collect()} == want
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" in plan and "y#" not in "".join(x for x in plan.splitlines() if "HashJoin" in x or "MergeJoin" in x)
+
+
+def test_common_neighbours_are_looked_up_by_marks(monkeypatch):
+    """Lists of uneven lengths, ids close together and far apart, and marks for one list at a time or for all."""
+    rng = np.random.default_rng(8)
+    for marks, far in ((1, 1), (1 << 25, 1), (40, 10**12)):
+        monkeypatch.setattr(motifs, "MARKS", marks)
+        near = {v: {int(z) * far: int(rng.integers(0, 2)) for z in rng.choice(50, size=rng.integers(1, 30), replace=False)} for v in rng.permutation(25).tolist()}
+        edges = sorted({(int(x), int(y), int(x + y) % 3) for x, y in rng.integers(0, 30, (90, 2)) if x != y})  # some ends have no list
+        lists = [[np.array(c) for c in zip(*[(v, len(s)) for v, s in near.items()], strict=True)] + [np.array([z for s in near.values() for z in s]), np.array([t for s in near.values() for t in s.values()], dtype=np.int8)]]
+        found = [row for b in motifs._met(lists, [[np.array(c) for c in zip(*edges, strict=True)]], 64) for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        want = [(x, y, z, c, near[x][z], near[y][z]) for x, y, c in edges if x in near and y in near for z in near[x].keys() & near[y].keys()]
+        assert sorted(found) == sorted(want) and want
