@@ -177,3 +177,20 @@ def test_common_neighbours_are_looked_up_by_marks(monkeypatch):
         found = [row for b in motifs._met(lists, [[np.array(c) for c in zip(*edges, strict=True)]], 64) for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
         want = [(x, y, z, c, near[x][z], near[y][z]) for x, y, c in edges if x in near and y in near for z in near[x].keys() & near[y].keys()]
         assert sorted(found) == sorted(want) and want
+
+
+def test_cuts_read_the_rows_twice(spark, monkeypatch):
+    """However many digits a cut needs: all rows are read for the first digits, and once more for the rows near the cuts."""
+    monkeypatch.setattr(prep, "ROUND", 1)
+    monkeypatch.setattr(prep, "LAST", 1)
+    read = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(600).selectExpr("1 AS split_no", "md5(string(id)) AS _h").mapInArrow(run, "split_no int, _h string")
+    [(_, cuts)] = prep.cut_hashes(rows, [0.5, 0.25]).items()
+    hashes = sorted(r["_h"] for r in rows.collect())
+    assert cuts == [hashes[300], hashes[450]] and read.value == 3 * 600

@@ -84,6 +84,25 @@ def test_lists_travel_as_often_as_the_terms_need_them(spark, monkeypatch):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_lists_of_a_user_take_one_shuffle(spark, monkeypatch):
+    """Repeated pairs count once, and a user's items are gathered in the shuffle that brings them together."""
+    plans = []
+    kept = commuting.materialize
+
+    def watched(df, name):
+        if name == "rows":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, name)
+
+    monkeypatch.setattr(commuting, "materialize", watched)
+    train = spark.range(600).selectExpr("id % 20 AS u", "id % 30 AS b")
+    trust = spark.range(20).selectExpr("0 AS layer", "id AS i", "(id + 1) % 20 AS j", "1L AS w")
+    found = commuting.product_top_k(train, trust, {"a": {0: 1}}, 1, 50).collect()
+    want = {((u - 1) % 20, b) for u, b in {(k % 20, k % 30) for k in range(600)}}
+    assert {(r["u"], r["b"]) for r in found} == want and len(found) == len(want) and {r["w"] for r in found} == {1}
+    assert [p.count("Exchange ") for p in plans] == [1]
+
+
 @pytest.mark.parametrize("at_once", [1, 7, 1 << 20])
 def test_products_are_made_row_by_row_and_are_the_joins(spark, monkeypatch, at_once):
     """Rows cut at any term, weights of both signs and past 53 bits; no plan has a row for a term, so nothing is summed after a shuffle."""
