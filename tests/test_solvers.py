@@ -529,3 +529,19 @@ def test_a_pass_of_the_machine_moves_sums_only(spark):
     plan = design.sums([fm.Params(1.0, np.ones(4), np.ones((4, 2)))], 1)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan.split("InMemoryRelation")[0] and "CoGroup" not in plan
     design.close()
+
+
+def test_parts_of_the_machine_stay_small(spark, monkeypatch):
+    """A task holds a part of the design at a time: with many ratings there are more parts, not larger ones, and the sums are the same."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3000).selectExpr("id % 50 AS u", "id % 59 AS b", "double(id % 5) AS rating")
+    reps = [rows.select(F.col(c).alias("id")).distinct().withColumn("features", F.array(F.lit(0.1), F.col("id") / 100)) for c in "ub"]
+    q = fm.Params(1.0, np.ones(4), np.ones((4, 2)))
+    want = fm.sums(fm.joined(rows, None, *reps, rank=2), [q], 1)
+    monkeypatch.setattr(fm, "PART_ROWS", 40)
+    design = fm.joined(rows, None, *reps, rank=2)
+    assert max(len(r["x"]) // 8 for r in design.parts.select("x").collect()) <= 3 * fm.PART_ROWS
+    got = fm.sums(design, [q], 1)
+    assert np.allclose(got[1][0], want[1][0]) and np.isclose(got[0][0][0].square, want[0][0][0].square)
+    design.close()
