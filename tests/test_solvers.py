@@ -1,13 +1,15 @@
 """Solvers against plain numpy and finite differences."""
 
 import itertools
+import os
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from tricord import experiment
 from tricord.functions import metrics
-from tricord.operators import blocks, features, fm, mf, prep
+from tricord.operators import blocks, features, fm, mf, prep, resident
 from tricord.plans import states, storage
 from tricord.sources import matlab, tables
 
@@ -545,3 +547,25 @@ def test_parts_of_the_machine_stay_small(spark, monkeypatch):
     got = fm.sums(design, [q], 1)
     assert np.allclose(got[1][0], want[1][0]) and np.isclose(got[0][0][0].square, want[0][0][0].square)
     design.close()
+
+
+def test_training_writes_its_result_only(spark, monkeypatch):
+    """No factor of an iteration is written, with parts that share ids, that stand together, and as many homes of shared ids as partitions."""
+    monkeypatch.setattr(blocks, "PART_ROWS", 12)
+    monkeypatch.setattr(blocks, "HOME_BYTES", 64)
+    monkeypatch.setattr(resident, "BLOCK_ROWS", 30)
+    rows = spark.createDataFrame([("k", u, b, float((u + 2 * b) % 5)) for u in range(12) for b in range(8) if (u + b) % 3], "key string, u long, b long, x double")
+    work = mf.grouped(rows, rows, mf.Options(rank=2, eps=2.0, lamb=0.1, iterations=3))
+    folder = Path(storage.shared_dir(spark, "none")).parent
+    before = set(os.listdir(folder))
+    _, history = work.train()
+    assert {n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before} == {"mf-result"}
+    assert work.layout.parts.count() >= 1 + max(work.layout.held["index"].values()) > 1
+    cells = np.array([(r["u"], r["b"], r["x"]) for r in rows.collect()])
+    x, mask = np.zeros((12, 8)), np.zeros((12, 8))
+    u, b = cells[:, 0].astype(int), cells[:, 1].astype(int)
+    x[u, b], mask[u, b] = cells[:, 2], 1
+    start = lambda n: resident.initial_matrix(np.arange(n), 2)
+    want = dense_mf(x, mask, start(12), start(8), cells[:, 2].mean(), 0.1, 2.0, 3)[1]
+    assert np.allclose([r["objective"] for r in history.where("status = 'ok'").orderBy("iter").collect()], want)
+    work.close()
