@@ -175,3 +175,9 @@ def test_entry_without_the_training_data_operators(tmp_path):
 def test_entry_runs(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_the_grid_is_whole():
+    """All points of the search, each with as many iterations as a single factorisation may take."""
+    assert [len(core.GRID[k]) for k in ("ranks", "epsilons", "lambdas")] == [5, 6, 6]
+    assert core.GRID["iterations"] == core.mf.Options().iterations == 500
